@@ -64,8 +64,10 @@ class Graph:
         if include and exclude:
             raise ValueError("samples can be included or excluded, not both")
         variants, genotypes, names = readers.read_vcf(spark, vcf, chrom)
+        variants, genotypes = materialise(variants, "variants"), materialise(genotypes, "genotypes")  # one parse of the text
+        bases = materialise(readers.read_fasta(spark, fasta, chrom, record=record, chunk=chunk), "reference")
         listed = readers.read_sample_list(spark, include or exclude, chrom) if include or exclude else None
-        return cls.build(readers.read_fasta(spark, fasta, chrom, record=record, chunk=chunk), variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk)
+        return cls.build(bases, variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk)
 
     TABLES = ("nodes", "edges", "paths", "copies")
 

@@ -161,19 +161,27 @@ def test_class_counts_equal_brute_force():
             assert sort.order.tolist() == sorted(range(m), key=key.get)
 
 
-def test_best_cuts_reach_the_least_height():
+def test_best_cuts_follow_the_rule():
+    """Without a distance the score is the optimum; with one, the stated rule (leftmost start of each height) holds."""
     rng = random.Random(11)
     for _ in range(60):
         m, e = rng.randrange(2, 5), rng.randrange(1, 8)
         carriers = {x: [c for c in range(m) if rng.random() < 0.4] for x in range(e)}
-        nodes, first, aln = list(range(e + 1)), list(range(e + 1)), list(range(e + 1))
+        nodes = list(range(e + 1))
+        classes = lambda a, b: len({tuple(c in carriers[x] for x in range(a, b)) for c in range(m)})  # noqa: B023, E731
         for distance in (0, 2):
-            cuts, score = segments.best_cuts(nodes, first, aln, e, e, carriers, m, distance)
-            classes = lambda a, b: len({tuple(c in carriers[x] for x in range(a, b)) for c in range(m)})
-            best = {0: 0}
+            cuts, score = segments.best_cuts(nodes, nodes, nodes, e, e, carriers, m, distance)
+            best, rule = {0: 0}, {0: 0}
             for j in range(1, e + 1):
                 best[j] = min([m] + [max(classes(i, j), best[i]) for i in range(j) if j - i >= distance])
-            assert score == best[e] and cuts[0] == 0 and cuts[-1] == e
+                rule[j] = m
+                for h in sorted({classes(i, j) for i in range(j)}):
+                    i = min(i for i in range(j) if classes(i, j) == h)
+                    if j - i >= distance and max(h, rule[i]) < rule[j]:
+                        rule[j] = max(h, rule[i])
+            assert score == rule[e] and cuts[0] == 0 and cuts[-1] == e
+            if not distance:
+                assert score == best[e]
 
 
 def test_matching_hazards_end():
