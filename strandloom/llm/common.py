@@ -65,6 +65,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> Column:
+    """The whole row as one column, so that its names can't clash with an operator's own; ``row.*`` unpacks it."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def id_fold(col: Column) -> Column:
     """crc32(id as text) mod 5, the fold that keeps rows out of training (0 is held out)."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(5)

@@ -14,12 +14,16 @@ A document's tokens are the hashes of its distinct word shingles. Two sets link
    hash, so two of the shared ones fall into one class: the index holds all pairs of a set's frequent prefix tokens
    inside each class. m is about p / 2, a power of two, fixed by the smaller set's size; a
    set whose partner may have another m is indexed under both. Keys stay linear in the set's size.
-4. Only keys that come back (a bitmap over counted keys, then an exact join) are kept. First every set
-   is verified against its key's most typical set (``star`` rounds), and links are merged into components. Only
-   keys that still hold several components go on: their pairs of different components are verified too. What is
+4. Only keys that come back (a bitmap over counted keys, then an exact join) are kept. A key of at most ``SMALL`` sets gives all its
+   pairs, which is at most SMALL / 2 a row. In a larger key every set meets the key's most typical set first, and
+   links are merged into components. Sets of large keys that still hold several components meet ``PIVOTS`` more sets, in up to
+   ``STAR_ROUNDS`` - 1 rounds while over ``PAIRS_PER_ROW`` pairs a row are open; then their remaining pairs of different
+   components are all compared. A key only counts for a pair if it lies in the shorter prefix of the smaller set. What is
    left out are pairs inside one component, which can't change it. So components are exact, and a group of
    thousands of near copies costs about one comparison a member.
-5. Verification recomputes both sets from the whole texts.
+5. Pairs are first compared by parity sketches: one bit a hash slot, flipped by each token, at least four slots a token. Each
+   token in one set alone flips one bit at most, so more differing bits than the measure allows rule a
+   pair out for certain. The rest is verified on both sets, recomputed from the whole texts.
 
 Defined cases: null text, or text without words, has an empty set and is linked with nothing; fewer words
 than a shingle form one token of the whole sequence; repeated rows are in one class; null ids are members
@@ -32,18 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import mix, powers, slice_hashes, word_bounds
-from .common import discard, join_texts_lower, materialise, text_groups
+from .common import discard, join_texts_lower, materialise, packed, text_groups
 from .components import components
 from .substring import bitmap, in_bitmap
 
 FREQUENT = 40
 BITMAP_BITS = 1 << 26
-STAR_ROUNDS = 8
-PAIRS_PER_ROW = 2
+SMALL = 16
+STAR_ROUNDS = 3
+PIVOTS = 8
+PAIRS_PER_ROW = 8
 SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -83,18 +89,24 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def index_length(n: int, percent: int) -> int:
+    """Prefix that a set needs against partners of its own size or larger: they share at least 2t / (1 + t) * n tokens."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def class_count(n: int, percent: int) -> int:
     """m of a pair whose smaller set has n tokens: a power of two, about half the prefix."""
     return 1 << max(0, (prefix_length(n, percent) // 2).bit_length() - 1)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(keys of a set, number of its rare tokens); ``frequent`` is a bitmap."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys of a set, which of them count when it is the smaller set, number of rare tokens); ``frequent`` is a bitmap."""
     n = len(tokens)
     p = prefix_length(n, percent)
     hot = in_bitmap(frequent, tokens)
     rare = tokens[~hot]
     keys = [rare[:p]]
+    first = [np.arange(len(keys[0])) < index_length(n, percent)]
     if len(rare) < p:
         often = tokens[hot]
         least = -(-percent * n // 100)
@@ -106,7 +118,9 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
                 i, j = np.triu_indices(len(mine), 1)
                 with np.errstate(over="ignore"):
                     keys.append(mix(mine[i] * np.uint64(0x9FB21C651E98DF25) + mine[j] + np.uint64(m)))
-    return np.unique(np.concatenate(keys)), len(rare)
+                    first.append(np.ones(len(i), bool))
+    keys, at = np.unique(np.concatenate(keys), return_index=True)
+    return keys, np.concatenate(first)[at], len(rare)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
@@ -134,22 +148,60 @@ def _owned(part, sets, owners: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(s)) for i, s, ok in zip(live, s1.tolist(), in_bitmap(owners, s1 ^ key[live]).tolist(), strict=True) if ok]
 
 
-def _key_rows(batches, k: int, percent: int, owners, frequent, again) -> Iterator[pa.RecordBatch]:
-    """Keys of owner rows: all of them, or with ``again`` (key, node, n, rare) of those that come back."""
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """A power of two of bits, at least four a token; each token flips one."""
+    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the number of tokens that only one of the two sets has; longer sketches are folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _key_rows(batches, k: int, percent: int, owners, frequent) -> Iterator[pa.RecordBatch]:
+    """All keys of owner rows."""
+    for part, _, sets in _sets(batches, k):
+        out = [index_keys(sets[i], frequent, percent)[0].view(np.int64) for i, _ in _owned(part, sets, owners)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["key"])
+
+
+NODE = "node long, n long, rare long, sketch binary, keys array<struct<key:long,first:boolean>>"
+
+
+def _node_rows(batches, k: int, percent: int, owners, frequent, again) -> Iterator[pa.RecordBatch]:
+    """Owner rows that have a key which comes back: size, rare tokens, sketch and those keys."""
     for part, _, sets in _sets(batches, k):
-        out: list[list] = [[], [], [], []]
+        rows = []
         for i, s1 in _owned(part, sets, owners):
-            keys, rare = index_keys(sets[i], frequent, percent)
-            if again is not None:
-                keys = keys[in_bitmap(again, keys)]
-            if len(keys):
-                out[0].append(keys.view(np.int64))
-                out[1].append(np.full(len(keys), s1))
-                out[2].append(np.full(len(keys), len(sets[i])))
-                out[3].append(np.full(len(keys), rare))
-        if out[0]:
-            names = ["key"] if again is None else ["key", "node", "n", "rare"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out[: len(names)]], names=names)
+            keys, first, rare = index_keys(sets[i], frequent, percent)
+            keep = in_bitmap(again, keys)
+            if keep.any():
+                rows.append((s1, len(sets[i]), rare, parity_sketch(sets[i]), keys[keep].view(np.int64), first[keep]))
+        if rows:
+            cuts = pa.array(np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])]), pa.int32())
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([r[4] for r in rows])), pa.array(np.concatenate([r[5] for r in rows]))], names=["key", "first"])
+            cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(cuts, pairs)], names=["node", "n", "rare", "sketch", "keys"])
+
+
+def _sketch_rows(batches, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, sa, sb) -> (a, b) that the sketches can't rule out."""
+    for batch in batches:
+        a, b = [], []
+        cols = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb"))
+        for x, y, n, m, s, t in zip(*cols, strict=True):
+            # 100 * both >= percent * (n + m - both) and n + m - 2 * both = difference
+            if (100 + percent) * sketch_distance(s, t) <= (100 - percent) * (n + m):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _text_rows(batches, k: int, owners, wanted) -> Iterator[pa.RecordBatch]:
@@ -178,7 +230,10 @@ def _verify_rows(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def link_documents(docs: DataFrame, *, shingle: int = 4, percent: int = 85, frequent: int = FREQUENT, bits: int = BITMAP_BITS) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) of every row; ``key`` hashes id and text."""
+    """(doc_id, key, n_shingles, component_id, group) of every row; ``key`` hashes id and text.
+
+    ``group`` is the component's own number (null for empty sets), whatever the ids are.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     texts = rows.select("key", "text").where("text is not null")
@@ -191,43 +246,57 @@ def link_documents(docs: DataFrame, *, shingle: int = 4, percent: int = 85, freq
     classes = materialise(members.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("owner"), F.min("doc_id").alias("least")), "classes")
     owners = bitmap(classes.select(F.expr("s1 ^ owner").alias("h")), "h", bits)
     maps = spark.sparkContext.broadcast((owners, hot))
-    keys = texts.mapInArrow(lambda it: _key_rows(it, shingle, percent, *maps.value, None), "key long").groupBy("key").count().where("count > 1").select("key")
+    keys = texts.mapInArrow(lambda it: _key_rows(it, shingle, percent, *maps.value), "key long").groupBy("key").count().where("count > 1").select("key")
     keys = materialise(keys, "keys")
     again = spark.sparkContext.broadcast(bitmap(keys, "key", bits))
-    found = texts.mapInArrow(lambda it: _key_rows(it, shingle, percent, *maps.value, again.value), "key long, node long, n long, rare long")
-    found = materialise(found.join(keys, "key").dropDuplicates(["key", "node"]), "index")
+    nodes = materialise(texts.mapInArrow(lambda it: _node_rows(it, shingle, percent, *maps.value, again.value), NODE), "nodes")
+    job = _Links(spark, texts, nodes, maps, shingle, percent, bits)
+    rows = nodes.select(F.explode("keys").alias("k"), "node", "n", "rare").select("k.*", "node", "n", "rare").distinct().join(keys, "key")
+    rank = F.struct((F.col("rare") * 1000 / F.col("n")).cast("int"), "node")
+    about = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(rank).alias("p"), F.min_by("n", rank).alias("pn")).where("c > 1").select("key", "c", F.col("p.node").alias("b"), "pn")
+    found = materialise(rows.join(about, "key"), "index")
     discard(keys)
-
-    links = star = comp = None
-    for turn in range(STAR_ROUNDS):
-        # the pivot of a key: first the set with the smallest share of rare tokens, later one at random
-        rank = F.struct((F.col("rare") * 1000 / F.col("n")).cast("int"), "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node")
-        rest = found if comp is None else _unsettled(found, comp)
-        pivots = rest.groupBy("key").agg(F.min(rank).alias("p"), F.min_by("n", rank).alias("pn")).select("key", F.col("p.node").alias("b"), "pn")
-        pairs = rest.join(pivots, "key").where("node <> b").where(_sizes("n", "pn", percent)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        if star is not None:
-            pairs = pairs.join(star, ["a", "b"], "left_anti")
-        links, star, comp = _merge(spark, texts, pairs, links, star, shingle, percent, maps, bits)
-        rest = _unsettled(found, comp)
-        count = rest.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        open_pairs = count.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0
-        if not open_pairs:
+    small = found.where(F.col("c") <= SMALL)
+    small = small.select("key", "node", "n", "first").join(_others(small), "key").where(_needed())
+    star = found.where(F.col("c") > SMALL).select("node", "n", "b", "pn")
+    comp = job.add(_pairs(small, percent).unionByName(_pairs(star, percent)))
+    for turn in range(1, STAR_ROUNDS + 1):
+        rest = materialise(_unsettled(found, comp).where(F.col("c") > SMALL).drop("b", "pn"), "open")
+        of_key = rest.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("s"))
+        size = of_key.agg(F.sum("c").alias("rows"), F.sum((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs")).first()
+        if not size["rows"]:
             break
-        if open_pairs <= PAIRS_PER_ROW * found.count() or turn == STAR_ROUNDS - 1:
-            other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("component").alias("other"))
-            pairs = rest.join(other, "key").where("node < b and component <> other").where(_sizes("n", "pn", percent)).select(F.col("node").alias("a"), "b").distinct()
-            pairs = pairs.join(star, ["a", "b"], "left_anti")
-            links, star, comp = _merge(spark, texts, pairs, links, star, shingle, percent, maps, bits)
+        if turn == STAR_ROUNDS or size["pairs"] <= PAIRS_PER_ROW * found.count():
+            # few pairs of different components are left: compare all that the index needs
+            other = _others(rest, "component")
+            comp = job.add(_pairs(rest.join(other, "key").where("component <> other").where(_needed()), percent))
             break
+        # a few more sets of different components, chosen by hash, meet all of their key
+        rank = F.xxhash64("component", "key", F.lit(turn))
+        of_comp = rest.groupBy("key", "component").agg(F.min(F.struct("node", "n")).alias("p")).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(rank)))
+        pivots = of_comp.where(F.col("r") <= PIVOTS).select("key", F.col("component").alias("other"), F.col("p.node").alias("b"), F.col("p.n").alias("pn"))
+        comp = job.add(_pairs(rest.join(pivots, "key").where("component <> other"), percent))
     named = classes.join(comp, F.col("s1") == F.col("node"), "left").withColumn("group", F.coalesce("component", "s1"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = named.select("s1", "s2", "group").join(least, "group").select("s1", "s2", "component_id")
+    named = named.select("s1", "s2", "group").join(least, "group").select("s1", "s2", "component_id", "group")
     out = members.join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+
+
+def _others(rows: DataFrame, *more: str) -> DataFrame:
+    """The other side of a self-join of index rows."""
+    return rows.select("key", F.col("node").alias("b"), F.col("n").alias("pn"), F.col("first").alias("also"), *(F.col(c).alias("other") for c in more))
+
+
+def _needed():
+    """A linked pair has a key that counts for its smaller set (for both, if they are equal in size)."""
+    return F.when(F.col("n") < F.col("pn"), F.col("first")).when(F.col("n") > F.col("pn"), F.col("also")).otherwise(F.col("first") & F.col("also"))
 
 
-def _sizes(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of rows (node, n, b, pn) whose sizes allow a link."""
+    fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    return rows.where("node <> b").where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _unsettled(found: DataFrame, comp: DataFrame) -> DataFrame:
@@ -237,26 +306,45 @@ def _unsettled(found: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(open_keys, "key")
 
 
-def _merge(spark, texts, pairs, links, star, shingle, percent, maps, bits):
-    """Verify the pairs; returns all links, all pairs tried, and the components of the links."""
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(ends, "node", bits))
-    held = texts.mapInArrow(lambda it: _text_rows(it, shingle, maps.value[0], wanted.value), "node long, text string")
-    held = materialise(held.dropDuplicates(["node"]), "texts")
-    a = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    new = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify_rows(it, shingle, percent), "u long, v long")
-    new = materialise(new, "links")
-    discard(held)
-    links = new if links is None else links.unionByName(new)
-    star = pairs if star is None else star.unionByName(pairs)
-    return links, star, components(links)
+class _Links:
+    """Verifies pairs and keeps the components of all links so far."""
+
+    def __init__(self, spark, texts: DataFrame, nodes: DataFrame, owners, shingle: int, percent: int, bits: int):
+        self.spark, self.texts, self.owners, self.shingle, self.percent, self.bits = spark, texts, owners, shingle, percent, bits
+        self.sketches = nodes.select("node", "n", "sketch").dropDuplicates(["node"])
+        self.comp: DataFrame | None = None
+        self.tried: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """Verify the pairs that were not tried before; returns (node, component) of all linked nodes."""
+        percent, shingle, owners = self.percent, self.shingle, self.owners
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs.distinct(), "pairs")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        left = self.sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        right = self.sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        close = materialise(pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _sketch_rows(it, percent), "a long, b long"), "close")
+        ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+        wanted = self.spark.sparkContext.broadcast(bitmap(ends, "node", self.bits))
+        held = self.texts.mapInArrow(lambda it: _text_rows(it, shingle, owners.value[0], wanted.value), "node long, text string")
+        held = materialise(held, "texts")
+        one = held.dropDuplicates(["node"])
+        a = one.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = one.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        new = close.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify_rows(it, shingle, percent), "u long, v long")
+        new = materialise(new, "links")
+        discard(held)
+        known = new if self.comp is None else new.unionByName(self.comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        self.comp = materialise(components(known), "components")
+        return self.comp
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component: that with the smallest id (of repeated rows, one); unlinked rows all stay."""
-    linked = link_documents(docs, **how)
-    keep = linked.where("n_shingles = 0 or component_id is null or doc_id = component_id").select("key", "n_shingles").dropDuplicates(["key"])
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(keep.withColumnRenamed("key", "_key"), "_key")
-    return rows.where("n_shingles = 0").unionByName(rows.where("n_shingles > 0").dropDuplicates(["_key"])).select(*docs.columns)
+    """One row of each component: that with the smallest id (null ids last; of repeated rows, one). Rows with empty sets all stay."""
+    linked = link_documents(docs.select("doc_id", "text"), **how)
+    best = linked.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select("m.key", F.lit(True).alias("one"))
+    keep = best.unionByName(linked.where("n_shingles = 0").select("key", F.lit(False).alias("one")).distinct())
+    rows = docs.select(packed(docs), F.xxhash64("doc_id", "text").alias("key")).join(keep, "key")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("one"))
+    return rows.withColumn("r", first).where("r = 1 or not one").select("row.*")

@@ -36,7 +36,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85).drop("key")
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85).drop("key", "group")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,16 @@ fits as (select page_id, host, path, h || p as rule, verdict, row_number() over
   from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
 select a.page_id, a.host, a.path, f.rule, coalesce(f.verdict, 'allow') as verdict from parts a left join fits f on f.page_id = a.page_id and f.r = 1
 """,
+    "op6_jaccard_join": f"""
+with recursive words as (select row_number() over () as r, doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (select distinct r, doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) as s from words),
+sizes as (select r, count(*) as n from sets group by r),
+common as (select a.r as x, b.r as y, count(*) as c from sets a join sets b on a.s = b.s and a.r < b.r group by 1, 2),
+links as (select x, y from common join sizes a on a.r = x join sizes b on b.r = y where 100 * c >= 85 * (a.n + b.n - c)),
+reach as (select r, r as q from words union select reach.r, e.y from reach join (select x, y from links union all select y, x from links) e on e.x = reach.q)
+select w.doc_id, coalesce(s.n, 0)::bigint as n_shingles, case when s.n is null then w.doc_id else m.component_id end as component_id from words w left join sizes s on s.r = w.r
+join (select reach.r, min(d.doc_id) as component_id from reach join words d on d.r = reach.q group by 1) m on m.r = w.r
+""".replace("\\\\", "\\"),
     "op8_warc": """
 with body as (select page_id, coalesce(html, '') as b from pages),
 rows as (select page_id, octet_length(encode(b))::bigint as payload_bytes, sha256(b) as payload_digest, min(page_id) over (partition by b) as first from body)
