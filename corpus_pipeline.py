@@ -7,15 +7,13 @@ decontamination, best-fit packing. Every stage reads what its predecessor kept,
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from strandloom.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

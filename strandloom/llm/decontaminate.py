@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_groups
+from .common import packed, text_groups
 
 RATE = 0.1
 MIN_CHARS = 30
@@ -194,4 +194,4 @@ def flag_rows(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents in which no benchmark item was found, with their own columns."""
-    return flag_rows(docs, benchmark, **how).where(F.size("hits") == 0).drop("hits")
+    return flag_rows(docs.select(packed(docs), "text"), benchmark, **how).where(F.size("hits") == 0).select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, id_fold, starts_of, text_groups
+from .common import WordTable, id_fold, packed, starts_of, text_groups
 from .subword import ngram_buckets
 
 SIZES = (3, 4, 5)
@@ -204,15 +204,23 @@ def train(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CL
     return model
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), **bounds) -> DataFrame:
-    """(kept columns, held_out, score, predicted) for every row of ``docs``."""
-    spark = docs.sparkSession
-    model = train(docs, labels, **bounds)
-    shared = spark.sparkContext.broadcast((model.grams.astype(np.float32), model.bias))
-    rows = docs.select(*dict.fromkeys((*keep, "text")), F.coalesce(id_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
-    kept = [f for f in rows.schema if f.name in (*keep, "held_out")]
-    names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, predicted int"
+def score_documents(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``."""
+    rows = docs.select("doc_id", "text", F.coalesce(id_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
+    return _scored(rows, train(docs, labels, **bounds))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their own columns."""
+    return _scored(docs.select(packed(docs), "text"), train(docs, labels, **bounds)).where("predicted = 0").select("row.*")
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` without text, but with score and predicted."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.grams.astype(np.float32), model.bias))
+    schema = rows.drop("text").schema
+    names = list(schema.names)
+    schema = schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)

@@ -112,6 +112,8 @@ def _put(system: pafs.FileSystem, path: str, write) -> None:
     own = f"{path}.tmp-{TaskContext.get().taskAttemptId()}" if TaskContext.get() else f"{path}.tmp"
     with system.open_output_stream(own, compression=None) as out:
         write(out)
+    if system.get_file_info(path).type == pafs.FileType.File:  # left by an earlier attempt
+        system.delete_file(path)
     system.move(own, path)
 
 
