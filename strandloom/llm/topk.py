@@ -76,7 +76,7 @@ def exact_topk(
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("query_id", F.posexplode("best").alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.s") - 1).alias("score")
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), F.bitwise_not(F.col("hit.s")).alias("score")
     )
 
 

@@ -33,7 +33,7 @@ from .subword import ngram_buckets
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
-DIMS = 2
+DIMS = 3
 PASSAGE = 10
 #: An n-gram needs this many training documents; rarer ones carry no weight.
 MIN_DOCS = 5
@@ -41,6 +41,8 @@ DECAY = 6e-5
 MAX_PER_CLASS = 800
 MAX_CALIBRATE = 4000
 MAX_TRAIN_BYTES = 48 << 20
+#: Bias of a model without training rows.
+UNTRAINED = -1e6
 EDGE = ".,;:!?\"'()[]{}|*#<>"
 
 
@@ -89,7 +91,8 @@ class Model:
         return worst + self.bias
 
     def scores(self, texts: list[str | None], table: WordTable) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.logits(texts, table), -700, 700)))
+        logits = self.logits(texts, table)
+        return np.where(logits <= UNTRAINED / 2, 0.0, 1.0 / (1.0 + np.exp(-np.clip(logits, -700, 700))))
 
 
 def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 120, rate: float = 0.2, seed: int = 7) -> Model:
@@ -100,7 +103,7 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 120, rate: float
     """
     labels = np.asarray(labels, np.int64)
     if not len(texts) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), -700.0)
+        return Model(np.zeros(BUCKETS), UNTRAINED)
     lists = [[w.strip(EDGE) for w in words_of(t)] for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
     index: dict[str, int] = {}
@@ -194,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CL
         some = marks.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(max_per_class)
         picked = some if picked is None else picked.unionByName(some)
     model = fit(*_read(docs, picked, max_bytes))
-    if model.bias > -700:
+    if model.bias > UNTRAINED:
         rest = marks.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti").orderBy("h", "doc_id").limit(max_calibrate)
         texts, truth = _read(docs, rest, max_bytes)
         if len(truth) >= 200 and truth.sum() >= 20:
