@@ -109,6 +109,7 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 120, rate: float
     index: dict[str, int] = {}
     seq = np.fromiter((index.setdefault(w, len(index)) for ws in lists for w in ws), np.int64, int(counts.sum()))
     vocab = list(index)
+    del lists, index  # the driver's memory is bounded too
     ids, owner = ngram_buckets(vocab, SIZES, BUCKETS)
     per_word = np.bincount(owner, minlength=len(vocab)).astype(np.float64)
     in_doc = np.unique(np.repeat(np.arange(len(counts)), counts) * np.int64(len(vocab)) + seq) % len(vocab)
