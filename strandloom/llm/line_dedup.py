@@ -12,6 +12,11 @@ and after its first place in each document must be different in at least ``conte
 repeated because whole documents are copies have few surroundings; these copies are left to
 near-duplicate detection, instead of being emptied line by line. All lines of recurring templates are dropped.
 
+``boilerplate_lines`` asks instead in how many unlike documents a template is: near copies count as one document, by a
+sketch of all their lines, and ``min_docs`` such classes are enough, whatever else holds the line. Neither copies
+elsewhere nor the lines next to it (blank ones, the rest of a shared block) hide a template. Documents that
+consist mostly of shared lines count as near copies.
+
 All counts are pre-aggregated, by (template, surroundings) and then by template, so a line that a third of
 all documents hold is no hot group. The joins are plain equi-joins, which the engine may split where skewed.
 
@@ -36,6 +41,10 @@ SEGMENTS = 4
 MIN_TOKENS = 10
 MIN_DOCS = 8
 CONTEXT_SHARE = 0.5
+#: Near-copy classes: documents that agree in one of BANDS pairs of minima belong together.
+BANDS = 8
+#: From this many tokens on, a line's segments count on their own in a document's minima.
+SKETCH_TOKENS = 14
 
 
 def tokens_of(line: Column) -> Column:
@@ -77,9 +86,43 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, context_share: floa
     return same.unionByName(alike).groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
-def _judged(docs: DataFrame, **how) -> DataFrame:
+def piece_table(docs: DataFrame) -> DataFrame:
+    """(key, pos, n, template, s0..) of every line with a token."""
+    return line_table(docs).select("key", "pos", "n", "template", *(f"s{j}" for j in range(SEGMENTS)))
+
+
+def document_classes(lines: DataFrame) -> DataFrame:
+    """(key, class): near copies share a class, other documents have one of their own.
+
+    A document's sketch is the minima of its lines' hashes (and their segments') under ``2 * BANDS`` orders. Two rounds
+    carry the smallest key over the documents that share a pair of minima, so a group of near copies
+    ends as one class although few of its pairs agree in every minimum.
+    """
+    long = F.col("n") >= SKETCH_TOKENS
+    orders = [F.xxhash64(F.lit(i)) for i in range(2 * BANDS)]
+    low = lambda o: F.least(F.col("template").bitwiseXOR(o), *(F.when(long, F.col(f"s{j}").bitwiseXOR(o)) for j in range(SEGMENTS)))
+    sketch = lines.groupBy("key").agg(*(F.min(low(o)).alias(f"m{i}") for i, o in enumerate(orders)))
+    bands = [F.xxhash64(F.lit(i), f"m{2 * i}", f"m{2 * i + 1}") for i in range(BANDS)]
+    member = materialise(sketch.select("key", F.explode(F.array(*bands)).alias("band")), "bands")
+    shared = member.groupBy("band").agg(F.count("*").alias("c"), F.min("key").alias("low")).where("c > 1").select("band", "low")
+    first = materialise(member.join(shared, "band").select("key", "band", "low"), "shared-bands")
+    once = first.groupBy("key").agg(F.min("low").alias("class"))
+    spread = first.join(once, "key").groupBy("band").agg(F.min("class").alias("low"))
+    return materialise(first.select("key", "band").join(spread, "band").groupBy("key").agg(F.min("low").alias("class")), "classes")
+
+
+def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, drop): places of the lines whose template is in at least ``min_docs`` classes of documents."""
+    lines = materialise(piece_table(docs), "pieces")
+    classes = document_classes(lines)
+    held = lines.select("key", "template").join(classes, "key", "left").select("template", F.coalesce("class", "key").alias("class")).distinct()
+    often = materialise(held.groupBy("template").agg(F.count("*").alias("classes")).where(F.col("classes") >= min_docs).select("template"), "templates")
+    return lines.select("key", "pos", "template").join(often, "template").groupBy("key").agg(F.collect_set("pos").alias("drop"))
+
+
+def _judged(docs: DataFrame, gone_by=dropped_lines, **how) -> DataFrame:
     """(row, drop, lines, kept): the packed row, places that go, all lines, and the lines that stay."""
-    gone = dropped_lines(docs.select("doc_id", "text"), **how)
+    gone = gone_by(docs.select("doc_id", "text"), **how)
     rows = docs.select(packed(docs), F.xxhash64("doc_id", "text").alias("key")).join(gone, "key", "left")
     rows = rows.withColumn("lines", F.split("row.text", "\n"))
     return rows.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("drop", i))))
@@ -87,7 +130,15 @@ def _judged(docs: DataFrame, **how) -> DataFrame:
 
 def line_report(docs: DataFrame, *, min_docs: int = MIN_DOCS, context_share: float = CONTEXT_SHARE) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every row; no lines and no hash for null text."""
-    rows = _judged(docs.select("doc_id", "text"), min_docs=min_docs, context_share=context_share)
+    return _report(_judged(docs.select("doc_id", "text"), min_docs=min_docs, context_share=context_share))
+
+
+def boilerplate_report(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``line_report`` by classes of documents instead of adjacent lines."""
+    return _report(_judged(docs.select("doc_id", "text"), boilerplate_lines, min_docs=min_docs))
+
+
+def _report(rows: DataFrame) -> DataFrame:
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     kept = F.array_join("kept", "\n")
     return rows.select("row.doc_id", size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
@@ -95,7 +146,15 @@ def line_report(docs: DataFrame, *, min_docs: int = MIN_DOCS, context_share: flo
 
 def drop_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, context_share: float = CONTEXT_SHARE) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``; every row stays."""
-    rows = _judged(docs, min_docs=min_docs, context_share=context_share)
+    return _without(docs, _judged(docs, min_docs=min_docs, context_share=context_share))
+
+
+def drop_boilerplate(docs: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``drop_lines`` by classes of documents instead of adjacent lines."""
+    return _without(docs, _judged(docs, boilerplate_lines, min_docs=min_docs))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     new = {"text": text}
     if "n_chars" in docs.columns:

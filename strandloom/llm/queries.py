@@ -18,6 +18,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op1_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.boilerplate_report(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
 
@@ -57,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_language_id, op8_warc, op9_substring_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op1_boilerplate_lines, op2_exact_topk, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_language_id, op8_warc, op9_substring_dedup, op10_decontamination)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {

@@ -125,6 +125,22 @@ def test_line_dedup_generalises_one_varying_field(spark):
     assert all("session" not in got[i] for i in range(13)) and got[13] == texts[13]
 
 
+def prose(rng, lines):
+    return ["".join(rng.choice("abcdef") for _ in range(40)) + " " + " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(5)) for _ in range(lines)]
+
+
+def test_boilerplate_is_not_hidden_by_copies(spark):
+    rng = random.Random(31)
+    copied = prose(rng, 6)
+    texts = [[*copied[:3], "all rights reserved", *copied[3:]] for _ in range(60)]
+    for i in range(10, 60):  # near copies: one line of their own
+        texts[i][rng.choice([0, 6])] = prose(rng, 1)[0]
+    texts += [[*prose(rng, 3), "all rights reserved", *prose(rng, 3)] for _ in range(12)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, ["\n".join(t) for t in texts])).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "\n".join(x for x in t if x != "all rights reserved")
+
+
 # ---------------------------------------------------------------- 2 top-k
 
 
