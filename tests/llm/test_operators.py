@@ -141,6 +141,18 @@ def test_boilerplate_is_not_hidden_by_copies(spark):
         assert got[i] == "\n".join(x for x in t if x != "all rights reserved")
 
 
+def test_boilerplate_blocks_go_whole(spark):
+    rng = random.Random(32)
+    block = ["printed by the town press", "no part may be sold", "ask at the desk for more"]
+    texts = []
+    for i in range(30):
+        own = prose(rng, 12)
+        texts.append("\n\n".join([*own[:6], *block, *own[6:]]) if i % 2 else "\n".join([*own, *block]))
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "\n".join(x for x in t.split("\n") if x not in block)
+
+
 # ---------------------------------------------------------------- 2 top-k
 
 
