@@ -15,7 +15,9 @@ near-duplicate detection, instead of being emptied line by line. All lines of re
 ``boilerplate_lines`` asks instead in how many unlike documents a template is: near copies count as one document, by a
 sketch of all their lines, and ``min_docs`` such classes are enough, whatever else holds the line. Neither copies
 elsewhere nor the lines next to it (blank ones, the rest of a shared block) hide a template. Documents that
-consist mostly of shared lines count as near copies.
+consist mostly of shared lines count as near copies. There a template may vary in any one piece, a leading token
+or a segment, at any length that leaves ``LITERALS`` other tokens, without a literal copy in any document; the
+counts are by all pieces but one.
 
 All counts are pre-aggregated, by (template, surroundings) and then by template, so a line that a third of
 all documents hold is no hot group. The joins are plain equi-joins, which the engine may split where skewed.
@@ -45,14 +47,16 @@ CONTEXT_SHARE = 0.5
 BANDS = 8
 #: From this many tokens on, a line's segments count on their own in a document's minima.
 SKETCH_TOKENS = 14
+#: A template with a varying piece keeps at least so many other tokens.
+LITERALS = 3
 
 
 def tokens_of(line: Column) -> Column:
     return F.filter(F.split(line, f"[{BLANK}]+"), lambda t: t != "")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(key, pos, n, leaf, template, s0.., context) of every line with a token."""
+def line_table(docs: DataFrame, *, leading: bool = False) -> DataFrame:
+    """(key, pos, n, leaf, template, s0.., context) of every line with a token; on demand its leading tokens t0.. too."""
     masked = F.regexp_replace("text", FIELD, "<*>")
     lists = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.transform(F.split(masked, "\n"), tokens_of).alias("lines")).where("lines is not null")
     lists = lists.withColumn("h", F.transform("lines", lambda t: F.xxhash64(t)))
@@ -61,7 +65,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     n, m = F.size("t"), F.greatest(F.size("t") - LEADING, F.lit(0))
     edge = [F.expr(f"greatest(size(t) - {LEADING}, 0) * {j} div {SEGMENTS}").cast("int") for j in range(SEGMENTS + 1)]
     cuts = [F.xxhash64(F.slice("t", edge[j] + LEADING + 1, edge[j + 1] - edge[j])).alias(f"s{j}") for j in range(SEGMENTS)]
-    return rows.select("key", "pos", n.alias("n"), F.xxhash64(n, F.slice("t", 1, LEADING)).alias("leaf"), F.get("h", F.col("pos")).alias("template"), *cuts, F.xxhash64(near(-1), near(1)).alias("context"))
+    heads = [F.xxhash64(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(LEADING if leading else 0)]
+    return rows.select("key", "pos", n.alias("n"), F.xxhash64(n, F.slice("t", 1, LEADING)).alias("leaf"), F.get("h", F.col("pos")).alias("template"), *cuts, F.xxhash64(near(-1), near(1)).alias("context"), *heads)
 
 
 def recurring(lines: DataFrame, min_docs: int, context_share: float) -> DataFrame:
@@ -87,8 +92,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, context_share: floa
 
 
 def piece_table(docs: DataFrame) -> DataFrame:
-    """(key, pos, n, template, s0..) of every line with a token."""
-    return line_table(docs).select("key", "pos", "n", "template", *(f"s{j}" for j in range(SEGMENTS)))
+    """(key, pos, n, template, t0.., s0..) of every line with a token; t are its leading tokens, s its segments."""
+    return line_table(docs, leading=True).select("key", "pos", "n", "template", *_pieces())
+
+
+def _pieces() -> list[str]:
+    return [f"t{j}" for j in range(LEADING)] + [f"s{j}" for j in range(SEGMENTS)]
+
+
+def patterns_of() -> Column:
+    """The line's template, and one for each piece that may vary: everything but that piece, and its place."""
+    names = _pieces()
+    sizes = [F.when(F.col("n") > j, 1).otherwise(0) for j in range(LEADING)] + [F.expr(f"greatest(n - {LEADING}, 0) * {j + 1} div {SEGMENTS} - greatest(n - {LEADING}, 0) * {j} div {SEGMENTS}").cast("int") for j in range(SEGMENTS)]
+    loose = [F.when((size > 0) & (F.col("n") - size >= LITERALS), F.xxhash64(F.lit(j), "n", *(x for x in names if x != names[j]))) for j, size in enumerate(sizes)]
+    return F.array_compact(F.array("template", *loose))
 
 
 def document_classes(lines: DataFrame) -> DataFrame:
@@ -112,12 +129,12 @@ def document_classes(lines: DataFrame) -> DataFrame:
 
 
 def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, drop): places of the lines whose template is in at least ``min_docs`` classes of documents."""
+    """(key, drop): places of the lines of which a template is in at least ``min_docs`` classes of documents."""
     lines = materialise(piece_table(docs), "pieces")
     classes = document_classes(lines)
-    held = lines.select("key", "template").join(classes, "key", "left").select("template", F.coalesce("class", "key").alias("class")).distinct()
-    often = materialise(held.groupBy("template").agg(F.count("*").alias("classes")).where(F.col("classes") >= min_docs).select("template"), "templates")
-    return lines.select("key", "pos", "template").join(often, "template").groupBy("key").agg(F.collect_set("pos").alias("drop"))
+    held = lines.join(classes, "key", "left").select(F.explode(patterns_of()).alias("pattern"), F.coalesce("class", "key").alias("class")).distinct()
+    often = materialise(held.groupBy("pattern").agg(F.count("*").alias("classes")).where(F.col("classes") >= min_docs).select("pattern"), "templates")
+    return lines.select("key", "pos", F.explode(patterns_of()).alias("pattern")).join(often, "pattern").groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
 def _judged(docs: DataFrame, gone_by=dropped_lines, **how) -> DataFrame:

@@ -153,6 +153,19 @@ def test_boilerplate_blocks_go_whole(spark):
         assert got[i] == "\n".join(x for x in t.split("\n") if x not in block)
 
 
+@pytest.mark.parametrize("line", ["user {} logged in", "{} has left the room", "session of the guard {} was opened at the main gate today", "mail from the house of {}"])
+def test_boilerplate_generalises_without_a_literal_copy(spark, line):
+    rng = random.Random(33)
+    texts = []
+    for _ in range(20):
+        own = prose(rng, 6)
+        texts.append("\n".join([*own[:3], line.format("".join(rng.choice("ghijk") for _ in range(8))), *own[3:]]))
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        own = t.split("\n")
+        assert got[i] == "\n".join(own[:3] + own[4:])
+
+
 # ---------------------------------------------------------------- 2 top-k
 
 
