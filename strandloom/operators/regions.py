@@ -23,7 +23,7 @@ def extract_regions(bed: DataFrame, nodes: DataFrame, msa: DataFrame, *, bubbles
     ``msa`` has (chrom, seq_id, chunk_no, aln, text). A start past the reference gives no row. The start's chunk gives the rank of
     the first wanted character among the non-gap ones; the rest is an interval join on ranks, by buckets.
     """
-    starts = region_starts(bed, nodes, bubbles=bubbles).select("chrom", "name", "start", "end", "aln_start", "chunk_no")
+    starts = region_starts(bed, nodes, bubbles=bubbles, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no")
     bare = F.replace(F.col("text"), F.lit("-"), F.lit(""))
     rows = msa.withColumn("bare", bare).withColumn("g", F.length("bare").cast("long"))
     rows = prefix_scan(rows, ["chrom", "seq_id"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False)

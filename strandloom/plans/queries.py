@@ -353,3 +353,13 @@ def region_extract(spark, sf):
     msa = graph.copy_texts().where("copy < 4").withColumn("seq_id", F.col("copy").cast("int"))
     rows = regions.extract_regions(bed, graph.nodes, msa.join(graph.chunks.select("chrom", "chunk_no", "aln"), ["chrom", "chunk_no"]))
     return rows.select("chrom", "name", F.col("seq_id").alias("copy"), "text")
+
+
+@query()
+def region_extract_all(spark, sf):
+    """Regions from all records, of all copies; ``region_extract`` is its sample that SQL can follow."""
+    graph = derived.graph(spark, sf)
+    bed = derived.variants(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"), F.concat(F.lit("r"), F.col("variant_idx").cast("string")).alias("name"))
+    msa = graph.copy_texts().withColumn("seq_id", F.col("copy").cast("int"))
+    rows = regions.extract_regions(bed, graph.nodes, msa.join(graph.chunks.select("chrom", "chunk_no", "aln"), ["chrom", "chunk_no"]), bucket=1 << 10)
+    return rows.select("chrom", "name", F.col("seq_id").alias("copy"), "text")

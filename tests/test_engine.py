@@ -49,6 +49,19 @@ def test_query_without_sql_runs(spark, name):
     assert core.QUERIES[name](spark, SF).count() > 0
 
 
+def test_regions_of_all_records_and_copies(spark):
+    from strandloom.plans import derived
+
+    graph = derived.graph(spark, SF)
+    texts, at = {}, {(r.chrom, r.ref_pos): r.aln_pos for r in graph.nodes.collect()}
+    for r in graph.copy_texts().orderBy("chunk_no").collect():
+        texts[r.chrom, r.copy] = texts.get((r.chrom, r.copy), "") + r.text
+    records = derived.variants(spark, SF).select("chrom", "variant_idx", "pos").collect()
+    want = {(r.chrom, f"r{r.variant_idx}", copy, t[at[r.chrom, r.pos] :].replace("-", "")[:20]) for r in records for (chrom, copy), t in texts.items() if chrom == r.chrom}
+    got = [tuple(r) for r in core.region_extract_all(spark, SF).collect()]
+    assert len(texts) == 100 and len(got) == len(want) == 20 * len(records) and set(got) == want
+
+
 def test_prefix_scan_equals_plain_running_values(spark):
     rows = [(c, i, random.Random(i * 7 + c).randrange(100)) for c in range(2) for i in range(300)]
     df = spark.createDataFrame(rows, "c int, i int, v int")
