@@ -135,6 +135,44 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield part, part.column(column).to_pylist()
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by a non-null column, cut anew so that no value is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column)
+        if held and held[-1].column(column)[-1] != values[0]:
+            yield _one(held)
+            held = []
+        last = pc.index(values, values[-1]).as_py()
+        if last:  # what stands before the last run is whole
+            yield _one([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bits set at the low ends of the hashes, as 64-bit words; at most bits / 64 rows reach the driver."""
+    slot = F.col(column).bitwiseAND(bits - 1)
+    rows = hashes.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = rows.toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    a = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)
+    return (words[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1) != 0
+
+
 def join_texts_lower(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """``join_texts`` with A-Z lower-cased."""
     from .bytehash import LOWER, join_texts

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, powers, row_hashes, slice_hashes, words_of
-from .common import discard, materialise, text_groups
+from .common import bitmap, discard, in_bitmap, materialise, text_groups
 
 LENGTH = 35
 GRAM = 8
@@ -97,21 +97,6 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             yield pa.RecordBatch.from_arrays([pa.array(p["anchor"]), pa.array(p["content"]), part.column("key").take(pa.array(p["text"]))], names=["anchor", "content", "key"])
 
 
-def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bits set at the low ends of the hashes, as 64-bit words; at most bits / 64 rows reach the driver."""
-    slot = F.col(column).bitwiseAND(bits - 1)
-    rows = hashes.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    got = rows.toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return words.view(np.uint64)
-
-
-def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    a = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)
-    return (words[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1) != 0
-
-
 PIECE = "anchor long, content long, key long, first int, windows int, hot boolean, words array<long>"
 
 

@@ -346,8 +346,22 @@ def near_copies(seed, bases, n, words):
 def test_jaccard_components_equal_brute_force(spark, seed, bases, n, words, frequent):
     texts = near_copies(seed, bases, n, words)
     df = docs_of(spark, texts).repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(df, frequent=frequent).collect()}
-    assert got == components_by_hand(texts, 4, 85)
+    want = components_by_hand(texts, 4, 85)
+    # as it is; with small blocks, so that each key and candidate is dealt over many cells, and tokens counted ahead
+    for how in ({}, {"block": 7, "link_block": 5, "ahead_from": 5}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(df, frequent=frequent, **how).collect()}
+        assert got == want
+
+
+def test_jaccard_with_repeated_rows_and_false_owners(spark, monkeypatch):
+    texts = near_copies(7, 4, 12, [40, 90])
+    df = docs_of(spark, texts)
+    want = components_by_hand(texts, 4, 85)
+    many = df.unionByName(df).unionByName(df.where("doc_id % 2 = 0")).repartition(6)
+    monkeypatch.setattr(jaccard, "OWNER_BITS", 1 << 6)  # every row passes for an owner
+    got = jaccard.link_documents(many).collect()
+    assert len(got) == many.count()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, n, c) for i, (n, c) in want.items()}
 
 
 def test_keep_one_of_each_group(spark):
@@ -372,7 +386,8 @@ def test_sketches_never_rule_out_too_much():
         a = rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64)
         b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 200), dtype=np.uint64)])
         if len(b):
-            assert jaccard.sketch_distance(jaccard.parity_sketch(a), jaccard.parity_sketch(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+            x, y = (np.frombuffer(jaccard.parity_sketch(t), np.uint64) for t in (a, b))
+            assert jaccard.sketch_distances(x, y[None])[0] <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 # ---------------------------------------------------------------- 7 language ID
