@@ -52,7 +52,7 @@ BUCKET_TOKENS = 1 << 19
 #: Widest bitmap of owner rows. A false hit only costs work: sets are told apart again where tokens are counted.
 OWNER_BITS = 1 << 28
 #: Sets in a block of an index key (compared by sketch) and of a candidate component (compared by tokens).
-BLOCK = 256
+BLOCK = 512
 LINK_BLOCK = 128
 BLOCK_BYTES = 4 << 20
 SALTS = 8
