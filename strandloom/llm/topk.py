@@ -11,9 +11,10 @@ exact while every partial sum stays below 2**53; where sizes don't guarantee tha
 to Python integers. Scores outside the range of a long are held at its ends.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; vectors
-of different lengths don't meet; repeated ids are separate candidates, but never candidates of a
-query with their own id; a repeated query row gives its list once. Fewer candidates than k give a
-shorter list. Null ids take no part. Empty tables give an empty result.
+of different lengths don't meet; rows that repeat an id are separate candidates and, with different vectors, separate
+queries, each of which has the others as candidates (only its own row is left out: the list is one longer at first, and one
+entry with the query's id and its product with itself goes); rows equal in id and vector give one list. Fewer candidates than
+k give a shorter list. Null ids take no part. Empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,14 +58,14 @@ def exact_topk(
     """
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, id_col, vec_col, scale)
-    queries = rows.where(F.col("id") % query_every == 0).dropDuplicates(["id"])
+    queries = rows.where(F.col("id") % query_every == 0).distinct()
     parts = []
-    tiles = _tiles(queries.sort(F.size("v"), "id").toLocalIterator(), tile_bytes)
+    tiles = _tiles(queries.sort(F.size("v"), "id", "v").toLocalIterator(), tile_bytes)
     tile = next(tiles, None)
     while tile is not None:
         shared = spark.sparkContext.broadcast(tile)
-        found = rows.mapInArrow(lambda it, shared=shared: _partial(it, shared.value, k), "query_id long, part long, best array<struct<s:long,id:long>>")
-        merged = _merge(found, k, rows.rdd.getNumPartitions())
+        found = rows.mapInArrow(lambda it, shared=shared: _partial(it, shared.value, k + 1), "number long, query_id long, own long, part long, best array<struct<s:long,id:long>>")
+        merged = _without_own(_merge(found, k + 1, rows.rdd.getNumPartitions()), k)
         tile = next(tiles, None)
         if parts or tile is not None:
             merged = materialise(merged, "topk")
@@ -80,6 +81,12 @@ def exact_topk(
     )
 
 
+def _without_own(lists: DataFrame, k: int) -> DataFrame:
+    """(query_id, best): the k best but the query's own row, which is one of those with its id and its product with itself."""
+    own = F.array_position("best", F.struct(F.col("own").alias("s"), F.col("query_id").alias("id")))
+    return lists.withColumn("at", own).select("query_id", F.slice(F.filter("best", lambda _, i: i + 1 != F.col("at")), 1, k).alias("best"))
+
+
 def _tiles(rows, tile_bytes: int):
     """Lists of (ids, matrix), one for each vector length, of ``tile_bytes`` in all at most."""
     tile, ids, vecs, held = [], [], [], 0
@@ -112,34 +119,34 @@ def _scores(q: np.ndarray, m: np.ndarray) -> np.ndarray | None:
     return q @ m.T
 
 
-def _select(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+def exact_product(a: np.ndarray, b: np.ndarray) -> int:
+    return min(max(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), LONG[0]), LONG[1])
+
+
+def _select(q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
     """Per query the k best (inverted score, id) of one shard; ``ids`` ascend."""
     s = _scores(q, m)
     if s is None:
-        out = []
-        for i in range(len(qid)):
-            exact = [(-1 - min(max(sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True)), LONG[0]), LONG[1]), int(j)) for row, j in zip(m, ids, strict=True) if j != qid[i]]
-            out.append(sorted(exact)[:k])
-        return out
+        return [sorted((-1 - exact_product(x, row), int(j)) for row, j in zip(m, ids, strict=True))[:k] for x in q]
     n = len(ids)
-    own = np.searchsorted(ids, qid)
-    own_end = np.searchsorted(ids, qid, side="right")
-    for i in np.flatnonzero(own < own_end):
-        s[i, own[i] : own_end[i]] = -np.inf
     if n > k:
         # (score, position) as one number where it is exact; else a full stable sort
-        if np.abs(s[np.isfinite(s)]).max(initial=0) < 2.0**52 / n:
+        if np.abs(s).max(initial=0) < 2.0**52 / n:
             pick = np.argpartition(-(s * n - np.arange(n)), k - 1, axis=1)[:, :k]
         else:
             pick = np.argsort(-s, axis=1, kind="stable")[:, :k]
     else:
-        pick = np.broadcast_to(np.arange(n), (len(qid), n))
+        pick = np.broadcast_to(np.arange(n), (len(q), n))
     got, who = np.take_along_axis(s, pick, 1), ids[pick]
-    return [[(-1 - int(a), int(b)) for a, b in zip(x, y, strict=True) if a != -np.inf] for x, y in zip(got, who, strict=True)]
+    return [[(-1 - int(a), int(b)) for a, b in zip(x, y, strict=True)] for x, y in zip(got, who, strict=True)]
 
 
 def _partial(batches: Iterator[pa.RecordBatch], tile, k: int) -> Iterator[pa.RecordBatch]:
-    by_len = {m.shape[1]: (ids, m) for ids, m in tile}
+    """The k best of this partition for each query of the tile; queries are numbered over the tile."""
+    by_len, about = {}, []
+    for ids, m in tile:
+        by_len[m.shape[1]] = (len(about), m)
+        about += [(int(i), -1 - exact_product(v, v)) for i, v in zip(ids, m, strict=True)]
     best: dict[int, list] = {}
     for batch in batches:
         for lo in range(0, batch.num_rows, SHARD_ROWS):
@@ -153,24 +160,22 @@ def _partial(batches: Iterator[pa.RecordBatch], tile, k: int) -> Iterator[pa.Rec
                 ids = shard.column("id").take(take).to_numpy()
                 m = vec.take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), n)
                 order = np.argsort(ids, kind="stable")
-                qid, q = by_len[n]
+                first, q = by_len[n]
                 ids, m = ids[order], m[order]
-                for at in range(0, len(qid), QUERY_ROWS):
-                    some = qid[at : at + QUERY_ROWS]
-                    for who, new in zip(some.tolist(), _select(some, q[at : at + QUERY_ROWS], ids, m, k), strict=True):
-                        if new:
-                            best[who] = sorted(best.get(who, []) + new)[:k]
+                for at in range(0, len(q), QUERY_ROWS):
+                    for who, new in enumerate(_select(q[at : at + QUERY_ROWS], ids, m, k), first + at):
+                        best[who] = sorted(best.get(who, []) + new)[:k]
     part = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_pydict(
-        {"query_id": pa.array(list(best), pa.int64()), "part": pa.array([part] * len(best), pa.int64()), "best": pa.array([[{"s": a, "id": b} for a, b in x] for x in best.values()], pa.list_(pa.struct([("s", pa.int64()), ("id", pa.int64())])))}
-    )
+    cols = {"number": list(best), "query_id": [about[w][0] for w in best], "own": [about[w][1] for w in best], "part": [part] * len(best)}
+    lists = pa.array([[{"s": a, "id": b} for a, b in x] for x in best.values()], pa.list_(pa.struct([("s", pa.int64()), ("id", pa.int64())])))
+    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols.values()), lists], names=[*cols, "best"])
 
 
 def _merge(lists: DataFrame, k: int, parts: int) -> DataFrame:
     """Merge per-partition lists, at most FAN_IN at a time, into one list for each query."""
     while True:
         last = parts <= FAN_IN
-        keys = ["query_id"] if last else ["query_id", F.expr(f"part div {FAN_IN}").alias("part")]
+        keys = ["number", "query_id", "own"] + ([] if last else [F.expr(f"part div {FAN_IN}").alias("part")])
         lists = lists.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
         if last:
             return lists
