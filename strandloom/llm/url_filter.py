@@ -7,9 +7,9 @@ Rows are sorted by key inside their own partition (no exchange is needed, so a h
 of all rows stays spread out), and the sorted rules are swept alongside. A stack holds the nested
 intervals that contain the present key; each stack entry keeps the path rules of its host.
 
-Rules are read in sorted blocks of ``block_rules`` rules; only one block is broadcast at a time
-(bounded: ``block_rules`` rows of at most ``MAX_RULE_CHARS`` characters), and the best match so far
-travels with the row from block to block. Any number of rules therefore works.
+Rules are read in sorted blocks of ``block_rules`` rules and ``BLOCK_CHARS`` characters at most; one block is broadcast at a
+time. The best match so far travels with the row, and is written to the shared folder before the next block is broadcast, so any
+number of rules works in bounded memory.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule.
 Rules with a null or empty host never fit; a null path counts as empty. The longest rule
@@ -21,16 +21,16 @@ columns of the pages are read, so extra columns cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, discard, materialise
 
 MAX_RULE_CHARS = 4096
 BLOCK_RULES = 50_000
+BLOCK_CHARS = 8 << 20
 
 
 def split_url(url):
@@ -95,7 +95,7 @@ def url_verdicts(
     rows = base.select("id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("key", F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", "[.]")), "."), F.lit("."))))
     rows = rows.withColumns({"n": F.lit(-1), "hn": F.lit(-1), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    rows = rows.sortWithinPartitions("key")
+    rows = before = rows.sortWithinPartitions("key")
     schema = rows.schema
 
     kept = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> '' and verdict is not null").distinct()
@@ -103,12 +103,32 @@ def url_verdicts(
     if long:
         raise ValueError(f"a rule is longer than {MAX_RULE_CHARS} characters")
     ordered = kept.sort(F.array_join(F.reverse(F.split("host", "[.]")), "."), "path").toLocalIterator()
-    while block := list(islice(ordered, block_rules)):
-        shared = spark.sparkContext.broadcast([(host_key(r["host"]).encode(), r["host"], r["path"], r["verdict"]) for r in block])
+    shared = None
+    for block in _blocks(ordered, block_rules):
+        if shared is not None:  # the block before has done its work once its rows are written
+            done = materialise(rows, "urls")
+            discard(before)
+            shared.unpersist()
+            before = done
+            rows = done.sortWithinPartitions("key")
+        shared = spark.sparkContext.broadcast(block)
         rows = rows.mapInArrow(lambda it, shared=shared: _judge(it, shared.value), schema)
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
 
 
+def _blocks(rules, block_rules: int) -> Iterator[list[tuple[bytes, str, str, str]]]:
+    block, chars = [], 0
+    for r in rules:
+        size = len(r["host"]) + len(r["path"])
+        if block and (len(block) >= block_rules or chars + size > BLOCK_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append((host_key(r["host"]).encode(), r["host"], r["path"], r["verdict"]))
+        chars += size
+    if block:
+        yield block
+
+
 def _judge(batches: Iterator[pa.RecordBatch], rules) -> Iterator[pa.RecordBatch]:
     sweep = _Sweep(rules)
     for batch in batches:
