@@ -5,30 +5,33 @@ form that many tools hand over). ``normalise`` takes such monolithic files: it i
 stream once, in bounded chunks, rewrites each record as a gzip member of its own, and writes a
 sidecar index (one JSON line a record: offset and length of the member, type, record id, uri). ``read_archives``
 uses the index alone to find the members. All files lie in a shared folder and are reached through
-``pyarrow.fs``, so executors need no common disk. A file is written under a temporary name and moved when
-complete; a task that runs again writes the same name again, so a lost executor leaves no half file.
+``pyarrow.fs``, so executors need no common disk. Each attempt at a task writes files of names of its own, and only the names that
+a successful task returns are read, so a lost executor or a second attempt leaves nothing half-written in use. Monolithic files go
+when all of them are normalised; archives and indexes stay, as they are the product.
 
 Records with equal payloads of at least ``MIN_SHARED`` bytes: the one with the smallest page id is a
 ``response``; the others are ``revisit`` records, which name it and keep the HTTP header (with the
 payload's length) but not the payload. Smaller payloads are always responses. Digests and the smallest
-page id come from DataFrame aggregation, so a payload shared by a third of all pages is pre-aggregated.
+page id come from DataFrame aggregation, so a payload shared by a third of all pages is pre-aggregated. Where several rows have that
+smallest page id, one of them (the smallest url) is the response.
 
 Defined cases: null html is an empty payload; a null page id makes a record of its own (never the
-target of a revisit) and comes back as null; rows that repeat a page id are separate records, of
-which all but one carry a revisit to that id; an empty table gives no archive and no rows.
+target of a revisit) and comes back as null; rows that repeat a page id are separate records, and of those with one payload of
+at least ``MIN_SHARED`` bytes all but one are revisits; an empty table gives no archive and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch_path
@@ -46,11 +49,22 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def plan_records(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     """(page_id, url, html, digest, n, kind, refers_to): one row for each row of ``pages``."""
     body = F.coalesce(F.col("html"), F.lit(""))
+    columns = ["page_id", "url", "html", "digest", "n", "kind", "refers_to"]
     rows = pages.select("page_id", "url", "html").withColumns({"digest": F.sha2(body.cast("binary"), 256), "n": F.octet_length(body).cast("long")})
-    first = rows.where((F.col("n") >= min_shared) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("d"), "first")
+    first = rows.where((F.col("n") >= min_shared) & F.col("page_id").isNotNull()).groupBy("digest", "page_id").agg(F.count("*").alias("c"))
+    first = first.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.sum("c").alias("copies"), F.min_by("c", "page_id").alias("tied")).where("copies > 1")
+    first = materialise(first.select("d", "first", "tied"), "first-pages")
     rows = rows.join(first, F.col("digest") == F.col("d"), "left").drop("d")
-    again = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
-    return rows.withColumns({"kind": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("first")
+    revisit = lambda again: {"kind": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}
+    plain = rows.withColumns(revisit(F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))))
+    if first.where("tied > 1").isEmpty():
+        return plain.select(*columns)
+    # rows that share the smallest page id are counted by url, and one of the first url is the response
+    ties = (F.col("tied") > 1) & (F.col("page_id") == F.col("first"))
+    equal = rows.where(ties).groupBy("digest", "page_id", "url", "n", "first").agg(F.first("html").alias("html"), F.count("*").alias("c"))
+    order = Window.partitionBy("digest").orderBy(F.asc_nulls_last("url"))
+    equal = equal.withColumn("place", F.row_number().over(order)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    return plain.where(~F.coalesce(ties, F.lit(False))).select(*columns).unionByName(equal.withColumns(revisit((F.col("place") > 1) | (F.col("i") > 1))).select(*columns))
 
 
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to, n: int) -> bytes:
@@ -108,13 +122,13 @@ def inflate(stream, chunk: int = CHUNK) -> Iterator[bytes]:
 
 
 def _put(system: pafs.FileSystem, path: str, write) -> None:
-    """Write under a temporary name of this attempt, then move into place."""
-    own = f"{path}.tmp-{TaskContext.get().taskAttemptId()}" if TaskContext.get() else f"{path}.tmp"
-    with system.open_output_stream(own, compression=None) as out:
+    with system.open_output_stream(path, compression=None) as out:
         write(out)
-    if system.get_file_info(path).type == pafs.FileType.File:  # left by an earlier attempt
-        system.delete_file(path)
-    system.move(own, path)
+
+
+def _attempt() -> str:
+    """A name that no other attempt at this task has."""
+    return f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
 
 
 def write_archives(pages: DataFrame, folder: str, *, min_shared: int = MIN_SHARED) -> DataFrame:
@@ -128,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_shared: int = MIN_SHARE
             return
         system, root = open_fs(folder)
         system.create_dir(root, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"part-{_attempt()}.warc.gz"
         count = 0
 
         def write(out):
@@ -150,19 +164,14 @@ def write_archives(pages: DataFrame, folder: str, *, min_shared: int = MIN_SHARE
 
 
 def normalise(files: DataFrame, folder: str, *, remove: bool = True) -> DataFrame:
-    """Rewrite every named archive member by member, with a sidecar index; returns (name, records).
-
-    A name whose normalised form is there already is left as it is, so a task may run again after the
-    monolithic file has been removed.
-    """
+    """Rewrite every named archive member by member, with a sidecar index; returns (name) of the new archives, materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = open_fs(folder)
         for batch in batches:
             for name in batch.column("name").to_pylist():
-                source, target = f"{root}/{name}", f"{root}/members-{name}"
-                if system.get_file_info(source).type == pafs.FileType.NotFound and system.get_file_info(f"{target}.idx").type == pafs.FileType.File:
-                    continue
+                source, own = f"{root}/{name}", f"members-{_attempt()}-{name}"
+                target = f"{root}/{own}"
                 index: list[bytes] = []
 
                 def write(out, source=source, index=index):
@@ -181,13 +190,14 @@ def normalise(files: DataFrame, folder: str, *, remove: bool = True) -> DataFram
 
                 _put(system, target, write)
                 _put(system, f"{target}.idx", lambda out, index=index: out.write(b"".join(index)))
-                if remove:
-                    system.delete_file(source)
-        yield from ()
+                yield pa.RecordBatch.from_pydict({"name": [own]})
 
-    done = files.repartition(max(1, files.rdd.getNumPartitions()), "name").mapInArrow(run, "name string")
-    materialise(done, "warc-normalised")
-    return files
+    done = materialise(files.repartition(max(1, files.rdd.getNumPartitions()), "name").mapInArrow(run, "name string"), "warc-normalised")
+    if remove:  # only now: until all new names are written down, a task may have to read its source again
+        system, root = open_fs(folder)
+        for r in files.select("name").toLocalIterator():  # one row a partition
+            system.delete_file(f"{root}/{r['name']}")
+    return done
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -205,7 +215,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 out = []
-                with system.open_input_stream(f"{root}/members-{name}.idx", compression=None) as idx, system.open_input_file(f"{root}/members-{name}") as data:
+                with system.open_input_stream(f"{root}/{name}.idx", compression=None) as idx, system.open_input_file(f"{root}/{name}") as data:
                     for line in _lines(idx):
                         entry = json.loads(line)
                         data.seek(entry["offset"])
