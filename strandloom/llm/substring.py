@@ -8,7 +8,7 @@ proportion to the square of the corpus, so the shards are formed first by conten
    windows have equal anchors, so they can only meet in one shard. Windows in a row that share an anchor make a piece of at most
    2 * length - GRAM words. Pieces are counted by (anchor, content) before any shuffle, so
    a passage with thousands of copies is one counted row.
-2. Three bitmaps of fixed size (``BITMAP_BITS`` each) are broadcast: anchors that come back, owners (one
+2. Three bitmaps of bounded size (``BITMAP_BITS`` each at most) are broadcast: anchors that come back, owners (one
    occurrence of each content, which sends its words), and very popular anchors. A second pass over the texts sends on
    only pieces that pass. A false hit costs a row and is dropped by the exact joins.
 3. The distinct pieces of an anchor, with how often each occurs, form a reference shard. A suffix automaton over word
@@ -42,7 +42,8 @@ from .common import bitmap, discard, in_bitmap, materialise, text_groups
 
 LENGTH = 35
 GRAM = 8
-BITMAP_BITS = 1 << 26
+#: Widest bitmap; narrower ones are made for fewer entries. A false hit costs a row and is dropped by the exact joins.
+BITMAP_BITS = 1 << 28
 MAX_CONTENTS = 200
 SHARD_WORDS = 40_000
 
@@ -262,6 +263,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     contents = materialise(counted.join(anchors, "anchor"), "contents")
     discard(counted)
     several = contents.where("contents > 1")
+    bits = min(bits, 1 << max(16, (32 * contents.count()).bit_length()))
     maps = (bitmap(contents, "anchor", bits), bitmap(several.select(F.expr("anchor ^ content ^ owner").alias("h")), "h", bits), bitmap(several.where(F.col("contents") > max_contents), "anchor", bits))
     shared = spark.sparkContext.broadcast(maps)
     pieces = materialise(texts.mapInArrow(lambda it: _piece_rows(it, shared.value, length, gram), PIECE), "pieces")
@@ -283,7 +285,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     parts = pieces.select("anchor", "content", "key", "first", "windows").join(found, ["anchor", "content"])
     all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
     shifted = F.transform(F.coalesce("spans", all_of_it), lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first") + F.lit(length - 1)).alias("b")))
-    return parts.select("key", shifted.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # rows equal in id and text send the same spans: a set of them is as large as one row's own, however many rows there are
+    return parts.select("key", shifted.alias("spans")).groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def keep_mask(n: int, spans) -> np.ndarray:
