@@ -7,9 +7,9 @@ trained together by full-batch Adam in numpy. A document is read in passages of
 that overlap by half, and its score is that of its worst passage, so length doesn't thin out an
 insult; every word of every text is read.
 
-Training rows: at most ``MAX_PER_CLASS`` labelled documents a class, lowest hash of the id first; the
-bias is then set for the best F1 on at most ``MAX_CALIBRATE`` further labelled documents. Each of the
-two samples stops at ``MAX_TRAIN_BYTES`` of text (all three are parameters); only whole texts are used,
+Training rows: at most ``MAX_PER_CLASS`` labelled documents a class, lowest hash of the id first. The bias is set for the best F1, at
+every size alike: one in ``CALIBRATE_EVERY`` labelled documents (by hash) is set aside, a second model is trained without them, and its best
+threshold on at most ``MAX_CALIBRATE`` of them is taken over. No sample takes more than ``MAX_TRAIN_BYTES`` of text (all four are parameters); only whole texts are used,
 and never a row of the held-out fold (crc32 of the id as text, modulo 5, is 0). Label, language, source and id are
 no inputs of a score.
 
@@ -40,6 +40,7 @@ MIN_DOCS = 5
 DECAY = 6e-5
 MAX_PER_CLASS = 800
 MAX_CALIBRATE = 4000
+CALIBRATE_EVERY = 4
 MAX_TRAIN_BYTES = 48 << 20
 #: Bias of a model without training rows.
 UNTRAINED = -1e6
@@ -167,20 +168,26 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def _read(docs: DataFrame, picked: DataFrame, max_bytes: int) -> tuple[list[str], np.ndarray]:
-    """Whole texts of the picked ids (a bounded number) in hash order, up to ``max_bytes``."""
+    """Whole texts of the picked ids (a bounded number) in hash order; a text that would go beyond ``max_bytes`` is left out.
+
+    Of rows with one id the text with the smallest hash counts.
+    """
     texts, marks, held = [], [], 0
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    for r in rows.orderBy("h", "doc_id").toLocalIterator():
-        held += len(r["text"].encode())
-        if held > max_bytes and texts:
-            break
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").withColumn("t", F.xxhash64("text"))
+    last = None
+    for r in rows.orderBy("h", "doc_id", "t").toLocalIterator():
+        size = len(r["text"].encode())
+        if r["doc_id"] == last or (held + size > max_bytes and texts):
+            continue
+        last = r["doc_id"]
+        held += size
         texts.append(r["text"])
         marks.append(r["toxic"])
     return texts, np.array(marks, np.int64)
 
 
 def best_bias(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold on worst-passage logits with the best F1 (middle of the gap it falls in)."""
+    """The threshold on worst-passage logits with the best F1 (middle of the gap it falls in); 0 without both labels."""
     if not len(labels) or labels.min() == labels.max():
         return 0.0
     order = np.argsort(-scores, kind="stable")
@@ -193,18 +200,18 @@ def best_bias(scores: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CLASS, max_calibrate: int = MAX_CALIBRATE, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     marks = labelled(labels)
-    picked = None
-    for label in (0, 1):  # a bounded number of ids for each class: a top-n, not a full sort
-        some = marks.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(max_per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    model = fit(*_read(docs, picked, max_bytes))
-    if model.bias > UNTRAINED:
-        rest = marks.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti").orderBy("h", "doc_id").limit(max_calibrate)
-        texts, truth = _read(docs, rest, max_bytes)
-        if len(truth) >= 200 and truth.sum() >= 20:
-            table = WordTable(model.word_logits)
-            logits = np.concatenate([model.logits(texts[i : i + 200], table) for i in range(0, len(texts), 200)])
-            model.bias -= best_bias(logits, truth)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(CALIBRATE_EVERY)) == 0
+
+    def fitted(rows: DataFrame) -> Model:
+        some = [rows.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(max_per_class) for label in (0, 1)]  # a top-n a class, not a full sort
+        return fit(*_read(docs, some[0].unionByName(some[1]), max_bytes))
+
+    model, part = fitted(marks), fitted(marks.where(~aside))
+    if part.bias > UNTRAINED:
+        texts, truth = _read(docs, marks.where(aside).orderBy("h", "doc_id").limit(max_calibrate), max_bytes)
+        table = WordTable(part.word_logits)
+        logits = np.concatenate([np.zeros(0), *(part.logits(texts[i : i + 200], table) for i in range(0, len(texts), 200))])
+        model.bias -= best_bias(logits, truth)
     return model
 
 
