@@ -14,6 +14,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
+#: Entries of the tables of powers that a worker keeps.
+KEPT = 1 << 22
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Byte classes of white space: space and the five control characters from tab to carriage return.
@@ -25,7 +27,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, at least."""
+    """The first n powers of the base and of its inverse, at least; tables of over ``KEPT`` entries live only as long as they are used."""
     held = _powers.get(lane)
     if held is None or len(held[0]) < n:
         size = 1 << max(16, n.bit_length())
@@ -35,7 +37,9 @@ def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
                 p = np.full(size, b, np.uint64)
                 p[0] = 1
                 held.append(np.multiply.accumulate(p))
-        _powers[lane] = held = tuple(held)
+        held = tuple(held)
+        if size <= KEPT:
+            _powers[lane] = held
     return held
 
 

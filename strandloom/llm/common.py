@@ -23,8 +23,10 @@ GROUP_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session; one is made only where none is configured (tests)."""
+    """The shared folder of this session; a local session without one gets its own, on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="strandloom-", dir=None)
         spark.conf.set("spark.checkpoint.dir", root)

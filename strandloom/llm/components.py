@@ -2,7 +2,8 @@
 
 Every step groups the edges of a node, takes the smallest neighbour (pre-aggregated), and joins it
 back, so a node with a huge neighbourhood is never gathered in one place. Each round is written to the
-shared folder, which ends its lineage.
+shared folder, which ends its lineage. The number of rounds grows with the logarithm of a component's size; after ``max_rounds`` of them
+an error is raised, so no unfinished result is returned.
 """
 
 from __future__ import annotations

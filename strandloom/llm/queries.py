@@ -18,10 +18,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
-def op1_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.boilerplate_report(table(spark, sf_dir, "documents"))
-
-
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
 
@@ -61,16 +57,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op1_boilerplate_lines, op2_exact_topk, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_language_id, op8_warc, op9_substring_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_language_id, op8_warc, op9_substring_dedup, op10_decontamination)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_exact_topk": """
-with fine as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+with fine as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from (select * from fine where vec_id % 50 = 0) q join fine c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+asked as (select vec_id, v, min(r) as r from fine where vec_id % 50 = 0 group by vec_id, v),
+scored as (select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from asked q join fine c on q.r <> c.r and len(q.v) = len(c.v)),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
 """,
     "op3_url_filters": f"""
@@ -93,9 +90,8 @@ join (select reach.r, min(d.doc_id) as component_id from reach join words d on d
 """.replace("\\\\", "\\"),
     "op8_warc": """
 with body as (select page_id, coalesce(html, '') as b from pages),
-rows as (select page_id, octet_length(encode(b))::bigint as payload_bytes, sha256(b) as payload_digest, min(page_id) over (partition by b) as first from body)
-select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 100 and page_id <> first then first end as refers_to from rows
+rows as (select page_id, octet_length(encode(b))::bigint as payload_bytes, sha256(b) as payload_digest, min(page_id) over (partition by b) as first, octet_length(encode(b)) >= 100 and page_id is not null and row_number() over (partition by b order by page_id nulls last) > 1 as again from body)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to from rows
 """,
     "op9_substring_dedup": """
 with texts as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandloom.llm import bytehash, components, decontaminate, jaccard, langid, line_dedup, packing, queries, substring, topk, toxicity, url_filter, warc
@@ -83,46 +84,93 @@ def test_components_equal_union_find(spark):
 # ---------------------------------------------------------------- 1 line dedup
 
 
-def templates_by_hand(texts, min_docs, share):
-    blank = r"[ \t\r\f\x0B]+"
-    docs = [[tuple(("<*>" if re.search("[0-9]", t) else t) for t in re.split(blank, line) if t) for line in x.split("\n")] for x in texts]
-    seen = {}
-    for lines in docs:
-        once = {}
-        for i, t in enumerate(lines):
-            if t and t not in once:
-                once[t] = (lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None)
-        for t, c in once.items():
-            seen.setdefault(t, []).append(c)
-    often = {t for t, c in seen.items() if len(c) >= min_docs and len(set(c)) >= share * len(c)}
-    return [[i for i, t in enumerate(lines) if t in often] for lines in docs], often
-
-
-def test_line_dedup_drops_recurring_templates(spark):
+def dropped_by_hand(texts, min_docs=line_dedup.MIN_DOCS):
+    """Places of the lines that go, by the stated rule, in plain Python."""
+    h60 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    lead, segs = line_dedup.LEADING, line_dedup.SEGMENTS
+    pieces = {}
+
+    def cuts(n):
+        if n not in pieces:
+            m = max(n - lead, 0)
+            pieces[n] = [(j, j + 1) for j in range(lead) if j < n] + [(lead + m * j // segs, lead + m * (j + 1) // segs) for j in range(segs)]
+        return pieces[n]
+
+    def patterns(t):
+        yield (t, None)
+        for lo, hi in cuts(len(t)):
+            if hi > lo and len(t) - (hi - lo) >= line_dedup.LITERALS:
+                yield (t[:lo] + ("",) + t[hi:], (len(t), lo))
+
+    docs = {x: [tuple("<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\r\f\x0B]+", line) if t) for line in x.split("\n")] for x in texts if x is not None}
+    members = {}
+    for x, lines in docs.items():
+        own = set()
+        for t in lines:
+            if t:
+                own.add(h60(" ".join(t)))
+                own |= {h60(" ".join(t[lo:hi])) for lo, hi in cuts(len(t))[lead:]} if len(t) >= line_dedup.SKETCH_TOKENS else set()
+        if own:
+            low = [min(h ^ c for h in own) for c in line_dedup.orders()]
+            members[h60(x)] = [(b, tuple(low[b * line_dedup.ROWS : (b + 1) * line_dedup.ROWS])) for b in range(line_dedup.BANDS)]
+    cls = {x: x for x in members}
+    for _ in range(2):
+        low = {}
+        for x, bands in members.items():
+            for b in bands:
+                low.setdefault(b, []).append(cls[x])
+        cls = {x: min([cls[x]] + [min(low[b]) for b in bands if len(low[b]) > 1]) for x, bands in members.items()}
+    held = {}
+    for x, lines in docs.items():
+        for t in filter(None, lines):
+            for p in patterns(t):
+                held.setdefault(p, set()).add(cls[h60(x)])
+    return [[i for i, t in enumerate(docs[x]) if t and any(len(held[p]) >= min_docs for p in patterns(t))] if x is not None else [] for x in texts]
+
+
+def without(text, gone):
+    return None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in set(gone))
+
+
+def test_line_dedup_equals_brute_force(spark, real):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
-    texts = []
-    for i in range(40):
-        lines = [" ".join(word() for _ in range(6)) for _ in range(3)]
-        if i % 2:
-            lines.insert(rng.randrange(4), f"user {i} logged in at 10:{i:02d}")
+    texts = [None, "", "\n \n"]
+    for i in range(60):
+        lines = [" ".join(word() for _ in range(rng.choice([1, 2, 3, 6, 20]))) for _ in range(rng.randrange(1, 9))]
+        for extra in (f"user {i} logged in at 10:{i:02d}", f"shared by {word()} on the forum", f"{word()} says", " ".join(["a"] * 15 + [word()] + ["b"] * 5)):
+            if rng.random() < 0.4:
+                lines.insert(rng.randrange(len(lines) + 1), extra)
         texts.append("\n".join(lines))
-    copy = "\n".join(["same text", "in every copy", "of one document"])
-    texts += [copy + f"\nnumber {i}x" if i else copy for i in range(12)]
-    want, _ = templates_by_hand(texts, 8, 0.5)
-    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, texts)).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in want[i])
-    assert all("logged" not in t for t in got.values()) and got[45].startswith(copy)
-
-
-def test_line_dedup_generalises_one_varying_field(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    line = "session opened for user {} from the main gate by the guard on duty"
-    texts = [f"{word()} {word()}\n{line.format('root')}\n{word()}" for _ in range(10)] + [f"{word()}\n{line.format(word())}\n{word()} {word()}" for _ in range(3)] + [f"{word()}\nsession opened " + " ".join(word() for _ in range(11))]
+    base = [" ".join(word() for _ in range(18)) for _ in range(12)]
+    for _ in range(25):  # near copies
+        lines = list(base)
+        for _ in range(rng.randrange(3)):
+            lines[rng.randrange(12)] = " ".join(word() for _ in range(9))
+        texts.append("\n".join(lines))
+    texts += texts[-3:] + real["text"].tolist()
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, texts).repartition(3)).collect()}
+    want = dropped_by_hand(texts)
+    assert got == {i: without(t, gone) for i, (t, gone) in enumerate(zip(texts, want, strict=True))}
+    assert sum(map(len, want)) > 60
+
+
+def test_recurring_blocks_and_fields_go_from_every_document(spark):
+    """Planted lines of 200 documents each: a three-line footer, a menu of eight lines, and lines whose one field is never the same."""
+    rng = random.Random(34)
+    name = lambda: "".join(rng.choice("aeioubdgklmnrst") for _ in range(7))
+    body = lambda: " ".join(name() for _ in range(rng.randrange(5, 12)))
+    footer = ["all rights reserved by the owner", "do not copy", "see the terms of use for more"]
+    menu = [f"{w} page" for w in ("home", "news", "about us", "contact", "help", "legal", "jobs", "search the")]
+    texts, keep = [], []
+    for i in range(800):
+        own = [body() for _ in range(8)]
+        kind = i % 4
+        planted = [footer, menu, [f"session opened for user {name()} from the main gate by the guard on duty"], [f"shared by {name()} on the forum"]][kind]
+        texts.append("\n".join([*own, *planted] if kind == 0 else [*own[:4], *planted, *own[4:]]))
+        keep.append("\n".join(own))
     got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, texts)).collect()}
-    assert all("session" not in got[i] for i in range(13)) and got[13] == texts[13]
+    assert [got[i] for i in range(800)] == keep
 
 
 def prose(rng, lines):
@@ -136,7 +184,7 @@ def test_boilerplate_is_not_hidden_by_copies(spark):
     for i in range(10, 60):  # near copies: one line of their own
         texts[i][rng.choice([0, 6])] = prose(rng, 1)[0]
     texts += [[*prose(rng, 3), "all rights reserved", *prose(rng, 3)] for _ in range(12)]
-    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, ["\n".join(t) for t in texts])).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, ["\n".join(t) for t in texts])).collect()}
     for i, t in enumerate(texts):
         assert got[i] == "\n".join(x for x in t if x != "all rights reserved")
 
@@ -148,7 +196,7 @@ def test_boilerplate_blocks_go_whole(spark):
     for i in range(30):
         own = prose(rng, 12)
         texts.append("\n\n".join([*own[:6], *block, *own[6:]]) if i % 2 else "\n".join([*own, *block]))
-    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         assert got[i] == "\n".join(x for x in t.split("\n") if x not in block)
 
@@ -160,7 +208,7 @@ def test_boilerplate_generalises_without_a_literal_copy(spark, line):
     for _ in range(20):
         own = prose(rng, 6)
         texts.append("\n".join([*own[:3], line.format("".join(rng.choice("ghijk") for _ in range(8))), *own[3:]]))
-    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         own = t.split("\n")
         assert got[i] == "\n".join(own[:3] + own[4:])
@@ -172,13 +220,13 @@ def test_boilerplate_generalises_without_a_literal_copy(spark, line):
 def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8]) for i in range(130)]
-    rows += [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (204, [1.0] * 3), (250, [0.5] * 3), (None, [1.0] * 4), (300, [3e30] * 4), (7, [0.25] * 4)]
+    rows += [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (204, [1.0] * 3), (250, [0.5] * 3), (None, [1.0] * 4), (300, [3e30] * 4), (7, [0.25] * 4), (50, [0.5, 0.5, -0.5, 0.5]), (50, [0.5, 0.5, -0.5, 0.5]), (100, [0.25] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(37)
     fine = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
-    for q, v in fine:
+    for at, (q, v) in enumerate(fine):
         if q % 50 == 0:
-            hits = sorted((-max(min(sum(a * b for a, b in zip(v, w)), 2**63 - 1), -(2**63)), i) for i, w in fine if i != q and len(w) == len(v))[:5]
+            hits = sorted((-max(min(sum(a * b for a, b in zip(v, w)), 2**63 - 1), -(2**63)), i) for j, (i, w) in enumerate(fine) if j != at and len(w) == len(v))[:5]
             want |= {(q, r, i, -s) for r, (s, i) in enumerate(hits, 1)}
     got = {tuple(r) for r in topk.exact_topk(df).collect()}
     assert {x[:3] for x in got} == {x[:3] for x in want}
@@ -253,7 +301,8 @@ def test_plan_holds_the_histogram_exactly():
     for trial in range(12):
         window = rng.choice([10, 50, 200])
         h = Counter(rng.randrange(1, window + 1) for _ in range(rng.choice([1, 30, 4000])))
-        plan = packing.solve(dict(h), window)
+        plan, bound = packing.solve(dict(h), window)
+        assert sum(t for t, _ in plan) >= bound - 1e-6
         held = Counter()
         for times, config in plan:
             assert times > 0 and sum(config) <= window
@@ -268,6 +317,43 @@ def test_plan_holds_the_histogram_exactly():
         assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spots, spots[1:]))
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(900, 2048, 200_000), (1100, 1900, 3000), (1300, 1450, 10_000), (300, 4096, 5000)])
+def test_plan_of_hard_histograms(low, high, n):
+    """Within 1 % and one window of the dual bound, and never more than plain best fit."""
+    values, counts = np.unique(np.random.default_rng(1).integers(low, high, n), return_counts=True)
+    plan, bound = packing.solve(dict(zip(values.tolist(), counts.tolist(), strict=True)))
+    windows = sum(t for t, _ in plan)
+    assert bound <= windows <= 1.01 * bound + 1
+    assert windows <= sum(t for t, _ in packing._best_fit([], values, counts, 4096))
+
+
+def test_small_plans_against_the_optimum():
+    def least(sizes, window):
+        best = len(sizes)
+
+        def put(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(sizes):
+                best = len(rooms)
+                return
+            for j, room in enumerate(rooms):
+                if room >= sizes[i] and room not in rooms[:j]:
+                    put(i + 1, [*rooms[:j], room - sizes[i], *rooms[j + 1 :]])
+            put(i + 1, [*rooms, window - sizes[i]])
+
+        put(0, [])
+        return best
+
+    rng = random.Random(8)
+    for _ in range(12):
+        sizes = sorted((rng.randrange(15, 70) for _ in range(rng.randrange(3, 10))), reverse=True)
+        plan, bound = packing.solve(dict(Counter(sizes)), 100)
+        optimum = least(sizes, 100)
+        assert bound - 1e-6 <= optimum <= sum(t for t, _ in plan) <= optimum + 1
+
+
 # ---------------------------------------------------------------- 5 toxicity
 
 
@@ -275,7 +361,7 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     got = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     truth, pred = got["toxic"] == 1, got["predicted"] == 1
-    # measured with the 320 toxic training rows of this size; 2,000 give 98 % and under 1 %
+    # measured at this size, with 352 toxic training rows: 76 of 97 found, 37 of 728 false (check tables: 98 % and under 1 %)
     assert (truth & pred).sum() >= 0.75 * truth.sum() and (~truth & pred).sum() <= 0.06 * (~truth).sum()
     assert got["score"].between(0, 1).all()
 
@@ -415,15 +501,53 @@ def test_language_edges_and_spans(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
-def test_viterbi_equals_plain_dynamic_program():
+def best_path_value(r, penalty):
+    best = r[0].astype(float)
+    for t in range(1, len(r)):
+        best = np.maximum(best, best.max() - penalty) + r[t]
+    return best.max()
+
+
+def path_value(r, labels, penalty):
+    return float(sum(r[t, k] for t, k in enumerate(labels)) - penalty * (np.diff(labels) != 0).sum())
+
+
+@pytest.mark.parametrize("penalty", [4.0, 12.0])
+def test_viterbi_equals_plain_dynamic_program(penalty):
     rng = np.random.default_rng(10)
     rows = [rng.normal(0, 3, (n, 3)).astype(np.float32) for n in (1, 2, 7, 40, 40, 13)]
-    for r, labels in zip(rows, langid.label_words(rows, 3, 4.0), strict=True):
-        best = [(float(r[0, k]), [k]) for k in range(3)]
-        for t in range(1, len(r)):
-            best = [max((best[j][0] - 4.0 * (j != k) + float(r[t, k]), best[j][1] + [k]) for j in range(3)) for k in range(3)]
-        score = float(sum(r[t, k] for t, k in enumerate(labels)) - 4.0 * (np.diff(labels) != 0).sum())
-        assert score == pytest.approx(max(b[0] for b in best), abs=1e-3)
+    for _ in range(150):  # texts of several languages: stretches in which one label is a little or much better
+        n, k = int(rng.integers(2, 40)), int(rng.integers(2, 5))
+        r = rng.normal(0, 0.5, (n, k))
+        for _ in range(int(rng.integers(1, 5))):
+            a, b = sorted(rng.integers(0, n + 1, 2))
+            r[a:b, rng.integers(0, k)] += rng.uniform(0.2, 3)
+        rows.append(r.astype(np.float32))
+    rows.append(np.array([[-1, 0, -9]] * 10 + [[0, -1, -9]] * 10, np.float32))
+    for r, labels in zip(rows, langid.label_words(rows, penalty), strict=True):
+        assert path_value(r, labels, penalty) == pytest.approx(best_path_value(r, penalty), abs=1e-3)
+        chunks = np.array_split(r, max(1, len(r) // 7))
+        assert path_value(r, langid.label_chunks(iter(chunks), penalty), penalty) == pytest.approx(best_path_value(r, penalty), abs=1e-3)
+
+
+def test_long_texts_are_labelled_like_short_ones(spark, monkeypatch):
+    rng = random.Random(14)
+    en, de = "the house and of with that there which".split(), "das haus und nicht schön über straße welche".split()
+    docs = [(f"{' '.join(rng.choice(ws) for _ in range(30))}", lang) for _ in range(40) for ws, lang in ((en, "en"), (de, "de"))]
+    model = langid.fit(iter(docs))
+    texts = [" ".join(rng.choice(ws) for ws in (en, de, en) for _ in range(n)) for n in (3, 40, 200)] + ["", None, "12 !!"]
+    want = langid.Reader(model, 12.0).read(texts)
+    monkeypatch.setattr(langid, "LONG_TEXT", 0)
+    reader = langid.Reader(model, 12.0)
+    reader.words = 17
+    assert reader.read(texts) == want and len(want[2][2]) == 3
+
+
+def test_scripts_narrow_the_candidates():
+    allowed = np.array([[1, 0, 0], [1, 1, 0], [0, 1, 0]], bool)
+    assert langid.candidates(allowed, np.array([0])).tolist() == [0, 1] and langid.candidates(allowed, np.array([1])).tolist() == [1, 2]
+    assert langid.candidates(allowed, np.array([2])).tolist() == [0, 1, 2] == langid.candidates(allowed, np.array([], int)).tolist()
+    assert langid.candidates(allowed, np.array([0, 2])).tolist() == [0, 1]
 
 
 # ---------------------------------------------------------------- 8 WARC
@@ -445,6 +569,10 @@ def test_warc_round_trip(spark):
         again = len(b) >= 100 and first[b] != p
         assert got[p, hashlib.sha256(b).hexdigest()] == (len(b), "revisit" if again else "response", first[b] if again else None)
     assert got[None, hashlib.sha256(b"b" * 100).hexdigest()][1] == "response"
+    ties = spark.createDataFrame([(5, "b", "z" * 200), (5, "a", "z" * 200), (5, "a", "z" * 200), (7, "c", "z" * 200), (5, "d", "y" * 99), (5, "d", "y" * 99)], "page_id long, url string, html string")
+    folder = warc.archive_folder(spark)
+    got = Counter((r.page_id, r.uri, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.normalise(warc.write_archives(ties, folder), folder), folder).collect())
+    assert got == Counter({(5, "a", 200, "response", None): 1, (5, "a", 200, "revisit", 5): 1, (5, "b", 200, "revisit", 5): 1, (7, "c", 200, "revisit", 5): 1, (5, "d", 99, "response", None): 2})
     empty = warc.archive_folder(spark)
     assert warc.read_archives(warc.normalise(warc.write_archives(pages.limit(0), empty), empty), empty).count() == 0
 
@@ -485,6 +613,16 @@ def test_substring_dedup_equals_brute_force(spark, max_contents):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_many_equal_rows_send_their_spans_once(spark):
+    rng = random.Random(15)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(300))
+    df = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(docs_of(spark, ["other words " * 40, text + " tail"], first=2).select("doc_id", "text"))
+    spans = substring.repeated_spans(df).collect()
+    assert max(len(r.spans) for r in spans) < 300
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect())
+    assert got == Counter({(1, 300, 300): 10_000, (2, 80, 80): 1, (3, 301, 300): 1})
+
+
 def test_automaton_counts_equal_plain_counts():
     rng = random.Random(12)
     for _ in range(200):
@@ -538,6 +676,9 @@ def test_decontamination_equals_brute_force(spark):
     for block in (20_000, 3):
         got = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.benchmark_hits(df, bench, block_items=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    twins = spark.createDataFrame([(7, items[0]), (7, items[1] + " and some more words to make it longer")], "item_id long, text string")
+    both = docs_of(spark, [items[0], items[1] + " and some more words to make it longer"])
+    assert {(r.doc_id, r.budget) for r in decontaminate.benchmark_hits(both, twins).collect()} == {(0, len(items[0]) // 10), (1, (len(items[1]) + 39) // 10)}
     clean = decontaminate.clean_rows(df, bench)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _, _ in want}
     assert decontaminate.benchmark_hits(df.limit(0), bench).count() == 0 and decontaminate.benchmark_hits(df, bench.limit(0)).count() == 0
@@ -581,10 +722,8 @@ def test_pipeline_stages_take_effect(spark):
         elif name == "line dedup":
             assert set(after) == set(before)
             order = sorted(before)
-            want, _ = templates_by_hand([before[i] or "" for i in order], line_dedup.MIN_DOCS, line_dedup.CONTEXT_SHARE)
-            for i, gone in zip(order, want, strict=True):
-                kept = [x for j, x in enumerate((before[i] or "").split("\n")) if j not in gone]
-                assert set((after[i] or "").split("\n")) <= set(kept) | {""}
+            want = dropped_by_hand([before[i] for i in order])
+            assert after == {i: without(before[i], gone) for i, gone in zip(order, want, strict=True)}
         elif name == "n-gram jaccard join":
             order = sorted(before)
             want = components_by_hand([before[i] for i in order], 5, 80)
