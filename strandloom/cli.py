@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from .operators import sinks
 from .plans.graph import Graph
 from .sources import readers
 
+log = logging.getLogger("strandloom")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandloom", description=__doc__)
@@ -38,6 +42,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-graphviz")
     p.add_argument("--output-overlaps")
     p.add_argument("--output-graph-statistics", action="store_true")
+    p.add_argument("--output-memory-breakdown", metavar="FILE", help="rows and bytes of each table of the graph")
+    p.add_argument("--output-sequences-parts", metavar="FOLDER", help="A2M as a folder of text files, written by all executors")
+    p.add_argument("--verbose", action="store_true")
+    p.add_argument("--show-invocation", action="store_true")
     p.add_argument("--ref-mismatch-handling", choices=["warning", "error"], default="warning")
     chosen = p.add_mutually_exclusive_group()
     chosen.add_argument("--include-samples")
@@ -62,14 +70,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p = parser()
     a = p.parse_args(argv)
     check(a, p)
+    logging.basicConfig(stream=sys.stderr, format="%(asctime)s %(message)s")
+    log.setLevel(logging.INFO if a.verbose else logging.WARNING)
+    if a.show_invocation:
+        print("Invocation:", " ".join(sys.argv if argv is None else ["strandloom", *argv]), file=sys.stderr)
     spark = spark or SparkSession.builder.appName("strandloom").getOrCreate()
     if a.input_graph:
-        chrom = a.chromosome or "1"
+        saved = Graph.saved_chromosomes(spark, a.input_graph)
+        if a.chromosome is None and len(saved) != 1:
+            p.error(f"--chromosome is needed: the graph has {', '.join(saved)}")
+        if a.chromosome is not None and a.chromosome not in saved:
+            p.error(f"the graph has no chromosome {a.chromosome}")
+        chrom = a.chromosome or saved[0]
         graph = Graph.load(spark, a.input_graph, readers.read_fasta(spark, a.input_reference, chrom, record=a.reference_sequence))
     else:
         graph = Graph.from_files(
             spark, a.input_reference, a.input_variants, a.chromosome, record=a.reference_sequence, include=a.include_samples, exclude=a.exclude_samples, on_mismatch="error" if a.ref_mismatch_handling == "error" else "warn"
         )
+        log.info("handled records: %s, of other chromosomes: %s, with another REF: %s", *(graph.stats.get(k) for k in ("handled", "chrom_mismatches", "ref_mismatches")))
+        for r in graph.copies.orderBy("copy").toLocalIterator() if a.verbose and (a.include_samples or a.exclude_samples) else ():
+            log.info("sample %s, chromosome copy %s", r["name"], r["copy_idx"])
+        if not a.output_overlaps:
+            for r in sinks.overlap_sentences(graph.overlap_report()).orderBy("LINENO", "SAMPLE", "CHROM_COPY").toLocalIterator():
+                print(r["line"])
     if a.output_graph:
         graph.save(a.output_graph)
     if a.output_graphviz:
@@ -79,23 +102,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.output_graph_statistics:
         for r in graph.statistics().toLocalIterator():
             print(f"chromosome {r['chrom']}: {r['nodes']} nodes, {r['alt_edges']} ALT edges, {r['copies']} chromosome copies")
+    if a.output_memory_breakdown:
+        with open(a.output_memory_breakdown, "w") as out:
+            out.writelines(f"{r['part']}\t{r['rows']}\t{r['bytes']}\n" for r in graph.sizes().collect())
     how = {"aligned": not a.unaligned, "reference": not a.omit_reference, "chromosome": a.dst_chromosome}
     if a.haplotypes:
         msa = graph.haplotypes(**how)
     elif a.founder_sequences:
         if a.input_cut_positions:
-            cuts = spark.read.json(a.input_cut_positions, schema="chrom string, cut_idx int, node long, score long, min_distance long")
+            cuts = graph.load_cuts(a.input_cut_positions)
         else:
             cuts = graph.cut_positions(a.minimum_distance or 0)
         top = cuts.agg(F.max("score")).first()[0]
         print(f"Maximum segmentation height: {'-' if top is None else top + 1}")
         if a.output_cut_positions:
             cuts.write.mode("overwrite").json(a.output_cut_positions)
-        msa = graph.founder_rows(cuts, graph.match(cuts, a.founder_sequences, keep_ref=a.keep_ref_edges), **how)
+        matched = graph.match(cuts, a.founder_sequences, keep_ref=a.keep_ref_edges)
+        for r in cuts.orderBy("chrom", "cut_idx").toLocalIterator() if a.verbose else ():
+            log.info("cut %s at node %s", r["cut_idx"], r["node"])
+        for r in matched.orderBy("chrom", "block", "founder").toLocalIterator() if a.verbose else ():
+            log.info("block %s, founder %s: %s", r["block"], r["founder"] + 1, "REF" if r["copy"] is None else f"copy {r['copy']}")
+        msa = graph.founder_rows(cuts, matched, **how)
     else:
         return
     if a.output_sequences_a2m:
         sinks.write_a2m(msa, a.output_sequences_a2m, a.pipe)
+    if a.output_sequences_parts:
+        sinks.write_a2m_parts(msa, a.output_sequences_parts)
     if a.output_sequences_separate:
         sinks.write_separate(msa, a.output_sequences_separate, chromosome=a.dst_chromosome, a2m=a.separate_output_format == "A2M", aligned=not a.unaligned, command=a.pipe).count()
 

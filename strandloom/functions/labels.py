@@ -19,15 +19,18 @@ def abbreviated(label: Column, limit: int = 20, edge: int = 10) -> Column:
     return F.when(n > limit, F.concat(F.substring(label, 1, edge), F.lit("…"), F.expr(f"right(label, {edge})"), F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(label)
 
 
-def haplotype_id(sample: Column, copy_in_sample: Column, chromosome: str | None = None) -> Column:
-    """FASTA id of a haplotype: [chromosome TAB] sample-copy, copies counted from 1."""
-    name = F.concat_ws("-", sample, (copy_in_sample + 1).cast("string"))
-    return F.concat_ws("\t", F.lit(chromosome), name) if chromosome else name
+def sequence_id(name: Column, chromosome: Column | None = None) -> Column:
+    """FASTA id of a sequence: [chromosome TAB] name."""
+    return name if chromosome is None else F.concat_ws("\t", chromosome, name)
 
 
-def founder_id(number: Column, chromosome: str | None = None) -> Column:
-    name = (number + 1).cast("string")
-    return F.concat_ws("\t", F.lit(chromosome), name) if chromosome else name
+def haplotype_name(sample: Column, copy_in_sample: Column) -> Column:
+    """sample-copy, copies counted from 1."""
+    return F.concat_ws("-", sample, (copy_in_sample + 1).cast("string"))
+
+
+def founder_name(number: Column) -> Column:
+    return (number + 1).cast("string")
 
 
 def file_name(parts: list[str], *, chromosome: str | None, a2m: bool, aligned: bool) -> str:

@@ -1,7 +1,7 @@
 """Intermediate tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
 A table that several later steps read is written once; its lineage ends at the files, so a lost executor costs a
-re-read and plans stay small. The folder is made here only where the session names none, as in tests.
+re-read and plans stay small. Where the session names none, a local session gets one of its own; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import prefix_scan
+
 
 def chosen_genotypes(genotypes: DataFrame, names: DataFrame, listed: DataFrame | None, *, exclude: bool = False) -> DataFrame:
     """Genotypes of the copies that a sample list names, or of all others."""
@@ -56,10 +58,10 @@ def taken_edges(paths: DataFrame) -> DataFrame:
 
     Only stretches of overlapping edges depend on each other; each is folded on its own.
     """
-    own = Window.partitionBy("chrom", "copy").orderBy("src", "edge")
-    far = F.max("dst").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    rows = paths.withColumn("opens", F.coalesce(far <= F.col("src"), F.lit(True)).cast("long"))
-    rows = rows.withColumn("island", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    by, order, bucket = ["chrom", "copy"], ["src", "edge"], F.expr("src div 65536")
+    rows = prefix_scan(paths.select("chrom", "copy", "edge", "src", "dst"), by, order, bucket, [("far", "max", F.col("dst"))], inclusive=False)
+    rows = rows.withColumn("opens", F.coalesce(F.col("far") <= F.col("src"), F.lit(True)).cast("long"))
+    rows = prefix_scan(rows, by, order, bucket, [("island", "sum", F.col("opens"))])
     groups = rows.groupBy("chrom", "copy", "island").agg(F.sort_array(F.collect_list(F.struct("src", "edge", "dst"))).alias("g"))
     start = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<long>").alias("kept"))
     step = lambda a, e: F.when(e["src"] >= a["end"], F.struct(e["dst"].alias("end"), F.concat(a["kept"], F.array(e["edge"])).alias("kept"))).otherwise(a)

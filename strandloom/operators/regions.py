@@ -23,7 +23,28 @@ def extract_regions(bed: DataFrame, nodes: DataFrame, msa: DataFrame, *, bubbles
     ``msa`` has (chrom, seq_id, chunk_no, aln, text). A start past the reference gives no row. The start's chunk gives the rank of
     the first wanted character among the non-gap ones; the rest is an interval join on ranks, by buckets.
     """
-    starts = region_starts(bed, nodes, bubbles=bubbles, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no")
+    return _extracted(region_starts(bed, nodes, bubbles=bubbles, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
+
+
+def starts_in_text(bed: DataFrame, aligned: DataFrame, *, bucket: int = 1 << 12) -> DataFrame:
+    """``bed`` with aln_start and chunk_no, from the aligned reference's own text: (chrom, chunk_no, aln, text).
+
+    A start is the rank of a non-gap character; running counts over the chunks find its chunk, by buckets of ranks.
+    """
+    rows = aligned.withColumn("g", F.length(F.replace("text", F.lit("-"), F.lit(""))).cast("long"))
+    rows = prefix_scan(rows, ["chrom"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False).where("g > 0")
+    rows = rows.withColumn("b", F.explode(F.sequence(F.expr(f"g0 div {bucket}"), F.expr(f"(g0 + g - 1) div {bucket}"))))
+    hits = bed.withColumn("b", F.expr(f"start div {bucket}")).join(rows, ["chrom", "b"]).where("start >= g0 and start < g0 + g")
+    filled = F.expr("filter(sequence(0, length(text) - 1), i -> substring(text, i + 1, 1) <> '-')")
+    return hits.select(*bed.columns, (F.col("aln") + F.get(filled, (F.col("start") - F.col("g0")).cast("int"))).alias("aln_start"), "chunk_no")
+
+
+def extract_by_text(bed: DataFrame, aligned: DataFrame, msa: DataFrame, *, bucket: int = 1 << 12) -> DataFrame:
+    """``extract_regions`` for alignments read from files: ``aligned`` is the aligned reference, cut at the same places as ``msa``."""
+    return _extracted(starts_in_text(bed, aligned, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
+
+
+def _extracted(starts: DataFrame, msa: DataFrame, bucket: int) -> DataFrame:
     bare = F.replace(F.col("text"), F.lit("-"), F.lit(""))
     rows = msa.withColumn("bare", bare).withColumn("g", F.length("bare").cast("long"))
     rows = prefix_scan(rows, ["chrom", "seq_id"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False)

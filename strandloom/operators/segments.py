@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import prefix_scan
+
 
 def cut_candidates(marked: DataFrame, counts: DataFrame) -> DataFrame:
     """(chrom, node, first_edge, aln_pos): bridges, the first of those with the same first edge."""
@@ -20,11 +22,17 @@ def cut_candidates(marked: DataFrame, counts: DataFrame) -> DataFrame:
     return first.select("chrom", "n.node", "first_edge", "n.aln_pos")
 
 
-def block_of_edges(edges: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(chrom, edge, block): the block between neighbouring cuts that holds the edge; no edge crosses a cut."""
-    own = Window.partitionBy("chrom").orderBy("node")
-    spans = cuts.withColumns({"block": F.row_number().over(own) - 1, "end": F.lead("node").over(own)}).where("end is not null")
-    return edges.select("chrom", "edge", "src").join(spans.select("chrom", F.col("node").alias("lo"), "end", "block"), "chrom").where("src >= lo and src < end").select("chrom", "edge", "block")
+def block_of_edges(edges: DataFrame, cuts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(chrom, edge, block): the block between neighbouring cuts that holds the edge; no edge crosses a cut.
+
+    A running count of the cuts over the nodes gives each node its block, and the edge's start is an equi-join.
+    """
+    marks = cuts.select("chrom", "node").distinct().withColumn("cut", F.lit(1).cast("long"))
+    at = nodes.select("chrom", "node").join(marks, ["chrom", "node"], "left")
+    at = prefix_scan(at, ["chrom"], ["node"], F.expr("node div 65536"), [("seen", "sum", F.coalesce("cut", F.lit(0).cast("long")))])
+    last = marks.groupBy("chrom").agg(F.count("*").alias("cuts"))
+    rows = edges.select("chrom", "edge", F.col("src").alias("node")).join(at.select("chrom", "node", "seen"), ["chrom", "node"]).join(F.broadcast(last), "chrom")
+    return rows.where("seen > 0 and seen < cuts").select("chrom", "edge", (F.col("seen") - 1).cast("int").alias("block"))
 
 
 def block_signatures(paths: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -60,25 +68,24 @@ class PrefixSort:
 
     def add(self, edge: int, carriers: np.ndarray) -> None:
         bit = carriers[self.order]
-        # a copy matches the last copy with its own bit since the latest start in between
         since = []
         for value in (False, True):
-            top, out = edge + 1, []
-            for b, s in zip(bit.tolist(), self.since.tolist(), strict=True):
-                top = max(top, s)
-                if b == value:
-                    out.append(top)
-                    top = 0
-            since += out
+            # a copy matches the last copy with its own bit since the latest start in between
+            at = np.flatnonzero(bit == value)
+            if len(at):
+                latest = np.maximum.reduceat(self.since[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+                latest[0] = max(latest[0], edge + 1)
+                since.append(latest)
         self.order = np.concatenate([self.order[~bit], self.order[bit]])
-        self.since = np.array(since, np.int64)
+        self.since = np.concatenate(since)
 
-    def classes_since(self, edge: int) -> int:
-        """Number of distinct carried sets among the edges from ``edge`` on."""
-        return 1 + int((self.since[1:] > edge).sum())
+    def classes_since(self, edge) -> np.ndarray:
+        """Number of distinct carried sets among the edges from ``edge`` on (one number, or an array of them)."""
+        starts = np.sort(self.since[1:])
+        return 1 + len(starts) - np.searchsorted(starts, edge, side="right")
 
 
-def best_cuts(nodes: list[int], first_edge: list[int], aln: list[int], sink: int, n_edges: int, carriers: dict[int, list[int]], copies: int, distance: int) -> tuple[list[int], int | None]:
+def best_cuts(nodes: list[int], first_edge: list[int], aln: list[int], sink: int, n_edges: int, carriers: dict[int, np.ndarray], copies: int, distance: int) -> tuple[list[int], int | None]:
     """(cut nodes, score) of the segmentation whose largest number of classes is least.
 
     A block ends at candidate j and starts at candidate i; only the leftmost i of each number of classes counts, and
@@ -86,9 +93,10 @@ def best_cuts(nodes: list[int], first_edge: list[int], aln: list[int], sink: int
     """
     if len(nodes) <= 1 or copies == 0:
         return [], None
-    starts = np.array(first_edge)
+    starts, places = np.array(first_edge), np.array(aln)
     sort = PrefixSort(copies)
-    score, prev = [0] + [copies] * (len(nodes) - 1), [-1] * len(nodes)
+    score, prev = np.full(len(nodes), copies), np.full(len(nodes), -1)
+    score[0] = 0
     done = 0
     for j in range(1, len(nodes)):
         for e in range(done, first_edge[j]):
@@ -96,45 +104,46 @@ def best_cuts(nodes: list[int], first_edge: list[int], aln: list[int], sink: int
             row[carriers.get(e, [])] = True
             sort.add(e, row)
         done = first_edge[j]
-        seen = -1
-        for value in np.unique(sort.since[1:])[::-1].tolist() + [0]:
-            i = int(np.searchsorted(starts[:j], value))
-            if i >= j or i == seen:
-                continue
-            seen = i
-            height = sort.classes_since(first_edge[i])
-            if aln[j] - aln[i] >= distance and max(height, score[i]) < score[j]:
-                score[j], prev[j] = max(height, score[i]), i
+        # a number of classes holds back to the leftmost candidate at or after the start where it changes
+        i = np.searchsorted(starts[:j], np.append(np.unique(sort.since[1:])[::-1], 0))
+        i = i[(i < j) & (np.append(-1, i[:-1]) != i)]
+        i = i[places[j] - places[i] >= distance]
+        if len(i):
+            best = np.maximum(sort.classes_since(starts[i]), score[i])
+            k = int(best.argmin())
+            if best[k] < score[j]:
+                score[j], prev[j] = best[k], i[k]
     out, at = [], len(nodes) - 1
     while at >= 0:
         out.append(nodes[at])
-        at = prev[at]
+        at = int(prev[at])
     if out[-1] != 0:
         out.append(0)
     out.reverse()
     out[-1] = sink
-    return out, score[-1]
+    return out, int(score[-1])
 
 
 def cut_positions(candidates: DataFrame, paths: DataFrame, copies: DataFrame, nodes: DataFrame, edges: DataFrame, min_distance: int = 0) -> DataFrame:
     """(chrom, cut_idx, node, score, min_distance), one chromosome a task.
 
-    Only (edge, copy) pairs and candidates go into a task: the walk along a chromosome is sequential.
+    Only candidates and one list of copies for each edge go into a task: the walk along a chromosome is sequential.
     """
     size = copies.groupBy("chrom").agg(F.count("*").alias("copies"))
     sink = nodes.groupBy("chrom").agg(F.max("node").alias("sink"))
     n_edges = edges.groupBy("chrom").agg(F.count("*").alias("n_edges"))
-    meta = sink.join(size, "chrom", "left").join(n_edges, "chrom", "left").select("chrom", F.lit("m").alias("kind"), F.col("sink").alias("a"), F.coalesce("copies", F.lit(0)).cast("long").alias("b"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("c"))
-    rows = meta.unionByName(candidates.select("chrom", F.lit("n").alias("kind"), F.col("node").alias("a"), F.col("first_edge").cast("long").alias("b"), F.col("aln_pos").alias("c")))
-    rows = rows.unionByName(paths.select("chrom", F.lit("p").alias("kind"), F.col("edge").alias("a"), F.col("copy").cast("long").alias("b"), F.lit(0).cast("long").alias("c")))
+    none = F.lit(None).cast("array<int>").alias("carriers")
+    meta = sink.join(size, "chrom", "left").join(n_edges, "chrom", "left").select("chrom", F.lit("m").alias("kind"), F.col("sink").alias("a"), F.coalesce("copies", F.lit(0)).cast("long").alias("b"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("c"), none)
+    rows = meta.unionByName(candidates.select("chrom", F.lit("n").alias("kind"), F.col("node").alias("a"), F.col("first_edge").cast("long").alias("b"), F.col("aln_pos").alias("c"), none))
+    held = paths.groupBy("chrom", "edge").agg(F.collect_set(F.col("copy").cast("int")).alias("carriers"))
+    rows = rows.unionByName(held.select("chrom", F.lit("p").alias("kind"), F.col("edge").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "carriers"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         chrom = pdf["chrom"].iloc[0]
         m = pdf[pdf["kind"] == "m"].iloc[0]
         n = pdf[pdf["kind"] == "n"].sort_values("a")
-        carriers: dict[int, list[int]] = {}
-        for e, c in pdf.loc[pdf["kind"] == "p", ["a", "b"]].drop_duplicates().itertuples(index=False):
-            carriers.setdefault(int(e), []).append(int(c))
+        p = pdf[pdf["kind"] == "p"]
+        carriers = dict(zip(p["a"].tolist(), p["carriers"].tolist(), strict=True))
         cuts, score = best_cuts(n["a"].tolist(), n["b"].tolist(), n["c"].tolist(), int(m["a"]), int(m["c"]), carriers, int(m["b"]), min_distance)
         return pd.DataFrame({"chrom": [chrom] * len(cuts), "cut_idx": range(len(cuts)), "node": cuts, "score": [score] * len(cuts), "min_distance": [min_distance] * len(cuts)})
 

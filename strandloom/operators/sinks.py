@@ -1,9 +1,16 @@
-"""Writers: A2M in one file or one a sequence, through a pipe, Graphviz, overlap tables, saved graphs."""
+"""Writers: A2M in one file, in parts or one file a sequence, through a pipe, Graphviz, overlap tables.
+
+Sequences are told apart by (chrom, seq_no). Files take their names only when they are complete, so a second attempt
+at a task, or a reader, never meets a half-written one (a command that a sequence is piped to names its file itself).
+"""
 
 from __future__ import annotations
 
+import os
 import subprocess
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,39 +19,63 @@ from pyspark.sql import functions as F
 from ..functions.labels import abbreviated, file_name
 
 
+@contextmanager
+def _whole(path: str):
+    """A text file that appears under its name when it is closed without an error."""
+    draft = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        with open(draft, "w") as out:
+            yield out
+        os.replace(draft, path)
+    finally:
+        Path(draft).unlink(missing_ok=True)
+
+
+@contextmanager
+def _piped(command: str, target: str):
+    run = subprocess.Popen([command, target], stdin=subprocess.PIPE, text=True)
+    try:
+        yield run.stdin
+    finally:
+        run.stdin.close()
+        code = run.wait()
+    if code:
+        raise RuntimeError(f"{command} {target} ended with {code}")
+
+
+def _opened(command: str | None, target: str):
+    return _piped(command, target) if command else _whole(target)
+
+
 def write_a2m(msa: DataFrame, path: str, command: str | None = None) -> None:
-    """One file: for each sequence ``>id``, its chunks and a line end, in (seq_no, chunk_no) order.
+    """One file: for each sequence ``>id``, its chunks and a line end, in (chrom, seq_no, chunk_no) order.
 
-    Chunks stream through the driver one partition at a time; with ``command`` they go to its standard input
-    (it is called with the file name), and a failing command is an error.
+    One file has one writer: chunks stream through the driver a partition at a time, which suits a few founders.
+    ``write_a2m_parts`` and ``write_separate`` are written by all executors. With ``command`` the text goes to its
+    standard input (it is called with the file name), and a failing command is an error.
     """
-    rows = msa.orderBy("seq_no", "chunk_no").select("seq_no", "seq_id", "text").toLocalIterator()
-    if command:
-        with subprocess.Popen([command, path], stdin=subprocess.PIPE) as run:
-            _stream(rows, lambda s: run.stdin.write(s.encode()))
-            run.stdin.close()
-        if run.returncode:
-            raise RuntimeError(f"{command} {path} ended with {run.returncode}")
-        return
-    with open(path, "w") as out:
-        _stream(rows, out.write)
-
-
-def _stream(rows, put) -> None:
     now = None
-    for r in rows:
-        if r["seq_no"] != now:
-            if now is not None:
-                put("\n")
-            put(f">{r['seq_id']}\n")
-            now = r["seq_no"]
-        put(r["text"])
-    if now is not None:
-        put("\n")
+    with _opened(command, path) as out:
+        for r in msa.orderBy("chrom", "seq_no", "chunk_no").select("chrom", "seq_no", "seq_id", "text").toLocalIterator():
+            if (r["chrom"], r["seq_no"]) != now:
+                out.write(("\n" if now else "") + f">{r['seq_id']}\n")
+                now = (r["chrom"], r["seq_no"])
+            out.write(r["text"])
+        out.write("\n" if now else "")
+
+
+def write_a2m_parts(msa: DataFrame, path: str) -> None:
+    """The same sequences as a folder of text files, in order: part files one after the other are one A2M file.
+
+    Lines end with each chunk. A sequence may go over several files, so nothing is as large as a sequence.
+    """
+    head = msa.groupBy("chrom", "seq_no").agg(F.concat(F.lit(">"), F.first("seq_id")).alias("value")).withColumn("chunk_no", F.lit(-1).cast("long"))
+    rows = head.unionByName(msa.select("chrom", "seq_no", F.col("text").alias("value"), F.col("chunk_no").cast("long")))
+    rows.repartitionByRange("chrom", "seq_no", "chunk_no").sortWithinPartitions("chrom", "seq_no", "chunk_no").select("value").write.text(path)
 
 
 def write_separate(msa: DataFrame, folder: str, *, chromosome: str | None = None, a2m: bool = True, aligned: bool = True, command: str | None = None) -> DataFrame:
-    """One file a sequence, written by the executors; the folder must be shared. Returns (file, sequences).
+    """One file a sequence, written by the executors; the folder must be shared. Returns (file), one row a sequence.
 
     ``msa`` has ``name``, an array of the parts of the file name. Plain files have no header line.
     """
@@ -52,48 +83,28 @@ def write_separate(msa: DataFrame, folder: str, *, chromosome: str | None = None
     def put(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        out, files, now = None, [], None
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.seq_no != now:
-                    if out:
-                        out.write("\n")
-                        _close(out)
-                    target = str(Path(folder) / file_name(list(r.name), chromosome=chromosome, a2m=a2m, aligned=aligned))
-                    out = _Pipe(command, target) if command else open(target, "w")  # noqa: SIM115
-                    if a2m:
-                        out.write(f">{r.seq_id}\n")
-                    files.append(target)
-                    now = r.seq_no
-                out.write(r.text)
-        if out:
-            out.write("\n")
-            _close(out)
+        out, now, files = None, None, []
+        with ExitStack() as stack:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    if (r.chrom, r.seq_no) != now:
+                        if out:
+                            out.write("\n")
+                            stack.close()
+                        files.append(str(Path(folder) / file_name(list(r.name), chromosome=chromosome, a2m=a2m, aligned=aligned)))
+                        out = stack.enter_context(_opened(command, files[-1]))
+                        out.write(f">{r.seq_id}\n" if a2m else "")
+                        now = (r.chrom, r.seq_no)
+                    out.write(r.text)
+            if out:
+                out.write("\n")
         yield pd.DataFrame({"file": files})
 
     Path(folder).mkdir(parents=True, exist_ok=True)
-    rows = msa.repartition("seq_no").sortWithinPartitions("seq_no", "chunk_no").select("seq_no", "seq_id", "name", "text")
+    rows = msa.repartition("chrom", "seq_no").sortWithinPartitions("chrom", "seq_no", "chunk_no").select("chrom", "seq_no", "seq_id", "name", "text")
     return rows.mapInPandas(put, "file string")
 
 
-class _Pipe:
-    def __init__(self, command: str, target: str):
-        self.run = subprocess.Popen([command, target], stdin=subprocess.PIPE)
-        self.what = f"{command} {target}"
-
-    def write(self, text: str) -> None:
-        self.run.stdin.write(text.encode())
-
-    def close(self) -> None:
-        self.run.stdin.close()
-        if self.run.wait():
-            raise RuntimeError(f"{self.what} ended with {self.run.returncode}")
-
-
-def _close(out) -> None:
-    out.close()
-
-
 def graphviz_lines(nodes: DataFrame, ref: DataFrame, edges: DataFrame) -> DataFrame:
     """(chrom, part, node, ord, line) of the node records, REF edges and ALT edges of a DOT file.
 
@@ -106,8 +117,10 @@ def graphviz_lines(nodes: DataFrame, ref: DataFrame, edges: DataFrame) -> DataFr
 
 
 def write_graphviz(lines: DataFrame, path: str) -> None:
-    """One DOT file, streamed in order."""
-    with open(path, "w") as out:
+    """One DOT file of one chromosome, streamed in order; node numbers of several would mix, so they are refused."""
+    if lines.select("chrom").distinct().limit(2).count() > 1:
+        raise ValueError("a DOT file holds one chromosome: filter the lines by chrom")
+    with _whole(path) as out:
         out.write("digraph variants\n{\n\trankdir = LR;\n\trank = same;\n")
         for r in lines.orderBy("part", "node", "ord").select("line").toLocalIterator():
             out.write(r["line"] + "\n")
@@ -117,3 +130,34 @@ def write_graphviz(lines: DataFrame, path: str) -> None:
 def write_overlaps(report: DataFrame, path: str) -> None:
     cols = ["LINENO", "POS", "ID", "SAMPLE", "CHROM_COPY", "GT"]
     report.select(*cols).sort("LINENO", "SAMPLE", "CHROM_COPY").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def overlap_sentences(report: DataFrame) -> DataFrame:
+    """(chrom, LINENO, line): the report as prose, for the standard output."""
+    text = "Overlapping alternative alleles. Line number: %d current variant position: %d variant identifiers: %s sample: %s chromosome copy: %d genotype: %d"
+    ids = F.array_join(F.split("ID", ","), ", ")
+    return report.select("chrom", "LINENO", "SAMPLE", "CHROM_COPY", F.format_string(text, "LINENO", "POS", ids, "SAMPLE", "CHROM_COPY", "GT").alias("line"))
+
+
+def write_regions(rows: DataFrame, folder: str) -> DataFrame:
+    """NAME.fa for each region of (name, seq_no, seq_id, text), written by the executors; a file that is there already is an error."""
+
+    def put(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        now, files = None, []
+        with ExitStack() as stack:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    if r.name != now:
+                        stack.close()
+                        files.append(str(Path(folder) / f"{r.name}.fa"))
+                        if Path(files[-1]).exists():
+                            raise FileExistsError(files[-1])
+                        out = stack.enter_context(_whole(files[-1]))
+                        now = r.name
+                    out.write(f">{r.seq_id}\n{r.text}\n")
+        yield pd.DataFrame({"file": files})
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    return rows.repartition("name").sortWithinPartitions("name", "seq_no").select("name", "seq_id", "text").mapInPandas(put, "file string")

@@ -38,7 +38,15 @@ def copy_chunks(copies: DataFrame, chunks: DataFrame, taken: DataFrame, edges: D
     steps = steps.join(at.select("chrom", F.col("node").alias("src"), F.col("aln_pos").alias("a")), ["chrom", "src"])
     steps = steps.join(at.select("chrom", F.col("node").alias("dst"), F.col("aln_pos").alias("b"), "chunk_no"), ["chrom", "dst"])
     own = steps.groupBy("chrom", "chunk_no", "copy").agg(F.sort_array(F.collect_list(F.struct("a", "b", "label"))).alias("steps"))
-    rows = copies.select("chrom", "copy").join(chunks, "chrom").join(own, ["chrom", "chunk_no", "copy"], "left")
+    own = own.groupBy("chrom", "chunk_no").agg(F.collect_list(F.struct(F.col("copy").cast("int").alias("copy"), "steps")).alias("own"))
+    # copies are numbered from 0, so their number per chromosome (one row each) names all of them; a chunk's text meets its
+    # copies inside the row and is not shuffled once for each
+    size = F.broadcast(copies.groupBy("chrom").agg(F.count_distinct("copy").cast("int").alias("size")))
+    rows = chunks.join(own, ["chrom", "chunk_no"], "left").join(size, "chrom")
+    held = F.coalesce("own", F.array().cast("array<struct<copy:int,steps:array<struct<a:bigint,b:bigint,label:string>>>>"))
+    free = F.array_except(F.sequence(F.lit(0), F.col("size") - 1), F.transform(held, lambda x: x["copy"]))
+    every = F.concat(held, F.transform(free, lambda c: F.struct(c.alias("copy"), F.lit(None).cast("array<struct<a:bigint,b:bigint,label:string>>").alias("steps"))))
+    rows = rows.withColumn("each", F.explode(every)).withColumns({"copy": F.col("each.copy"), "steps": F.col("each.steps")})
     if aligned:
         start = F.struct(F.col("aln").alias("at"), F.array().cast("array<string>").alias("out"))
         cut = lambda lo, hi: F.col("text").substr((lo - F.col("aln") + 1).cast("int"), (hi - lo).cast("int"))

@@ -5,10 +5,12 @@ orders give the records (chromosome = key mod 5), lineitem the carried alleles;
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialise
+from ..functions.storage import materialise, shared_root
 from ..operators import graph as g
 from ..operators import paths
 from .graph import Graph, build_tables
@@ -65,14 +67,86 @@ def sample_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroms.select("chrom", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("chrom", F.concat(F.lit("S"), F.col("i").cast("string")).alias("sample"), F.lit(0).alias("copy_idx"))
 
 
-_graphs: dict[tuple[str, str], Graph] = {}
+# ---------------------------------------------------------------- the same as files, for queries that read files
+
+LINE = 64
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the tables' files, so that a result kept for a folder is not used after a change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in ("orders", "lineitem"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        at = path.getFileSystem(conf).getFileStatus(path)
+        out.append((at.getLen(), at.getModificationTime()))
+    return (spark.sparkContext.applicationId, sf_dir, *out)
+
+
+_kept: dict[tuple, object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf_dir: str, make):
+    key = (kind, *_stamp(spark, sf_dir))
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what was kept of built graphs and files, so that the next query builds them anew."""
+    _kept.clear()
+
+
+def _text_file(lines: DataFrame, order: list[str], name: str) -> str:
+    path = f"{shared_root(lines.sparkSession)}/strandloom-{name}-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select("value").coalesce(1).write.text(path)
+    return path
+
+
+def fasta_file(spark: SparkSession, sf_dir: str) -> str:
+    """One FASTA file with a record for each chromosome: c0, c1 and so on."""
+
+    def make() -> str:
+        bases = reference(spark, sf_dir).select("chrom", F.col("start"), F.posexplode(F.expr(f"transform(sequence(0, (length(bases) - 1) div {LINE}), i -> substring(bases, i * {LINE} + 1, {LINE}))")).alias("i", "value"))
+        rows = bases.select("chrom", (F.col("start") + F.col("i") * LINE).alias("at"), "value")
+        heads = rows.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("at"), F.concat(F.lit(">c"), F.col("chrom").cast("string"), F.lit(" derived")).alias("value"))
+        return _text_file(heads.unionByName(rows), ["chrom", "at"], "fasta")
+
+    return _once("fasta", spark, sf_dir, make)
+
+
+def vcf_file(spark: SparkSession, sf_dir: str) -> str:
+    """One VCF file: records by chromosome, position and key; every seventh key has a further alternative of a kind that is not handled."""
+
+    def make() -> str:
+        calls = genotypes(spark, sf_dir).groupBy("chrom", "variant_idx").agg(F.map_from_entries(F.collect_list(F.struct((F.col("sample_idx") * COPIES + F.col("copy_idx")).alias("k"), "allele"))).alias("calls"))
+        of = lambda i, k: F.coalesce(F.try_element_at("calls", F.lit(i * COPIES + k)), F.lit(0)).cast("string")
+        columns = [F.concat_ws("|", *(of(i, k) for k in range(COPIES))) for i in range(SAMPLES)]
+        alts = F.concat(F.array_join(F.transform("alts", lambda a: a["text"]), ","), F.when(F.col("variant_idx") % 7 == 0, ",<CNV>").otherwise(""))
+        v = variants(spark, sf_dir).join(calls, ["chrom", "variant_idx"], "left")
+        line = F.concat_ws("\t", F.col("chrom").cast("string"), (F.col("pos") + 1).cast("string"), F.get("ids", F.lit(0)), "ref", alts, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), *columns)
+        rows = v.select(F.lit(2).alias("part"), "chrom", "pos", "variant_idx", line.alias("value"))
+        names_ = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"S{i}" for i in range(SAMPLES))])
+        zero = F.lit(0).cast("long")
+        head = spark.createDataFrame([(0, "##fileformat=VCFv4.3"), (1, names_)], "part int, value string").select("part", zero.alias("chrom"), zero.alias("pos"), zero.alias("variant_idx"), "value")
+        return _text_file(head.unionByName(rows), ["part", "chrom", "pos", "variant_idx"], "vcf")
+
+    return _once("vcf", spark, sf_dir, make)
+
+
+def sample_file(spark: SparkSession, sf_dir: str) -> str:
+    """The sample list as a TSV file."""
+    make = lambda: _text_file(sample_list(spark, sf_dir).select("chrom", "sample", F.concat_ws("\t", F.col("chrom").cast("string"), "sample", F.col("copy_idx").cast("string")).alias("value")), ["chrom", "sample"], "samples")
+    return _once("samples", spark, sf_dir, make)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of these tables, built once in a Spark application: its tables lie in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs:
+    """The graph of these tables, built once in a Spark application while they don't change: its tables lie in the shared folder."""
+
+    def make() -> Graph:
         v, ref, c = variants(spark, sf_dir), reference(spark, sf_dir), copies(spark, sf_dir)
         nodes, edges = build_tables(v, g.handled_alts(v), g.reference_lengths(ref))
-        _graphs[key] = Graph(ref, nodes, edges, materialise(paths.carried_edges(genotypes(spark, sf_dir), c, edges), "paths"), c, v, CHUNK)
-    return _graphs[key]
+        return Graph(ref, nodes, edges, materialise(paths.carried_edges(genotypes(spark, sf_dir), c, edges), "paths"), c, v, CHUNK)
+
+    return _once("graph", spark, sf_dir, make)

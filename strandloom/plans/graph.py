@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import founder_id, haplotype_id
+from ..functions.labels import founder_name, haplotype_name, sequence_id
 from ..functions.storage import materialise
 from ..operators import graph as g
 from ..operators import matching, paths, regions, segments, sinks, walk
 from ..sources import readers
 
 
+log = logging.getLogger("strandloom")
+
+
 def build_tables(variants: DataFrame, alts: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with bridges, bubbles and aligned positions, ALT edges); each is written once, as all later steps read them."""
     places = materialise(g.build_nodes(variants, alts, lengths), "nodes")
@@ -23,6 +27,14 @@ def build_tables(variants: DataFrame, alts: DataFrame, lengths: DataFrame) -> tu
     return materialise(g.align_nodes(marked, edges), "aligned"), edges
 
 
+def mismatch_line(r: Row) -> str:
+    return f"REF does not match the reference: chromosome {r['chrom']}, record {r['variant_idx']}, position {r['pos'] + 1}, REF {r['ref']!r}, expected {r['expected']!r}"
+
+
+#: Columns of saved cut positions.
+CUTS = "chrom string, cut_idx int, node long, score long, min_distance long"
+
+
 @dataclass
 class Graph:
     """Tables of a variant graph; ``chrom`` is a column of all of them."""
@@ -34,7 +46,10 @@ class Graph:
     copies: DataFrame
     variants: DataFrame | None = None
     chunk: int = readers.CHUNK
+    #: Numbers of the build: handled records, records of other chromosomes (files only), records whose REF differs.
     stats: dict = field(default_factory=dict)
+    #: The records whose REF differs from the reference, with what was expected.
+    mismatches: DataFrame | None = None
 
     # ---- building, saving, loading
 
@@ -42,22 +57,31 @@ class Graph:
     def build(cls, reference: DataFrame, variants: DataFrame, genotypes: DataFrame, names: DataFrame, *, listed: DataFrame | None = None, exclude: bool = False, on_mismatch: str = "warn", chunk: int = readers.CHUNK, check: bool = True) -> Graph:
         """Build a graph. ``on_mismatch`` is warn or error, for REF fields that differ from the reference.
 
-        Unsorted records and alternatives that reach past the reference end are errors.
+        With warn they are counted in ``stats``, kept in ``mismatches``, and the first ones are logged. Unsorted records and
+        alternatives that reach past the reference end are errors.
         """
+        stats = {"handled": variants.count()}
+        wrong = None
         lengths = g.reference_lengths(reference)
         if check:
             if g.unsorted_records(variants).limit(1).count():
                 raise ValueError("records are not sorted by position")
-            wrong = g.ref_mismatches(variants, reference, chunk)
-            if on_mismatch == "error" and (bad := wrong.first()):
-                raise ValueError(f"REF differs from the reference: {bad}")
+            wrong = materialise(g.ref_mismatches(variants, reference, chunk), "mismatches")
+            stats["ref_mismatches"] = wrong.count()
+            some = wrong.orderBy("chrom", "variant_idx").limit(1 if on_mismatch == "error" else cls.LOGGED).collect()
+            if some and on_mismatch == "error":
+                raise ValueError(mismatch_line(some[0]))
+            for r in some:
+                log.warning(mismatch_line(r))
+            if stats["ref_mismatches"] > len(some):
+                log.warning("%d more records whose REF does not match", stats["ref_mismatches"] - len(some))
         alts = g.handled_alts(variants)
         if check and alts.join(lengths, "chrom").where("tgt_pos > ref_len").limit(1).count():
             raise ValueError("an alternative reaches past the end of the reference")
         nodes, edges = build_tables(variants, alts, lengths)
         chosen = paths.chosen_genotypes(genotypes, names, listed, exclude=exclude)
         copies = materialise(paths.number_copies(chosen), "copies")
-        return cls(reference, nodes, edges, materialise(paths.carried_edges(chosen, copies, edges), "paths"), copies, variants, chunk)
+        return cls(reference, nodes, edges, materialise(paths.carried_edges(chosen, copies, edges), "paths"), copies, variants, chunk, stats, wrong)
 
     @classmethod
     def from_files(cls, spark: SparkSession, fasta: str, vcf: str, chrom: str, *, record: str | None = None, include: str | None = None, exclude: str | None = None, on_mismatch: str = "warn", chunk: int = readers.CHUNK) -> Graph:
@@ -67,8 +91,12 @@ class Graph:
         variants, genotypes = materialise(variants, "variants"), materialise(genotypes, "genotypes")  # one parse of the text
         bases = materialise(readers.read_fasta(spark, fasta, chrom, record=record, chunk=chunk), "reference")
         listed = readers.read_sample_list(spark, include or exclude, chrom) if include or exclude else None
-        return cls.build(bases, variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk)
+        out = cls.build(bases, variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk)
+        out.stats["chrom_mismatches"] = readers.record_counts(spark, vcf).where(F.col("chrom") != chrom).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+        return out
 
+    #: How many mismatching records are logged one by one.
+    LOGGED = 20
     TABLES = ("nodes", "edges", "paths", "copies")
 
     def save(self, path: str) -> None:
@@ -77,9 +105,15 @@ class Graph:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, reference: DataFrame, chunk: int = readers.CHUNK) -> Graph:
-        read = {n: spark.read.option("basePath", f"{path}/{n}").parquet(f"{path}/{n}").withColumn("chrom", F.col("chrom").cast(reference.schema["chrom"].dataType)) for n in cls.TABLES}
+        """A saved graph; only the chromosomes of ``reference`` are read."""
+        own = reference.select(F.col("chrom").cast("string").alias("chrom")).distinct()
+        read = {n: spark.read.parquet(f"{path}/{n}").withColumn("chrom", F.col("chrom").cast("string")).join(own, "chrom", "left_semi").withColumn("chrom", F.col("chrom").cast(reference.schema["chrom"].dataType)) for n in cls.TABLES}
         return cls(reference, **read, chunk=chunk)
 
+    @staticmethod
+    def saved_chromosomes(spark: SparkSession, path: str) -> list[str]:
+        return sorted(str(r[0]) for r in spark.read.parquet(f"{path}/nodes").select("chrom").distinct().collect())
+
     # ---- reports
 
     def statistics(self) -> DataFrame:
@@ -89,6 +123,13 @@ class Graph:
         c = self.copies.groupBy("chrom").agg(F.count("*").alias("copies"))
         return n.join(e, "chrom", "left").join(c, "chrom", "left").fillna(0, ["alt_edges", "copies"])
 
+    def sizes(self) -> DataFrame:
+        """(part, rows, bytes) of each table: rows counted, bytes as the optimizer estimates them."""
+        spark = self.nodes.sparkSession
+        parts = {"reference": self.reference, **{n: getattr(self, n) for n in self.TABLES}}
+        rows = [(n, df.count(), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for n, df in parts.items()]
+        return spark.createDataFrame(rows, "part string, rows long, bytes long")
+
     def overlap_report(self) -> DataFrame:
         return paths.overlap_report(self.paths, self.variants, self.copies)
 
@@ -110,14 +151,24 @@ class Graph:
     def copy_texts(self, aligned: bool = True) -> DataFrame:
         return walk.copy_chunks(self.copies, self.chunks, self.taken, self.edges, self.nodes, aligned=aligned)
 
+    @cached_property
+    def several(self) -> bool:
+        return self.nodes.select("chrom").distinct().limit(2).count() > 1
+
+    def _labelled(self, rows: DataFrame, seq_no: Column, name: Column, parts: list[Column], chromosome: str | None) -> DataFrame:
+        """msa rows. Sequences of several chromosomes carry theirs in id and file name, so they don't mix; ``chromosome`` overrides it."""
+        prefix = F.lit(chromosome) if chromosome else F.col("chrom").cast("string") if self.several else None
+        apart = [F.col("chrom").cast("string")] if self.several else []
+        return rows.select("chrom", seq_no.alias("seq_no"), sequence_id(name, prefix).alias("seq_id"), F.array(*apart, *parts).alias("name"), "chunk_no", "text")
+
     def _ref(self, aligned: bool, chromosome: str | None) -> DataFrame:
-        name = F.lit(f"{chromosome}\tREF" if chromosome else "REF")
-        return walk.ref_row(self.chunks, aligned=aligned).select("chrom", F.lit(0).alias("seq_no"), name.alias("seq_id"), F.array(F.lit("REF")).alias("name"), "chunk_no", "text")
+        return self._labelled(walk.ref_row(self.chunks, aligned=aligned), F.lit(0), F.lit("REF"), [F.lit("REF")], chromosome)
 
     def haplotypes(self, *, aligned: bool = True, reference: bool = True, chromosome: str | None = None) -> DataFrame:
         """msa(chrom, seq_no, seq_id, name, chunk_no, text): the REF row and every copy, in order."""
-        who = self.copies.select("chrom", "copy", (F.col("copy") + 1).alias("seq_no"), haplotype_id(F.col("name"), F.col("copy_in_sample"), chromosome).alias("seq_id"), F.array("name", (F.col("copy_in_sample") + 1).cast("string")).alias("parts"))
-        rows = self.copy_texts(aligned).join(who, ["chrom", "copy"]).select("chrom", "seq_no", "seq_id", F.col("parts").alias("name"), "chunk_no", "text")
+        who = self.copies.select("chrom", "copy", F.col("name").alias("sample"), "copy_in_sample")
+        rows = self.copy_texts(aligned).join(who, ["chrom", "copy"])
+        rows = self._labelled(rows, F.col("copy") + 1, haplotype_name(F.col("sample"), F.col("copy_in_sample")), [F.col("sample"), (F.col("copy_in_sample") + 1).cast("string")], chromosome)
         return self._ref(aligned, chromosome).unionByName(rows) if reference else rows
 
     # ---- founders
@@ -126,9 +177,25 @@ class Graph:
         candidates = segments.cut_candidates(self.nodes, g.edge_counts(self.nodes, self.edges))
         return materialise(segments.cut_positions(candidates, self.paths, self.copies, self.nodes, self.edges, min_distance), "cuts")
 
+    def check_cuts(self, cuts: DataFrame) -> DataFrame:
+        """``cuts`` as loaded from a file, if each is a bridge of its chromosome, and its first and last nodes are cuts."""
+        marks = self.nodes.select("chrom", "node", "is_bridge")
+        chrom = self.nodes.schema["chrom"].dataType
+        cuts = cuts.withColumn("chrom", F.col("chrom").cast(chrom))
+        sink = marks.groupBy("chrom").agg(F.max("node").alias("sink"))
+        odd = cuts.join(marks.where("is_bridge"), ["chrom", "node"], "left_anti").limit(1).collect()
+        ends = cuts.groupBy("chrom").agg(F.min("node").alias("first"), F.max("node").alias("last")).join(sink, "chrom").where("first <> 0 or last <> sink").limit(1).collect()
+        if odd or ends:
+            raise ValueError(f"these cut positions are not of this graph: {(odd or ends)[0]}")
+        return cuts
+
+    def load_cuts(self, path: str) -> DataFrame:
+        """Saved cut positions, with the score and the minimum distance that they were found with."""
+        return self.check_cuts(self.nodes.sparkSession.read.json(path, schema=CUTS))
+
     def match(self, cuts: DataFrame, founders: int, *, keep_ref: bool = False) -> DataFrame:
         """(chrom, block, founder, copy) by greedy matching."""
-        blocks = segments.block_of_edges(self.edges, cuts)
+        blocks = segments.block_of_edges(self.edges, cuts, self.nodes)
         spans = cuts.groupBy("chrom").agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0").select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
         sigs = segments.all_signatures(segments.block_signatures(self.paths, blocks), self.copies, spans)
         return materialise(matching.founder_assignments(segments.colex_ranks(sigs), self.paths, blocks, self.copies, founders, keep_ref), "assignments")
@@ -138,11 +205,11 @@ class Graph:
 
         A founder is a path of its own: the taken edges of the assigned copies, block by block, since no edge crosses a cut.
         """
-        blocks = segments.block_of_edges(self.edges, cuts)
+        blocks = segments.block_of_edges(self.edges, cuts, self.nodes)
         steps = self.taken.join(blocks, ["chrom", "edge"]).join(assignments.where("copy is not null"), ["chrom", "block", "copy"]).select("chrom", F.col("founder").alias("copy"), "edge")
         who = assignments.select("chrom", F.col("founder").alias("copy")).distinct()
         rows = walk.copy_chunks(who, self.chunks, steps, self.edges, self.nodes, aligned=aligned)
-        rows = rows.select("chrom", (F.col("copy") + 1).alias("seq_no"), founder_id(F.col("copy"), chromosome).alias("seq_id"), F.array((F.col("copy") + 1).cast("string")).alias("name"), "chunk_no", "text")
+        rows = self._labelled(rows, F.col("copy") + 1, founder_name(F.col("copy")), [founder_name(F.col("copy"))], chromosome)
         return self._ref(aligned, chromosome).unionByName(rows) if reference else rows
 
     def founders(self, n: int, *, min_distance: int = 0, keep_ref: bool = False, cuts: DataFrame | None = None, **how) -> DataFrame:

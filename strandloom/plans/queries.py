@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import abbreviated, file_name, haplotype_id
+from ..functions.labels import abbreviated, file_name, haplotype_name
 from ..operators import graph as g
 from ..operators import matching, paths, regions, segments, walk
+from ..sources import readers
 from . import derived
+from .graph import Graph
 
 BLOCK_BUBBLES = 200
 FOUNDERS = 5
@@ -102,17 +105,54 @@ def variants_scan(spark, sf):
     return derived.variants(spark, sf).select("chrom", "variant_idx", "pos", "ref", F.size("alts").cast("long").alias("n_alt"))
 
 
-@query("select c.chrom, count(*) filter (v.chrom = c.chrom) as handled, count(*) filter (v.chrom <> c.chrom) as mismatches from v, (select distinct chrom from v) c group by c.chrom")
+_FILE = """
+lined as (select v.*, chrom::varchar as name, 2 + row_number() over (order by chrom, pos, vid) as lineno, n_alt + (vid % 7 = 0)::int as listed from vr v)
+"""
+
+
+@query("select name as chrom, lineno, pos, 'v' || vid as id, ref, listed::bigint as n_alt from lined", _FILE)
+def vcf_records(spark, sf):
+    """Records as the reader finds them in a VCF file."""
+    rows = readers.read_vcf(spark, derived.vcf_file(spark, sf))[0]
+    return rows.select("chrom", "lineno", "pos", F.array_join("ids", ";").alias("id"), "ref", F.size("alts").cast("long").alias("n_alt"))
+
+
+@query("select l.name as chrom, l.lineno, g.sample_idx, g.copy_idx, g.allele from gts g join lined l using (vid) where l.name = '2'", _FILE)
+def vcf_genotypes(spark, sf):
+    """Carried alleles that the reader finds on one chromosome of the file."""
+    rows = readers.read_vcf(spark, derived.vcf_file(spark, sf), "2")[1].where("allele > 0")
+    return rows.select("chrom", F.col("variant_idx").alias("lineno"), "sample_idx", "copy_idx", "allele")
+
+
+@query("select c.name as chrom, count(*) filter (v.chrom = c.chrom) as handled, count(*) filter (v.chrom <> c.chrom) as mismatches from v, (select distinct chrom, chrom::varchar as name from v) c group by 1")
 def chrom_filter_stats(spark, sf):
-    rows = derived.variants(spark, sf).groupBy("chrom").agg(F.count("*").alias("handled"))
-    total = rows.agg(F.sum("handled").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select("chrom", "handled", (F.col("total") - F.col("handled")).alias("mismatches"))
+    """What a choice of each chromosome of the file handles and passes over."""
+    counts = readers.record_counts(spark, derived.vcf_file(spark, sf))
+    total = F.sum("records").over(Window.partitionBy(F.lit(0)))  # one row a chromosome
+    return counts.select("chrom", F.col("records").alias("handled"), (total - F.col("records")).alias("mismatches"))
+
+
+@query("select '2' as chrom, count(*) filter (chrom = 2) as handled, count(*) filter (chrom <> 2) as chrom_mismatches, 0::bigint as ref_mismatches from v")
+def build_stats(spark, sf):
+    """The numbers of a graph built from files of FASTA, VCF and samples."""
+    built = Graph.from_files(spark, derived.fasta_file(spark, sf), derived.vcf_file(spark, sf), "2", record="c2", chunk=derived.CHUNK)
+    return spark.createDataFrame([("2", *(built.stats[k] for k in ("handled", "chrom_mismatches", "ref_mismatches")))], "chrom string, handled long, chrom_mismatches long, ref_mismatches long")
+
 
+@query(f"select chrom::varchar as chrom, (p // {derived.CHUNK})::int as chunk_no, count(*) as n_chars, md5(string_agg({_ACGT}, '' order by p)) as text_md5 from (select chrom, unnest(range(n)) as p from lens) group by 1, 2")
+def fasta_reference(spark, sf):
+    """Every record of a FASTA file with several."""
+    path = derived.fasta_file(spark, sf)
+    parts = [readers.read_fasta(spark, path, str(c), record=f"c{c}", chunk=derived.CHUNK) for c in range(5)]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    return _digest(rows.withColumnRenamed("bases", "text"), "chrom", "chunk_no")
 
-@query("select chrom, vid as variant_idx, i as alt_idx, case when alt = '<DEL>' then 'DEL' else 'NONE' end as kind, alt from alts where alt = '<DEL>' or length(alt) > 2")
+
+@query("select l.name as chrom, l.lineno, a.i as alt_idx, case when alt = '<DEL>' then '' else alt end as label from alts a join lined l using (vid)", _FILE)
 def alt_kind_filter(spark, sf):
-    rows = derived.variants(spark, sf).select("chrom", "variant_idx", F.explode("alts").alias("a"))
-    return rows.where((F.col("a.kind") == "DEL") | (F.length("a.text") > 2)).select("chrom", "variant_idx", F.col("a.idx").alias("alt_idx"), F.col("a.kind").alias("kind"), F.col("a.text").alias("alt"))
+    """Alternatives that become edges, by the kinds that the reader gives them."""
+    rows = g.handled_alts(readers.read_vcf(spark, derived.vcf_file(spark, sf))[0])
+    return rows.select("chrom", F.col("variant_idx").alias("lineno"), "alt_idx", "label")
 
 
 @query("select chrom, vid as variant_idx, pos, 'N' || substr(ref, 2) as ref, ref as expected from vr where vid % 97 = 3")
@@ -144,9 +184,10 @@ def sample_exclude(spark, sf):
     return rows.select("chrom", "variant_idx", "sample_idx", "copy_idx", "allele")
 
 
-@query("select chrom, 'S' || i as sample, 0 as copy_idx from lens, range(5) t(i) where chrom = 1")
+@query("select '1' as chrom, 'S' || i as sample, 0 as copy_idx from range(5) t(i)")
 def sample_list_filter(spark, sf):
-    return derived.sample_list(spark, sf).where("chrom = 1")
+    """The sample list of one chromosome, read from its file."""
+    return readers.read_sample_list(spark, derived.sample_file(spark, sf), "1")
 
 
 @query("select chrom, sample_idx::int as sample_idx, name, count(*) as ploidy, min(copy)::int as copy_base from copies group by all")
@@ -243,7 +284,7 @@ def haplotype_rows_unaligned(spark, sf):
 def sequence_names(spark, sf):
     rows = derived.copies(spark, sf)
     ext = file_name([""], chromosome=None, a2m=True, aligned=True)
-    return rows.select("chrom", "copy", haplotype_id(F.col("name"), F.col("copy_in_sample")).alias("seq_id"), F.concat("name", F.lit("."), (F.col("copy_in_sample") + 1).cast("string"), F.lit(ext)).alias("file"))
+    return rows.select("chrom", "copy", haplotype_name(F.col("name"), F.col("copy_in_sample")).alias("seq_id"), F.concat("name", F.lit("."), (F.col("copy_in_sample") + 1).cast("string"), F.lit(ext)).alias("file"))
 
 
 @query("select chrom, block, copy::int as copy, array_to_string(sig, ',') as sig from grid where len(sig) > 0", _BLOCKS)
@@ -271,19 +312,16 @@ def class_representative(spark, sf):
 
 @query("select chrom, block, lhs, cls as rhs, count(*) as size from (select *, lag(cls) over (partition by chrom, copy order by block) as lhs from classes) where lhs is not null group by 1, 2, 3, 4", _BLOCKS)
 def joined_classes(spark, sf):
-    return _joined(spark, sf)
+    return _joined(spark, sf).drop("place")
 
 
 def _joined(spark, sf):
-    rows = segments.colex_ranks(_signatures(derived.graph(spark, sf))).withColumn("cls", F.col("cls").cast("long"))
-    rows = rows.withColumn("lhs", F.lag("cls").over(Window.partitionBy("chrom", "copy").orderBy("block"))).where("lhs is not null")
-    return rows.groupBy("chrom", "block", "lhs", F.col("cls").alias("rhs")).agg(F.count("*").alias("size"))
+    return matching.joined_classes(segments.colex_ranks(_signatures(derived.graph(spark, sf))))
 
 
 @query("select chrom, block, lhs, rhs, size, row_number() over (partition by chrom, block order by size desc, rhs desc, lhs desc) as place from (select chrom, block, lhs, cls as rhs, count(*) as size from (select *, lag(cls) over (partition by chrom, copy order by block) as lhs from classes) where lhs is not null group by 1, 2, 3, 4)", _BLOCKS)
 def joined_class_order(spark, sf):
-    order = Window.partitionBy("chrom", "block").orderBy(F.desc("size"), F.desc("rhs"), F.desc("lhs"))
-    return _joined(spark, sf).withColumn("place", F.row_number().over(order).cast("long"))
+    return _joined(spark, sf)
 
 
 @query("select chrom, min(node) as node, first_edge, arg_min(aln_pos, node) as aln_pos from (select a.*, (select count(*) from edges e where e.chrom = a.chrom and e.src < a.node) as first_edge from aligned a where is_bridge) group by chrom, first_edge", _ALIGNED)
@@ -343,21 +381,9 @@ def label_abbreviation(spark, sf):
     return rows.withColumn("label", label).select("chrom", "variant_idx", abbreviated(F.col("label")).alias("label"))
 
 
-@query("""select r.chrom, 'r' || r.vid as name, s.copy::int as copy, coalesce(substr(s.t, (r.pos_bare + 1)::int, 20), '') as text from
-(select p.chrom, w.vid, p.copy, coalesce(sum(length(replace(case when p.aln >= w.a then '' else left(p.text || repeat('-', (p.width - length(p.text))::int), (w.a - p.aln)::int) end, '-', ''))), 0)::bigint as pos_bare
- from parts p join (select v.chrom, v.vid, n.aln_pos as a from v join aligned n on n.chrom = v.chrom and n.ref_pos = v.pos where v.vid % 500 = 7) w on w.chrom = p.chrom where p.copy < 4 group by 1, 2, 3) r
-join (select chrom, copy, string_agg(text, '' order by aln, width) as t from parts where copy < 4 group by 1, 2) s on s.chrom = r.chrom and s.copy = r.copy""", _ALIGNED, _TAKEN, _PIECES)
-def region_extract(spark, sf):
-    graph = derived.graph(spark, sf)
-    bed = derived.variants(spark, sf).where("variant_idx % 500 = 7").select("chrom", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"), F.concat(F.lit("r"), F.col("variant_idx").cast("string")).alias("name"))
-    msa = graph.copy_texts().where("copy < 4").withColumn("seq_id", F.col("copy").cast("int"))
-    rows = regions.extract_regions(bed, graph.nodes, msa.join(graph.chunks.select("chrom", "chunk_no", "aln"), ["chrom", "chunk_no"]))
-    return rows.select("chrom", "name", F.col("seq_id").alias("copy"), "text")
-
-
 @query()
-def region_extract_all(spark, sf):
-    """Regions from all records, of all copies; ``region_extract`` is its sample that SQL can follow."""
+def region_extract(spark, sf):
+    """Regions from all records, of all copies. A brute-force test stands in for SQL, which is too slow on whole tables."""
     graph = derived.graph(spark, sf)
     bed = derived.variants(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"), F.concat(F.lit("r"), F.col("variant_idx").cast("string")).alias("name"))
     msa = graph.copy_texts().withColumn("seq_id", F.col("copy").cast("int"))

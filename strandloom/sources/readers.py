@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import prefix_scan
+
 CHUNK = 1 << 16
 
 
@@ -35,8 +37,6 @@ def read_fasta(spark: SparkSession, path: str, chrom: str | None = None, *, reco
     if following is not None:
         body = body.where(F.col("line") < following)
     body = body.select("line", F.regexp_replace("value", r"\s+", "").alias("bases")).withColumn("n", F.length("bases").cast("long"))
-    from ..functions.prefix import prefix_scan
-
     body = prefix_scan(body.withColumn("chrom", F.lit(chrom or own["name"])), ["chrom"], ["line"], F.expr("line div 65536"), [("start", "sum", F.col("n"))], inclusive=False).where("n > 0")
     pieces = body.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(start + n - 1) div {chunk}"))))
     lo = F.greatest(F.lit(0), F.col("chunk_no") * chunk - F.col("start"))
@@ -76,12 +76,37 @@ def read_vcf(spark: SparkSession, path: str, chrom: str | None = None) -> tuple[
     return variants, genotypes, names
 
 
+def record_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, records) of a VCF file: what a choice of chromosome handles and what it passes over."""
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
+    return rows.groupBy(F.substring_index("value", "\t", 1).alias("chrom")).agg(F.count("*").alias("records"))
+
+
 def read_sample_list(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
     """(chrom, sample, copy_idx) of a headerless three-column TSV; a malformed row is an error."""
     rows = spark.read.schema("chrom string, sample string, copy_idx int").option("sep", "\t").option("mode", "FAILFAST").csv(path)
     return rows if chrom is None else rows.where(F.col("chrom") == chrom)
 
 
+def read_a2m(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(seq_no, seq_id, chunk_no, start, text) of every sequence of an A2M or FASTA file, in chunks of ``chunk`` characters.
+
+    A file without a header line is one sequence, with number -1 and no id.
+    """
+    lines = numbered_lines(spark, path)
+    head = F.col("value").startswith(">")
+    lines = prefix_scan(lines.where(head | (F.length("value") > 0)).withColumn("head", head.cast("long")), ["file"], ["line"], F.expr("line div 65536"), [("seq_no", "sum", F.col("head"))])
+    names = lines.where("head = 1").select("file", "seq_no", F.expr("substring(value, 2)").alias("seq_id"))
+    body = lines.where("head = 0").withColumn("n", F.length("value").cast("long"))
+    body = prefix_scan(body, ["file", "seq_no"], ["line"], F.expr("line div 65536"), [("start", "sum", F.col("n"))], inclusive=False)
+    pieces = body.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(start + n - 1) div {chunk}"))))
+    lo = F.greatest(F.lit(0), F.col("chunk_no") * chunk - F.col("start"))
+    hi = F.least(F.col("n"), (F.col("chunk_no") + 1) * chunk - F.col("start"))
+    pieces = pieces.select("file", "seq_no", "chunk_no", (F.col("start") + lo).alias("at"), F.col("value").substr((lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    rows = pieces.groupBy("file", "seq_no", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p"))
+    return rows.join(names, ["file", "seq_no"], "left").select("file", (F.col("seq_no") - 1).alias("seq_no"), "seq_id", "chunk_no", (F.col("chunk_no") * chunk).alias("start"), F.array_join(F.col("p.part"), "").alias("text"))
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("chrom string, start bigint, end bigint, name string, score string, strand string").option("sep", "\t").csv(path)
 
