@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that a Python worker turns into word lists at one time.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -89,7 +89,7 @@ class WordTable:
     cap would be passed the table starts again, so memory is bounded; results never depend on it.
     """
 
-    def __init__(self, compute: Callable[[list], np.ndarray], cap: int = 400_000):
+    def __init__(self, compute: Callable[[list], np.ndarray], cap: int = 150_000):
         self.compute, self.cap = compute, cap
         self.index: dict = {}
         self.store: np.ndarray | None = None

@@ -49,6 +49,8 @@ FREQUENT = 40
 AHEAD = 4096
 GROUP_SHARE = 0.01
 BUCKET_TOKENS = 1 << 19
+#: Text whose tokens are packed together: larger groups make fewer and longer rows.
+PACK_BYTES = 2 << 20
 #: Widest bitmap of owner rows. A false hit only costs work: sets are told apart again where tokens are counted.
 OWNER_BITS = 1 << 28
 #: Sets in a block of an index key (compared by sketch) and of a candidate component (compared by tokens).
@@ -170,7 +172,7 @@ PACKED = "bucket int, ahead boolean, nodes binary, sizes binary, counts binary,
 
 def _token_rows(batches: Iterator[pa.RecordBatch], k: int, owners: np.ndarray, ahead: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """The tokens of owner rows, packed by bucket: nodes, set sizes, tokens of each node, and the tokens' low 48 bits."""
-    for part, texts in text_groups(batches):
+    for part, texts in text_groups(batches, limit=PACK_BYTES):
         sets = shingle_sets(texts, k)
         n, s1, _ = signatures(sets)
         own = np.flatnonzero(in_bitmap(owners, s1 ^ part.column("key").to_numpy()) & (n > 0))

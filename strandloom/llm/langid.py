@@ -252,7 +252,7 @@ class Reader:
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty, self.n = model, penalty, len(model.langs)
         self.words = max(1000, CELLS // self.n)
-        self.table = WordTable(model.word_rows, cap=min(200_000, self.words))
+        self.table = WordTable(model.word_rows, cap=min(150_000, self.words))
 
     def read(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         """(language, score, spans) of each text."""

@@ -16,7 +16,7 @@ import public_tokenizers
 
 from .bytehash import SPACE, join_texts, slice_hashes
 
-CAP = 400_000
+CAP = 150_000
 LETTER, DIGIT, OTHER, LEAD, TAIL, ODD = 1, 2, 3, 4, 5, 6
 CLASS = np.full(256, ODD, np.uint8)
 CLASS[:128] = OTHER
