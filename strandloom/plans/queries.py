@@ -330,12 +330,42 @@ def cut_candidates(spark, sf):
     return segments.cut_candidates(graph.nodes, g.edge_counts(graph.nodes, graph.edges))
 
 
-@query()
+# Sets are told apart by sums of edge hashes; pairs of candidates are extended while their classes are fewer than the copies.
+_DP = """
+leaving as (select n.chrom, n.node, count(e.edge) as c from nodes n left join edges e on e.chrom = n.chrom and e.src = n.node group by 1, 2),
+before as (select chrom, node, sum(c) over (partition by chrom order by node) - c as first_edge from leaving),
+cand as materialized (select *, row_number() over (partition by chrom order by node) - 1 as k from (select a.chrom, min(a.node) as node, b.first_edge, arg_min(a.aln_pos, a.node) as aln_pos
+  from aligned a join before b on b.chrom = a.chrom and b.node = a.node where a.is_bridge group by a.chrom, b.first_edge)),
+run as (select chrom, copy, edge, sum(hash(edge)::hugeint) over (partition by chrom, copy order by edge) as s from (select distinct chrom, copy, edge from carried)),
+places_ as (select c.chrom, c.k, p.copy, c.first_edge from cand c join copies p on p.chrom = c.chrom),
+added as (select p.chrom, p.k, p.copy, coalesce(r.s, 0) as s from places_ p asof left join run r on r.chrom = p.chrom and r.copy = p.copy and p.first_edge > r.edge),
+sums as materialized (select chrom, k, list(s order by copy) as s from added group by all),
+spans as (select a.chrom, a.k as i, b.k as j, len(list_distinct(list_transform(range(1, 21), lambda m: b.s[m] - a.s[m]))) as c from sums a join sums b on b.chrom = a.chrom and b.k = a.k + 1 union all
+  select x.chrom, x.i, b.k, len(list_distinct(list_transform(range(1, 21), lambda m: b.s[m] - a.s[m]))) from spans x join sums a on a.chrom = x.chrom and a.k = x.i join sums b on b.chrom = x.chrom and b.k = x.j + 1 where x.c < 20),
+starts as (select chrom, j, c as h, min(i) as i from spans where c < 20 group by all),
+choices as materialized (select s.chrom, s.j, list({'h': s.h, 'i': s.i} order by s.h) as o from starts s join cand a on a.chrom = s.chrom and a.k = s.i join cand b on b.chrom = s.chrom and b.k = s.j where b.aln_pos - a.aln_pos >= %d group by all),
+best as (select chrom, 0::bigint as j, [0::bigint] as score, [-1::bigint] as prev from lens union all
+  select b.chrom, c.k, list_append(b.score, least(20, coalesce(list_min(list_transform(o.o, lambda x: greatest(x.h, b.score[x.i + 1]))), 20))),
+    list_append(b.prev, case when list_min(list_transform(o.o, lambda x: greatest(x.h, b.score[x.i + 1]))) < 20 then o.o[list_position(list_transform(o.o, lambda x: greatest(x.h, b.score[x.i + 1])), list_min(list_transform(o.o, lambda x: greatest(x.h, b.score[x.i + 1]))))].i else -1 end)
+  from best b join cand c on c.chrom = b.chrom and c.k = b.j + 1 left join choices o on o.chrom = c.chrom and o.j = c.k),
+ends as materialized (select chrom, max(j) as last, arg_max(score, j) as score, arg_max(prev, j) as prev from best group by 1),
+back as (select chrom, last as k, score, prev from ends where last > 0 union all select chrom, prev[k + 1], score, prev from back where prev[k + 1] >= 0),
+found as (select chrom, k, score[-1] as score from back union select chrom, 0, score[-1] from ends where last > 0)
+select f.chrom, (row_number() over (partition by f.chrom order by f.k) - 1)::int as cut_idx, case when f.k = e.last then (select max(node) from nodes n where n.chrom = f.chrom) else c.node end as node, f.score, %d::bigint as min_distance
+from found f join ends e on e.chrom = f.chrom join cand c on c.chrom = f.chrom and c.k = f.k"""
+
+
+def _cuts_sql(distance: int) -> tuple[str, ...]:
+    parts, select = (_DP % (distance, distance)).rsplit("\nselect", 1)
+    return "select" + select, _ALIGNED.replace("ends as", "folded as").replace("from ends)", "from folded)"), parts
+
+
+@query(*_cuts_sql(0))
 def cut_positions(spark, sf):
     return derived.graph(spark, sf).cut_positions(0)
 
 
-@query()
+@query(*_cuts_sql(50))
 def cut_positions_distance_50(spark, sf):
     return derived.graph(spark, sf).cut_positions(50)
 
