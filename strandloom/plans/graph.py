@@ -54,11 +54,12 @@ class Graph:
     # ---- building, saving, loading
 
     @classmethod
-    def build(cls, reference: DataFrame, variants: DataFrame, genotypes: DataFrame, names: DataFrame, *, listed: DataFrame | None = None, exclude: bool = False, on_mismatch: str = "warn", chunk: int = readers.CHUNK, check: bool = True) -> Graph:
+    def build(cls, reference: DataFrame, variants: DataFrame, genotypes: DataFrame, names: DataFrame, *, listed: DataFrame | None = None, exclude: bool = False, on_mismatch: str = "warn", chunk: int = readers.CHUNK, check: bool = True, keep: Column | None = None) -> Graph:
         """Build a graph. ``on_mismatch`` is warn or error, for REF fields that differ from the reference.
 
         With warn they are counted in ``stats``, kept in ``mismatches``, and the first ones are logged. Unsorted records and
-        alternatives that reach past the reference end are errors.
+        alternatives that reach past the reference end are errors. ``listed`` chooses samples by a list, ``keep`` by any predicate on
+        chrom, name, sample_idx and copy_idx.
         """
         stats = {"handled": variants.count()}
         wrong = None
@@ -80,18 +81,19 @@ class Graph:
             raise ValueError("an alternative reaches past the end of the reference")
         nodes, edges = build_tables(variants, alts, lengths)
         chosen = paths.chosen_genotypes(genotypes, names, listed, exclude=exclude)
+        chosen = chosen if keep is None else chosen.where(keep)
         copies = materialise(paths.number_copies(chosen), "copies")
         return cls(reference, nodes, edges, materialise(paths.carried_edges(chosen, copies, edges), "paths"), copies, variants, chunk, stats, wrong)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, fasta: str, vcf: str, chrom: str, *, record: str | None = None, include: str | None = None, exclude: str | None = None, on_mismatch: str = "warn", chunk: int = readers.CHUNK) -> Graph:
+    def from_files(cls, spark: SparkSession, fasta: str, vcf: str, chrom: str, *, record: str | None = None, include: str | None = None, exclude: str | None = None, on_mismatch: str = "warn", chunk: int = readers.CHUNK, keep: Column | None = None) -> Graph:
         if include and exclude:
             raise ValueError("samples can be included or excluded, not both")
         variants, genotypes, names = readers.read_vcf(spark, vcf, chrom)
         variants, genotypes = materialise(variants, "variants"), materialise(genotypes, "genotypes")  # one parse of the text
         bases = materialise(readers.read_fasta(spark, fasta, chrom, record=record, chunk=chunk), "reference")
         listed = readers.read_sample_list(spark, include or exclude, chrom) if include or exclude else None
-        out = cls.build(bases, variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk)
+        out = cls.build(bases, variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk, keep=keep)
         out.stats["chrom_mismatches"] = readers.record_counts(spark, vcf).where(F.col("chrom") != chrom).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
         return out
 

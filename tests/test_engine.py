@@ -102,6 +102,8 @@ def test_sample_lists_save_and_load(spark, tmp_path):
     assert [(r.name, r.copy_idx, r.copy, r.copy_in_sample) for r in inc.copies.orderBy("copy").collect()] == [("SAMPLE2", 0, 0, 0), ("SAMPLE3", 0, 1, 0), ("SAMPLE3", 1, 2, 1)]
     exc = Graph.from_files(spark, fa, vcf, "1", exclude=str(tmp_path / "list.tsv"))
     assert [(r.name, r.copy_idx, r.copy_in_sample) for r in exc.copies.orderBy("copy").collect()] == [("SAMPLE1", 0, 0), ("SAMPLE1", 1, 1), ("SAMPLE2", 1, 0), ("SAMPLE4", 0, 0), ("SAMPLE4", 1, 1)]
+    odd = Graph.from_files(spark, fa, vcf, "1", keep=(F.col("name") == "SAMPLE2") & (F.col("copy_idx") == 1))
+    assert [(r.name, r.copy_idx, r.copy) for r in odd.copies.collect()] == [("SAMPLE2", 1, 0)]
     exc.save(str(tmp_path / "graph"))
     back = Graph.load(spark, str(tmp_path / "graph"), exc.reference)
     key = lambda x: sorted((r.seq_id, r.chunk_no, r.text) for r in x.haplotypes().collect())
@@ -298,6 +300,9 @@ def test_bad_input_is_refused(spark, tmp_path):
     fa, vcf = write_case(tmp_path, "ACGT", [("x", 3, "GTT", "T", ["1"])])
     with pytest.raises(ValueError, match="past the end"):
         Graph.from_files(spark, fa, vcf, "1")
+    (tmp_path / "x.vcf").write_text((tmp_path / "x.vcf").read_text().replace("\tGT\t", "\tDP\t"))
+    with pytest.raises(Exception, match="no GT"):
+        Graph.from_files(spark, fa, vcf, "1")
 
 
 def test_fasta_chunks_and_line_numbers(spark, tmp_path):
