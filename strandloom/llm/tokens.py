@@ -17,6 +17,7 @@ import public_tokenizers
 from .bytehash import SPACE, join_texts, slice_hashes
 
 CAP = 150_000
+LEARN = 2000
 LETTER, DIGIT, OTHER, LEAD, TAIL, ODD = 1, 2, 3, 4, 5, 6
 CLASS = np.full(256, ODD, np.uint8)
 CLASS[:128] = OTHER
@@ -94,7 +95,8 @@ class TextTokenizer:
         self.keys, self.slot, self.used = self.keys[order], np.arange(len(order)), np.zeros(len(order), np.int64)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # a few at a time: an encoding takes far more memory than its ids
+        ids = [e.ids for lo in range(0, len(texts), LEARN) for e in self.tok.encode_batch_fast(texts[lo : lo + LEARN], add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         n = len(self.cuts) - 1
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))])
