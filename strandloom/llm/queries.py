@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, line_dedup, packing, substring, topk, toxicity, url_filter, warc
+from . import clustering, decontaminate, divergence, jaccard, langid, line_dedup, packing, sharding, substring, topk, toxicity, url_filter, warc
 from .common import table
 
 #: The rules of the URL query: host, path, verdict.
@@ -57,7 +57,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_language_id, op8_warc, op9_substring_dedup, op10_decontamination)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, width=64)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, terms=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_jaccard_join, op7_language_id, op8_warc, op9_substring_dedup, op10_decontamination, op11_centroid_clustering, op12_sharding, op13_source_divergence)}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {
@@ -93,6 +105,8 @@ with body as (select page_id, coalesce(html, '') as b from pages),
 rows as (select page_id, octet_length(encode(b))::bigint as payload_bytes, sha256(b) as payload_digest, min(page_id) over (partition by b) as first, octet_length(encode(b)) >= 100 and page_id is not null and row_number() over (partition by b order by page_id nulls last) > 1 as again from body)
 select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to from rows
 """,
+    "op11_centroid_clustering": clustering.sql(40, 5, 256, 64),
+    "op13_source_divergence": divergence.SQL,
     "op9_substring_dedup": """
 with texts as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
 windows as (select r, i, list_aggregate(w[i : i + 34], 'string_agg', ' ') as s from (select r, w, unnest(range(1, len(w) - 33)) as i from texts where len(w) >= 35)),
