@@ -6,9 +6,9 @@ of kept terms in a group (or language), a term's share is p = 1 + floor(10^9 * (
 f = floor((p - q)^2 / (p + q)). A pair of sources differs by the sum of f over all kept terms.
 
 Heavy-light split: a term that more than ``light`` groups hold is heavy. Heavy terms are dealt into tiles, and a task computes a
-dense block of shares (terms x groups) and adds up f for the pairs of two blocks of groups. All other terms start from the sum
-that they would have if no group held them, which is known in closed form; each posting then corrects the pairs of its group with all
-others (summed up by share, as only the share matters), and two postings of one term correct their own pair. All sums are integers.
+dense block of shares (terms x groups) and adds up f for the pairs of two blocks of groups. Both kinds start from the sum
+that all terms would have if no group held them, which is known in closed form. Dense tiles add the difference to it; each posting of a light term corrects the pairs
+of its group with all others (summed up by share, as only the share matters), and two postings of one term correct their own pair. All sums are integers.
 
 The text is read once, and only (lang, source, term, count, documents) leaves a task. Tiles and blocks are bounded, and so are the
 postings of a light term, so no task holds a language, a source or a frequent term. The result of ``pair_values`` has a row for each two sources of
@@ -112,8 +112,8 @@ def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of f over one tile of terms for all pairs of two blocks of groups."""
+def _dense(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """For all pairs of two blocks of groups: how much the terms of one tile add to what they would give if no group held them."""
     t = pa.Table.from_batches(list(batches))
     if not t.num_rows:
         return
@@ -128,8 +128,9 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shares = np.repeat(base[:, None], len(terms.dictionary), 1)
     shares[at[~lacks], codes[~lacks]] = p[~lacks]
     low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-    left, right = np.flatnonzero(groups // BLOCK_GROUPS == low), np.flatnonzero(groups // BLOCK_GROUPS == high)
-    out = [(groups[i], groups[j], gaps(shares[i], shares[j]).sum()) for i in left for j in right if i < j]
+    left, right = np.flatnonzero(groups // size == low), np.flatnonzero(groups // size == high)
+    seen = shares.shape[1]  # terms of the tile that these groups lack change nothing
+    out = [(groups[i], groups[j], gaps(shares[i], shares[j]).sum() - seen * gaps(base[i], base[j])) for i in left for j in right if i < j]
     if out:
         a, b, v = (np.array(x, np.int64) for x in zip(*out, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(a), pa.string()), *map(pa.array, (a, b, v))], names=["lang", "a", "b", "v"])
@@ -187,15 +188,16 @@ class Audit:
 
     def _heavy(self) -> DataFrame:
         """(lang, a, b, v) of the heavy terms, a < b."""
-        groups = self.groups.where("n_heavy > 0").withColumns({"tiles": F.ceil(F.col("n_heavy") / TILE_TERMS).cast("long"), "blocks": F.expr(f"(count(*) over (partition by lang) - 1) div {BLOCK_GROUPS}")})
+        size = BLOCK_GROUPS
+        groups = self.groups.where("n_heavy > 0").withColumns({"tiles": F.ceil(F.col("n_heavy") / TILE_TERMS).cast("long"), "blocks": F.expr(f"(count(*) over (partition by lang) - 1) div {size}")})
         about = groups.select("lang", "tiles", "blocks").distinct()
         cells = self.rows.where("heavy").join(about, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile"), "blocks", "g", "term", "p", "zero")
         # every group is known to every tile, with its share of absent terms
         none = groups.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "blocks", "g", F.lit(None).cast("string").alias("term"), F.col("zero").alias("p"), "zero")
-        rows = cells.unionByName(none).withColumn("block", F.expr(f"g div {BLOCK_GROUPS}"))
+        rows = cells.unionByName(none).withColumn("block", F.expr(f"g div {size}"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
         rows = rows.select("lang", "tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "g", "term", "p", "zero")
-        return rows.groupBy("lang", "tile", "low", "high").applyInArrow(lambda t: pa.Table.from_batches(list(_dense(iter(t.to_batches()))), schema=pa.schema([("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("v", pa.int64())])), "lang string, a long, b long, v long")
+        return rows.groupBy("lang", "tile", "low", "high").applyInArrow(lambda t: pa.Table.from_batches(list(_dense(iter(t.to_batches()), size)), schema=pa.schema([("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("v", pa.int64())])), "lang string, a long, b long, v long")
 
     def _light(self) -> DataFrame:
         """(lang, a, b, v): corrections for two postings of one light term, and of each posting against all other groups."""
@@ -211,10 +213,10 @@ class Audit:
     def pair_values(self) -> DataFrame:
         """(lang, source, item, value) of every ordered pair of sources of a language."""
         sums = self._heavy().unionByName(self._light()).groupBy("lang", "a", "b").agg(F.sum("v").alias("v"))
-        one = self.groups.select("lang", F.col("g").alias("a"), F.col("source").alias("sa"), F.col("zero").alias("za"), (F.col("v") - F.col("n_heavy")).alias("absent"))
+        one = self.groups.select("lang", F.col("g").alias("a"), F.col("source").alias("sa"), F.col("zero").alias("za"), F.col("v").alias("terms"))
         two = self.groups.select("lang", F.col("g").alias("b"), F.col("source").alias("sb"), F.col("zero").alias("zb"))
-        pairs = one.join(two, "lang").where("a < b").join(sums, ["lang", "a", "b"], "left")
-        value = F.coalesce("v", F.lit(0)) + F.col("absent") * gap(F.col("za"), F.col("zb"))
+        pairs = one.join(two, "lang").where("a < b").join(sums.withColumnRenamed("v", "more"), ["lang", "a", "b"], "left")
+        value = F.coalesce("more", F.lit(0)) + F.col("terms") * gap(F.col("za"), F.col("zb"))
         pairs = pairs.withColumn("value", value)
         ends = F.explode(F.array(F.struct(F.col("sa").alias("source"), F.col("sb").alias("item")), F.struct(F.col("sb").alias("source"), F.col("sa").alias("item")))).alias("e")
         return pairs.select("lang", ends, "value").select("lang", "e.source", "e.item", "value")

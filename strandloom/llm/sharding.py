@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, packed
 
 OVERHEAD = 16
-GRAIN = 200
+GRAIN = 50
 EXACT = 1000
 BINS = 1 << 16
 VALUE_BITS, HASH_BITS = 31, 32
