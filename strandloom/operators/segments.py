@@ -1,18 +1,31 @@
 """Segmentation: equivalence classes of copies in blocks, and the cut positions of least height.
 
-Class, size and order come from grouping and windows over the carried edges. The segmentation itself is sequential along a
-chromosome and runs in a grouped-map kernel: a positional prefix sort over the edges, and for each candidate a
-minimum over the candidates where the number of classes changes.
+Classes have rows for carriers only: a copy without a row carries nothing in the block and is of class 0, which stands before all others. So
+tables grow with what is carried, not with copies times blocks.
+
+Cut positions take three steps. Chunks of edges are sorted on their own, and what each does to the order of the copies is joined by
+a scan of composing orders (``orders.prefixes``). Each chunk then starts from its own prefix and lists, for each candidate in it, where
+a block may begin for each number of classes. The recursion over these lists runs along a chromosome and sees candidates only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
+from ..functions.storage import materialise
+from .incidence import unpacked
+from .orders import Order, order_of, prefixes
+
+#: Edges of a chunk whose copies are sorted in one task.
+CHUNK_EDGES = 1024
+#: The recursion first sees blocks of so many classes at most; if the result needs more, of more.
+HEIGHT = 64
 
 
 def cut_candidates(marked: DataFrame, counts: DataFrame) -> DataFrame:
@@ -35,25 +48,39 @@ def block_of_edges(edges: DataFrame, cuts: DataFrame, nodes: DataFrame) -> DataF
     return rows.where("seen > 0 and seen < cuts").select("chrom", "edge", (F.col("seen") - 1).cast("int").alias("block"))
 
 
-def block_signatures(paths: DataFrame, blocks: DataFrame) -> DataFrame:
+def block_signatures(words: DataFrame, blocks: DataFrame) -> DataFrame:
     """(chrom, block, copy, sig): carried edges of a block, highest first; copies that carry none are left out."""
-    rows = paths.select("chrom", "copy", "edge").join(blocks, ["chrom", "edge"])
-    return rows.groupBy("chrom", "block", "copy").agg(F.sort_array(F.collect_set("edge"), asc=False).alias("sig"))
+    rows = unpacked(words.join(blocks, ["chrom", "edge"]))
+    return rows.groupBy("chrom", "block", "copy").agg(F.sort_array(F.collect_list("edge"), asc=False).alias("sig"))
 
 
-def all_signatures(signatures: DataFrame, copies: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The same with an empty signature for every other copy of the block."""
-    grid = copies.select("chrom", "copy").join(blocks.select("chrom", "block").distinct(), "chrom")
-    return grid.join(signatures, ["chrom", "block", "copy"], "left").withColumn("sig", F.coalesce("sig", F.array().cast("array<long>")))
+def _sizes(copies: DataFrame) -> DataFrame:
+    return copies.groupBy("chrom").agg(F.count("*").alias("copies"))
 
 
-def class_counts(signatures: DataFrame) -> DataFrame:
-    return signatures.groupBy("chrom", "block").agg(F.count_distinct("sig").alias("n_classes"))
+def class_counts(signatures: DataFrame, copies: DataFrame, spans: DataFrame) -> DataFrame:
+    """(chrom, block, n_classes) of every block of ``spans``; copies that carry nothing are a class."""
+    own = signatures.groupBy("chrom", "block").agg(F.count_distinct("sig").alias("kinds"), F.count("*").alias("carriers"))
+    rows = spans.select("chrom", "block").join(_sizes(copies), "chrom").join(own, ["chrom", "block"], "left").fillna(0, ["kinds", "carriers"])
+    return rows.select("chrom", "block", (F.col("kinds") + (F.col("carriers") < F.col("copies")).cast("long")).alias("n_classes"))
 
 
-def colex_ranks(signatures: DataFrame) -> DataFrame:
-    """``signatures`` with cls: the class number of the copy in its block, in co-lexicographic order."""
-    return signatures.withColumn("cls", F.dense_rank().over(Window.partitionBy("chrom", "block").orderBy("sig")) - 1)
+def colex_ranks(signatures: DataFrame, copies: DataFrame) -> DataFrame:
+    """``signatures`` with cls: the class number of the copy in its block, in co-lexicographic order; class 0 is for those without a row, if any."""
+    own = Window.partitionBy("chrom", "block")
+    rows = signatures.join(_sizes(copies), "chrom").withColumn("first", (F.count("*").over(own) < F.col("copies")).cast("int"))
+    return rows.withColumn("cls", F.dense_rank().over(own.orderBy("sig")) - 1 + F.col("first")).drop("first", "copies")
+
+
+def class_sizes(classes: DataFrame, copies: DataFrame, spans: DataFrame) -> DataFrame:
+    """(chrom, block, cls, first_copy, size) of every class of every block of ``spans``."""
+    own = classes.groupBy("chrom", "block", F.col("cls").cast("long").alias("cls")).agg(F.min("copy").cast("int").alias("first_copy"), F.count("*").alias("size"))
+    # the first copy without a row: where the k-th carrier is not copy k for the first time
+    rank = F.row_number().over(Window.partitionBy("chrom", "block").orderBy("copy")) - 1
+    held = classes.select("chrom", "block", "copy", rank.alias("k")).groupBy("chrom", "block").agg(F.count("*").alias("n"), F.min(F.when(F.col("copy") > F.col("k"), F.col("k"))).alias("gap"))
+    rest = spans.select("chrom", "block").join(_sizes(copies), "chrom").join(held, ["chrom", "block"], "left").fillna(0, ["n"]).where("n < copies")
+    rest = rest.select("chrom", "block", F.lit(0).cast("long").alias("cls"), F.coalesce("gap", "n").cast("int").alias("first_copy"), (F.col("copies") - F.col("n")).alias("size"))
+    return own.unionByName(rest)
 
 
 # ---------------------------------------------------------------- cut positions
@@ -62,9 +89,8 @@ def colex_ranks(signatures: DataFrame) -> DataFrame:
 class PrefixSort:
     """Order of the copies by their carried edges, latest first, and where each starts to match its predecessor."""
 
-    def __init__(self, copies: int):
-        self.order = np.arange(copies)
-        self.since = np.zeros(copies, np.int64)
+    def __init__(self, copies: int, before: Order | None = None):
+        self.order, self.since = (np.arange(copies), np.zeros(copies, np.int64)) if before is None else before.sorted(copies)
 
     def add(self, edge: int, carriers: np.ndarray) -> None:
         bit = carriers[self.order]
@@ -84,35 +110,41 @@ class PrefixSort:
         starts = np.sort(self.since[1:])
         return 1 + len(starts) - np.searchsorted(starts, edge, side="right")
 
+    def summary(self) -> Order:
+        """What was added, as an order that composes; only for a sort that began with copies that match throughout."""
+        head = np.append(True, self.since[1:] > 0)
+        cls = np.empty(len(self.order), np.int64)
+        cls[self.order] = np.cumsum(head) - 1
+        start = self.since[head]
+        start[0] = 0
+        return Order(cls, start)
+
+    def options(self, j: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+        """(leftmost candidates i before j at which a block with each number of classes may begin, these numbers), up to ``height`` classes.
 
-def best_cuts(nodes: list[int], first_edge: list[int], aln: list[int], sink: int, n_edges: int, carriers: dict[int, np.ndarray], copies: int, distance: int) -> tuple[list[int], int | None]:
-    """(cut nodes, score) of the segmentation whose largest number of classes is least.
+        Places must be numbers of candidates: then a number of classes holds back to the start where it changes.
+        """
+        i = np.unique(np.append(self.since[1:], 0))[::-1]
+        i = i[i < j]
+        classes = self.classes_since(i)
+        return i[classes <= height], classes[classes <= height]
 
-    A block ends at candidate j and starts at candidate i; only the leftmost i of each number of classes counts, and
-    of equal heights the one with fewest classes. The last cut is the sink.
+
+def traced(nodes: list[int], aln: list[int], options: list, sink: int, copies: int, distance: int) -> tuple[list[int], int]:
+    """(cut nodes, score) of the segmentation whose largest number of classes is least, from the options of all candidates but the first.
+
+    Of equal heights the block with fewest classes is taken. The last cut is the sink.
     """
-    if len(nodes) <= 1 or copies == 0:
-        return [], None
-    starts, places = np.array(first_edge), np.array(aln)
-    sort = PrefixSort(copies)
+    places = np.array(aln)
     score, prev = np.full(len(nodes), copies), np.full(len(nodes), -1)
     score[0] = 0
-    done = 0
-    for j in range(1, len(nodes)):
-        for e in range(done, first_edge[j]):
-            row = np.zeros(copies, bool)
-            row[carriers.get(e, [])] = True
-            sort.add(e, row)
-        done = first_edge[j]
-        # a number of classes holds back to the leftmost candidate at or after the start where it changes
-        i = np.searchsorted(starts[:j], np.append(np.unique(sort.since[1:])[::-1], 0))
-        i = i[(i < j) & (np.append(-1, i[:-1]) != i)]
-        i = i[places[j] - places[i] >= distance]
-        if len(i):
-            best = np.maximum(sort.classes_since(starts[i]), score[i])
+    for j, (i, classes) in enumerate(options, 1):
+        far = places[j] - places[i] >= distance
+        if far.any():
+            best = np.maximum(classes[far], score[i[far]])
             k = int(best.argmin())
             if best[k] < score[j]:
-                score[j], prev[j] = best[k], i[k]
+                score[j], prev[j] = best[k], i[far][k]
     out, at = [], len(nodes) - 1
     while at >= 0:
         out.append(nodes[at])
@@ -124,28 +156,86 @@ def best_cuts(nodes: list[int], first_edge: list[int], aln: list[int], sink: int
     return out, int(score[-1])
 
 
-def cut_positions(candidates: DataFrame, paths: DataFrame, copies: DataFrame, nodes: DataFrame, edges: DataFrame, min_distance: int = 0) -> DataFrame:
-    """(chrom, cut_idx, node, score, min_distance), one chromosome a task.
+def _events(candidates: DataFrame, words: DataFrame, copies: DataFrame) -> DataFrame:
+    """Edges and candidates in one table: (chrom, part, late, at, k, node, aln_pos, words, copies).
 
-    Only candidates and one list of copies for each edge go into a task: the walk along a chromosome is sequential.
+    k of a candidate is its number; k of an edge is the number of the first candidate behind it, the place from which on copies match again
+    that the edge tells apart. A candidate stands in the part of the last edge before it.
+    """
+    none = F.lit(None).cast("long")
+    marks = candidates.select("chrom", F.lit(0).alias("late"), F.col("first_edge").cast("long").alias("at"), F.lit(1).cast("long").alias("mark"), F.col("node").cast("long"), F.col("aln_pos").cast("long"), F.lit(None).cast("array<bigint>").alias("words"))
+    edges = words.select("chrom", F.lit(1).alias("late"), F.col("edge").cast("long").alias("at"), F.lit(0).cast("long").alias("mark"), none.alias("node"), none.alias("aln_pos"), "words")
+    rows = prefix_scan(marks.unionByName(edges), ["chrom"], ["at", "late"], F.expr("at div 65536"), [("k", "sum", F.col("mark"))])
+    last = F.when(F.col("late") == 1, F.col("at")).otherwise(F.greatest(F.col("at") - 1, F.lit(0)))
+    rows = rows.withColumns({"part": F.call_function("div", last, F.lit(CHUNK_EDGES).cast("long")), "k": F.col("k") - F.col("mark")})
+    return rows.drop("mark").join(_sizes(copies), "chrom")
+
+
+def _bits(words: pd.Series, copies: int) -> np.ndarray:
+    packed = np.array(words.tolist(), np.int64).view(np.uint8)
+    return np.unpackbits(packed, axis=1, bitorder="little")[:, :copies].astype(bool)
+
+
+def _sort_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the edges of one part do to the order of the copies."""
+    edges = pdf[pdf["late"] == 1].sort_values("at")
+    cls, start = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if len(edges):
+        sort = PrefixSort(int(pdf["copies"].iloc[0]))
+        for k, bits in zip(edges["k"], _bits(edges["words"], len(sort.order)), strict=True):
+            sort.add(k - 1, bits)
+        own = sort.summary()
+        cls, start = own.cls.astype(np.int32), own.start
+    return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "part": [pdf["part"].iloc[0]], "cls": [cls], "start": [start]})
+
+
+def _options_up_to(height: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _list_options(pdf, height)
+
+
+def _list_options(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
+    """Options of the candidates of one part, whose edges are sorted on from what lies before the part (the row with late 2)."""
+    before = pdf[pdf["late"] == 2].iloc[0]
+    rows = pdf[pdf["late"] < 2].sort_values(["at", "late"])
+    copies = int(rows["copies"].iloc[0])
+    sort, out = PrefixSort(copies, order_of(before)), []
+    is_edge = (rows["late"] == 1).to_numpy()
+    bits = iter(_bits(rows["words"][is_edge], copies) if is_edge.any() else [])
+    for r, edge in zip(rows.itertuples(index=False), is_edge, strict=True):
+        if edge:
+            sort.add(r.k - 1, next(bits))
+        else:
+            i, classes = sort.options(int(r.k), height) if r.k else (np.zeros(0, np.int64),) * 2
+            out.append((r.chrom, r.k, r.node, r.aln_pos, copies, i, classes))
+    return pd.DataFrame(out, columns=["chrom", "k", "node", "aln_pos", "copies", "i", "classes"])
+
+
+def cut_positions(candidates: DataFrame, words: DataFrame, copies: DataFrame, nodes: DataFrame, min_distance: int = 0, height: int = HEIGHT) -> DataFrame:
+    """(chrom, cut_idx, node, score, min_distance) of each chromosome with copies and more than one candidate.
+
+    ``words`` has the packed carriers of each edge. A chunk's task holds ``CHUNK_EDGES`` edges and one order; the last step
+    holds the candidates of a chromosome with at most ``height`` options each. Options of more classes can't be part of a result
+    whose score is ``height`` or less; where the score is higher, the options are listed again up to a larger height.
     """
-    size = copies.groupBy("chrom").agg(F.count("*").alias("copies"))
+    kind = nodes.schema["chrom"].dataType.simpleString()
+    events = materialise(_events(candidates, words, copies), "events")
+    parts = events.groupBy("chrom", "part").applyInPandas(_sort_chunk, f"chrom {kind}, part long, cls array<int>, start array<long>")
+    state = prefixes(parts).withColumn("late", F.lit(2))
+    rows = events.unionByName(state, allowMissingColumns=True)
     sink = nodes.groupBy("chrom").agg(F.max("node").alias("sink"))
-    n_edges = edges.groupBy("chrom").agg(F.count("*").alias("n_edges"))
-    none = F.lit(None).cast("array<int>").alias("carriers")
-    meta = sink.join(size, "chrom", "left").join(n_edges, "chrom", "left").select("chrom", F.lit("m").alias("kind"), F.col("sink").alias("a"), F.coalesce("copies", F.lit(0)).cast("long").alias("b"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("c"), none)
-    rows = meta.unionByName(candidates.select("chrom", F.lit("n").alias("kind"), F.col("node").alias("a"), F.col("first_edge").cast("long").alias("b"), F.col("aln_pos").alias("c"), none))
-    held = paths.groupBy("chrom", "edge").agg(F.collect_set(F.col("copy").cast("int")).alias("carriers"))
-    rows = rows.unionByName(held.select("chrom", F.lit("p").alias("kind"), F.col("edge").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "carriers"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        chrom = pdf["chrom"].iloc[0]
-        m = pdf[pdf["kind"] == "m"].iloc[0]
-        n = pdf[pdf["kind"] == "n"].sort_values("a")
-        p = pdf[pdf["kind"] == "p"]
-        carriers = dict(zip(p["a"].tolist(), p["carriers"].tolist(), strict=True))
-        cuts, score = best_cuts(n["a"].tolist(), n["b"].tolist(), n["c"].tolist(), int(m["a"]), int(m["c"]), carriers, int(m["b"]), min_distance)
-        return pd.DataFrame({"chrom": [chrom] * len(cuts), "cut_idx": range(len(cuts)), "node": cuts, "score": [score] * len(cuts), "min_distance": [min_distance] * len(cuts)})
-
-    kind = nodes.schema["chrom"].dataType.simpleString()
-    return rows.groupBy("chrom").applyInPandas(solve, f"chrom {kind}, cut_idx int, node long, score long, min_distance long")
+        pdf = pdf.sort_values("k")
+        first = pdf.iloc[0]
+        cuts, score = [], 0
+        if len(pdf) > 1:
+            cuts, score = traced(pdf["node"].tolist(), pdf["aln_pos"].tolist(), list(zip(pdf["i"], pdf["classes"], strict=True))[1:], int(first["sink"]), int(first["copies"]), min_distance)
+        return pd.DataFrame([(first["chrom"], i, node, score, min_distance) for i, node in enumerate(cuts)], columns=["chrom", "cut_idx", "node", "score", "min_distance"])
+
+    most = copies.groupBy("chrom").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        listed = rows.groupBy("chrom", "part").applyInPandas(_options_up_to(height), f"chrom {kind}, k long, node long, aln_pos long, copies long, i array<long>, classes array<long>")
+        cuts = materialise(listed.join(sink, "chrom").groupBy("chrom").applyInPandas(solve, f"chrom {kind}, cut_idx int, node long, score long, min_distance long"), "cuts")
+        if height >= most or (cuts.agg(F.max("score")).first()[0] or 0) <= height:
+            return cuts
+        height *= 8

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import founder_name, haplotype_name, sequence_id
 from ..functions.storage import materialise
 from ..operators import graph as g
-from ..operators import matching, paths, regions, segments, sinks, walk
+from ..operators import incidence, matching, paths, regions, segments, sinks, walk
 from ..sources import readers
 
 
@@ -142,6 +142,11 @@ class Graph:
 
     # ---- sequences
 
+    @cached_property
+    def carried(self) -> DataFrame:
+        """(chrom, edge, words): the carriers of each edge as packed bits."""
+        return materialise(incidence.edge_words(self.paths, self.copies), "carried")
+
     @cached_property
     def taken(self) -> DataFrame:
         return materialise(paths.taken_edges(self.paths), "taken")
@@ -177,7 +182,7 @@ class Graph:
 
     def cut_positions(self, min_distance: int = 0) -> DataFrame:
         candidates = segments.cut_candidates(self.nodes, g.edge_counts(self.nodes, self.edges))
-        return materialise(segments.cut_positions(candidates, self.paths, self.copies, self.nodes, self.edges, min_distance), "cuts")
+        return segments.cut_positions(candidates, self.carried, self.copies, self.nodes, min_distance)
 
     def check_cuts(self, cuts: DataFrame) -> DataFrame:
         """``cuts`` as loaded from a file, if each is a bridge of its chromosome, and its first and last nodes are cuts."""
@@ -199,8 +204,8 @@ class Graph:
         """(chrom, block, founder, copy) by greedy matching."""
         blocks = segments.block_of_edges(self.edges, cuts, self.nodes)
         spans = cuts.groupBy("chrom").agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0").select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-        sigs = segments.all_signatures(segments.block_signatures(self.paths, blocks), self.copies, spans)
-        return materialise(matching.founder_assignments(segments.colex_ranks(sigs), self.paths, blocks, self.copies, founders, keep_ref), "assignments")
+        classes = materialise(segments.colex_ranks(segments.block_signatures(self.carried, blocks), self.copies).drop("sig"), "classes")
+        return materialise(matching.founder_assignments(classes, self.carried, blocks, spans, self.copies, founders, keep_ref), "assignments")
 
     def founder_rows(self, cuts: DataFrame, assignments: DataFrame, *, aligned: bool = True, reference: bool = True, chromosome: str | None = None) -> DataFrame:
         """msa of the founders: each block's text of the assigned copy, or of the reference.

