@@ -435,9 +435,18 @@ def label_abbreviation(spark, sf):
     return rows.withColumn("label", label).select("chrom", "variant_idx", abbreviated(F.col("label")).alias("label"))
 
 
-@query()
+# A region starts at the rank that its aligned start has among a copy's own characters: a running sum over the copy's pieces, found by an as-of join.
+_REGIONS = """
+ranked_parts as (select chrom, copy, aln, text, sum(length(text)) over (partition by chrom, copy order by aln, width) - length(text) as before from parts where width > 0),
+bare as materialized (select chrom, copy, string_agg(text, '' order by aln) as t from ranked_parts group by 1, 2),
+asked as (select a.chrom, c.copy, 'r' || v.vid as name, a.aln_pos as at from v join aligned a on a.chrom = v.chrom and a.ref_pos = v.pos join copies c on c.chrom = v.chrom),
+placed as (select q.chrom, q.copy, q.name, p.before + least(q.at - p.aln, length(p.text)) as r0 from asked q asof join ranked_parts p on p.chrom = q.chrom and p.copy = q.copy and q.at >= p.aln)
+"""
+
+
+@query("select p.chrom, p.name, p.copy::int as copy, b.t[p.r0::bigint + 1 : p.r0::bigint + 20] as text from placed p join bare b using (chrom, copy)", _ALIGNED, _TAKEN, _PIECES, _REGIONS)
 def region_extract(spark, sf):
-    """Regions from all records, of all copies. A brute-force test stands in for SQL, which is too slow on whole tables."""
+    """Regions from all records, of all copies."""
     graph = derived.graph(spark, sf)
     bed = derived.variants(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"), F.concat(F.lit("r"), F.col("variant_idx").cast("string")).alias("name"))
     msa = graph.copy_texts().withColumn("seq_id", F.col("copy").cast("int"))
