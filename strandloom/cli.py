@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import sinks
+from .operators.outputs import Listener, Output
 from .plans.graph import Graph
 from .sources import readers
 
@@ -62,8 +63,9 @@ def check(a: argparse.Namespace, p: argparse.ArgumentParser) -> None:
         p.error("--minimum-distance can't be negative")
     if a.minimum_distance is not None and a.input_cut_positions:
         p.error("--minimum-distance and --input-cut-positions exclude each other")
-    if a.output_graph and a.input_graph:
-        p.error("--output-graph needs --input-variants")
+    for name in ("output_graph", "output_overlaps"):
+        if getattr(a, name) and a.input_graph:
+            p.error(f"--{name.replace('_', '-')} needs --input-variants")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -75,6 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.show_invocation:
         print("Invocation:", " ".join(sys.argv if argv is None else ["strandloom", *argv]), file=sys.stderr)
     spark = spark or SparkSession.builder.appName("strandloom").getOrCreate()
+    listener = Listener()
     if a.input_graph:
         saved = Graph.saved_chromosomes(spark, a.input_graph)
         if a.chromosome is None and len(saved) != 1:
@@ -85,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         graph = Graph.load(spark, a.input_graph, readers.read_fasta(spark, a.input_reference, chrom, record=a.reference_sequence))
     else:
         graph = Graph.from_files(
-            spark, a.input_reference, a.input_variants, a.chromosome, record=a.reference_sequence, include=a.include_samples, exclude=a.exclude_samples, on_mismatch="error" if a.ref_mismatch_handling == "error" else "warn"
+            spark, a.input_reference, a.input_variants, a.chromosome, record=a.reference_sequence, include=a.include_samples, exclude=a.exclude_samples, on_mismatch="error" if a.ref_mismatch_handling == "error" else "warn", listener=listener
         )
         log.info("handled records: %s, of other chromosomes: %s, with another REF: %s", *(graph.stats.get(k) for k in ("handled", "chrom_mismatches", "ref_mismatches")))
         for r in graph.copies.orderBy("copy").toLocalIterator() if a.verbose and (a.include_samples or a.exclude_samples) else ():
@@ -105,14 +108,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.output_memory_breakdown:
         with open(a.output_memory_breakdown, "w") as out:
             out.writelines(f"{r['part']}\t{r['rows']}\t{r['bytes']}\n" for r in graph.sizes().collect())
-    how = {"aligned": not a.unaligned, "reference": not a.omit_reference, "chromosome": a.dst_chromosome}
+    output = Output("haplotypes" if a.haplotypes else "founders", not a.unaligned, not a.omit_reference, a.dst_chromosome, a.pipe, listener)
     if a.haplotypes:
-        msa = graph.haplotypes(**how)
+        msa = output.rows(graph)
     elif a.founder_sequences:
         if a.input_cut_positions:
             cuts = graph.load_cuts(a.input_cut_positions)
         else:
-            cuts = graph.cut_positions(a.minimum_distance or 0)
+            cuts = graph.cut_positions(a.minimum_distance or 0, listener)
         top = cuts.agg(F.max("score")).first()[0]
         print(f"Maximum segmentation height: {'-' if top is None else top + 1}")
         if a.output_cut_positions:
@@ -122,15 +125,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             log.info("cut %s at node %s", r["cut_idx"], r["node"])
         for r in matched.orderBy("chrom", "block", "founder").toLocalIterator() if a.verbose else ():
             log.info("block %s, founder %s: %s", r["block"], r["founder"] + 1, "REF" if r["copy"] is None else f"copy {r['copy']}")
-        msa = graph.founder_rows(cuts, matched, **how)
+        msa = output.rows(graph, cuts=cuts, assignments=matched)
     else:
         return
     if a.output_sequences_a2m:
-        sinks.write_a2m(msa, a.output_sequences_a2m, a.pipe)
+        output.a2m(msa, a.output_sequences_a2m)
     if a.output_sequences_parts:
-        sinks.write_a2m_parts(msa, a.output_sequences_parts)
+        output.parts(msa, a.output_sequences_parts)
     if a.output_sequences_separate:
-        sinks.write_separate(msa, a.output_sequences_separate, chromosome=a.dst_chromosome, a2m=a.separate_output_format == "A2M", aligned=not a.unaligned, command=a.pipe).count()
+        output.separate(msa, a.output_sequences_separate, a2m=a.separate_output_format == "A2M")
 
 
 if __name__ == "__main__":

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
+from ..functions.progress import Counter
 from ..functions.storage import materialise
 from .incidence import unpacked
 from .orders import Order, order_of, prefixes
@@ -166,9 +167,12 @@ def _events(candidates: DataFrame, words: DataFrame, copies: DataFrame) -> DataF
     marks = candidates.select("chrom", F.lit(0).alias("late"), F.col("first_edge").cast("long").alias("at"), F.lit(1).cast("long").alias("mark"), F.col("node").cast("long"), F.col("aln_pos").cast("long"), F.lit(None).cast("array<bigint>").alias("words"))
     edges = words.select("chrom", F.lit(1).alias("late"), F.col("edge").cast("long").alias("at"), F.lit(0).cast("long").alias("mark"), none.alias("node"), none.alias("aln_pos"), "words")
     rows = prefix_scan(marks.unionByName(edges), ["chrom"], ["at", "late"], F.expr("at div 65536"), [("k", "sum", F.col("mark"))])
+    rows = prefix_scan(rows, ["chrom"], ["at", "late"], F.expr("at div 65536"), [("seen", "max", F.col("node"))], inclusive=False)
     last = F.when(F.col("late") == 1, F.col("at")).otherwise(F.greatest(F.col("at") - 1, F.lit(0)))
+    # nodes behind the candidate before, up to this one
+    rows = rows.withColumn("behind", F.when(F.col("late") == 0, F.col("node") - F.coalesce("seen", F.lit(-1))))
     rows = rows.withColumns({"part": F.call_function("div", last, F.lit(CHUNK_EDGES).cast("long")), "k": F.col("k") - F.col("mark")})
-    return rows.drop("mark").join(_sizes(copies), "chrom")
+    return rows.drop("mark", "seen").join(_sizes(copies), "chrom")
 
 
 def _bits(words: pd.Series, copies: int) -> np.ndarray:
@@ -189,8 +193,14 @@ def _sort_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "part": [pdf["part"].iloc[0]], "cls": [cls], "start": [start]})
 
 
-def _options_up_to(height: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: _list_options(pdf, height)
+def _options_up_to(height: int, count: Counter | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def listed(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _list_options(pdf, height)
+        if count and len(out):  # nodes from the candidate before the part's first to its last
+            count.add(int(out["behind"].sum()))
+        return out.drop(columns="behind")
+
+    return listed
 
 
 def _list_options(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
@@ -206,16 +216,17 @@ def _list_options(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
             sort.add(r.k - 1, next(bits))
         else:
             i, classes = sort.options(int(r.k), height) if r.k else (np.zeros(0, np.int64),) * 2
-            out.append((r.chrom, r.k, r.node, r.aln_pos, copies, i, classes))
-    return pd.DataFrame(out, columns=["chrom", "k", "node", "aln_pos", "copies", "i", "classes"])
+            out.append((r.chrom, r.k, r.node, r.aln_pos, copies, i, classes, r.behind))
+    return pd.DataFrame(out, columns=["chrom", "k", "node", "aln_pos", "copies", "i", "classes", "behind"])
 
 
-def cut_positions(candidates: DataFrame, words: DataFrame, copies: DataFrame, nodes: DataFrame, min_distance: int = 0, height: int = HEIGHT) -> DataFrame:
+def cut_positions(candidates: DataFrame, words: DataFrame, copies: DataFrame, nodes: DataFrame, min_distance: int = 0, height: int = HEIGHT, count: Counter | None = None) -> DataFrame:
     """(chrom, cut_idx, node, score, min_distance) of each chromosome with copies and more than one candidate.
 
     ``words`` has the packed carriers of each edge. A chunk's task holds ``CHUNK_EDGES`` edges and one order; the last step
     holds the candidates of a chromosome with at most ``height`` options each. Options of more classes can't be part of a result
-    whose score is ``height`` or less; where the score is higher, the options are listed again up to a larger height.
+    whose score is ``height`` or less; where the score is higher, the options are listed again up to a larger height. ``count`` hears of the
+    nodes that are done while the job runs.
     """
     kind = nodes.schema["chrom"].dataType.simpleString()
     events = materialise(_events(candidates, words, copies), "events")
@@ -234,8 +245,9 @@ def cut_positions(candidates: DataFrame, words: DataFrame, copies: DataFrame, no
 
     most = copies.groupBy("chrom").count().agg(F.max("count")).first()[0] or 0
     while True:
-        listed = rows.groupBy("chrom", "part").applyInPandas(_options_up_to(height), f"chrom {kind}, k long, node long, aln_pos long, copies long, i array<long>, classes array<long>")
+        listed = rows.groupBy("chrom", "part").applyInPandas(_options_up_to(height, count), f"chrom {kind}, k long, node long, aln_pos long, copies long, i array<long>, classes array<long>")
         cuts = materialise(listed.join(sink, "chrom").groupBy("chrom").applyInPandas(solve, f"chrom {kind}, cut_idx int, node long, score long, min_distance long"), "cuts")
+        count = None  # a second search is not told again
         if height >= most or (cuts.agg(F.max("score")).first()[0] or 0) <= height:
             return cuts
         height *= 8

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -10,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import founder_name, haplotype_name, sequence_id
+from ..functions.progress import Counter, Records, watched
 from ..functions.storage import materialise
 from ..operators import graph as g
 from ..operators import incidence, matching, paths, regions, segments, sinks, walk
+from ..operators.outputs import Listener
 from ..sources import readers
 
-
 log = logging.getLogger("strandloom")
 
 
@@ -86,15 +88,18 @@ class Graph:
         return cls(reference, nodes, edges, materialise(paths.carried_edges(chosen, copies, edges), "paths"), copies, variants, chunk, stats, wrong)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, fasta: str, vcf: str, chrom: str, *, record: str | None = None, include: str | None = None, exclude: str | None = None, on_mismatch: str = "warn", chunk: int = readers.CHUNK, keep: Column | None = None) -> Graph:
+    def from_files(cls, spark: SparkSession, fasta: str, vcf: str, chrom: str, *, record: str | None = None, include: str | None = None, exclude: str | None = None, on_mismatch: str = "warn", chunk: int = readers.CHUNK, keep: Column | None = None, listener: Listener | None = None) -> Graph:
         if include and exclude:
             raise ValueError("samples can be included or excluded, not both")
-        variants, genotypes, names = readers.read_vcf(spark, vcf, chrom)
-        variants, genotypes = materialise(variants, "variants"), materialise(genotypes, "genotypes")  # one parse of the text
+        file = readers.VcfFile(spark, vcf)
+        with watched(Records(spark), listener.RECORDS, listener.handled_records) if listener else nullcontext():
+            records, seen = file.records(chrom)
+            records = materialise(records, "records")  # the one parse of the text
+        variants, genotypes, names = readers.variants(records), readers.genotypes(records), file.names()
         bases = materialise(readers.read_fasta(spark, fasta, chrom, record=record, chunk=chunk), "reference")
         listed = readers.read_sample_list(spark, include or exclude, chrom) if include or exclude else None
         out = cls.build(bases, variants, genotypes, names, listed=listed, exclude=bool(exclude), on_mismatch=on_mismatch, chunk=chunk, keep=keep)
-        out.stats["chrom_mismatches"] = readers.record_counts(spark, vcf).where(F.col("chrom") != chrom).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+        out.stats["chrom_mismatches"] = seen.get["others"] or 0
         return out
 
     #: How many mismatching records are logged one by one.
@@ -180,9 +185,14 @@ class Graph:
 
     # ---- founders
 
-    def cut_positions(self, min_distance: int = 0) -> DataFrame:
+    def cut_positions(self, min_distance: int = 0, listener: Listener | None = None) -> DataFrame:
+        """Cut positions of least height; ``listener`` hears of the nodes while they are handled."""
         candidates = segments.cut_candidates(self.nodes, g.edge_counts(self.nodes, self.edges))
-        return segments.cut_positions(candidates, self.carried, self.copies, self.nodes, min_distance)
+        if listener is None:
+            return segments.cut_positions(candidates, self.carried, self.copies, self.nodes, min_distance)
+        count = Counter(self.nodes.sparkSession)
+        with watched(count, listener.NODES, listener.handled_node, self.nodes.count()):
+            return segments.cut_positions(candidates, self.carried, self.copies, self.nodes, min_distance, count=count)
 
     def check_cuts(self, cuts: DataFrame) -> DataFrame:
         """``cuts`` as loaded from a file, if each is a bridge of its chromosome, and its first and last nodes are cuts."""

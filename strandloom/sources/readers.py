@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
+from ..functions.storage import materialise
 
 CHUNK = 1 << 16
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): 1-based physical line numbers, whatever way the file was split."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, id): lines with the split that they are in; ids rise by one from line to line of a split."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+
+
+def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, line, value) from lines and the number of lines and the first id of each split."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sizes = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return lines.join(sizes, ["file", "block"]).select("file", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): 1-based physical line numbers, whatever way the file was split."""
+    lines = _split_lines(spark, path)
+    return _numbered(lines, lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+
+
 def read_fasta(spark: SparkSession, path: str, chrom: str | None = None, *, record: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """reference(chrom, chunk_no, start, bases): the named record (the first if none is named).
 
@@ -51,35 +61,75 @@ def alt_kind(text: Column) -> Column:
     return F.when(text == "<DEL>", "DEL").when(text.rlike("^[A-Za-z]+$"), "NONE").otherwise("OTHER")
 
 
+class VcfFile:
+    """A VCF file: an index of it from one counting pass, and records from one parse.
+
+    The index has a row for each (file, split, chromosome): lines and first line id, so that line numbers are exact however the file is
+    split. It also holds the header line. The parse observes what it handles and passes over, so no further pass counts that.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        v = F.col("value")
+        kind = F.when(v.startswith("#") | (F.length(F.trim(v)) == 0), F.lit(None)).otherwise(F.substring_index("value", "\t", 1))
+        lines = _split_lines(spark, path).select("file", "block", "id", kind.alias("chrom"), F.when(v.startswith("#CHROM"), v).alias("head"))
+        self.index = materialise(lines.groupBy("file", "block", "chrom").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("head").alias("head")), "vcf-index")
+
+    def samples(self) -> list[str]:
+        head = self.index.where("head is not null").select("head").first()
+        if head is None:
+            raise ValueError(f"{self.path}: no header line")
+        return head["head"].split("\t")[9:]
+
+    def names(self) -> DataFrame:
+        return self.spark.createDataFrame(list(enumerate(self.samples())), "sample_idx int, name string")
+
+    def counts(self) -> DataFrame:
+        """(chrom, records): what a choice of chromosome handles and what it passes over."""
+        return self.index.where("chrom is not null").groupBy("chrom").agg(F.sum("n").alias("records"))
+
+    def records(self, chrom: str | None = None) -> tuple[DataFrame, Observation]:
+        """(records of the chosen chromosome, an observation of ``handled`` and ``others`` that the first action on them fills)."""
+        n = max(1, len(self.samples()))
+        blocks = self.index.groupBy("file", "block").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        lines = _numbered(_split_lines(self.spark, self.path), blocks)
+        rows = lines.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).withColumn("f", F.split("value", "\t"))
+        own = F.lit(True) if chrom is None else F.get("f", F.lit(0)) == chrom
+        seen = Observation()
+        rows = rows.observe(seen, F.count_if(own).alias("handled"), F.count_if(~own).alias("others")).where(own)
+        alts = F.transform(F.split(F.get("f", F.lit(4)), ","), lambda t, i: F.struct((i + 1).cast("int").alias("idx"), t.alias("text"), alt_kind(t).alias("kind")))
+        place = F.array_position(F.split(F.get("f", F.lit(8)), ":"), "GT")
+        place = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": no GT"))))
+        records = rows.select(
+            F.get("f", F.lit(0)).alias("chrom"), F.col("line").alias("variant_idx"), F.col("line").alias("lineno"), (F.get("f", F.lit(1)).cast("long") - 1).alias("pos"), F.split(F.get("f", F.lit(2)), ";").alias("ids"),
+            F.get("f", F.lit(3)).alias("ref"), alts.alias("alts"), place.cast("int").alias("gt"), F.slice("f", 10, n).alias("calls"),
+        )
+        return records, seen
+
+
+def variants(records: DataFrame) -> DataFrame:
+    return records.select("chrom", "variant_idx", "lineno", "pos", "ids", "ref", "alts")
+
+
+def genotypes(records: DataFrame) -> DataFrame:
+    """(chrom, variant_idx, sample_idx, copy_idx, allele) in long form; a missing allele is null."""
+    calls = records.select("chrom", "variant_idx", "gt", F.posexplode("calls").alias("sample_idx", "call"))
+    calls = calls.select("chrom", "variant_idx", "sample_idx", F.posexplode(F.split(F.get(F.split("call", ":"), F.col("gt") - 1), "[|/]")).alias("copy_idx", "a"))
+    return calls.select("chrom", "variant_idx", "sample_idx", "copy_idx", F.when(F.col("a") != ".", F.col("a").cast("int")).alias("allele"))
+
+
 def read_vcf(spark: SparkSession, path: str, chrom: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variants, genotypes, names): records in file order with 0-based positions, genotypes in long form.
 
     A record on the chosen chromosome without GT is an error. Sample columns beyond the header are ignored.
     """
-    lines = numbered_lines(spark, path)
-    header = lines.where(F.col("value").startswith("#CHROM")).select("value").first()
-    if header is None:
-        raise ValueError(f"{path}: no header line")
-    samples = header["value"].split("\t")[9:]
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).withColumn("f", f)
-    if chrom is not None:
-        rows = rows.where(F.get("f", F.lit(0)) == chrom)
-    alts = F.transform(F.split(F.get("f", F.lit(4)), ","), lambda t, i: F.struct((i + 1).cast("int").alias("idx"), t.alias("text"), alt_kind(t).alias("kind")))
-    variants = rows.select(F.get("f", F.lit(0)).alias("chrom"), F.col("line").alias("variant_idx"), F.col("line").alias("lineno"), (F.get("f", F.lit(1)).cast("long") - 1).alias("pos"), F.split(F.get("f", F.lit(2)), ";").alias("ids"), F.get("f", F.lit(3)).alias("ref"), alts.alias("alts"))
-    place = F.array_position(F.split(F.get("f", F.lit(8)), ":"), "GT")
-    place = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": no GT"))))
-    calls = rows.select(F.get("f", F.lit(0)).alias("chrom"), F.col("line").alias("variant_idx"), place.cast("int").alias("gt"), F.posexplode(F.slice("f", 10, max(1, len(samples)))).alias("sample_idx", "call"))
-    calls = calls.select("chrom", "variant_idx", "sample_idx", F.posexplode(F.split(F.get(F.split("call", ":"), F.col("gt") - 1), "[|/]")).alias("copy_idx", "a"))
-    genotypes = calls.select("chrom", "variant_idx", "sample_idx", "copy_idx", F.when(F.col("a") != ".", F.col("a").cast("int")).alias("allele"))
-    names = spark.createDataFrame(list(enumerate(samples)), "sample_idx int, name string")
-    return variants, genotypes, names
+    file = VcfFile(spark, path)
+    records, _ = file.records(chrom)
+    return variants(records), genotypes(records), file.names()
 
 
 def record_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, records) of a VCF file: what a choice of chromosome handles and what it passes over."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0))
-    return rows.groupBy(F.substring_index("value", "\t", 1).alias("chrom")).agg(F.count("*").alias("records"))
+    return VcfFile(spark, path).counts()
 
 
 def read_sample_list(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
