@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import abbreviated, file_name, haplotype_name
 from ..operators import graph as g
 from ..operators import incidence, matching, paths, regions, segments, walk
-from ..sources import readers
+from ..sources import datasource, readers
 from . import derived, founder_sql
 from .graph import Graph
 
@@ -127,6 +127,20 @@ def vcf_genotypes(spark, sf):
     return rows.select("chrom", F.col("variant_idx").alias("lineno"), "sample_idx", "copy_idx", "allele")
 
 
+@query("select name as chrom, lineno, pos, 'v' || vid as id, ref, listed::bigint as n_alt from lined where name = '3'", _FILE)
+def vcf_source(spark, sf):
+    """One chromosome of a VCF file through the data source, in ranges of 64 kB; the choice is pushed down."""
+    rows = datasource.vcf_records(spark, derived.vcf_file(spark, sf), "3", split=1 << 16)
+    return rows.select("chrom", "lineno", "pos", F.array_join("ids", ";").alias("id"), "ref", F.size("alts").cast("long").alias("n_alt"))
+
+
+@query(f"select 'c' || chrom as chrom, (p // {derived.CHUNK})::int as chunk_no, count(*) as n_chars, md5(string_agg({_ACGT}, '' order by p)) as text_md5 from (select chrom, unnest(range(n)) as p from lens) group by 1, 2")
+def fasta_source(spark, sf):
+    """Every record of a FASTA file through the data source, in ranges of 64 kB."""
+    rows = datasource.fasta_reference(spark, derived.fasta_file(spark, sf), chunk=derived.CHUNK, split=1 << 16)
+    return _digest(rows.withColumnRenamed("bases", "text"), "chrom", "chunk_no")
+
+
 @query("select c.name as chrom, count(*) filter (v.chrom = c.chrom) as handled, count(*) filter (v.chrom <> c.chrom) as mismatches from v, (select distinct chrom, chrom::varchar as name from v) c group by 1")
 def chrom_filter_stats(spark, sf):
     """What a choice of each chromosome of the file handles and passes over."""

@@ -48,6 +48,11 @@ def read_fasta(spark: SparkSession, path: str, chrom: str | None = None, *, reco
         body = body.where(F.col("line") < following)
     body = body.select("line", F.regexp_replace("value", r"\s+", "").alias("bases")).withColumn("n", F.length("bases").cast("long"))
     body = prefix_scan(body.withColumn("chrom", F.lit(chrom or own["name"])), ["chrom"], ["line"], F.expr("line div 65536"), [("start", "sum", F.col("n"))], inclusive=False).where("n > 0")
+    return rechunked(body, chunk)
+
+
+def rechunked(body: DataFrame, chunk: int) -> DataFrame:
+    """(chrom, chunk_no, start, bases) in chunks of one size, from pieces (chrom, start, n, bases) of any size."""
     pieces = body.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(start + n - 1) div {chunk}"))))
     lo = F.greatest(F.lit(0), F.col("chunk_no") * chunk - F.col("start"))
     hi = F.least(F.col("n"), (F.col("chunk_no") + 1) * chunk - F.col("start"))
