@@ -53,11 +53,10 @@ def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def mark_bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with is_bridge (no edge jumps over the node) and bubble (of the node that ends in it)."""
     reach = edges.groupBy("chrom", F.col("src").alias("node")).agg(F.max("dst").alias("reach"))
-    rows = nodes.join(reach, ["chrom", "node"], "left")
-    bucket = F.expr("node div 65536")
-    rows = prefix_scan(rows, ["chrom"], ["node"], bucket, [("far", "max", F.col("reach"))], inclusive=False)
+    rows = nodes.join(reach, ["chrom", "node"], "left").withColumn("_part", F.expr("node div 65536"))
+    rows = prefix_scan(rows, ["chrom"], ["node"], "_part", [("far", "max", F.col("reach"))], inclusive=False)
     rows = rows.withColumn("is_bridge", F.coalesce(F.col("far") <= F.col("node"), F.lit(True))).drop("far", "reach")
-    return prefix_scan(rows, ["chrom"], ["node"], bucket, [("bubble", "sum", F.col("is_bridge").cast("long"))], inclusive=False)
+    return prefix_scan(rows, ["chrom"], ["node"], "_part", [("bubble", "sum", F.col("is_bridge").cast("long"))], inclusive=False).drop("_part")
 
 
 def _fold(deltas, ins):

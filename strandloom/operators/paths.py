@@ -58,8 +58,8 @@ def taken_edges(paths: DataFrame) -> DataFrame:
 
     Only stretches of overlapping edges depend on each other; each is folded on its own.
     """
-    by, order, bucket = ["chrom", "copy"], ["src", "edge"], F.expr("src div 65536")
-    rows = prefix_scan(paths.select("chrom", "copy", "edge", "src", "dst"), by, order, bucket, [("far", "max", F.col("dst"))], inclusive=False)
+    by, order, bucket = ["chrom", "copy"], ["src", "edge"], "_part"
+    rows = prefix_scan(paths.select("chrom", "copy", "edge", "src", "dst", F.expr("src div 65536").alias(bucket)), by, order, bucket, [("far", "max", F.col("dst"))], inclusive=False)
     rows = rows.withColumn("opens", F.coalesce(F.col("far") <= F.col("src"), F.lit(True)).cast("long"))
     rows = prefix_scan(rows, by, order, bucket, [("island", "sum", F.col("opens"))])
     groups = rows.groupBy("chrom", "copy", "island").agg(F.sort_array(F.collect_list(F.struct("src", "edge", "dst"))).alias("g"))

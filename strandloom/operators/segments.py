@@ -21,7 +21,7 @@ from ..functions.prefix import prefix_scan
 from ..functions.progress import Counter
 from ..functions.storage import materialise
 from .incidence import unpacked
-from .orders import Order, order_of, prefixes
+from .orders import NONE, Order, order_of, prefixes
 
 #: Edges of a chunk whose copies are sorted in one task.
 CHUNK_EDGES = 1024
@@ -87,48 +87,33 @@ def class_sizes(classes: DataFrame, copies: DataFrame, spans: DataFrame) -> Data
 # ---------------------------------------------------------------- cut positions
 
 
-class PrefixSort:
-    """Order of the copies by their carried edges, latest first, and where each starts to match its predecessor."""
-
-    def __init__(self, copies: int, before: Order | None = None):
-        self.order, self.since = (np.arange(copies), np.zeros(copies, np.int64)) if before is None else before.sorted(copies)
-
-    def add(self, edge: int, carriers: np.ndarray) -> None:
-        bit = carriers[self.order]
-        since = []
-        for value in (False, True):
-            # a copy matches the last copy with its own bit since the latest start in between
-            at = np.flatnonzero(bit == value)
-            if len(at):
-                latest = np.maximum.reduceat(self.since[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
-                latest[0] = max(latest[0], edge + 1)
-                since.append(latest)
-        self.order = np.concatenate([self.order[~bit], self.order[bit]])
-        self.since = np.concatenate(since)
-
-    def classes_since(self, edge) -> np.ndarray:
-        """Number of distinct carried sets among the edges from ``edge`` on (one number, or an array of them)."""
-        starts = np.sort(self.since[1:])
-        return 1 + len(starts) - np.searchsorted(starts, edge, side="right")
-
-    def summary(self) -> Order:
-        """What was added, as an order that composes; only for a sort that began with copies that match throughout."""
-        head = np.append(True, self.since[1:] > 0)
-        cls = np.empty(len(self.order), np.int64)
-        cls[self.order] = np.cumsum(head) - 1
-        start = self.since[head]
-        start[0] = 0
-        return Order(cls, start)
-
-    def options(self, j: int, height: int) -> tuple[np.ndarray, np.ndarray]:
-        """(leftmost candidates i before j at which a block with each number of classes may begin, these numbers), up to ``height`` classes.
-
-        Places must be numbers of candidates: then a number of classes holds back to the start where it changes.
-        """
-        i = np.unique(np.append(self.since[1:], 0))[::-1]
-        i = i[i < j]
-        classes = self.classes_since(i)
-        return i[classes <= height], classes[classes <= height]
+def stretch(bits: np.ndarray, places: np.ndarray) -> Order:
+    """What edges do to the order of the copies: ``bits`` has a row for each edge, ``places`` where copies match again behind each.
+
+    Copies are compared by their carried edges, latest first, as rows of bytes; neighbouring classes match behind the latest edge in which they differ.
+    """
+    if not len(bits):
+        return NONE
+    rows = np.ascontiguousarray(np.packbits(bits[::-1].T, axis=1))
+    kept, cls = np.unique(rows.view(np.dtype((np.void, rows.shape[1])))[:, 0], return_inverse=True)
+    kept = kept.view(np.uint8).reshape(len(kept), -1)
+    start = np.zeros(len(kept), np.int64)
+    if len(kept) > 1:
+        apart = np.unpackbits(kept[1:] ^ kept[:-1], axis=1).argmax(axis=1)
+        start[1:] = places[len(bits) - 1 - apart]
+    return Order(cls, start)
+
+
+def options(order: Order, j: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leftmost candidates i before j at which a block with each number of classes may begin, these numbers), up to ``height`` classes.
+
+    Places are numbers of candidates: a number of classes holds back to the start where it changes.
+    """
+    starts = np.sort(order.start[1:])
+    i = np.unique(np.append(starts, 0))[::-1]
+    i = i[i < j]
+    classes = 1 + len(starts) - np.searchsorted(starts, i, side="right")
+    return i[classes <= height], classes[classes <= height]
 
 
 def traced(nodes: list[int], aln: list[int], options: list, sink: int, copies: int, distance: int) -> tuple[list[int], int]:
@@ -166,13 +151,14 @@ def _events(candidates: DataFrame, words: DataFrame, copies: DataFrame) -> DataF
     none = F.lit(None).cast("long")
     marks = candidates.select("chrom", F.lit(0).alias("late"), F.col("first_edge").cast("long").alias("at"), F.lit(1).cast("long").alias("mark"), F.col("node").cast("long"), F.col("aln_pos").cast("long"), F.lit(None).cast("array<bigint>").alias("words"))
     edges = words.select("chrom", F.lit(1).alias("late"), F.col("edge").cast("long").alias("at"), F.lit(0).cast("long").alias("mark"), none.alias("node"), none.alias("aln_pos"), "words")
-    rows = prefix_scan(marks.unionByName(edges), ["chrom"], ["at", "late"], F.expr("at div 65536"), [("k", "sum", F.col("mark"))])
-    rows = prefix_scan(rows, ["chrom"], ["at", "late"], F.expr("at div 65536"), [("seen", "max", F.col("node"))], inclusive=False)
+    rows = marks.unionByName(edges).withColumn("_part", F.expr("at div 65536"))
+    rows = prefix_scan(rows, ["chrom"], ["at", "late"], "_part", [("k", "sum", F.col("mark"))])
+    rows = prefix_scan(rows, ["chrom"], ["at", "late"], "_part", [("seen", "max", F.col("node"))], inclusive=False)
     last = F.when(F.col("late") == 1, F.col("at")).otherwise(F.greatest(F.col("at") - 1, F.lit(0)))
     # nodes behind the candidate before, up to this one
     rows = rows.withColumn("behind", F.when(F.col("late") == 0, F.col("node") - F.coalesce("seen", F.lit(-1))))
     rows = rows.withColumns({"part": F.call_function("div", last, F.lit(CHUNK_EDGES).cast("long")), "k": F.col("k") - F.col("mark")})
-    return rows.drop("mark", "seen").join(_sizes(copies), "chrom")
+    return rows.drop("mark", "seen", "_part").join(_sizes(copies), "chrom")
 
 
 def _bits(words: pd.Series, copies: int) -> np.ndarray:
@@ -183,14 +169,8 @@ def _bits(words: pd.Series, copies: int) -> np.ndarray:
 def _sort_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     """What the edges of one part do to the order of the copies."""
     edges = pdf[pdf["late"] == 1].sort_values("at")
-    cls, start = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    if len(edges):
-        sort = PrefixSort(int(pdf["copies"].iloc[0]))
-        for k, bits in zip(edges["k"], _bits(edges["words"], len(sort.order)), strict=True):
-            sort.add(k - 1, bits)
-        own = sort.summary()
-        cls, start = own.cls.astype(np.int32), own.start
-    return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "part": [pdf["part"].iloc[0]], "cls": [cls], "start": [start]})
+    own = stretch(_bits(edges["words"], int(pdf["copies"].iloc[0])), edges["k"].to_numpy()) if len(edges) else NONE
+    return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "part": [pdf["part"].iloc[0]], "cls": [own.cls.astype(np.int32)], "start": [own.start]})
 
 
 def _options_up_to(height: int, count: Counter | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -205,19 +185,22 @@ def _options_up_to(height: int, count: Counter | None) -> Callable[[pd.DataFrame
 
 def _list_options(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
     """Options of the candidates of one part, whose edges are sorted on from what lies before the part (the row with late 2)."""
-    before = pdf[pdf["late"] == 2].iloc[0]
+    order = order_of(pdf[pdf["late"] == 2].iloc[0])
     rows = pdf[pdf["late"] < 2].sort_values(["at", "late"])
-    copies = int(rows["copies"].iloc[0])
-    sort, out = PrefixSort(copies, order_of(before)), []
-    is_edge = (rows["late"] == 1).to_numpy()
-    bits = iter(_bits(rows["words"][is_edge], copies) if is_edge.any() else [])
-    for r, edge in zip(rows.itertuples(index=False), is_edge, strict=True):
-        if edge:
-            sort.add(r.k - 1, next(bits))
-        else:
-            i, classes = sort.options(int(r.k), height) if r.k else (np.zeros(0, np.int64),) * 2
-            out.append((r.chrom, r.k, r.node, r.aln_pos, copies, i, classes, r.behind))
-    return pd.DataFrame(out, columns=["chrom", "k", "node", "aln_pos", "copies", "i", "classes", "behind"])
+    copies, k = int(rows["copies"].iloc[0]), rows["k"].to_numpy(np.int64)
+    edges = np.flatnonzero((rows["late"] == 1).to_numpy())
+    bits = _bits(rows["words"].iloc[edges], copies) if len(edges) else np.zeros((0, copies), bool)
+    marks = np.flatnonzero((rows["late"] == 0).to_numpy())
+    found, done = [], 0
+    for at in marks:
+        upto = int(np.searchsorted(edges, at))
+        order = order.then(stretch(bits[done:upto], k[edges[done:upto]]))
+        done = upto
+        found.append(options(order, int(k[at]), height) if k[at] else (np.zeros(0, np.int64),) * 2)
+    out = rows.iloc[marks][["chrom", "k", "node", "aln_pos", "copies", "behind"]].copy()
+    for name, values in zip(("i", "classes"), zip(*found, strict=True) if found else ((), ()), strict=True):
+        out[name] = pd.Series(list(values), index=out.index, dtype=object)
+    return out[["chrom", "k", "node", "aln_pos", "copies", "i", "classes", "behind"]]
 
 
 def cut_positions(candidates: DataFrame, words: DataFrame, copies: DataFrame, nodes: DataFrame, min_distance: int = 0, height: int = HEIGHT, count: Counter | None = None) -> DataFrame:

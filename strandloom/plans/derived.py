@@ -145,7 +145,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of these tables, built once in a Spark application while they don't change: its tables lie in the shared folder."""
 
     def make() -> Graph:
-        v, ref, c = variants(spark, sf_dir), reference(spark, sf_dir), copies(spark, sf_dir)
+        v, ref, c = materialise(variants(spark, sf_dir), "variants"), materialise(reference(spark, sf_dir), "reference"), copies(spark, sf_dir)
         nodes, edges = build_tables(v, g.handled_alts(v), g.reference_lengths(ref))
         return Graph(ref, nodes, edges, materialise(paths.carried_edges(genotypes(spark, sf_dir), c, edges), "paths"), c, v, CHUNK)
 

@@ -212,7 +212,7 @@ class Graph:
 
     def match(self, cuts: DataFrame, founders: int, *, keep_ref: bool = False) -> DataFrame:
         """(chrom, block, founder, copy) by greedy matching."""
-        blocks = segments.block_of_edges(self.edges, cuts, self.nodes)
+        blocks = materialise(segments.block_of_edges(self.edges, cuts, self.nodes), "blocks")
         spans = cuts.groupBy("chrom").agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0").select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
         classes = materialise(segments.colex_ranks(segments.block_signatures(self.carried, blocks), self.copies).drop("sig"), "classes")
         return materialise(matching.founder_assignments(classes, self.carried, blocks, spans, self.copies, founders, keep_ref), "assignments")

@@ -13,9 +13,40 @@ from strandloom.operators import incidence, matching, orders, segments
 from strandloom.plans import founder_sql
 
 
+class PrefixSort:
+    """Order of the copies by their carried edges, latest first, and where each starts to match its predecessor."""
+
+    def __init__(self, copies: int):
+        self.order, self.since = np.arange(copies), np.zeros(copies, np.int64)
+
+    def add(self, edge: int, carriers: np.ndarray) -> None:
+        bit = carriers[self.order]
+        since = []
+        for value in (False, True):
+            # a copy matches the last copy with its own bit since the latest start in between
+            at = np.flatnonzero(bit == value)
+            if len(at):
+                latest = np.maximum.reduceat(self.since[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+                latest[0] = max(latest[0], edge + 1)
+                since.append(latest)
+        self.order = np.concatenate([self.order[~bit], self.order[bit]])
+        self.since = np.concatenate(since)
+
+    def classes_since(self, edge) -> np.ndarray:
+        """Number of distinct carried sets among the edges from ``edge`` on (one number, or an array of them)."""
+        starts = np.sort(self.since[1:])
+        return 1 + len(starts) - np.searchsorted(starts, edge, side="right")
+
+    def options(self, j: int, height: int):
+        i = np.unique(np.append(self.since[1:], 0))[::-1]
+        i = i[i < j]
+        classes = self.classes_since(i)
+        return i[classes <= height], classes[classes <= height]
+
+
 def best_cuts(nodes, first_edge, aln, sink, carriers, copies, distance):
     """(cut nodes, score) from one sort over all edges of a chromosome."""
-    starts, sort, options, done = np.array(first_edge), segments.PrefixSort(copies), [], 0
+    starts, sort, options, done = np.array(first_edge), PrefixSort(copies), [], 0
     for j in range(1, len(nodes)):
         for e in range(done, first_edge[j]):
             row = np.zeros(copies, bool)
@@ -97,10 +128,8 @@ def test_orders_compose_and_scan(spark, fan):
     rows = []
     for k, own in parts.items():
         for p, edges in enumerate(own):
-            sort = segments.PrefixSort(copies[k])
-            for at, who in edges:
-                sort.add(at, np.array([c in who for c in range(copies[k])]))
-            whole = sort.summary() if edges else orders.NONE
+            bits = np.array([[c in who for c in range(copies[k])] for _, who in edges]).reshape(len(edges), copies[k])
+            whole = segments.stretch(bits, np.array([at + 1 for at, _ in edges]))
             rows.append((k, p, whole.cls.tolist(), whole.start.tolist()))
     got = orders.prefixes(spark.createDataFrame(rows, "chrom string, part long, cls array<int>, start array<long>"), fan).collect()
     assert len(got) == len(rows)
