@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
@@ -26,17 +26,40 @@ def extract_regions(bed: DataFrame, nodes: DataFrame, msa: DataFrame, *, bubbles
     return _extracted(region_starts(bed, nodes, bubbles=bubbles, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
 
 
+#: Every so many non-gap characters a chunk's index holds a position.
+STEP = 64
+
+
+def select_index(rows: DataFrame) -> DataFrame:
+    """``rows`` (chrom, chunk_no, text) with g, the number of non-gap characters, and marks, the positions of every ``STEP``-th of them (from the first).
+
+    A chunk is looked through once; afterwards a rank is found between two marks.
+    """
+    filled = F.expr("filter(sequence(0, length(text) - 1), i -> substring(text, i + 1, 1) <> '-')")
+    rows = rows.withColumn("g", F.length(F.replace("text", F.lit("-"), F.lit(""))).cast("long"))
+    marks = F.when(F.col("g") > 0, F.filter(filled, lambda _, i: i % STEP == 0))
+    return rows.withColumn("marks", marks)
+
+
+def selected(rank: Column) -> Column:
+    """Position in ``text`` of the non-gap character of this rank (from 0), by the chunk's marks."""
+    block = (rank / STEP).cast("int")
+    low = F.get("marks", block)
+    high = F.coalesce(F.get("marks", block + 1), F.length("text")) - 1
+    between = F.filter(F.sequence(low, high), lambda i: F.col("text").substr(i + 1, F.lit(1)) != "-")
+    return F.get(between, (rank % STEP).cast("int"))
+
+
 def starts_in_text(bed: DataFrame, aligned: DataFrame, *, bucket: int = 1 << 12) -> DataFrame:
     """``bed`` with aln_start and chunk_no, from the aligned reference's own text: (chrom, chunk_no, aln, text).
 
-    A start is the rank of a non-gap character; running counts over the chunks find its chunk, by buckets of ranks.
+    A start is the rank of a non-gap character; running counts over the chunks find its chunk, by buckets of ranks, and the chunk's index its place.
     """
-    rows = aligned.withColumn("g", F.length(F.replace("text", F.lit("-"), F.lit(""))).cast("long"))
+    rows = select_index(aligned)
     rows = prefix_scan(rows, ["chrom"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False).where("g > 0")
     rows = rows.withColumn("b", F.explode(F.sequence(F.expr(f"g0 div {bucket}"), F.expr(f"(g0 + g - 1) div {bucket}"))))
     hits = bed.withColumn("b", F.expr(f"start div {bucket}")).join(rows, ["chrom", "b"]).where("start >= g0 and start < g0 + g")
-    filled = F.expr("filter(sequence(0, length(text) - 1), i -> substring(text, i + 1, 1) <> '-')")
-    return hits.select(*bed.columns, (F.col("aln") + F.get(filled, (F.col("start") - F.col("g0")).cast("int"))).alias("aln_start"), "chunk_no")
+    return hits.select(*bed.columns, (F.col("aln") + selected(F.col("start") - F.col("g0"))).alias("aln_start"), "chunk_no")
 
 
 def extract_by_text(bed: DataFrame, aligned: DataFrame, msa: DataFrame, *, bucket: int = 1 << 12) -> DataFrame:

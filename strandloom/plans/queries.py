@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import abbreviated, file_name, haplotype_name
@@ -144,9 +144,7 @@ def fasta_source(spark, sf):
 @query("select c.name as chrom, count(*) filter (v.chrom = c.chrom) as handled, count(*) filter (v.chrom <> c.chrom) as mismatches from v, (select distinct chrom, chrom::varchar as name from v) c group by 1")
 def chrom_filter_stats(spark, sf):
     """What a choice of each chromosome of the file handles and passes over."""
-    counts = readers.record_counts(spark, derived.vcf_file(spark, sf))
-    total = F.sum("records").over(Window.partitionBy(F.lit(0)))  # one row a chromosome
-    return counts.select("chrom", F.col("records").alias("handled"), (total - F.col("records")).alias("mismatches"))
+    return readers.record_counts(spark, derived.vcf_file(spark, sf)).withColumnsRenamed({"records": "handled", "others": "mismatches"})
 
 
 @query("select '2' as chrom, count(*) filter (chrom = 2) as handled, count(*) filter (chrom <> 2) as chrom_mismatches, 0::bigint as ref_mismatches from v")
@@ -466,3 +464,13 @@ def region_extract(spark, sf):
     msa = graph.copy_texts().withColumn("seq_id", F.col("copy").cast("int"))
     rows = regions.extract_regions(bed, graph.nodes, msa.join(graph.chunks.select("chrom", "chunk_no", "aln"), ["chrom", "chunk_no"]), bucket=1 << 10)
     return rows.select("chrom", "name", F.col("seq_id").alias("copy"), "text")
+
+
+@query("select p.chrom, p.name, p.copy::int as copy, b.t[p.r0::bigint + 1 : p.r0::bigint + 20] as text from placed p join bare b using (chrom, copy)", _ALIGNED, _TAKEN, _PIECES, _REGIONS)
+def region_extract_by_text(spark, sf):
+    """The same regions, their starts found in the aligned reference's own text, as for alignments that come from files."""
+    graph = derived.graph(spark, sf)
+    bed = derived.variants(spark, sf).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"), F.concat(F.lit("r"), F.col("variant_idx").cast("string")).alias("name"))
+    at = graph.chunks.select("chrom", F.col("chunk_no").cast("long"), "aln", "text")
+    msa = graph.copy_texts().withColumn("seq_id", F.col("copy").cast("int")).withColumn("chunk_no", F.col("chunk_no").cast("long")).join(at.drop("text"), ["chrom", "chunk_no"])
+    return regions.extract_by_text(bed, at, msa).select("chrom", "name", F.col("seq_id").alias("copy"), "text")

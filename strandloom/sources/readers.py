@@ -90,8 +90,10 @@ class VcfFile:
         return self.spark.createDataFrame(list(enumerate(self.samples())), "sample_idx int, name string")
 
     def counts(self) -> DataFrame:
-        """(chrom, records): what a choice of chromosome handles and what it passes over."""
-        return self.index.where("chrom is not null").groupBy("chrom").agg(F.sum("n").alias("records"))
+        """(chrom, records, others): what a choice of each chromosome handles and what it passes over."""
+        counts = self.index.where("chrom is not null").groupBy("chrom").agg(F.sum("n").alias("records"))
+        every = F.sum("records").over(Window.partitionBy(F.lit(0)))  # one row a chromosome
+        return counts.withColumn("others", every - F.col("records"))
 
     def records(self, chrom: str | None = None) -> tuple[DataFrame, Observation]:
         """(records of the chosen chromosome, an observation of ``handled`` and ``others`` that the first action on them fills)."""
