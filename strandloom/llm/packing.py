@@ -36,7 +36,7 @@ WINDOW = 4096
 CLOSING_ID = 1
 SALTS = 256
 #: Pieces shorter than 1 / FILLER of a window close gaps after the program is solved.
-FILLER = 16
+FILLER = 64
 #: Sharpness of the weights at the beginning and at the end, per 4096 tokens of a window, and its growth per step.
 SOFT, SHARP, GROWTH = 12.0, 600.0, 1.05
 MOMENTUM = 0.9

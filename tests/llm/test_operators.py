@@ -327,6 +327,13 @@ def test_plan_of_hard_histograms(low, high, n):
     assert windows <= sum(t for t, _ in packing._best_fit([], values, counts, 4096))
 
 
+def test_plan_of_short_pieces_beside_long_ones():
+    rng = np.random.default_rng(0)
+    histogram = Counter(np.concatenate([rng.integers(200, 256, 20_000), rng.integers(1400, 1500, 5000)]).tolist())
+    plan, bound = packing.solve(histogram)
+    assert sum(n for n, _ in plan) <= 1.01 * bound + 1
+
+
 def test_small_plans_against_the_optimum():
     def least(sizes, window):
         best = len(sizes)
