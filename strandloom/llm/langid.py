@@ -12,8 +12,8 @@ have k runs of other labels, each of which gains at most g. If k = 1 it is the w
 the best single one) or costs one switch at least, and g is less. If k > 1 it costs k - 1 switches at least, and gains k * g <= k / 2 *
 penalty <= (k - 1) * penalty.
 
-Texts of over ``LONG_TEXT`` characters are labelled exactly too, in chunks of words: only the best label and one bit for each word and language are
-kept for the way back. There is no limit on languages; words held at a time are bounded by words x languages (``CELLS``).
+Texts of over ``LONG_TEXT`` characters are labelled exactly like others, in chunks of words: a first pass collects their scripts and with them the candidates; in
+the second only the best label and one bit for each word and language are kept for the way back. There is no limit on languages; words held at a time are bounded by words x languages (``CELLS``).
 
 Training rows: at most ``MAX_PER_LANG`` whole documents a language, lowest hash of the id first, of the
 folds that aren't held out, and ``MAX_TRAIN_BYTES`` of text a language (parameters). Of rows with one id, those that are equal to
@@ -282,18 +282,24 @@ class Reader:
             out[i] = self._answer(k[found], r[:, self.n].astype(np.float64), bool(r[r[:, self.n] > 0, self.n + 1].all()))
 
     def _long(self, text: str) -> tuple[str, float, list[dict]]:
-        letters, odd = [], []
+        """The same in chunks of words: a pass for the scripts, which name the candidates as in short texts, and one for the labels."""
+        lower = text.lower()
 
         def chunks() -> Iterator[np.ndarray]:
-            found = (m.group() for m in re.finditer(r"\S+", text.lower()))
+            found = (m.group() for m in re.finditer(r"\S+", lower))
             while words := list(islice(found, self.words)):
-                r = self.table.values(words)
-                letters.append(r[:, self.n].astype(np.float64))
-                odd.append(bool(r[r[:, self.n] > 0, self.n + 1].all()))
-                yield r[:, : self.n]
+                yield self.table.values(words)
 
-        labels = label_chunks(chunks(), self.penalty)
-        return self._answer(labels, np.concatenate([np.zeros(0), *letters]), all(odd))
+        scripts: set[int] = set()
+        letters, odd = [], []
+        for r in chunks():
+            known = r[:, self.n] > 0
+            scripts.update(np.unique(r[known, self.n + 2]).astype(int).tolist())
+            letters.append(r[:, self.n].astype(np.float64))
+            odd.append(bool(r[known, self.n + 1].all()))
+        kept = candidates(self.model.allowed, np.array(sorted(scripts), np.int64))
+        labels = label_chunks((r[:, kept] for r in chunks()), self.penalty)
+        return self._answer(kept[labels], np.concatenate([np.zeros(0), *letters]), all(odd))
 
     def _answer(self, labels: np.ndarray, letters: np.ndarray, odd: bool) -> tuple[str, float, list[dict]]:
         total = letters.sum()

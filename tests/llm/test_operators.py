@@ -550,6 +550,22 @@ def test_long_texts_are_labelled_like_short_ones(spark, monkeypatch):
     assert reader.read(texts) == want and len(want[2][2]) == 3
 
 
+def test_long_texts_have_the_candidates_of_short_ones(monkeypatch):
+    """Random texts of three languages in two scripts, with words in scripts that no language knows."""
+    rng = random.Random(15)
+    words = {"en": "the house and of with that there which".split(), "de": "das haus und nicht schön über straße welche".split(), "ru": "дом и не что который улица есть там".split()}
+    model = langid.fit(iter([(" ".join(rng.choice(ws) for _ in range(30)), lang) for _ in range(40) for lang, ws in words.items()]))
+    unknown = "한국어 문장 ελληνικά λόγος ქართული 12 !!".split()
+    kinds = [*words.values(), unknown, [*words["de"], *unknown], [*words["ru"], *unknown]]
+    texts = [" ".join(rng.choice(ws) for ws in rng.choices(kinds, k=rng.randrange(1, 5)) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    want = langid.Reader(model, 12.0).read(texts)
+    monkeypatch.setattr(langid, "LONG_TEXT", 0)
+    reader = langid.Reader(model, 12.0)
+    for size in (5, 64):
+        reader.words = size
+        assert reader.read(texts) == want
+
+
 def test_scripts_narrow_the_candidates():
     allowed = np.array([[1, 0, 0], [1, 1, 0], [0, 1, 0]], bool)
     assert langid.candidates(allowed, np.array([0])).tolist() == [0, 1] and langid.candidates(allowed, np.array([1])).tolist() == [1, 2]
