@@ -7,7 +7,7 @@ to a bubble (a maximal stretch between nodes that no edge jumps over), plus the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
@@ -74,8 +74,8 @@ def align_nodes(marked: DataFrame, edges: DataFrame, long_bubble: int = LONG_BUB
 
     The native fold copies its array at each step; bubbles of over ``long_bubble`` nodes are folded by rows.
     """
-    starts = marked.where("node > 0").groupBy("chrom", "bubble").agg((F.min("node") - 1).alias("base"), F.count("*").alias("size"))
-    inner = marked.where("node > 0").join(starts, ["chrom", "bubble"])
+    own = Window.partitionBy("chrom", "bubble")  # bubbles are folded whole further down, so one is in one task anyway
+    inner = marked.where("node > 0").select("chrom", "bubble", "node", "ref_delta", (F.min("node").over(own) - 1).alias("base"), F.count("*").over(own).alias("size"))
     into = edges.select("chrom", F.col("dst").alias("node"), "src", F.length("label").cast("long").alias("l"))
     into = into.join(inner.select("chrom", "node", "base"), ["chrom", "node"]).groupBy("chrom", "node").agg(F.collect_list(F.struct((F.col("src") - F.col("base")).cast("int").alias("s"), "l")).alias("ins"))
     rows = inner.select("chrom", "bubble", "base", "size", "node", "ref_delta").join(into, ["chrom", "node"], "left")
