@@ -22,6 +22,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is sorted and merged, never sent through the driver, however small its files look."""
+    return df.hint("merge")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/strandloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

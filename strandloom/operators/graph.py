@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
+from ..functions.storage import large
 
 POS_BUCKET = 1 << 16
 LONG_BUBBLE = 2000
@@ -38,7 +39,7 @@ def build_nodes(variants: DataFrame, alts: DataFrame, lengths: DataFrame) -> Dat
 def build_edges(alts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(chrom, edge, src, dst, src_pos, tgt_pos, label, variant_idx, alt_idx); an edge past the end is an error."""
     numbered = prefix_scan(alts, ["chrom"], ["variant_idx", "alt_idx"], F.expr("variant_idx div 65536"), [("edge", "count", F.lit(1))], inclusive=False)
-    at = nodes.select("chrom", "node", "ref_pos")
+    at = large(nodes.select("chrom", "node", "ref_pos"))
     rows = numbered.join(at.withColumnsRenamed({"node": "src", "ref_pos": "pos"}), ["chrom", "pos"]).join(at.withColumnsRenamed({"node": "dst", "ref_pos": "tgt_pos"}), ["chrom", "tgt_pos"])
     return rows.select("chrom", "edge", "src", "dst", F.col("pos").alias("src_pos"), "tgt_pos", "label", "variant_idx", "alt_idx")
 
@@ -46,14 +47,14 @@ def build_edges(alts: DataFrame, nodes: DataFrame) -> DataFrame:
 def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(chrom, node, n_edges, first_edge): how many edges leave a node, and how many leave nodes before it."""
     out = edges.groupBy("chrom", F.col("src").alias("node")).agg(F.count("*").alias("n_edges"))
-    rows = nodes.select("chrom", "node").join(out, ["chrom", "node"], "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)).cast("long"))
+    rows = nodes.select("chrom", "node").join(large(out), ["chrom", "node"], "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)).cast("long"))
     return prefix_scan(rows, ["chrom"], ["node"], F.expr("node div 65536"), [("first_edge", "sum", F.col("n_edges"))], inclusive=False)
 
 
 def mark_bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with is_bridge (no edge jumps over the node) and bubble (of the node that ends in it)."""
     reach = edges.groupBy("chrom", F.col("src").alias("node")).agg(F.max("dst").alias("reach"))
-    rows = nodes.join(reach, ["chrom", "node"], "left").withColumn("_part", F.expr("node div 65536"))
+    rows = nodes.join(large(reach), ["chrom", "node"], "left").withColumn("_part", F.expr("node div 65536"))
     rows = prefix_scan(rows, ["chrom"], ["node"], "_part", [("far", "max", F.col("reach"))], inclusive=False)
     rows = rows.withColumn("is_bridge", F.coalesce(F.col("far") <= F.col("node"), F.lit(True))).drop("far", "reach")
     return prefix_scan(rows, ["chrom"], ["node"], "_part", [("bubble", "sum", F.col("is_bridge").cast("long"))], inclusive=False).drop("_part")
@@ -77,8 +78,8 @@ def align_nodes(marked: DataFrame, edges: DataFrame, long_bubble: int = LONG_BUB
     own = Window.partitionBy("chrom", "bubble")  # bubbles are folded whole further down, so one is in one task anyway
     inner = marked.where("node > 0").select("chrom", "bubble", "node", "ref_delta", (F.min("node").over(own) - 1).alias("base"), F.count("*").over(own).alias("size"))
     into = edges.select("chrom", F.col("dst").alias("node"), "src", F.length("label").cast("long").alias("l"))
-    into = into.join(inner.select("chrom", "node", "base"), ["chrom", "node"]).groupBy("chrom", "node").agg(F.collect_list(F.struct((F.col("src") - F.col("base")).cast("int").alias("s"), "l")).alias("ins"))
-    rows = inner.select("chrom", "bubble", "base", "size", "node", "ref_delta").join(into, ["chrom", "node"], "left")
+    into = into.join(large(inner.select("chrom", "node", "base")), ["chrom", "node"]).groupBy("chrom", "node").agg(F.collect_list(F.struct((F.col("src") - F.col("base")).cast("int").alias("s"), "l")).alias("ins"))
+    rows = inner.select("chrom", "bubble", "base", "size", "node", "ref_delta").join(large(into), ["chrom", "node"], "left")
     groups = rows.groupBy("chrom", "bubble", "base", "size").agg(F.sort_array(F.collect_list(F.struct("node", "ref_delta", "ins"))).alias("g"))
     step = lambda a, n: F.concat(a, F.array(F.greatest(F.element_at(a, -1) + n["ref_delta"], F.coalesce(F.array_max(F.transform(n["ins"], lambda x: F.get(a, x["s"]) + x["l"])), F.lit(0).cast("long")))))
     short = groups.where(F.col("size") <= long_bubble).select("chrom", "bubble", "base", F.aggregate("g", F.array(F.lit(0).cast("long")), step).alias("values"))
@@ -93,7 +94,7 @@ def align_nodes(marked: DataFrame, edges: DataFrame, long_bubble: int = LONG_BUB
     totals = prefix_scan(folded.withColumn("total", F.element_at("values", -1)), ["chrom"], ["bubble"], F.expr("bubble div 65536"), [("before", "sum", F.col("total"))], inclusive=False)
     local = totals.select("chrom", "before", "base", F.posexplode("values").alias("i", "v")).where("i > 0")
     at = local.select("chrom", (F.col("base") + F.col("i")).alias("node"), (F.col("before") + F.col("v")).alias("aln_pos"))
-    return marked.join(at, ["chrom", "node"], "left").withColumn("aln_pos", F.coalesce("aln_pos", F.lit(0).cast("long")))
+    return marked.join(large(at), ["chrom", "node"], "left").withColumn("aln_pos", F.coalesce("aln_pos", F.lit(0).cast("long")))
 
 
 def ref_edges(nodes: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def reference_slices(intervals: DataFrame, reference: DataFrame, chunk: int) ->
     lo, hi = F.greatest("lo", "start"), F.least(F.col("hi"), F.col("start") + F.length("bases"))
     parts = parts.select("chrom", "id", "chunk_no", F.col("bases").substr((lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("t"))
     text = parts.groupBy("chrom", "id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "t"))).alias("p")).select("chrom", "id", F.array_join(F.col("p.t"), "").alias("text"))
-    return intervals.join(text, ["chrom", "id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return intervals.join(large(text), ["chrom", "id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def ref_mismatches(variants: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
+from ..functions.storage import large
 
 
 def chosen_genotypes(genotypes: DataFrame, names: DataFrame, listed: DataFrame | None, *, exclude: bool = False) -> DataFrame:
-    """Genotypes of the copies that a sample list names, or of all others."""
-    rows = genotypes.join(names, "sample_idx")
+    """Genotypes of the copies that a sample list names, or of all others.
+
+    Names and list have a row for each sample or copy; the genotypes, which grow with the records, stay where they are.
+    """
+    rows = genotypes.join(F.broadcast(names), "sample_idx")
     if listed is None:
         return rows
     keys = listed.select("chrom", F.col("sample").alias("name"), "copy_idx").distinct()
-    return rows.join(keys, ["chrom", "name", "copy_idx"], "left_anti" if exclude else "left_semi")
+    return rows.join(F.broadcast(keys), ["chrom", "name", "copy_idx"], "left_anti" if exclude else "left_semi")
 
 
 def number_copies(genotypes: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def number_copies(genotypes: DataFrame) -> DataFrame:
     Copies are numbered anew after a choice of samples; samples without a copy are gone.
     """
     first = genotypes.groupBy("chrom").agg(F.min("variant_idx").alias("variant_idx"))
-    rows = genotypes.join(first, ["chrom", "variant_idx"]).select("chrom", "sample_idx", "name", "copy_idx").distinct()
+    rows = genotypes.join(F.broadcast(first), ["chrom", "variant_idx"]).select("chrom", "sample_idx", "name", "copy_idx").distinct()
     all_of = Window.partitionBy("chrom").orderBy("sample_idx", "copy_idx")
     own = Window.partitionBy("chrom", "sample_idx").orderBy("copy_idx")
     return rows.withColumns({"copy": F.row_number().over(all_of) - 1, "copy_in_sample": F.row_number().over(own) - 1})
@@ -36,9 +40,9 @@ def ploidy(copies: DataFrame) -> DataFrame:
 
 def carried_edges(genotypes: DataFrame, copies: DataFrame, edges: DataFrame) -> DataFrame:
     """(chrom, copy, edge, src, dst, src_pos, tgt_pos, variant_idx, allele): alleles 0, missing or unhandled drop out."""
-    calls = genotypes.where("allele > 0").join(copies.select("chrom", "sample_idx", "copy_idx", "copy"), ["chrom", "sample_idx", "copy_idx"])
+    calls = genotypes.where("allele > 0").join(F.broadcast(copies.select("chrom", "sample_idx", "copy_idx", "copy")), ["chrom", "sample_idx", "copy_idx"])
     steps = edges.select("chrom", "variant_idx", F.col("alt_idx").alias("allele"), "edge", "src", "dst", "src_pos", "tgt_pos")
-    return calls.join(steps, ["chrom", "variant_idx", "allele"]).select("chrom", "copy", "edge", "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele")
+    return calls.join(large(steps), ["chrom", "variant_idx", "allele"]).select("chrom", "copy", "edge", "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele")
 
 
 def overlaps(paths: DataFrame) -> DataFrame:

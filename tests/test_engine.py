@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from strandloom import cli, extract
 from strandloom.functions.prefix import prefix_scan
+from strandloom.functions.storage import materialise
 from strandloom.operators import graph as g
-from strandloom.operators import matching, segments, sinks
+from strandloom.operators import matching, paths, segments, sinks
 from strandloom.plans import derived
 from strandloom.plans import queries as core
 from strandloom.plans.graph import Graph
@@ -402,3 +403,20 @@ def test_graphviz_line_order(spark, tmp_path):
     sinks.write_graphviz(g1.graphviz(), str(tmp_path / "x.dot"))
     lines = (tmp_path / "x.dot").read_text().splitlines()
     assert lines[0] == "digraph variants" and lines[-1] == "}" and sum("penwidth" in x for x in lines) == 4
+
+
+def test_genotypes_are_never_the_broadcast_side(spark, tmp_path):
+    bases, _, records, *_ = GRAPHS["1b"]
+    _, vcf = write_case(tmp_path, bases, records)
+    file = readers.VcfFile(spark, vcf)
+    calls = readers.genotypes(materialise(file.records("1")[0], "records"))
+    listed = spark.createDataFrame([("1", "SAMPLE1", 0)], "chrom string, sample string, copy_idx int")
+    for rows in (paths.chosen_genotypes(calls, file.names(), None), paths.chosen_genotypes(calls, file.names(), listed, exclude=True), paths.number_copies(paths.chosen_genotypes(calls, file.names(), None))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
+def test_tables_that_grow_are_merged_whatever_their_size(spark):
+    graph = derived.graph(spark, SF)
+    for rows in (g.edge_counts(graph.nodes, graph.edges), paths.carried_edges(derived.genotypes(spark, SF), graph.copies, graph.edges)):
+        assert "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
