@@ -1,6 +1,6 @@
 """VCF and FASTA files as Spark data sources: ``spark.read.format("vcf").load(path)`` and ``format("fasta")``.
 
-Files are read in byte ranges, one partition each; a line belongs to the range that its first byte is in. A filter on the chromosome is
+Files are read in byte ranges, one partition each, or several where there are many; a line belongs to the range that its first byte is in. A filter on the chromosome is
 pushed down: lines of other chromosomes are dropped before they are split into fields. A range doesn't know how many lines lie before it, so rows
 carry (file, split, line in the split), and ``option("count", true)`` gives one row a split with its number of lines (or, for FASTA, what each
 stretch of a sequence adds), which ``vcf_records`` and ``fasta_reference`` join to line numbers and places.
@@ -26,6 +26,8 @@ SPLIT = 64 << 20
 #: Lines or bytes that one batch of rows is made of.
 BATCH_LINES = 20_000
 BATCH_BYTES = 8 << 20
+#: Tasks of a scan at most: of more ranges, neighbours share one.
+TASKS = 256
 
 
 def _local(path: str) -> str | None:
@@ -67,6 +69,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads."""
+
+    parts: list[Range]
+
+
 def lines_of(root: str, part: Range) -> Iterator[bytes]:
     """The lines of a range, without their ends."""
     with open(part.path, "rb") if _local(root) else _remote(root)[0].open_input_file(part.path) as raw:
@@ -81,7 +90,7 @@ def lines_of(root: str, part: Range) -> Iterator[bytes]:
         raw.seek(at)
         held = b""
         while at < part.end:
-            piece = raw.read(1 << 20)
+            piece = raw.read(min(1 << 20, max(1 << 16, part.end - at - len(held))))  # little more than the range
             if not piece:
                 if held:
                     yield held
@@ -104,7 +113,8 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = [Range(path, lo, min(size, lo + self.split)) for path, size in data_files(self.path) for lo in range(0, size, self.split)]
-        return found or [Range("", 0, 0)]
+        size = max(1, -(-len(found) // TASKS))
+        return [Ranges(found[i : i + size]) for i in range(0, len(found), size)] or [Ranges([])]
 
 
 class VcfReader(_Reader):
@@ -122,19 +132,18 @@ class VcfReader(_Reader):
             else:
                 yield f
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
         if self.count:
-            n, head = 0, None
-            for line in lines_of(self.path, part):
-                n += 1
-                head = line.decode() if line.startswith(b"#CHROM") else head
-            yield _batch(self.counts, [[part.path], [part.start], [n], [head]])
+            for part in task.parts:
+                n, head = 0, None
+                for line in lines_of(self.path, part):
+                    n += 1
+                    head = line.decode() if line.startswith(b"#CHROM") else head
+                yield _batch(self.counts, [[part.path], [part.start], [n], [head]])
             return
         own = None if self.chrom is None else self.chrom + b"\t"
         rows: list[tuple] = []
-        for number, line in enumerate(lines_of(self.path, part)):
+        for part, number, line in ((part, *x) for part in task.parts for x in enumerate(lines_of(self.path, part))):
             if line.startswith(b"#") or not line.strip() or own and not line.startswith(own):
                 continue
             f = line.decode().split("\t")
@@ -152,9 +161,11 @@ class FastaReader(_Reader):
     schema = "file string, split long, stretch long, piece long, name string, bases string"
     counts = "file string, split long, stretch long, name string, bases long"
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in task.parts:
+            yield from self._range(part)
+
+    def _range(self, part: Range) -> Iterator[pa.RecordBatch]:
         stretch, piece, name, held, size, total = 0, 0, None, [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -217,10 +228,10 @@ def register(spark: SparkSession) -> None:
 
 
 def vcf_records(spark: SparkSession, path: str, chrom: str | None = None, *, split: int = SPLIT) -> DataFrame:
-    """Records as ``readers.VcfFile`` has them, through the data source; the choice of chromosome is pushed down."""
+    """Records as ``readers.VcfFile`` has them (a folder is one file in parts), through the data source; the choice of chromosome is pushed down."""
     register(spark)
     read = spark.read.format("vcf").option("split", split)
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     base = read.option("count", True).load(path).select("file", "split", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"))
     rows = spark.read.format("vcf").option("split", split).load(path)
     rows = rows if chrom is None else rows.where(F.col("chrom") == chrom)
@@ -228,7 +239,7 @@ def vcf_records(spark: SparkSession, path: str, chrom: str | None = None, *, spl
     alts = F.transform("alts", lambda t, i: F.struct((i + 1).cast("int").alias("idx"), t.alias("text"), readers.alt_kind(t).alias("kind")))
     place = F.array_position(F.split("format", ":"), "GT")
     gt = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("line "), line.cast("string"), F.lit(": no GT"))))
-    rows = rows.join(base, ["file", "split"])
+    rows = rows.join(F.broadcast(base), ["file", "split"])
     return rows.select("chrom", line.alias("variant_idx"), line.alias("lineno"), "pos", "ids", "ref", alts.alias("alts"), gt.cast("int").alias("gt"), "calls")
 
 
