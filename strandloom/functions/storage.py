@@ -27,6 +27,16 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Estimated bytes of a part of ``dealt``; rows in memory take many times as much.
+PART_BYTES = 2 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys into parts of a bounded size: their number grows with the input, while the session's number of shuffle partitions is fixed."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), *keys)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/strandloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialise, shared_root
+from ..functions.storage import dealt, large, materialise, shared_root
 from ..operators import graph as g
 from ..operators import paths
 from .graph import Graph, build_tables
@@ -46,7 +46,7 @@ def reference(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carried alleles only; a copy without a row carries the reference."""
     calls = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as vid", f"cast(l_suppkey % {SAMPLES} as int) as sample_idx", f"cast(l_linenumber % {COPIES} as int) as copy_idx", "l_partkey as part")
-    rows = calls.join(_places(spark, sf_dir).select("vid", "chrom", "n_alt"), "vid")
+    rows = dealt(calls, "vid").join(large(_places(spark, sf_dir).select("vid", "chrom", "n_alt")), "vid")
     return rows.groupBy("chrom", F.col("vid").alias("variant_idx"), "sample_idx", "copy_idx").agg(F.min(F.expr("cast(1 + part % n_alt as int)")).alias("allele"))
 
 
@@ -124,7 +124,7 @@ def vcf_file(spark: SparkSession, sf_dir: str) -> str:
         of = lambda i, k: F.coalesce(F.try_element_at("calls", F.lit(i * COPIES + k)), F.lit(0)).cast("string")
         columns = [F.concat_ws("|", *(of(i, k) for k in range(COPIES))) for i in range(SAMPLES)]
         alts = F.concat(F.array_join(F.transform("alts", lambda a: a["text"]), ","), F.when(F.col("variant_idx") % 7 == 0, ",<CNV>").otherwise(""))
-        v = variants(spark, sf_dir).join(calls, ["chrom", "variant_idx"], "left")
+        v = variants(spark, sf_dir).join(large(calls), ["chrom", "variant_idx"], "left")
         line = F.concat_ws("\t", F.col("chrom").cast("string"), (F.col("pos") + 1).cast("string"), F.get("ids", F.lit(0)), "ref", alts, F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), *columns)
         rows = v.select(F.lit(2).alias("part"), "chrom", "pos", "variant_idx", line.alias("value"))
         names_ = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"S{i}" for i in range(SAMPLES))])
