@@ -99,8 +99,9 @@ def forget() -> None:
 
 
 def _text_file(lines: DataFrame, order: list[str], name: str) -> str:
+    """The lines in order, as a folder of part files that all tasks write: one after the other they are one file."""
     path = f"{shared_root(lines.sparkSession)}/strandloom-{name}-{uuid.uuid4().hex}"
-    lines.orderBy(*order).select("value").coalesce(1).write.text(path)
+    lines.orderBy(*order).select("value").write.text(path)
     return path
 
 

@@ -16,34 +16,36 @@ def _split_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
 
 
-def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(file, line, value) from lines and the number of lines and the first id of each split."""
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+def _numbered(lines: DataFrame, blocks: DataFrame, *, whole: bool = False) -> DataFrame:
+    """(file, line, value) from lines and the number of lines and the first id of each split; ``whole`` counts on from file to file, by name."""
+    own = Window.orderBy("file", "block") if whole else Window.partitionBy("file").orderBy("block")  # one row a split
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return lines.join(sizes, ["file", "block"]).select("file", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+    return lines.join(F.broadcast(sizes), ["file", "block"]).select("file", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): 1-based physical line numbers, whatever way the file was split."""
+def numbered_lines(spark: SparkSession, path: str, *, whole: bool = False) -> DataFrame:
+    """(file, line, value): 1-based physical line numbers, whatever way the file was split. With ``whole`` the files of a folder are parts of one."""
     lines = _split_lines(spark, path)
-    return _numbered(lines, lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    return _numbered(lines, lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")), whole=whole)
 
 
 def read_fasta(spark: SparkSession, path: str, chrom: str | None = None, *, record: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """reference(chrom, chunk_no, start, bases): the named record (the first if none is named).
 
     ``chrom`` renames the record, since a FASTA id and a VCF chromosome may differ. Case is kept.
+    A folder is one file in parts, by their names.
     """
-    lines = numbered_lines(spark, path)
-    head = lines.where(F.col("value").startswith(">")).select("file", "line", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("name"))
+    lines = numbered_lines(spark, path, whole=True)
+    head = lines.where(F.col("value").startswith(">")).select("line", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("name"))
     if record is not None:
         head = head.where(F.col("name") == record)
-    got = head.orderBy("file", "line").limit(1).collect()
+    got = head.orderBy("line").limit(1).collect()
     if not got:
         raise ValueError(f"{path}: no such sequence: {record}")
     own = got[0]
-    following = lines.where((F.col("file") == own["file"]) & (F.col("line") > own["line"]) & F.col("value").startswith(">")).agg(F.min("line")).first()[0]
-    body = lines.where((F.col("file") == own["file"]) & (F.col("line") > own["line"]))
+    following = lines.where((F.col("line") > own["line"]) & F.col("value").startswith(">")).agg(F.min("line")).first()[0]
+    body = lines.where(F.col("line") > own["line"])
     if following is not None:
         body = body.where(F.col("line") < following)
     body = body.select("line", F.regexp_replace("value", r"\s+", "").alias("bases")).withColumn("n", F.length("bases").cast("long"))
@@ -67,7 +69,7 @@ def alt_kind(text: Column) -> Column:
 
 
 class VcfFile:
-    """A VCF file: an index of it from one counting pass, and records from one parse.
+    """A VCF file, or a folder of its parts in order of their names: an index of it from one counting pass, and records from one parse.
 
     The index has a row for each (file, split, chromosome): lines and first line id, so that line numbers are exact however the file is
     split. It also holds the header line. The parse observes what it handles and passes over, so no further pass counts that.
@@ -99,7 +101,7 @@ class VcfFile:
         """(records of the chosen chromosome, an observation of ``handled`` and ``others`` that the first action on them fills)."""
         n = max(1, len(self.samples()))
         blocks = self.index.groupBy("file", "block").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        lines = _numbered(_split_lines(self.spark, self.path), blocks)
+        lines = _numbered(_split_lines(self.spark, self.path), blocks, whole=True)
         rows = lines.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).withColumn("f", F.split("value", "\t"))
         own = F.lit(True) if chrom is None else F.get("f", F.lit(0)) == chrom
         seen = Observation()
