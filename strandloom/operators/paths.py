@@ -47,13 +47,14 @@ def carried_edges(genotypes: DataFrame, copies: DataFrame, edges: DataFrame) ->
 
 def overlaps(paths: DataFrame) -> DataFrame:
     """Carried edges that start before the target of the copy's last carried edge."""
-    own = Window.partitionBy("chrom", "copy").orderBy("variant_idx", "edge")
-    return paths.withColumn("last", F.lag("tgt_pos").over(own)).where("last > src_pos").drop("last")
+    last = ("last", "max", F.struct("variant_idx", "edge", "tgt_pos"))  # the carried edge before, whatever bucket it is in
+    rows = prefix_scan(paths, ["chrom", "copy"], ["variant_idx", "edge"], F.expr("edge div 65536"), [last], inclusive=False)
+    return rows.where("last.tgt_pos > src_pos").drop("last")
 
 
 def overlap_report(paths: DataFrame, variants: DataFrame, copies: DataFrame) -> DataFrame:
     """LINENO, POS (0-based), ID, SAMPLE, CHROM_COPY (0-based, as in the input), GT."""
-    rows = overlaps(paths).join(variants.select("chrom", "variant_idx", "lineno", "ids"), ["chrom", "variant_idx"]).join(copies.select("chrom", "copy", "name", "copy_idx"), ["chrom", "copy"])
+    rows = overlaps(paths).join(large(variants.select("chrom", "variant_idx", "lineno", "ids")), ["chrom", "variant_idx"]).join(F.broadcast(copies.select("chrom", "copy", "name", "copy_idx")), ["chrom", "copy"])
     return rows.select("chrom", F.col("lineno").alias("LINENO"), F.col("src_pos").alias("POS"), F.array_join("ids", ",").alias("ID"), F.col("name").alias("SAMPLE"), F.col("copy_idx").alias("CHROM_COPY"), F.col("allele").alias("GT"))
 
 
