@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
 from ..functions.progress import Counter
-from ..functions.storage import materialise
+from ..functions.storage import large, materialise
 from .incidence import unpacked
 from .orders import NONE, Order, order_of, prefixes
 
@@ -31,7 +31,7 @@ HEIGHT = 64
 
 def cut_candidates(marked: DataFrame, counts: DataFrame) -> DataFrame:
     """(chrom, node, first_edge, aln_pos): bridges, the first of those with the same first edge."""
-    rows = marked.where("is_bridge").join(counts.select("chrom", "node", "first_edge"), ["chrom", "node"])
+    rows = marked.where("is_bridge").join(large(counts.select("chrom", "node", "first_edge")), ["chrom", "node"])
     first = rows.groupBy("chrom", "first_edge").agg(F.min(F.struct("node", "aln_pos")).alias("n"))
     return first.select("chrom", "n.node", "first_edge", "n.aln_pos")
 
@@ -45,13 +45,13 @@ def block_of_edges(edges: DataFrame, cuts: DataFrame, nodes: DataFrame) -> DataF
     at = nodes.select("chrom", "node").join(marks, ["chrom", "node"], "left")
     at = prefix_scan(at, ["chrom"], ["node"], F.expr("node div 65536"), [("seen", "sum", F.coalesce("cut", F.lit(0).cast("long")))])
     last = marks.groupBy("chrom").agg(F.count("*").alias("cuts"))
-    rows = edges.select("chrom", "edge", F.col("src").alias("node")).join(at.select("chrom", "node", "seen"), ["chrom", "node"]).join(F.broadcast(last), "chrom")
+    rows = edges.select("chrom", "edge", F.col("src").alias("node")).join(large(at.select("chrom", "node", "seen")), ["chrom", "node"]).join(F.broadcast(last), "chrom")
     return rows.where("seen > 0 and seen < cuts").select("chrom", "edge", (F.col("seen") - 1).cast("int").alias("block"))
 
 
 def block_signatures(words: DataFrame, blocks: DataFrame) -> DataFrame:
     """(chrom, block, copy, sig): carried edges of a block, highest first; copies that carry none are left out."""
-    rows = unpacked(words.join(blocks, ["chrom", "edge"]))
+    rows = unpacked(words.join(large(blocks), ["chrom", "edge"]))
     return rows.groupBy("chrom", "block", "copy").agg(F.sort_array(F.collect_list("edge"), asc=False).alias("sig"))
 
 
@@ -73,6 +73,24 @@ def colex_ranks(signatures: DataFrame, copies: DataFrame) -> DataFrame:
     return rows.withColumn("cls", F.dense_rank().over(own.orderBy("sig")) - 1 + F.col("first")).drop("first", "copies")
 
 
+#: Edges of a block whose carriers are ranked on their own.
+RANKED = 4096
+
+
+def carrier_classes(words: DataFrame, blocks: DataFrame, copies: DataFrame) -> DataFrame:
+    """(chrom, block, copy, cls) as ``colex_ranks`` has them, in two levels, so that no row holds all edges of a block.
+
+    Stretches of ``RANKED`` edges are ranked apart. A block then compares (stretch, rank) pairs, highest first: ranks agree with the edges, since a
+    copy that carries more edges of a stretch than one that is equal so far comes after it, whatever the stretches before hold.
+    """
+    rows = unpacked(words.join(large(blocks), ["chrom", "edge"])).withColumn("stretch", F.expr(f"edge div {RANKED}"))
+    rows = rows.groupBy("chrom", "block", "stretch", "copy").agg(F.sort_array(F.collect_list("edge"), asc=False).alias("sig"))
+    rank = F.dense_rank().over(Window.partitionBy("chrom", "block", "stretch").orderBy("sig"))
+    rows = rows.select("chrom", "block", "copy", "stretch", rank.alias("rank"))
+    sig = F.sort_array(F.collect_list(F.struct("stretch", "rank")), asc=False)
+    return colex_ranks(rows.groupBy("chrom", "block", "copy").agg(sig.alias("sig")), copies).drop("sig")
+
+
 def class_sizes(classes: DataFrame, copies: DataFrame, spans: DataFrame) -> DataFrame:
     """(chrom, block, cls, first_copy, size) of every class of every block of ``spans``."""
     own = classes.groupBy("chrom", "block", F.col("cls").cast("long").alias("cls")).agg(F.min("copy").cast("int").alias("first_copy"), F.count("*").alias("size"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import founder_name, haplotype_name, sequence_id
 from ..functions.progress import Counter, Records, watched
-from ..functions.storage import materialise
+from ..functions.storage import large, materialise
 from ..operators import graph as g
 from ..operators import incidence, matching, paths, regions, segments, sinks, walk
 from ..operators.outputs import Listener
@@ -79,7 +79,7 @@ class Graph:
             if stats["ref_mismatches"] > len(some):
                 log.warning("%d more records whose REF does not match", stats["ref_mismatches"] - len(some))
         alts = g.handled_alts(variants)
-        if check and alts.join(lengths, "chrom").where("tgt_pos > ref_len").limit(1).count():
+        if check and alts.join(F.broadcast(lengths), "chrom").where("tgt_pos > ref_len").limit(1).count():
             raise ValueError("an alternative reaches past the end of the reference")
         nodes, edges = build_tables(variants, alts, lengths)
         chosen = paths.chosen_genotypes(genotypes, names, listed, exclude=exclude)
@@ -214,7 +214,7 @@ class Graph:
         """(chrom, block, founder, copy) by greedy matching."""
         blocks = materialise(segments.block_of_edges(self.edges, cuts, self.nodes), "blocks")
         spans = cuts.groupBy("chrom").agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0").select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-        classes = materialise(segments.colex_ranks(segments.block_signatures(self.carried, blocks), self.copies).drop("sig"), "classes")
+        classes = materialise(segments.carrier_classes(self.carried, blocks, self.copies), "classes")
         return materialise(matching.founder_assignments(classes, self.carried, blocks, spans, self.copies, founders, keep_ref), "assignments")
 
     def founder_rows(self, cuts: DataFrame, assignments: DataFrame, *, aligned: bool = True, reference: bool = True, chromosome: str | None = None) -> DataFrame:
@@ -223,7 +223,7 @@ class Graph:
         A founder is a path of its own: the taken edges of the assigned copies, block by block, since no edge crosses a cut.
         """
         blocks = segments.block_of_edges(self.edges, cuts, self.nodes)
-        steps = self.taken.join(blocks, ["chrom", "edge"]).join(assignments.where("copy is not null"), ["chrom", "block", "copy"]).select("chrom", F.col("founder").alias("copy"), "edge")
+        steps = self.taken.join(large(blocks), ["chrom", "edge"]).join(assignments.where("copy is not null"), ["chrom", "block", "copy"]).select("chrom", F.col("founder").alias("copy"), "edge")
         who = assignments.select("chrom", F.col("founder").alias("copy")).distinct()
         rows = walk.copy_chunks(who, self.chunks, steps, self.edges, self.nodes, aligned=aligned)
         rows = self._labelled(rows, F.col("copy") + 1, founder_name(F.col("copy")), [founder_name(F.col("copy"))], chromosome)
