@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
+from ..functions.storage import large
 
 
 def region_starts(bed: DataFrame, nodes: DataFrame, *, bubbles: int, bucket: int = 1 << 14) -> DataFrame:
     """``bed`` with aln_start and chunk_no: an as-of join of the start with REF intervals, by buckets of positions."""
     spans = nodes.where("node > 0").select("chrom", (F.col("ref_pos") - F.col("ref_delta")).alias("lo"), F.col("ref_pos").alias("hi"), (F.col("node") - 1).alias("node"), F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"))
-    spans = spans.join(nodes.select("chrom", "node", "aln_pos"), ["chrom", "node"]).where("hi > lo")
+    spans = spans.join(large(nodes.select("chrom", "node", "aln_pos")), ["chrom", "node"]).where("hi > lo")
     spans = spans.withColumn("b", F.explode(F.sequence(F.expr(f"lo div {bucket}"), F.expr(f"(hi - 1) div {bucket}"))))
-    rows = bed.withColumn("b", F.expr(f"start div {bucket}")).join(spans, ["chrom", "b"]).where("start >= lo and start < hi")
+    rows = bed.withColumn("b", F.expr(f"start div {bucket}")).join(large(spans), ["chrom", "b"]).where("start >= lo and start < hi")
     return rows.select(*bed.columns, (F.col("aln_pos") + F.col("start") - F.col("lo")).alias("aln_start"), "chunk_no")
 
 

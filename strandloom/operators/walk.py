@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import padded
+from ..functions.storage import large
 from .graph import reference_slices
 
 BUBBLES = 64
@@ -19,7 +20,7 @@ def ref_pieces(nodes: DataFrame, reference: DataFrame, chunk: int, bubbles: int
     """(chrom, chunk_no, node, aln, width, text): REF edge into each node, by aligned start."""
     rows = nodes.where("node > 0").select("chrom", F.col("node").alias("id"), (F.col("ref_pos") - F.col("ref_delta")).alias("lo"), F.col("ref_pos").alias("hi"), F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"), F.col("aln_pos").alias("aln_end"))
     before = nodes.select("chrom", (F.col("node") + 1).alias("id"), F.col("aln_pos").alias("aln"))
-    rows = reference_slices(rows.join(before, ["chrom", "id"]), reference, chunk)
+    rows = reference_slices(rows.join(large(before), ["chrom", "id"]), reference, chunk)
     return rows.select("chrom", "chunk_no", F.col("id").alias("node"), "aln", (F.col("aln_end") - F.col("aln")).alias("width"), "text")
 
 
@@ -34,15 +35,15 @@ def ref_chunks(pieces: DataFrame) -> DataFrame:
 def copy_chunks(copies: DataFrame, chunks: DataFrame, taken: DataFrame, edges: DataFrame, nodes: DataFrame, *, aligned: bool = True, bubbles: int = BUBBLES) -> DataFrame:
     """(chrom, copy, chunk_no, text) of every copy and chunk."""
     at = nodes.select("chrom", "node", "aln_pos", F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"))
-    steps = taken.join(edges.select("chrom", "edge", "src", "dst", "label"), ["chrom", "edge"])
-    steps = steps.join(at.select("chrom", F.col("node").alias("src"), F.col("aln_pos").alias("a")), ["chrom", "src"])
-    steps = steps.join(at.select("chrom", F.col("node").alias("dst"), F.col("aln_pos").alias("b"), "chunk_no"), ["chrom", "dst"])
+    steps = taken.join(large(edges.select("chrom", "edge", "src", "dst", "label")), ["chrom", "edge"])
+    steps = steps.join(large(at.select("chrom", F.col("node").alias("src"), F.col("aln_pos").alias("a"))), ["chrom", "src"])
+    steps = steps.join(large(at.select("chrom", F.col("node").alias("dst"), F.col("aln_pos").alias("b"), "chunk_no")), ["chrom", "dst"])
     own = steps.groupBy("chrom", "chunk_no", "copy").agg(F.sort_array(F.collect_list(F.struct("a", "b", "label"))).alias("steps"))
     own = own.groupBy("chrom", "chunk_no").agg(F.collect_list(F.struct(F.col("copy").cast("int").alias("copy"), "steps")).alias("own"))
     # copies are numbered from 0, so their number per chromosome (one row each) names all of them; a chunk's text meets its
     # copies inside the row and is not shuffled once for each
     size = F.broadcast(copies.groupBy("chrom").agg(F.count_distinct("copy").cast("int").alias("size")))
-    rows = chunks.join(own, ["chrom", "chunk_no"], "left").join(size, "chrom")
+    rows = chunks.join(large(own), ["chrom", "chunk_no"], "left").join(size, "chrom")
     held = F.coalesce("own", F.array().cast("array<struct<copy:int,steps:array<struct<a:bigint,b:bigint,label:string>>>>"))
     free = F.array_except(F.sequence(F.lit(0), F.col("size") - 1), F.transform(held, lambda x: x["copy"]))
     every = F.concat(held, F.transform(free, lambda c: F.struct(c.alias("copy"), F.lit(None).cast("array<struct<a:bigint,b:bigint,label:string>>").alias("steps"))))
