@@ -49,10 +49,6 @@ ORDER = 0x9E3779B97F4A7C15
 PIECES = [f"t{j}" for j in range(LEADING)] + [f"s{j}" for j in range(SEGMENTS)]
 
 
-def tokens_of(line: Column) -> Column:
-    return F.filter(F.split(line, f"[{BLANK}]+"), lambda t: t != "")
-
-
 def hash60(text: Column) -> Column:
     """The first 60 bits of a text's MD5: the same number in any SQL engine."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
@@ -64,11 +60,15 @@ def orders() -> list[int]:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(key, label, pos, n, template, t0.., s0..) of every line with a token; t are hashes of its leading tokens, s of its segments."""
-    masked = F.regexp_replace("text", FIELD, "<*>")
-    lists = docs.select(F.xxhash64("doc_id", "text").alias("key"), hash60(F.col("text")).alias("label"), F.transform(F.split(masked, "\n"), tokens_of).alias("lines")).where("lines is not null")
-    rows = lists.select("key", "label", F.posexplode("lines").alias("pos", "t")).where(F.size("t") > 0)
+    # every text is looked through once: a filter on the lists of tokens would build them a second time, and a single blank needs no pattern
+    rows = docs.where("text is not null")
+    one = F.when(F.col("text").rlike(r"[\t\r\f\x0B]"), F.translate("text", "\t\r\f\x0b", "    ")).otherwise(F.col("text"))
+    lists = F.transform(F.split(F.regexp_replace(one, FIELD, "<*>"), "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), hash60(F.col("text")).alias("label"), F.posexplode(lists).alias("pos", "t")).where(F.size("t") > 0)
     edge = [F.expr(f"greatest(size(t) - {LEADING}, 0) * {j} div {SEGMENTS}").cast("int") for j in range(SEGMENTS + 1)]
-    cuts = [hash60(F.array_join(F.slice("t", edge[j] + LEADING + 1, edge[j + 1] - edge[j]), " ")).alias(f"s{j}") for j in range(SEGMENTS)]
+    piece = [F.array_join(F.slice("t", edge[j] + LEADING + 1, edge[j + 1] - edge[j]), " ") for j in range(SEGMENTS)]
+    # segments are only compared between lines of equal length; those of short lines are in no sketch, so any hash does
+    cuts = [F.when(F.size("t") >= SKETCH_TOKENS, hash60(x)).otherwise(F.xxhash64(x)).alias(f"s{j}") for j, x in enumerate(piece)]
     heads = [F.xxhash64(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(LEADING)]
     return rows.select("key", "label", "pos", F.size("t").alias("n"), hash60(F.array_join("t", " ")).alias("template"), *heads, *cuts)
 

@@ -729,6 +729,13 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_lines(df).columns == df.columns and line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_lines_are_found_in_one_look_at_a_text(spark):
+    df = docs_of(spark, ["a1\tb\x0bc \f d\r\n\n e", None, "p\t \tq2", "\t"])
+    plan = line_dedup.line_table(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert sorted((r.pos, r.n) for r in line_dedup.line_table(df).collect()) == [(0, 2), (0, 4), (2, 1)]
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = table(spark, SF, "documents")
     labels = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
