@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,9 +188,12 @@ HITS = "array<struct<item_id:long,distance:int,budget:int,end_char:long>>"
 
 
 def flag_rows(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_chars: int = MIN_CHARS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(row, text, hits): each row of ``docs`` as one packed column, and its hits; block after block adds to them."""
+    """(row, hits): each row of ``docs`` as one packed column, and its hits; block after block adds to them.
+
+    The texts go to Python and back inside the packed rows only: a column of their own would double every Arrow batch on both sides.
+    """
     spark = docs.sparkSession
-    out = docs.select(packed(docs), "text", F.array().cast(HITS).alias("hits"))
+    out = docs.select(packed(docs), F.array().cast(HITS).alias("hits"))
     schema = out.schema
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     shared = written = None
@@ -204,7 +208,8 @@ def flag_rows(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, min_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
-            for part, texts in text_groups(batches):
+            for part, texts in text_groups(b.append_column("text", pc.struct_field(b.column("row"), "text")) for b in batches):
+                part = part.select(["row", "hits"])
                 old = part.column("hits").to_pylist()
                 new = [o + [{"item_id": matcher.items[n].id, "distance": d, "budget": matcher.items[n].budget, "end_char": e} for n, d, e in matcher.matches(t)] for o, t in zip(old, texts, strict=True)]
                 at = part.schema.get_field_index("hits")

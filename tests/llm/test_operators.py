@@ -736,6 +736,13 @@ def test_lines_are_found_in_one_look_at_a_text(spark):
     assert sorted((r.pos, r.n) for r in line_dedup.line_table(df).collect()) == [(0, 2), (0, 4), (2, 1)]
 
 
+def test_texts_cross_to_python_once_for_decontamination(spark):
+    df = docs_of(spark, ["the quick brown fox jumps over the lazy dog again", None, ""])
+    found = decontaminate.flag_rows(df, spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog")], "item_id long, text string"))
+    assert found.columns == ["row", "hits"]
+    assert {r.row.doc_id: [h.item_id for h in r.hits] for r in found.collect()} == {0: [1], 1: [], 2: []}
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = table(spark, SF, "documents")
     labels = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
