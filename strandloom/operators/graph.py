@@ -7,11 +7,11 @@ to a bubble (a maximal stretch between nodes that no edge jumps over), plus the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
-from ..functions.storage import large
+from ..functions.storage import large, materialise
 
 POS_BUCKET = 1 << 16
 LONG_BUBBLE = 2000
@@ -75,22 +75,25 @@ def align_nodes(marked: DataFrame, edges: DataFrame, long_bubble: int = LONG_BUB
 
     The native fold copies its array at each step; bubbles of over ``long_bubble`` nodes are folded by rows.
     """
-    own = Window.partitionBy("chrom", "bubble")  # bubbles are folded whole further down, so one is in one task anyway
-    inner = marked.where("node > 0").select("chrom", "bubble", "node", "ref_delta", (F.min("node").over(own) - 1).alias("base"), F.count("*").over(own).alias("size"))
-    into = edges.select("chrom", F.col("dst").alias("node"), "src", F.length("label").cast("long").alias("l"))
-    into = into.join(large(inner.select("chrom", "node", "base")), ["chrom", "node"]).groupBy("chrom", "node").agg(F.collect_list(F.struct((F.col("src") - F.col("base")).cast("int").alias("s"), "l")).alias("ins"))
-    rows = inner.select("chrom", "bubble", "base", "size", "node", "ref_delta").join(large(into), ["chrom", "node"], "left")
-    groups = rows.groupBy("chrom", "bubble", "base", "size").agg(F.sort_array(F.collect_list(F.struct("node", "ref_delta", "ins"))).alias("g"))
-    step = lambda a, n: F.concat(a, F.array(F.greatest(F.element_at(a, -1) + n["ref_delta"], F.coalesce(F.array_max(F.transform(n["ins"], lambda x: F.get(a, x["s"]) + x["l"])), F.lit(0).cast("long")))))
-    short = groups.where(F.col("size") <= long_bubble).select("chrom", "bubble", "base", F.aggregate("g", F.array(F.lit(0).cast("long")), step).alias("values"))
+    into = edges.groupBy("chrom", F.col("dst").alias("node")).agg(F.collect_list(F.struct("src", F.length("label").cast("long").alias("l"))).alias("ins"))
+    rows = marked.where("node > 0").select("chrom", "bubble", "node", "ref_delta").join(large(into), ["chrom", "node"], "left")
+    groups = rows.groupBy("chrom", "bubble").agg(F.sort_array(F.collect_list(F.struct("node", "ref_delta", "ins"))).alias("g"))
+    groups = groups.withColumn("base", F.get("g", F.lit(0))["node"] - 1)
+    place = lambda x: (x["src"] - F.col("base")).cast("int")
+    step = lambda a, n: F.concat(a, F.array(F.greatest(F.element_at(a, -1) + n["ref_delta"], F.coalesce(F.array_max(F.transform(n["ins"], lambda x: F.get(a, place(x)) + x["l"])), F.lit(0).cast("long")))))
+    placed = F.transform("g", lambda n: F.struct(n["ref_delta"].alias("ref_delta"), F.transform(n["ins"], lambda x: F.struct(place(x).alias("s"), x["l"].alias("l"))).alias("ins")))
+    short = F.size("g") <= long_bubble
+    values = F.when(short, F.aggregate("g", F.array(F.lit(0).cast("long")), step))
+    # written once: the totals and the nodes both come from the folds, which would be made again for each of them
+    groups = materialise(groups.select("chrom", "bubble", "base", values.alias("values"), F.when(~short, placed).alias("g")), "bubbles")
 
     def by_rows(batches):
         for pdf in batches:
             yield pdf.assign(values=[_fold([n["ref_delta"] for n in g], [n["ins"] for n in g]) for g in pdf.pop("g")])[["chrom", "bubble", "base", "values"]]
 
     kind = marked.schema["chrom"].dataType.simpleString()
-    long = groups.where(F.col("size") > long_bubble).drop("size").mapInPandas(by_rows, f"chrom {kind}, bubble long, base long, values array<long>")
-    folded = short.unionByName(long)
+    long = groups.where("values is null").drop("values").mapInPandas(by_rows, f"chrom {kind}, bubble long, base long, values array<long>")
+    folded = groups.where("values is not null").drop("g").unionByName(long)
     totals = prefix_scan(folded.withColumn("total", F.element_at("values", -1)), ["chrom"], ["bubble"], F.expr("bubble div 65536"), [("before", "sum", F.col("total"))], inclusive=False)
     local = totals.select("chrom", "before", "base", F.posexplode("values").alias("i", "v")).where("i > 0")
     at = local.select("chrom", (F.col("base") + F.col("i")).alias("node"), (F.col("before") + F.col("v")).alias("aln_pos"))

@@ -40,6 +40,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     ends = _places(spark, sf_dir).groupBy("chrom").agg((F.max(F.col("pos") + F.col("ref_len")) + 8).alias("n"))
     rows = ends.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}")))).withColumn("start", F.col("chunk_no") * chunk)
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "chrom", "chunk_no")  # the lengths are one task's rows, the bases are not
     return rows.select("chrom", F.col("chunk_no").cast("int"), "start", F.expr(f"array_join(transform(sequence(start, least(n, start + {chunk}) - 1), p -> {ACGT}), '')").alias("bases"))
 
 
