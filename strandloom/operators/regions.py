@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
-from ..functions.storage import large
+from ..functions.storage import large, materialise
 
 
 def region_starts(bed: DataFrame, nodes: DataFrame, *, bubbles: int, bucket: int = 1 << 14) -> DataFrame:
@@ -69,15 +69,20 @@ def extract_by_text(bed: DataFrame, aligned: DataFrame, msa: DataFrame, *, bucke
 
 
 def _extracted(starts: DataFrame, msa: DataFrame, bucket: int) -> DataFrame:
+    """A region that its start's chunk holds whole is cut out of it there; only one that goes on behind the chunk meets the chunks of its ranks."""
     bare = F.replace(F.col("text"), F.lit("-"), F.lit(""))
-    rows = msa.withColumn("bare", bare).withColumn("g", F.length("bare").cast("long"))
+    rows = msa.select("chrom", "seq_id", "chunk_no", "aln", "text", F.length(bare).cast("long").alias("g"))
     rows = prefix_scan(rows, ["chrom", "seq_id"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False)
-    skipped = F.length(F.replace(F.expr("substring(text, 1, cast(aln_start - aln as int))"), F.lit("-"), F.lit("")))
-    want = rows.join(starts, ["chrom", "chunk_no"]).select("chrom", "seq_id", "name", "start", (F.col("g0") + skipped).alias("r0"), (F.col("g0") + skipped + F.col("end") - F.col("start")).alias("r1"))
-    asked = want.where("r1 > r0").withColumn("b", F.explode(F.sequence(F.expr(f"r0 div {bucket}"), F.expr(f"(r1 - 1) div {bucket}"))))
-    held = rows.where("g > 0").select("chrom", "seq_id", "g0", "g", "bare", F.explode(F.sequence(F.expr(f"g0 div {bucket}"), F.expr(f"(g0 + g - 1) div {bucket}"))).alias("b"))
-    parts = asked.join(held, ["chrom", "seq_id", "b"]).where("g0 < r1 and g0 + g > r0").where(f"b = greatest(r0, g0) div {bucket}")
+    rows = materialise(rows, "ranked-chunks")  # texts are made once for the three times that they are read
+    rest = F.replace(F.expr("substring(text, cast(greatest(aln_start - aln, 0) + 1 as int))"), F.lit("-"), F.lit(""))
+    want = rows.join(large(starts), ["chrom", "chunk_no"]).select("chrom", "seq_id", "name", (F.col("end") - F.col("start")).alias("size"), (F.col("g0") + F.col("g")).alias("g1"), rest.alias("rest"))
+    inside = want.where("size <= length(rest)").select("chrom", "name", "seq_id", F.expr("substring(rest, 1, cast(greatest(size, 0) as int))").alias("text"))
+    across = want.where("size > length(rest)").select("chrom", "seq_id", "name", F.expr("g1 - length(rest)").alias("r0"), F.expr("g1 - length(rest) + size").alias("r1"))
+    asked = across.withColumn("b", F.explode(F.sequence(F.expr(f"r0 div {bucket}"), F.expr(f"(r1 - 1) div {bucket}"))))
+    held = rows.where("g > 0").select("chrom", "seq_id", "g0", "g", bare.alias("bare"), F.explode(F.sequence(F.expr(f"g0 div {bucket}"), F.expr(f"(g0 + g - 1) div {bucket}"))).alias("b"))
+    parts = asked.join(large(held), ["chrom", "seq_id", "b"]).where("g0 < r1 and g0 + g > r0").where(f"b = greatest(r0, g0) div {bucket}")
     cut = F.expr("substring(bare, cast(greatest(r0 - g0, 0) + 1 as int), cast(least(r1, g0 + g) - greatest(r0, g0) as int))")
-    text = F.array_join(F.sort_array(F.collect_list(F.struct("g0", cut.alias("t"))))["t"], "")
-    done = parts.groupBy("chrom", "name", "start", "seq_id").agg(text.alias("text"))
-    return want.select("chrom", "name", "start", "seq_id").join(done, ["chrom", "name", "start", "seq_id"], "left").select("chrom", "name", "seq_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.array_join(F.sort_array(F.collect_set(F.struct("g0", cut.alias("t"))))["t"], "")  # a region that is asked for twice has its parts once
+    one = ["chrom", "name", "seq_id", "r0", "r1"]
+    done = across.select(*one).join(large(parts.groupBy(*one).agg(text.alias("text"))), one, "left")
+    return inside.unionByName(done.select("chrom", "name", "seq_id", F.coalesce("text", F.lit("")).alias("text")))
