@@ -72,3 +72,12 @@ def test_classes_in_two_levels_equal_one(spark, monkeypatch):
     want = segments.colex_ranks(segments.block_signatures(words, blocks), copies).select("chrom", "block", "copy", "cls")
     got = segments.carrier_classes(words, blocks, copies)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_region_over_a_chunk_border_that_is_asked_for_twice_has_its_text_once(spark):
+    from strandloom.operators import regions
+
+    msa = spark.createDataFrame([("1", 0, 0, 0, "AC-G"), ("1", 0, 1, 4, "T-TA")], "chrom string, seq_id int, chunk_no long, aln long, text string")
+    starts = spark.createDataFrame([("1", "r", 1, 4, 1, 0)] * 2 + [("1", "s", 0, 2, 0, 0), ("1", "t", 4, 9, 6, 1)], "chrom string, name string, start long, end long, aln_start long, chunk_no long")
+    rows = sorted((r.name, r.text) for r in regions._extracted(starts, msa, 2).collect())
+    assert rows == [("r", "CGT"), ("r", "CGT"), ("s", "AC"), ("t", "TA")]
