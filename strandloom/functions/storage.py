@@ -29,11 +29,18 @@ def large(df: DataFrame) -> DataFrame:
 
 #: Estimated bytes of a part of ``dealt``; rows in memory take many times as much.
 PART_BYTES = 2 << 20
+#: Estimates above this are no sizes: a table that is read from no file has the largest number as its size.
+UNKNOWN = 1 << 50
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by keys into parts of a bounded size: their number grows with the input, while the session's number of shuffle partitions is fixed."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def dealt(df: DataFrame, *keys: str, of: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt by keys into parts of a bounded size: their number grows with the input, while the session's number of shuffle partitions is fixed.
+
+    ``of`` is a table that grows with ``df`` and whose size is known; that of a join is not.
+    """
+    size = int((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > UNKNOWN:
+        return df.repartition(*keys)
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), *keys)
 
 

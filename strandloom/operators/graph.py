@@ -7,13 +7,15 @@ to a bubble (a maximal stretch between nodes that no edge jumps over), plus the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
-from ..functions.storage import large, materialise
+from ..functions.storage import dealt, large, materialise
 
-POS_BUCKET = 1 << 16
+#: Positions of a bucket, and bubbles of a part, whose running values one window takes.
+BUCKET = 1 << 14
+BUBBLES = 1 << 12
 LONG_BUBBLE = 2000
 
 
@@ -32,16 +34,15 @@ def build_nodes(variants: DataFrame, alts: DataFrame, lengths: DataFrame) -> Dat
     places = variants.select("chrom", F.col("pos").alias("ref_pos")).unionByName(alts.select("chrom", F.col("tgt_pos").alias("ref_pos")))
     places = places.unionByName(lengths.select("chrom", F.lit(0).cast("long").alias("ref_pos"))).unionByName(lengths.select("chrom", F.col("ref_len").alias("ref_pos")))
     specs = [("node", "count", F.lit(1)), ("before", "max", F.col("ref_pos"))]
-    rows = prefix_scan(places.distinct(), ["chrom"], ["ref_pos"], F.expr(f"ref_pos div {POS_BUCKET}"), specs, inclusive=False)
+    rows = prefix_scan(places.distinct(), ["chrom"], ["ref_pos"], F.expr(f"ref_pos div {BUCKET}"), specs, inclusive=False)
     return rows.select("chrom", "node", "ref_pos", (F.col("ref_pos") - F.coalesce("before", F.lit(0))).alias("ref_delta"))
 
 
-def build_edges(alts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(chrom, edge, src, dst, src_pos, tgt_pos, label, variant_idx, alt_idx); an edge past the end is an error."""
-    numbered = prefix_scan(alts, ["chrom"], ["variant_idx", "alt_idx"], F.expr("variant_idx div 65536"), [("edge", "count", F.lit(1))], inclusive=False)
-    at = large(nodes.select("chrom", "node", "ref_pos"))
-    rows = numbered.join(at.withColumnsRenamed({"node": "src", "ref_pos": "pos"}), ["chrom", "pos"]).join(at.withColumnsRenamed({"node": "dst", "ref_pos": "tgt_pos"}), ["chrom", "tgt_pos"])
-    return rows.select("chrom", "edge", "src", "dst", F.col("pos").alias("src_pos"), "tgt_pos", "label", "variant_idx", "alt_idx")
+def sites(variants: DataFrame) -> DataFrame:
+    """(chrom, variant_idx, pos, tgt_pos, n, alts): one row a record, with its n handled alternatives (alt_idx, label) in order; records without any stay."""
+    handled = F.filter("alts", lambda a: a["kind"].isin("NONE", "DEL"))
+    alts = F.sort_array(F.transform(handled, lambda a: F.struct(a["idx"].alias("alt_idx"), F.when(a["kind"] == "DEL", "").otherwise(a["text"]).alias("label"))))
+    return variants.select("chrom", "variant_idx", "pos", (F.col("pos") + F.length("ref")).alias("tgt_pos"), F.size(handled).cast("long").alias("n"), alts.alias("alts"))
 
 
 def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,53 +52,121 @@ def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return prefix_scan(rows, ["chrom"], ["node"], F.expr("node div 65536"), [("first_edge", "sum", F.col("n_edges"))], inclusive=False)
 
 
-def mark_bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` with is_bridge (no edge jumps over the node) and bubble (of the node that ends in it)."""
-    reach = edges.groupBy("chrom", F.col("src").alias("node")).agg(F.max("dst").alias("reach"))
-    rows = nodes.join(large(reach), ["chrom", "node"], "left").withColumn("_part", F.expr("node div 65536"))
-    rows = prefix_scan(rows, ["chrom"], ["node"], "_part", [("far", "max", F.col("reach"))], inclusive=False)
-    rows = rows.withColumn("is_bridge", F.coalesce(F.col("far") <= F.col("node"), F.lit(True))).drop("far", "reach")
-    return prefix_scan(rows, ["chrom"], ["node"], "_part", [("bubble", "sum", F.col("is_bridge").cast("long"))], inclusive=False).drop("_part")
+def marked_sites(records: DataFrame, lengths: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Nodes and sites in one table: (chrom, bubble, node, ref_pos, ref_delta, is_bridge, site); a row is a node or a site.
 
+    Records and the ends of their edges are dealt out once, by position. Node and edge numbers, bridges (nodes that no edge jumps over) and
+    bubbles (of a node, the one that ends in it; of a site, the one that its edges lie in) are running values along the positions. ``site`` has variant_idx, src, src_pos,
+    tgt_pos, first_edge and alts. Records are sorted by position, so edges are numbered by record and allele.
+    """
+    nothing = F.lit(None).cast(records.schema["alts"].dataType)
+    none = F.lit(None).cast("long")
+    edged = F.col("n") > 0
+    at = lambda df, pos: df.select("chrom", F.lit(pos).cast("long").alias("pos") if isinstance(pos, int) else F.col(pos).cast("long").alias("pos"), none.alias("variant_idx"), none.alias("tgt_pos"), F.lit(0).cast("long").alias("n"), nothing.alias("alts"))
+    rows = records.select("chrom", F.col("pos").cast("long"), F.col("variant_idx").cast("long"), F.when(edged, F.col("tgt_pos")).cast("long").alias("tgt_pos"), "n", "alts")
+    rows = rows.unionByName(at(records.where(edged), "tgt_pos")).unionByName(at(lengths, 0)).unionByName(at(lengths, "ref_len"))
+    by, order, part = ["chrom"], ["pos", "variant_idx"], "_part"
+    rows = dealt(rows.withColumn(part, F.expr(f"pos div {BUCKET}")), "chrom", part, of=records if of is None else of)
+    new = ~F.col("pos").eqNullSafe(F.lag("pos").over(Window.partitionBy("chrom", part).orderBy(*order)))
+    rows = rows.withColumn("new", new.cast("long"))
+    specs = [("nodes", "sum", F.col("new")), ("before", "max", F.col("pos")), ("far", "max", F.col("tgt_pos")), ("first_edge", "sum", F.col("n"))]
+    rows = prefix_scan(rows, by, order, part, specs, inclusive=False)
+    rows = rows.withColumn("bridge", ((F.col("new") == 1) & F.coalesce(F.col("far") <= F.col("pos"), F.lit(True))).cast("long"))
+    rows = prefix_scan(rows, by, order, part, [("bridges", "sum", F.col("bridge"))], inclusive=False)
+    node = F.col("nodes") + F.col("new") - 1
+    site = F.struct("variant_idx", node.alias("src"), F.col("pos").alias("src_pos"), "tgt_pos", "first_edge", "alts")
+    kept = lambda bubble, own, of: F.struct(bubble.alias("bubble"), *(v.alias(n) for n, v in own.items()), of.alias("site"))
+    a_node = kept(F.col("bridges"), {"node": node, "ref_pos": F.col("pos"), "ref_delta": F.col("pos") - F.coalesce("before", F.lit(0)), "is_bridge": F.col("bridge") == 1}, F.lit(None).cast(rows.select(site).schema[0].dataType))
+    a_site = kept(F.col("bridges") + F.col("bridge"), {"node": none, "ref_pos": none, "ref_delta": none, "is_bridge": F.lit(None).cast("boolean")}, site)
+    both = F.concat(F.when(F.col("new") == 1, F.array(a_node)).otherwise(F.array()), F.when(F.col("n") > 0, F.array(a_site)).otherwise(F.array()))
+    return rows.select("chrom", F.explode(both).alias("r")).select("chrom", "r.*")
+
+
+def _fold(pdf_nodes, pdf_sites):
+    """Values of the nodes of a bubble (the first for the node before it), and the number in the bubble of each site's target."""
+    place = {n["ref_pos"]: i for i, n in enumerate(pdf_nodes, 1)}
+    base = pdf_nodes[0]["node"] - 1
+    into, ends, values = {}, [], [0]
+    for x in pdf_sites:
+        ends.append(place[x["tgt_pos"]])
+        into.setdefault(ends[-1], []).append((x["src"] - base, max(len(a["label"]) for a in x["alts"])))
+    for i, n in enumerate(pdf_nodes, 1):
+        values.append(max([values[-1] + n["ref_delta"], *(values[s] + w for s, w in into.get(i, ()))]))
+    return values, ends
+
+
+def fold_bubbles(rows: DataFrame, of: DataFrame, long_bubble: int = LONG_BUBBLE) -> DataFrame:
+    """(chrom, part, bubble, nodes, sites, values, ends, total, before), written once, from rows as ``marked_sites`` has them.
+
+    A bubble's nodes and sites meet in one row. ``values`` are the longest paths from the node before the bubble to that node and each of
+    its own, ``ends`` the number in the bubble of each site's target, ``before`` the sum of the bubbles before it in its part. The native fold copies its array at each step; bubbles of over
+    ``long_bubble`` nodes are folded by rows. ``of`` is a table of known size that grows with the rows.
+    """
+    rows = dealt(rows.withColumn("part", F.expr(f"bubble div {BUBBLES}")), "chrom", "part", of=of)
+    node = F.when(F.col("node").isNotNull(), F.struct("node", "ref_pos", "ref_delta", "is_bridge"))
+    groups = rows.groupBy("chrom", "part", "bubble").agg(F.sort_array(F.collect_list(node)).alias("nodes"), F.sort_array(F.collect_list("site")).alias("sites"))
+    groups = groups.withColumn("base", F.get("nodes", F.lit(0))["node"] - 1)
+    width = lambda x: F.array_max(F.transform(x["alts"], lambda a: F.length(a["label"]).cast("long")))
+    steps = F.concat(
+        F.transform("nodes", lambda n: F.struct(n["ref_pos"].alias("at"), F.lit(1).alias("kind"), n["ref_delta"].alias("d"), F.lit(0).alias("s"))),
+        F.transform("sites", lambda x: F.struct(x["tgt_pos"].alias("at"), F.lit(0).alias("kind"), width(x).alias("d"), (x["src"] - F.col("base")).cast("int").alias("s"))),
+    )
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.array(zero).alias("v"), zero.alias("best"))
+    step = lambda a, x: F.when(x["kind"] == 1, F.struct(F.concat(a["v"], F.array(F.greatest(F.element_at(a["v"], -1) + x["d"], a["best"]))).alias("v"), zero.alias("best"))).otherwise(F.struct(a["v"].alias("v"), F.greatest(a["best"], F.get(a["v"], x["s"]) + x["d"]).alias("best")))
+    short = F.size("nodes") <= long_bubble
+    ends = F.transform("sites", lambda x: F.array_position(F.col("nodes.ref_pos"), x["tgt_pos"]).cast("int"))
+    groups = groups.select("chrom", "part", "bubble", "nodes", "sites", F.when(short, F.aggregate(F.sort_array(steps), start, step, lambda a: a["v"])).alias("values"), F.when(short, ends).alias("ends"))
+    total = F.element_at("values", -1)
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("chrom", "part").orderBy("bubble").rowsBetween(Window.unboundedPreceding, -1)), zero)
+    found = materialise(groups.withColumn("total", total).withColumn("before", before), "bubbles")
+    if not found.where("total is null").limit(1).count():
+        return found
 
-def _fold(deltas, ins):
-    values = [0]
-    for d, incoming in zip(deltas, ins, strict=True):
-        best = values[-1] + d
-        for e in incoming if incoming is not None else ():
-            best = max(best, values[e["s"]] + e["l"])
-        values.append(best)
-    return values
+    def by_rows(batches):
+        for pdf in batches:
+            folded = [_fold(n, s) for n, s in zip(pdf["nodes"], pdf["sites"], strict=True)]
+            yield pdf[["chrom", "part", "bubble"]].assign(values=[v for v, _ in folded], ends=[e for _, e in folded])
 
+    kind = found.schema["chrom"].dataType.simpleString()
+    keys = ["chrom", "part", "bubble"]
+    long = found.where("total is null").select(*keys, "nodes", "sites").mapInPandas(by_rows, f"chrom {kind}, part long, bubble long, values array<bigint>, ends array<int>")
+    long = found.where("total is null").drop("values", "ends").join(large(long), keys)
+    return materialise(found.where("total is not null").unionByName(long).withColumn("total", total).withColumn("before", before), "bubbles")
 
-def align_nodes(marked: DataFrame, edges: DataFrame, long_bubble: int = LONG_BUBBLE) -> DataFrame:
-    """``marked`` nodes with aln_pos: a native fold in each bubble, and a prefix sum over the bubbles.
 
-    The native fold copies its array at each step; bubbles of over ``long_bubble`` nodes are folded by rows.
-    """
-    into = edges.groupBy("chrom", F.col("dst").alias("node")).agg(F.collect_list(F.struct("src", F.length("label").cast("long").alias("l"))).alias("ins"))
-    rows = marked.where("node > 0").select("chrom", "bubble", "node", "ref_delta").join(large(into), ["chrom", "node"], "left")
-    groups = rows.groupBy("chrom", "bubble").agg(F.sort_array(F.collect_list(F.struct("node", "ref_delta", "ins"))).alias("g"))
-    groups = groups.withColumn("base", F.get("g", F.lit(0))["node"] - 1)
-    place = lambda x: (x["src"] - F.col("base")).cast("int")
-    step = lambda a, n: F.concat(a, F.array(F.greatest(F.element_at(a, -1) + n["ref_delta"], F.coalesce(F.array_max(F.transform(n["ins"], lambda x: F.get(a, place(x)) + x["l"])), F.lit(0).cast("long")))))
-    placed = F.transform("g", lambda n: F.struct(n["ref_delta"].alias("ref_delta"), F.transform(n["ins"], lambda x: F.struct(place(x).alias("s"), x["l"].alias("l"))).alias("ins")))
-    short = F.size("g") <= long_bubble
-    values = F.when(short, F.aggregate("g", F.array(F.lit(0).cast("long")), step))
-    # written once: the totals and the nodes both come from the folds, which would be made again for each of them
-    groups = materialise(groups.select("chrom", "bubble", "base", values.alias("values"), F.when(~short, placed).alias("g")), "bubbles")
+def bubble_offsets(folded: DataFrame) -> DataFrame:
+    """(chrom, part, offset): the aligned position at which the bubbles of each part begin; one row for ``BUBBLES`` bubbles."""
+    totals = folded.groupBy("chrom", "part").agg(F.sum("total").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("chrom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("chrom", "part", F.coalesce(before, F.lit(0).cast("long")).alias("offset"))
 
-    def by_rows(batches):
-        for pdf in batches:
-            yield pdf.assign(values=[_fold([n["ref_delta"] for n in g], [n["ins"] for n in g]) for g in pdf.pop("g")])[["chrom", "bubble", "base", "values"]]
-
-    kind = marked.schema["chrom"].dataType.simpleString()
-    long = groups.where("values is null").drop("values").mapInPandas(by_rows, f"chrom {kind}, bubble long, base long, values array<long>")
-    folded = groups.where("values is not null").drop("g").unionByName(long)
-    totals = prefix_scan(folded.withColumn("total", F.element_at("values", -1)), ["chrom"], ["bubble"], F.expr("bubble div 65536"), [("before", "sum", F.col("total"))], inclusive=False)
-    local = totals.select("chrom", "before", "base", F.posexplode("values").alias("i", "v")).where("i > 0")
-    at = local.select("chrom", (F.col("base") + F.col("i")).alias("node"), (F.col("before") + F.col("v")).alias("aln_pos"))
-    return marked.join(large(at), ["chrom", "node"], "left").withColumn("aln_pos", F.coalesce("aln_pos", F.lit(0).cast("long")))
+
+def nodes_of(folded: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(chrom, node, ref_pos, ref_delta, is_bridge, bubble, aln_pos) of the nodes in their bubbles."""
+    rows = folded.select("chrom", "part", "bubble", F.col("before"), "values", F.posexplode("nodes").alias("i", "n")).join(offsets, ["chrom", "part"])
+    return rows.select("chrom", "n.node", "n.ref_pos", "n.ref_delta", "n.is_bridge", "bubble", (F.col("offset") + F.col("before") + F.get("values", F.col("i") + 1)).alias("aln_pos"))
+
+
+def sites_of(folded: DataFrame) -> DataFrame:
+    """(chrom, variant_idx, src, dst, src_pos, tgt_pos, first_edge, bubble, alts) of the sites in their bubbles."""
+    rows = folded.select("chrom", "bubble", (F.get("nodes", F.lit(0))["node"] - 1).alias("base"), "ends", F.posexplode("sites").alias("i", "s"))
+    dst = F.col("base") + F.get("ends", F.col("i"))
+    return rows.select("chrom", "s.variant_idx", "s.src", dst.alias("dst"), "s.src_pos", "s.tgt_pos", "s.first_edge", "bubble", "s.alts")
+
+
+def edges_of(sites: DataFrame) -> DataFrame:
+    """(chrom, edge, src, dst, src_pos, tgt_pos, label, variant_idx, alt_idx, bubble) of the ALT edges of the sites."""
+    rows = sites.select("*", F.posexplode("alts").alias("i", "a"))
+    return rows.select("chrom", (F.col("first_edge") + F.col("i")).alias("edge"), "src", "dst", "src_pos", "tgt_pos", "a.label", "variant_idx", "a.alt_idx", "bubble")
+
+
+def align_nodes(marked: DataFrame, edges: DataFrame, long_bubble: int = LONG_BUBBLE) -> DataFrame:
+    """``marked`` nodes with aln_pos, anew from the edges."""
+    nodes = marked.select("chrom", "bubble", "node", "ref_pos", "ref_delta", "is_bridge")
+    site = F.struct("variant_idx", "src", "src_pos", "tgt_pos", F.col("edge").alias("first_edge"), F.array(F.struct("alt_idx", "label")).alias("alts"))
+    folded = fold_bubbles(nodes.unionByName(edges.select("chrom", "bubble", site.alias("site")), allowMissingColumns=True), edges, long_bubble)
+    return nodes_of(folded, bubble_offsets(folded))
 
 
 def ref_edges(nodes: DataFrame) -> DataFrame:

@@ -29,12 +29,19 @@ def _dense(words: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("long")))
 
 
-def edge_words(paths: DataFrame, copies: DataFrame) -> DataFrame:
-    """(chrom, edge, words) of every edge that a copy carries; all rows of a chromosome have the same number of words."""
+def edge_words(paths: DataFrame, copies: DataFrame, *more: str) -> DataFrame:
+    """(chrom, edge, words) of every edge that a copy carries; all rows of a chromosome have the same number of words. ``more`` names further columns of the edge that stay."""
     size = copies.groupBy("chrom").agg(F.expr(f"max(cast(copy as bigint)) div {WORD} + 1").alias("n"))
-    words = paths.groupBy("chrom", "edge", F.expr(f"cast(copy as bigint) div {WORD}").alias("no")).agg(F.bit_or(_bit(F.col("copy"))).alias("word"))
-    rows = words.groupBy("chrom", "edge").agg(F.collect_list(F.struct("no", "word")).alias("held")).join(size, "chrom")
-    return rows.select("chrom", "edge", _dense(F.col("held"), F.col("n")).alias("words"))
+    of = ["chrom", "edge", *more]
+    words = paths.groupBy(*of, F.expr(f"cast(copy as bigint) div {WORD}").alias("no")).agg(F.bit_or(_bit(F.col("copy"))).alias("word"))
+    rows = words.groupBy(*of).agg(F.collect_list(F.struct("no", "word")).alias("held")).join(F.broadcast(size), "chrom")
+    return rows.select(*of, F.when(F.col("n") == 1, F.col("held.word")).otherwise(_dense(F.col("held"), F.col("n"))).alias("words"))
+
+
+def carries(words: Column, copy: Column) -> Column:
+    """Whether a copy's bit is set."""
+    word = F.get(words, F.call_function("div", copy.cast("long"), F.lit(WORD).cast("long")).cast("int"))
+    return F.call_function("shiftright", word, (copy % WORD).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def carriers(words: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
 from ..functions.storage import large
+from .incidence import edge_words, unpacked
 
 
 def chosen_genotypes(genotypes: DataFrame, names: DataFrame, listed: DataFrame | None, *, exclude: bool = False) -> DataFrame:
@@ -45,6 +46,23 @@ def carried_edges(genotypes: DataFrame, copies: DataFrame, edges: DataFrame) ->
     return calls.join(large(steps), ["chrom", "variant_idx", "allele"]).select("chrom", "copy", "edge", "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele")
 
 
+def packed_edges(genotypes: DataFrame, copies: DataFrame, sites: DataFrame) -> DataFrame:
+    """(chrom, edge, src, dst, src_pos, tgt_pos, variant_idx, allele, label, bubble, words): a row for each carried edge, its carriers packed.
+
+    Genotypes meet the records, not their alternatives, and are packed where they meet, so no row for each carrier is written or dealt out again.
+    """
+    calls = genotypes.where("allele > 0").join(F.broadcast(copies.select("chrom", "sample_idx", "copy_idx", "copy")), ["chrom", "sample_idx", "copy_idx"]).select("chrom", "variant_idx", "allele", "copy")
+    rows = calls.join(large(sites), ["chrom", "variant_idx"])
+    rows = rows.withColumn("i", F.array_position(F.col("alts.alt_idx"), F.col("allele").cast(sites.schema["alts"].dataType.elementType["alt_idx"].dataType))).where("i > 0")
+    rows = rows.select("chrom", (F.col("first_edge") + F.col("i") - 1).alias("edge"), "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele", F.get("alts", (F.col("i") - 1).cast("int"))["label"].alias("label"), "bubble", "copy")
+    return edge_words(rows, copies, *(c for c in rows.columns if c not in ("chrom", "edge", "copy")))
+
+
+def unpacked_paths(packed: DataFrame) -> DataFrame:
+    """The rows of ``carried_edges`` from packed ones."""
+    return unpacked(packed.drop("label", "bubble")).select("chrom", "copy", "edge", "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele")
+
+
 def overlaps(paths: DataFrame) -> DataFrame:
     """Carried edges that start before the target of the copy's last carried edge."""
     last = ("last", "max", F.struct("variant_idx", "edge", "tgt_pos"))  # the carried edge before, whatever bucket it is in

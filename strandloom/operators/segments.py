@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import prefix_scan
 from ..functions.progress import Counter
-from ..functions.storage import large, materialise
-from .incidence import unpacked
+from ..functions.storage import dealt, large, materialise
+from .incidence import carries, unpacked
 from .orders import NONE, Order, order_of, prefixes
 
+#: Nodes of a part whose edges and cuts are put in order in one window.
+PART_NODES = 1 << 14
 #: Edges of a chunk whose copies are sorted in one task.
 CHUNK_EDGES = 1024
 #: The recursion first sees blocks of so many classes at most; if the result needs more, of more.
@@ -36,17 +38,40 @@ def cut_candidates(marked: DataFrame, counts: DataFrame) -> DataFrame:
     return first.select("chrom", "n.node", "first_edge", "n.aln_pos")
 
 
-def block_of_edges(edges: DataFrame, cuts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(chrom, edge, block): the block between neighbouring cuts that holds the edge; no edge crosses a cut.
+def _after_cuts(rows: DataFrame, cuts: DataFrame, specs: list) -> DataFrame:
+    """``rows`` (with chrom and src) and the cuts in one order, where a cut comes before the rows that start there: running values of the cuts' columns."""
+    marks = cuts.withColumnRenamed("node", "src").withColumn("_cut", F.lit(1).cast("long"))
+    both = rows.withColumn("_cut", F.lit(0).cast("long")).unionByName(marks, allowMissingColumns=True)
+    both = dealt(both.withColumn("_part", F.expr(f"src div {PART_NODES}")), "chrom", "_part", of=rows)
+    both = both.withColumn("_behind", 1 - F.col("_cut"))
+    return prefix_scan(both, ["chrom"], ["src", "_behind"], "_part", specs).where("_cut = 0").drop("_cut", "_behind", "_part")
 
-    A running count of the cuts over the nodes gives each node its block, and the edge's start is an equi-join.
-    """
-    marks = cuts.select("chrom", "node").distinct().withColumn("cut", F.lit(1).cast("long"))
-    at = nodes.select("chrom", "node").join(marks, ["chrom", "node"], "left")
-    at = prefix_scan(at, ["chrom"], ["node"], F.expr("node div 65536"), [("seen", "sum", F.coalesce("cut", F.lit(0).cast("long")))])
+
+def in_blocks(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (with chrom and src) with block: the block between neighbouring cuts that holds the edge; no edge crosses a cut. Edges before the first cut or behind the last are left out."""
+    marks = cuts.select("chrom", "node").distinct()
     last = marks.groupBy("chrom").agg(F.count("*").alias("cuts"))
-    rows = edges.select("chrom", "edge", F.col("src").alias("node")).join(large(at.select("chrom", "node", "seen")), ["chrom", "node"]).join(F.broadcast(last), "chrom")
-    return rows.where("seen > 0 and seen < cuts").select("chrom", "edge", (F.col("seen") - 1).cast("int").alias("block"))
+    seen = _after_cuts(rows, marks, [("seen", "sum", F.col("_cut"))]).join(F.broadcast(last), "chrom").where("seen > 0 and seen < cuts")
+    return seen.withColumn("block", (F.col("seen") - 1).cast("int")).drop("seen", "cuts")
+
+
+def block_of_edges(edges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(chrom, edge, block) of the edges."""
+    return in_blocks(edges.select("chrom", "edge", "src"), cuts).select("chrom", "edge", "block")
+
+
+def assigned_steps(steps: DataFrame, cuts: DataFrame, assignments: DataFrame) -> DataFrame:
+    """``steps`` (carried edges with words) with who: the founders whose copy in the edge's block carries it; edges without one are left out.
+
+    Each cut brings along what is assigned behind it, so an edge meets its block's copies by a running value and not by a join.
+    """
+    marks = cuts.select("chrom", "node").distinct().withColumn("_part", F.expr(f"node div {PART_NODES}"))
+    marks = prefix_scan(marks, ["chrom"], ["node"], "_part", [("block", "count", F.lit(1))], inclusive=False).drop("_part").withColumn("block", F.col("block").cast("int"))
+    plan = assignments.where("copy is not null").groupBy("chrom", "block").agg(F.sort_array(F.collect_list(F.struct("founder", "copy"))).alias("plan"))
+    marks = marks.join(large(plan), ["chrom", "block"], "left").select("chrom", "node", F.struct(F.col("node").alias("at"), "plan").alias("cut"))
+    rows = _after_cuts(steps, marks, [("now", "max", F.col("cut"))])
+    who = F.transform(F.filter("now.plan", lambda x: carries(F.col("words"), x["copy"])), lambda x: x["founder"])
+    return rows.withColumn("who", who).where("size(who) > 0").drop("now", "cut", "words")
 
 
 def block_signatures(words: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -83,7 +108,12 @@ def carrier_classes(words: DataFrame, blocks: DataFrame, copies: DataFrame) -> D
     Stretches of ``RANKED`` edges are ranked apart. A block then compares (stretch, rank) pairs, highest first: ranks agree with the edges, since a
     copy that carries more edges of a stretch than one that is equal so far comes after it, whatever the stretches before hold.
     """
-    rows = unpacked(words.join(large(blocks), ["chrom", "edge"])).withColumn("stretch", F.expr(f"edge div {RANKED}"))
+    return ranked_carriers(words.join(large(blocks), ["chrom", "edge"]), copies)
+
+
+def ranked_carriers(held: DataFrame, copies: DataFrame) -> DataFrame:
+    """``carrier_classes`` of edges that have their block and words."""
+    rows = unpacked(held).withColumn("stretch", F.expr(f"edge div {RANKED}"))
     rows = rows.groupBy("chrom", "block", "stretch", "copy").agg(F.sort_array(F.collect_list("edge"), asc=False).alias("sig"))
     rank = F.dense_rank().over(Window.partitionBy("chrom", "block", "stretch").orderBy("sig"))
     rows = rows.select("chrom", "block", "copy", "stretch", rank.alias("rank"))

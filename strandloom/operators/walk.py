@@ -6,63 +6,64 @@ replaced. A chunk of a copy that takes no edge there is the REF text itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import padded
-from ..functions.storage import large
+from ..functions.storage import dealt, large
 from .graph import reference_slices
 
 BUBBLES = 64
 
 
-def ref_pieces(nodes: DataFrame, reference: DataFrame, chunk: int, bubbles: int = BUBBLES) -> DataFrame:
-    """(chrom, chunk_no, node, aln, width, text): REF edge into each node, by aligned start."""
-    rows = nodes.where("node > 0").select("chrom", F.col("node").alias("id"), (F.col("ref_pos") - F.col("ref_delta")).alias("lo"), F.col("ref_pos").alias("hi"), F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"), F.col("aln_pos").alias("aln_end"))
-    before = nodes.select("chrom", (F.col("node") + 1).alias("id"), F.col("aln_pos").alias("aln"))
-    rows = reference_slices(rows.join(large(before), ["chrom", "id"]), reference, chunk)
-    return rows.select("chrom", "chunk_no", F.col("id").alias("node"), "aln", (F.col("aln_end") - F.col("aln")).alias("width"), "text")
+def ref_chunks(nodes: DataFrame, reference: DataFrame, chunk: int, bubbles: int = BUBBLES) -> DataFrame:
+    """(chrom, chunk_no, base, aln, lo, text, plain, alns): the REF row, aligned and plain.
 
+    ``base`` is the node that a chunk begins at (it ends the chunk before), ``aln`` and ``lo`` its aligned and its own position; ``alns`` are the aligned positions
+    of base and of the chunk's nodes. The reference is sliced once for a chunk, not for each piece.
+    """
+    own = F.expr(f"greatest(bubble - 1, 0) div {bubbles}")
+    both = F.when(F.col("is_bridge") & (F.col("bubble") > 0) & (F.col("bubble") % bubbles == 0), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = nodes.select("chrom", F.explode(both).alias("chunk_no"), "node", "ref_pos", "aln_pos")
+    spans = rows.groupBy("chrom", F.col("chunk_no").alias("id")).agg(F.min("ref_pos").alias("lo"), F.max("ref_pos").alias("hi"))
+    plain = reference_slices(spans, reference, chunk).select("chrom", F.col("id").alias("chunk_no"), "lo", F.col("text").alias("plain"))
+    groups = rows.groupBy("chrom", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("node", "ref_pos", "aln_pos"))).alias("g")).where("size(g) > 1")
+    groups = groups.join(large(plain), ["chrom", "chunk_no"])
+    at = lambda i: F.get("g", i)
+    # the letters are bound to a variable, so that the plain text is split once and not again for each piece
+    piece = lambda t, x, i: padded(F.array_join(F.slice(t, (at(i)["ref_pos"] - F.col("lo") + 1).cast("int"), (x["ref_pos"] - at(i)["ref_pos"]).cast("int")), ""), x["aln_pos"] - at(i)["aln_pos"])
+    joined = lambda t: F.array_join(F.transform(F.slice("g", 2, F.size("g") - 1), lambda x, i: piece(t, x, i)), "")
+    text = F.get(F.transform(F.array(F.split("plain", "")), joined), F.lit(0))
+    return groups.select("chrom", "chunk_no", at(F.lit(0))["node"].alias("base"), at(F.lit(0))["aln_pos"].alias("aln"), "lo", text.alias("text"), "plain", F.transform("g", lambda x: x["aln_pos"]).alias("alns"))
 
-def ref_chunks(pieces: DataFrame) -> DataFrame:
-    """(chrom, chunk_no, aln, text, parts): the REF row; parts are its pieces in order."""
-    p = F.sort_array(F.collect_list(F.struct("aln", "width", "text")))
-    rows = pieces.groupBy("chrom", "chunk_no").agg(p.alias("parts"))
-    text = F.array_join(F.transform("parts", lambda x: padded(x["text"], x["width"])), "")
-    return rows.select("chrom", "chunk_no", F.get("parts", F.lit(0))["aln"].alias("aln"), text.alias("text"), "parts")
 
+def copy_chunks(copies: DataFrame, chunks: DataFrame, steps: DataFrame, held: str, has: Callable[[Column, Column], Column], *, aligned: bool = True, bubbles: int = BUBBLES) -> DataFrame:
+    """(chrom, copy, chunk_no, text) of every copy and chunk.
 
-def copy_chunks(copies: DataFrame, chunks: DataFrame, taken: DataFrame, edges: DataFrame, nodes: DataFrame, *, aligned: bool = True, bubbles: int = BUBBLES) -> DataFrame:
-    """(chrom, copy, chunk_no, text) of every copy and chunk."""
-    at = nodes.select("chrom", "node", "aln_pos", F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"))
-    steps = taken.join(large(edges.select("chrom", "edge", "src", "dst", "label")), ["chrom", "edge"])
-    steps = steps.join(large(at.select("chrom", F.col("node").alias("src"), F.col("aln_pos").alias("a"))), ["chrom", "src"])
-    steps = steps.join(large(at.select("chrom", F.col("node").alias("dst"), F.col("aln_pos").alias("b"), "chunk_no")), ["chrom", "dst"])
-    own = steps.groupBy("chrom", "chunk_no", "copy").agg(F.sort_array(F.collect_list(F.struct("a", "b", "label"))).alias("steps"))
-    own = own.groupBy("chrom", "chunk_no").agg(F.collect_list(F.struct(F.col("copy").cast("int").alias("copy"), "steps")).alias("own"))
+    ``steps`` are the carried edges with a column ``held``, and ``has(held, copy)`` says whether a copy carries one. The edges of a chunk meet in one row, once for all
+    copies. A copy takes, in order, each of its edges that starts where the last one taken has ended, so a walk is one fold; no edge leaves a chunk.
+    """
+    rows = steps.select("chrom", F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"), F.struct("src", "edge", "dst", "src_pos", "tgt_pos", "label", F.col(held).alias("held")).alias("e"))
+    own = dealt(rows, "chrom", "chunk_no", of=chunks).groupBy("chrom", "chunk_no").agg(F.sort_array(F.collect_list("e")).alias("steps"))
     # copies are numbered from 0, so their number per chromosome (one row each) names all of them; a chunk's text meets its
     # copies inside the row and is not shuffled once for each
     size = F.broadcast(copies.groupBy("chrom").agg(F.count_distinct("copy").cast("int").alias("size")))
     rows = chunks.join(large(own), ["chrom", "chunk_no"], "left").join(size, "chrom")
-    held = F.coalesce("own", F.array().cast("array<struct<copy:int,steps:array<struct<a:bigint,b:bigint,label:string>>>>"))
-    free = F.array_except(F.sequence(F.lit(0), F.col("size") - 1), F.transform(held, lambda x: x["copy"]))
-    every = F.concat(held, F.transform(free, lambda c: F.struct(c.alias("copy"), F.lit(None).cast("array<struct<a:bigint,b:bigint,label:string>>").alias("steps"))))
-    rows = rows.withColumn("each", F.explode(every)).withColumns({"copy": F.col("each.copy"), "steps": F.col("each.steps")})
-    if aligned:
-        start = F.struct(F.col("aln").alias("at"), F.array().cast("array<string>").alias("out"))
-        cut = lambda lo, hi: F.col("text").substr((lo - F.col("aln") + 1).cast("int"), (hi - lo).cast("int"))
-        step = lambda s, e: F.struct(e["b"].alias("at"), F.concat(s["out"], F.array(cut(s["at"], e["a"]), padded(e["label"], e["b"] - e["a"]))).alias("out"))
-        end = F.col("aln") + F.length("text")
-        done = F.aggregate("steps", start, step, lambda s: F.array_join(F.concat(s["out"], F.array(cut(s["at"], end))), ""))
-        return rows.select("chrom", "copy", "chunk_no", F.when(F.col("steps").isNull(), F.col("text")).otherwise(done).alias("text"))
-    # unaligned: labels and REF pieces as they are, those of REF only where no taken edge lies over them
-    free = F.filter("parts", lambda p: ~F.exists("steps", lambda e: (e["a"] <= p["aln"]) & (p["aln"] + p["width"] <= e["b"])))
-    plain = F.transform(free, lambda p: F.struct(p["aln"].alias("a"), p["text"].alias("t")))
-    both = F.sort_array(F.concat(plain, F.transform("steps", lambda e: F.struct(e["a"].alias("a"), e["label"].alias("t")))))
-    mixed = F.array_join(F.transform(both, lambda x: x["t"]), "")
-    return rows.select("chrom", "copy", "chunk_no", F.when(F.col("steps").isNull(), F.array_join(F.transform("parts", lambda p: p["text"]), "")).otherwise(mixed).alias("text"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    taken = F.filter("steps", lambda e: has(e["held"], F.col("copy")))
+    whole, origin = (F.col("text"), F.col("aln")) if aligned else (F.col("plain"), F.col("lo"))
+    place = lambda node: F.get("alns", (node - F.col("base")).cast("int"))
+    lo = lambda e: place(e["src"]) if aligned else e["src_pos"]
+    hi = lambda e: place(e["dst"]) if aligned else e["tgt_pos"]
+    label = lambda e: padded(e["label"], hi(e) - lo(e)) if aligned else e["label"]
+    cut = lambda a, b: whole.substr((a - origin + 1).cast("int"), (b - a).cast("int"))
+    start = F.struct(F.col("base").alias("end"), origin.alias("at"), F.array().cast("array<string>").alias("out"))
+    take = lambda s, e: F.struct(e["dst"].alias("end"), hi(e).alias("at"), F.concat(s["out"], F.array(cut(s["at"], lo(e)), label(e))).alias("out"))
+    done = F.aggregate(taken, start, lambda s, e: F.when(e["src"] >= s["end"], take(s, e)).otherwise(s), lambda s: F.array_join(F.concat(s["out"], F.array(cut(s["at"], origin + F.length(whole)))), ""))
+    return rows.select("chrom", "copy", "chunk_no", F.when(F.col("steps").isNull(), whole).otherwise(done).alias("text"))
 
 
 def ref_row(chunks: DataFrame, *, aligned: bool = True) -> DataFrame:
-    text = F.col("text") if aligned else F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return chunks.select("chrom", "chunk_no", text.alias("text"))
+    return chunks.select("chrom", "chunk_no", F.col("text" if aligned else "plain").alias("text"))

@@ -148,7 +148,8 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     def make() -> Graph:
         v, ref, c = materialise(variants(spark, sf_dir), "variants"), materialise(reference(spark, sf_dir), "reference"), copies(spark, sf_dir)
-        nodes, edges = build_tables(v, g.handled_alts(v), g.reference_lengths(ref))
-        return Graph(ref, nodes, edges, materialise(paths.carried_edges(genotypes(spark, sf_dir), c, edges), "paths"), c, v, CHUNK)
+        nodes, sites = build_tables(v, g.reference_lengths(ref))
+        steps = materialise(paths.packed_edges(genotypes(spark, sf_dir), c, sites), "steps")
+        return Graph(ref, nodes, g.edges_of(sites), paths.unpacked_paths(steps), c, v, CHUNK, steps=steps)
 
     return _once("graph", spark, sf_dir, make)

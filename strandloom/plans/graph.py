@@ -21,12 +21,10 @@ from ..sources import readers
 log = logging.getLogger("strandloom")
 
 
-def build_tables(variants: DataFrame, alts: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with bridges, bubbles and aligned positions, ALT edges); each is written once, as all later steps read them."""
-    places = materialise(g.build_nodes(variants, alts, lengths), "nodes")
-    edges = materialise(g.build_edges(alts, places), "edges")
-    marked = materialise(g.mark_bridges(places, edges), "marked")
-    return materialise(g.align_nodes(marked, edges), "aligned"), edges
+def build_tables(variants: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with bridges, bubbles and aligned positions, records with their ALT edges); both are read from one table of bubbles, which is written once."""
+    folded = g.fold_bubbles(g.marked_sites(g.sites(variants), lengths, variants), variants)
+    return g.nodes_of(folded, materialise(g.bubble_offsets(folded), "offsets")), g.sites_of(folded)
 
 
 def mismatch_line(r: Row) -> str:
@@ -52,6 +50,13 @@ class Graph:
     stats: dict = field(default_factory=dict)
     #: The records whose REF differs from the reference, with what was expected.
     mismatches: DataFrame | None = None
+    #: The carried edges with labels, bubbles and packed carriers (``paths.packed_edges``); made from the other tables if not given.
+    steps: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if "bubble" not in self.edges.columns:  # saved before edges had it
+            at = self.nodes.select("chrom", F.col("node").alias("dst"), "bubble")
+            self.edges = self.edges.join(large(at), ["chrom", "dst"])
 
     # ---- building, saving, loading
 
@@ -81,11 +86,12 @@ class Graph:
         alts = g.handled_alts(variants)
         if check and alts.join(F.broadcast(lengths), "chrom").where("tgt_pos > ref_len").limit(1).count():
             raise ValueError("an alternative reaches past the end of the reference")
-        nodes, edges = build_tables(variants, alts, lengths)
+        nodes, sites = build_tables(variants, lengths)
         chosen = paths.chosen_genotypes(genotypes, names, listed, exclude=exclude)
         chosen = chosen if keep is None else chosen.where(keep)
         copies = materialise(paths.number_copies(chosen), "copies")
-        return cls(reference, nodes, edges, materialise(paths.carried_edges(chosen, copies, edges), "paths"), copies, variants, chunk, stats, wrong)
+        steps = materialise(paths.packed_edges(chosen, copies, sites), "steps")
+        return cls(reference, nodes, g.edges_of(sites), paths.unpacked_paths(steps), copies, variants, chunk, stats, wrong, steps)
 
     @classmethod
     def from_files(cls, spark: SparkSession, fasta: str, vcf: str, chrom: str, *, record: str | None = None, include: str | None = None, exclude: str | None = None, on_mismatch: str = "warn", chunk: int = readers.CHUNK, keep: Column | None = None, listener: Listener | None = None) -> Graph:
@@ -150,7 +156,14 @@ class Graph:
     @cached_property
     def carried(self) -> DataFrame:
         """(chrom, edge, words): the carriers of each edge as packed bits."""
-        return materialise(incidence.edge_words(self.paths, self.copies), "carried")
+        return self._steps.select("chrom", "edge", "words")
+
+    @cached_property
+    def _steps(self) -> DataFrame:
+        if self.steps is not None:
+            return self.steps
+        more = self.edges.select("chrom", "edge", "src", "dst", "src_pos", "tgt_pos", "label", "bubble")
+        return materialise(incidence.edge_words(self.paths, self.copies).join(large(more), ["chrom", "edge"]), "steps")
 
     @cached_property
     def taken(self) -> DataFrame:
@@ -158,10 +171,10 @@ class Graph:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return materialise(walk.ref_chunks(walk.ref_pieces(self.nodes, self.reference, self.chunk)), "chunks")
+        return materialise(walk.ref_chunks(self.nodes, self.reference, self.chunk), "chunks")
 
     def copy_texts(self, aligned: bool = True) -> DataFrame:
-        return walk.copy_chunks(self.copies, self.chunks, self.taken, self.edges, self.nodes, aligned=aligned)
+        return walk.copy_chunks(self.copies, self.chunks, self._steps, "words", incidence.carries, aligned=aligned)
 
     @cached_property
     def several(self) -> bool:
@@ -212,20 +225,19 @@ class Graph:
 
     def match(self, cuts: DataFrame, founders: int, *, keep_ref: bool = False) -> DataFrame:
         """(chrom, block, founder, copy) by greedy matching."""
-        blocks = materialise(segments.block_of_edges(self.edges, cuts, self.nodes), "blocks")
+        held = materialise(segments.in_blocks(self._steps.select("chrom", "edge", "src", "words"), cuts).drop("src"), "blocks")
         spans = cuts.groupBy("chrom").agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0").select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-        classes = materialise(segments.carrier_classes(self.carried, blocks, self.copies), "classes")
-        return materialise(matching.founder_assignments(classes, self.carried, blocks, spans, self.copies, founders, keep_ref), "assignments")
+        classes = materialise(segments.ranked_carriers(held, self.copies), "classes")
+        return materialise(matching.founder_assignments(classes, held.drop("block"), held.drop("words"), spans, self.copies, founders, keep_ref), "assignments")
 
     def founder_rows(self, cuts: DataFrame, assignments: DataFrame, *, aligned: bool = True, reference: bool = True, chromosome: str | None = None) -> DataFrame:
         """msa of the founders: each block's text of the assigned copy, or of the reference.
 
-        A founder is a path of its own: the taken edges of the assigned copies, block by block, since no edge crosses a cut.
+        A founder is a path of its own: the taken edges of the assigned copies, block by block, since no edge and no stretch of overlapping edges crosses a cut.
         """
-        blocks = segments.block_of_edges(self.edges, cuts, self.nodes)
-        steps = self.taken.join(large(blocks), ["chrom", "edge"]).join(assignments.where("copy is not null"), ["chrom", "block", "copy"]).select("chrom", F.col("founder").alias("copy"), "edge")
+        steps = segments.assigned_steps(self._steps, cuts, assignments)
         who = assignments.select("chrom", F.col("founder").alias("copy")).distinct()
-        rows = walk.copy_chunks(who, self.chunks, steps, self.edges, self.nodes, aligned=aligned)
+        rows = walk.copy_chunks(who, self.chunks, steps, "who", F.array_contains, aligned=aligned)
         rows = self._labelled(rows, F.col("copy") + 1, founder_name(F.col("copy")), [founder_name(F.col("copy"))], chromosome)
         return self._ref(aligned, chromosome).unionByName(rows) if reference else rows
 

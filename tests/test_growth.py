@@ -81,3 +81,40 @@ def test_a_region_over_a_chunk_border_that_is_asked_for_twice_has_its_text_once(
     starts = spark.createDataFrame([("1", "r", 1, 4, 1, 0)] * 2 + [("1", "s", 0, 2, 0, 0), ("1", "t", 4, 9, 6, 1)], "chrom string, name string, start long, end long, aln_start long, chunk_no long")
     rows = sorted((r.name, r.text) for r in regions._extracted(starts, msa, 2).collect())
     assert rows == [("r", "CGT"), ("r", "CGT"), ("s", "AC"), ("t", "TA")]
+
+
+def test_a_walk_is_told_from_carried_edges_in_one_fold(spark):
+    from strandloom.operators import walk
+
+    chunks = spark.createDataFrame([("1", 0, 0, 10, 5, "AC--GT", "ACGT", [10, 11, 14, 15, 16])], "chrom string, chunk_no long, base long, aln long, lo long, text string, plain string, alns array<long>")
+    held = [("1", 1, 0, 0, 2, 5, 7, "T", [0b011]), ("1", 1, 1, 1, 3, 6, 8, "GGG", [0b110]), ("1", 1, 2, 2, 3, 7, 8, "", [0b001])]
+    steps = spark.createDataFrame(held, "chrom string, bubble long, edge long, src long, dst long, src_pos long, tgt_pos long, label string, words array<long>")
+    copies = spark.createDataFrame([("1", c) for c in range(4)], "chrom string, copy int")
+    for aligned, want in ((True, ["T----T", "T---GT", "AGGG-T", "AC--GT"]), (False, ["TT", "TGT", "AGGGT", "ACGT"])):
+        rows = walk.copy_chunks(copies, chunks, steps, "words", incidence.carries, aligned=aligned)
+        assert [r.text for r in rows.orderBy("copy").collect()] == want
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and "exists(" not in plan
+
+
+def test_carried_edges_meet_chunks_and_founders_once(spark):
+    from strandloom.plans import queries
+
+    graph = derived.graph(spark, "/root/testdata/sf0.001")
+    cuts = queries._fixed_cuts(graph)
+    assigned = graph.match(cuts, 2)
+    for rows in (graph.copy_texts(False), graph.founder_rows(cuts, assigned, reference=False)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and "edge#" in line]
+
+
+def test_parts_of_the_build_follow_the_input(spark, monkeypatch):
+    from strandloom.operators import graph as g
+
+    v = derived.variants(spark, "/root/testdata/sf0.001")
+    lengths = g.reference_lengths(derived.reference(spark, "/root/testdata/sf0.001"))
+    few = g.marked_sites(g.sites(v), lengths, v)
+    monkeypatch.setattr(storage, "PART_BYTES", 1000)
+    monkeypatch.setattr(g, "BUCKET", 256)
+    many = g.marked_sites(g.sites(v), lengths, v)
+    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions() and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
