@@ -117,4 +117,5 @@ def test_parts_of_the_build_follow_the_input(spark, monkeypatch):
     monkeypatch.setattr(storage, "PART_BYTES", 1000)
     monkeypatch.setattr(g, "BUCKET", 256)
     many = g.marked_sites(g.sites(v), lengths, v)
-    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions() and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    parts = lambda df: max(int(line.rsplit(", ", 1)[1]) for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line)
+    assert parts(many) > parts(few) and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
