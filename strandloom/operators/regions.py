@@ -1,13 +1,28 @@
-"""Regions of an alignment: from a reference start, a number of non-gap characters of every sequence."""
+"""Regions of an alignment: from a reference start, a number of non-gap characters of every sequence.
+
+What is asked of a chunk meets the chunk's text in one row, so a text is looked through once for all of its regions, with arrays of positions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.prefix import prefix_scan
 from ..functions.storage import large, materialise
 
+GAP = ord("-")
+#: Regions of a row; a chunk in which more begin has several rows.
+ASKED = 4096
+#: Bytes of text, and regions, that are cut out at a time.
+CUT_BYTES, CUT_ROWS = 1 << 22, 1 << 16
+
 
 def region_starts(bed: DataFrame, nodes: DataFrame, *, bubbles: int, bucket: int = 1 << 14) -> DataFrame:
     """``bed`` with aln_start and chunk_no: an as-of join of the start with REF intervals, by buckets of positions."""
@@ -21,46 +36,86 @@ def region_starts(bed: DataFrame, nodes: DataFrame, *, bubbles: int, bucket: int
 def extract_regions(bed: DataFrame, nodes: DataFrame, msa: DataFrame, *, bubbles: int = 64, bucket: int = 1 << 14) -> DataFrame:
     """(chrom, name, seq_id, text): end - start non-gap characters from the aligned start, fewer at the row's end.
 
-    ``msa`` has (chrom, seq_id, chunk_no, aln, text). A start past the reference gives no row. The start's chunk gives the rank of
-    the first wanted character among the non-gap ones; the rest is an interval join on ranks, by buckets.
+    ``msa`` has (chrom, seq_id, chunk_no, aln, text). A start past the reference gives no row. What a region wants behind its start's chunk
+    is an interval join on ranks among the non-gap characters, by buckets.
     """
     return _extracted(region_starts(bed, nodes, bubbles=bubbles, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
 
 
-#: Every so many non-gap characters a chunk's index holds a position.
-STEP = 64
+def _length(text: str):
+    return F.length(F.replace(text, F.lit("-"), F.lit(""))).cast("long")
 
 
-def select_index(rows: DataFrame) -> DataFrame:
-    """``rows`` (chrom, chunk_no, text) with g, the number of non-gap characters, and marks, the positions of every ``STEP``-th of them (from the first).
+def _buckets(lo: str, hi: str, bucket: int):
+    return F.explode(F.sequence(F.expr(f"({lo}) div {bucket}"), F.expr(f"({hi} - 1) div {bucket}"))).alias("b")
 
-    A chunk is looked through once; afterwards a rank is found between two marks.
-    """
-    filled = F.expr("filter(sequence(0, length(text) - 1), i -> substring(text, i + 1, 1) <> '-')")
-    rows = rows.withColumn("g", F.length(F.replace("text", F.lit("-"), F.lit(""))).cast("long"))
-    marks = F.when(F.col("g") > 0, F.filter(filled, lambda _, i: i % STEP == 0))
-    return rows.withColumn("marks", marks)
 
+def _listed(rows: DataFrame, order: str, asked) -> DataFrame:
+    """(chrom, chunk_no, asked): what is asked of each chunk, in lists of ``ASKED`` at most."""
+    number = F.row_number().over(Window.partitionBy("chrom", "chunk_no").orderBy(order))
+    rows = rows.select("chrom", "chunk_no", asked.alias("x"), number.alias("no"))
+    return rows.groupBy("chrom", "chunk_no", F.expr(f"(no - 1) div {ASKED}").alias("list")).agg(F.collect_list("x").alias("asked")).drop("list")
+
+
+class Filled:
+    """The characters of some texts, one text after the other: which of them are no gaps, and where these are."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+        begins, filled = (data & 0xC0) != 0x80, data != GAP  # a character's first byte; a gap is a byte of its own
+        at = np.append(np.flatnonzero(begins), len(data))
+        #: Number of the first character of each text, and of all characters.
+        self.first = np.searchsorted(at, ends - ends[0])
+        self.is_filled = filled[at[:-1]]
+        #: Non-gap characters before each character.
+        self.rank = np.append(0, np.cumsum(self.is_filled))
+        #: The bytes of the non-gap characters, and where each begins.
+        self.bare = data[filled]
+        self.begin = np.append(np.flatnonzero(begins[filled]), len(self.bare))
+
+    def cut(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+        """(i, j, texts of the pairs i to j - 1): the non-gap characters of ranks ``lo`` to ``hi``, some pairs at a time."""
+        begin, width = self.begin[lo], self.begin[hi] - self.begin[lo]
+        upto = np.append(0, np.cumsum(width))
+        i = 0
+        while i < len(lo):
+            j = max(i + 1, min(i + CUT_ROWS, int(np.searchsorted(upto, upto[i] + CUT_BYTES, side="right")) - 1))
+            ends = upto[i : j + 1] - upto[i]
+            data = self.bare[np.arange(ends[-1]) + np.repeat(begin[i:j] - ends[:-1], width[i:j])]
+            yield i, j, pa.StringArray.from_buffers(j - i, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+            i = j
 
-def selected(rank: Column) -> Column:
-    """Position in ``text`` of the non-gap character of this rank (from 0), by the chunk's marks."""
-    block = (rank / STEP).cast("int")
-    low = F.get("marks", block)
-    high = F.coalesce(F.get("marks", block + 1), F.length("text")) - 1
-    between = F.filter(F.sequence(low, high), lambda i: F.col("text").substr(i + 1, F.lit(1)) != "-")
-    return F.get(between, (rank % STEP).cast("int"))
+
+def _asked(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
+    """(row of each entry of the lists ``asked``, these entries)."""
+    asked = batch.column("asked")
+    return np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy(zero_copy_only=False)), asked.flatten()
+
+
+def _places_in_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text, (row, asked) = Filled(batch.column("text")), _asked(batch)
+        rank = text.rank[text.first[row]] + asked.field("rank").to_numpy()
+        place = np.flatnonzero(text.is_filled)[rank] - text.first[row] + batch.column("aln").to_numpy()[row]
+        of = asked.field("of")
+        yield pa.RecordBatch.from_arrays([*of.flatten(), pa.array(place), batch.column("chunk_no").take(pa.array(row))], names=[*(f.name for f in of.type), "aln_start", "chunk_no"])
 
 
 def starts_in_text(bed: DataFrame, aligned: DataFrame, *, bucket: int = 1 << 12) -> DataFrame:
     """``bed`` with aln_start and chunk_no, from the aligned reference's own text: (chrom, chunk_no, aln, text).
 
-    A start is the rank of a non-gap character; running counts over the chunks find its chunk, by buckets of ranks, and the chunk's index its place.
+    A start is the rank of a non-gap character; running counts over the chunks find its chunk, by buckets of ranks, and the chunk's text its place.
     """
-    rows = select_index(aligned)
-    rows = prefix_scan(rows, ["chrom"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False).where("g > 0")
-    rows = rows.withColumn("b", F.explode(F.sequence(F.expr(f"g0 div {bucket}"), F.expr(f"(g0 + g - 1) div {bucket}"))))
-    hits = bed.withColumn("b", F.expr(f"start div {bucket}")).join(rows, ["chrom", "b"]).where("start >= g0 and start < g0 + g")
-    return hits.select(*bed.columns, (F.col("aln") + selected(F.col("start") - F.col("g0"))).alias("aln_start"), "chunk_no")
+    ranks = prefix_scan(aligned.select("chrom", "chunk_no", _length("text").alias("g")), ["chrom"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False)
+    ranks = ranks.where("g > 0").select("*", _buckets("g0", "g0 + g", bucket))
+    hits = bed.withColumn("b", F.expr(f"start div {bucket}")).join(large(ranks), ["chrom", "b"]).where("start >= g0 and start < g0 + g")
+    asked = _listed(hits, "start", F.struct(F.struct(*bed.columns).alias("of"), (F.col("start") - F.col("g0")).cast("long").alias("rank")))
+    texts = aligned.select("chrom", "chunk_no", F.col("aln").cast("long").alias("aln"), "text")
+    schema = StructType([*bed.schema, StructField("aln_start", LongType()), aligned.schema["chunk_no"]])
+    return asked.join(large(texts), ["chrom", "chunk_no"]).mapInArrow(_places_in_text, schema)
 
 
 def extract_by_text(bed: DataFrame, aligned: DataFrame, msa: DataFrame, *, bucket: int = 1 << 12) -> DataFrame:
@@ -68,21 +123,38 @@ def extract_by_text(bed: DataFrame, aligned: DataFrame, msa: DataFrame, *, bucke
     return _extracted(starts_in_text(bed, aligned, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
 
 
+def _texts_behind(texts: DataFrame, need: DataFrame, bucket: int) -> DataFrame:
+    """(chrom, seq_id, chunk_no, behind): of each sequence, the next ``need`` non-gap characters behind a chunk, fewer at the row's end."""
+    key = ["chrom", "seq_id", "chunk_no"]
+    ranks = prefix_scan(texts.select(*key, "g"), ["chrom", "seq_id"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False)
+    wants = ranks.join(large(need), ["chrom", "chunk_no"]).where("need > 0").select("chrom", "seq_id", F.col("chunk_no").alias("of"), F.expr("g0 + g").alias("r0"), F.expr("g0 + g + need").alias("r1"))
+    wants = wants.select("*", _buckets("r0", "r1", bucket))
+    held = ranks.where("g > 0").select(*key, "g0", "g", _buckets("g0", "g0 + g", bucket))
+    parts = wants.join(large(held), ["chrom", "seq_id", "b"]).where("g0 < r1 and g0 + g > r0").where(f"b = greatest(r0, g0) div {bucket}")
+    parts = parts.select(*key, "of", "g0", F.expr("cast(greatest(r0 - g0, 0) + 1 as int)").alias("from"), F.expr("cast(least(r1, g0 + g) - greatest(r0, g0) as int)").alias("n"))
+    parts = parts.join(large(texts), key).select("chrom", "seq_id", F.col("of").alias("chunk_no"), "g0", F.expr("substring(replace(text, '-', ''), from, n)").alias("t"))
+    return parts.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("g0", "t")))["t"], "").alias("behind"))
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text, (row, asked) = Filled(batch.column("text")), _asked(batch)
+        at = np.maximum(asked.field("aln_start").to_numpy() - batch.column("aln").to_numpy()[row], 0)
+        end = text.first[row + 1]
+        lo = text.rank[np.minimum(text.first[row] + at, end)]
+        hi = np.minimum(lo + np.maximum(asked.field("size").to_numpy(), 0), text.rank[end])
+        for i, j, texts in text.cut(lo, hi):
+            of = pa.array(row[i:j])
+            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(of), asked.field("name").slice(i, j - i), batch.column("seq_id").take(of), texts], names=["chrom", "name", "seq_id", "text"])
+
+
 def _extracted(starts: DataFrame, msa: DataFrame, bucket: int) -> DataFrame:
-    """A region that its start's chunk holds whole is cut out of it there; only one that goes on behind the chunk meets the chunks of its ranks."""
-    bare = F.replace(F.col("text"), F.lit("-"), F.lit(""))
-    rows = msa.select("chrom", "seq_id", "chunk_no", "aln", "text", F.length(bare).cast("long").alias("g"))
-    rows = prefix_scan(rows, ["chrom", "seq_id"], ["chunk_no"], F.expr("chunk_no div 4096"), [("g0", "sum", F.col("g"))], inclusive=False)
-    rows = materialise(rows, "ranked-chunks")  # texts are made once for the three times that they are read
-    rest = F.replace(F.expr("substring(text, cast(greatest(aln_start - aln, 0) + 1 as int))"), F.lit("-"), F.lit(""))
-    want = rows.join(large(starts), ["chrom", "chunk_no"]).select("chrom", "seq_id", "name", (F.col("end") - F.col("start")).alias("size"), (F.col("g0") + F.col("g")).alias("g1"), rest.alias("rest"))
-    inside = want.where("size <= length(rest)").select("chrom", "name", "seq_id", F.expr("substring(rest, 1, cast(greatest(size, 0) as int))").alias("text"))
-    across = want.where("size > length(rest)").select("chrom", "seq_id", "name", F.expr("g1 - length(rest)").alias("r0"), F.expr("g1 - length(rest) + size").alias("r1"))
-    asked = across.withColumn("b", F.explode(F.sequence(F.expr(f"r0 div {bucket}"), F.expr(f"(r1 - 1) div {bucket}"))))
-    held = rows.where("g > 0").select("chrom", "seq_id", "g0", "g", bare.alias("bare"), F.explode(F.sequence(F.expr(f"g0 div {bucket}"), F.expr(f"(g0 + g - 1) div {bucket}"))).alias("b"))
-    parts = asked.join(large(held), ["chrom", "seq_id", "b"]).where("g0 < r1 and g0 + g > r0").where(f"b = greatest(r0, g0) div {bucket}")
-    cut = F.expr("substring(bare, cast(greatest(r0 - g0, 0) + 1 as int), cast(least(r1, g0 + g) - greatest(r0, g0) as int))")
-    text = F.array_join(F.sort_array(F.collect_set(F.struct("g0", cut.alias("t"))))["t"], "")  # a region that is asked for twice has its parts once
-    one = ["chrom", "name", "seq_id", "r0", "r1"]
-    done = across.select(*one).join(large(parts.groupBy(*one).agg(text.alias("text"))), one, "left")
-    return inside.unionByName(done.select("chrom", "name", "seq_id", F.coalesce("text", F.lit("")).alias("text")))
+    """A chunk's text, with as much of the row behind it as a region there can want, meets the regions that begin in it."""
+    key = ["chrom", "seq_id", "chunk_no"]
+    texts = materialise(msa.select(*key, F.col("aln").cast("long").alias("aln"), "text", _length("text").alias("g")), "texts")  # made once for the times that they are read
+    size = (F.col("end") - F.col("start")).cast("long")
+    asked = materialise(_listed(starts, "aln_start", F.struct("name", F.col("aln_start").cast("long").alias("aln_start"), size.alias("size"))), "asked")
+    need = asked.groupBy("chrom", "chunk_no").agg(F.max(F.array_max("asked.size")).alias("need"))
+    whole = texts.join(large(_texts_behind(texts, need, bucket)), key, "left").select(*key, "aln", F.concat("text", F.coalesce("behind", F.lit(""))).alias("text"))
+    schema = StructType([starts.schema["chrom"], starts.schema["name"], msa.schema["seq_id"], StructField("text", StringType())])
+    return whole.join(large(asked), ["chrom", "chunk_no"]).mapInArrow(_cut_out, schema)

@@ -83,6 +83,29 @@ def test_a_region_over_a_chunk_border_that_is_asked_for_twice_has_its_text_once(
     assert rows == [("r", "CGT"), ("r", "CGT"), ("s", "AC"), ("t", "TA")]
 
 
+def test_regions_of_a_chunk_meet_its_text_in_lists_of_bounded_size(spark, monkeypatch):
+    from strandloom.operators import regions
+
+    for name, value in (("ASKED", 7), ("CUT_BYTES", 40), ("CUT_ROWS", 5)):
+        monkeypatch.setattr(regions, name, value)
+    rng = random.Random(7)
+    chunks = ["".join(rng.choice("ACGTé-") for _ in range(rng.choice((0, 3, 30)))) for _ in range(12)]
+    other = ["".join(rng.choice("AC-") for _ in t) for t in chunks]
+    alns = [sum(map(len, chunks[:i])) for i in range(13)]
+    rows = [("1", s, i, alns[i], t) for s, own in (("a", chunks), ("b", other)) for i, t in enumerate(own)]
+    msa = spark.createDataFrame(rows, "chrom string, seq_id string, chunk_no long, aln long, text string")
+    bare = "".join(chunks).replace("-", "")
+    bed = [("1", f"r{i}", start, start + rng.choice((-1, 0, 1, 5, 40, 500))) for i, start in enumerate(rng.choices(range(len(bare) + 3), k=60))]
+    aligned = msa.where("seq_id = 'a'").drop("seq_id")
+    starts = regions.starts_in_text(spark.createDataFrame(bed, "chrom string, name string, start long, end long"), aligned, bucket=16)
+    at = [i for i, c in enumerate("".join(chunks)) if c != "-"]
+    want = {(n, s): "".join(own)[at[lo] :].replace("-", "")[: max(hi - lo, 0)] for _, n, lo, hi in bed if lo < len(at) for s, own in (("a", chunks), ("b", other))}
+    got = [(r.name, r.seq_id, r.text) for r in regions._extracted(starts, msa, 16).collect()]
+    assert len(got) == len(want) and {(n, s): t for n, s, t in got} == want
+    listed = regions._listed(starts, "aln_start", F.struct("name"))
+    assert listed.agg(F.max(F.size("asked"))).first()[0] == 7 and listed.count() < starts.count() / 2
+
+
 def test_a_walk_is_told_from_carried_edges_in_one_fold(spark):
     from strandloom.operators import walk
 
