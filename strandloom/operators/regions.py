@@ -25,12 +25,18 @@ CUT_BYTES, CUT_ROWS = 1 << 22, 1 << 16
 
 
 def region_starts(bed: DataFrame, nodes: DataFrame, *, bubbles: int, bucket: int = 1 << 14) -> DataFrame:
-    """``bed`` with aln_start and chunk_no: an as-of join of the start with REF intervals, by buckets of positions."""
-    spans = nodes.where("node > 0").select("chrom", (F.col("ref_pos") - F.col("ref_delta")).alias("lo"), F.col("ref_pos").alias("hi"), (F.col("node") - 1).alias("node"), F.expr(f"(bubble - 1) div {bubbles}").alias("chunk_no"))
-    spans = spans.join(large(nodes.select("chrom", "node", "aln_pos")), ["chrom", "node"]).where("hi > lo")
-    spans = spans.withColumn("b", F.explode(F.sequence(F.expr(f"lo div {bucket}"), F.expr(f"(hi - 1) div {bucket}"))))
-    rows = bed.withColumn("b", F.expr(f"start div {bucket}")).join(large(spans), ["chrom", "b"]).where("start >= lo and start < hi")
-    return rows.select(*bed.columns, (F.col("aln_pos") + F.col("start") - F.col("lo")).alias("aln_start"), "chunk_no")
+    """``bed`` with aln_start and chunk_no: an as-of join of the start with REF intervals, as a running value along the positions.
+
+    A start lies in the interval of the last node that is not behind it; one at the sink or behind it has no row.
+    """
+    here = F.struct(F.col("ref_pos").cast("long").alias("lo"), "aln_pos", (F.col("bubble") + F.col("is_bridge").cast("int") - 1).alias("bubble"))
+    marks = nodes.select("chrom", F.col("ref_pos").cast("long").alias("at"), F.lit(0).alias("asks"), here.alias("here"))
+    asked = bed.select("chrom", F.col("start").cast("long").alias("at"), F.lit(1).alias("asks"), F.struct(*bed.columns).alias("of"))
+    rows = marks.unionByName(asked, allowMissingColumns=True).withColumn("_part", F.expr(f"at div {bucket}"))
+    rows = prefix_scan(rows, ["chrom"], ["at", "asks"], "_part", [("last", "max", F.col("here"))]).where("asks = 1 and last is not null")
+    ends = nodes.groupBy("chrom").agg(F.max("ref_pos").alias("sink"))
+    rows = rows.join(F.broadcast(ends), "chrom").where("at < sink")
+    return rows.select("of.*", (F.col("last.aln_pos") + F.col("at") - F.col("last.lo")).alias("aln_start"), F.expr(f"last.bubble div {bubbles}").alias("chunk_no"))
 
 
 def extract_regions(bed: DataFrame, nodes: DataFrame, msa: DataFrame, *, bubbles: int = 64, bucket: int = 1 << 14) -> DataFrame:
@@ -39,7 +45,7 @@ def extract_regions(bed: DataFrame, nodes: DataFrame, msa: DataFrame, *, bubbles
     ``msa`` has (chrom, seq_id, chunk_no, aln, text). A start past the reference gives no row. What a region wants behind its start's chunk
     is an interval join on ranks among the non-gap characters, by buckets.
     """
-    return _extracted(region_starts(bed, nodes, bubbles=bubbles, bucket=bucket).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
+    return _extracted(region_starts(bed, nodes, bubbles=bubbles).select("chrom", "name", "start", "end", "aln_start", "chunk_no"), msa, bucket)
 
 
 def _length(text: str):

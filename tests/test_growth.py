@@ -106,6 +106,18 @@ def test_regions_of_a_chunk_meet_its_text_in_lists_of_bounded_size(spark, monkey
     assert listed.agg(F.max(F.size("asked"))).first()[0] == 7 and listed.count() < starts.count() / 2
 
 
+def test_starts_of_regions_are_found_without_pairs_of_starts_and_nodes(spark):
+    from strandloom.operators import regions
+
+    nodes = [("1", 0, 0, True, 0, 0), ("1", 1, 3, False, 1, 4), ("1", 2, 5, True, 1, 9), ("1", 3, 40, True, 2, 50)]
+    nodes = spark.createDataFrame(nodes, "chrom string, node long, ref_pos long, is_bridge boolean, bubble long, aln_pos long")
+    bed = spark.createDataFrame([("1", x, f"r{x}") for x in (-1, 0, 2, 3, 4, 5, 39, 40, 41)] + [("2", 1, "none")], "chrom string, start long, name string")
+    got = regions.region_starts(bed, nodes, bubbles=1, bucket=4)
+    assert [tuple(r) for r in got.select("start", "aln_start", "chunk_no").orderBy("start").collect()] == [(0, 0, 0), (2, 2, 0), (3, 4, 0), (4, 5, 0), (5, 9, 1), (39, 43, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "start#" in line]
+
+
 def test_a_walk_is_told_from_carried_edges_in_one_fold(spark):
     from strandloom.operators import walk
 
