@@ -5,15 +5,17 @@ tables grow with what is carried, not with copies times blocks.
 
 Cut positions take three steps. Chunks of edges are sorted on their own, and what each does to the order of the copies is joined by
 a scan of composing orders (``orders.prefixes``). Each chunk then starts from its own prefix and lists, for each candidate in it, where
-a block may begin for each number of classes. The recursion over these lists runs along a chromosome and sees candidates only.
+a block may begin for each number of classes. A chunk is one row, and a task sorts many chunks side by side. The recursion over these lists runs
+along a chromosome and sees candidates only, batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,14 @@ from ..functions.prefix import prefix_scan
 from ..functions.progress import Counter
 from ..functions.storage import dealt, large, materialise
 from .incidence import carries, unpacked
-from .orders import NONE, Order, order_of, prefixes
+from .orders import NONE, Order, prefixes
 
 #: Nodes of a part whose edges and cuts are put in order in one window.
 PART_NODES = 1 << 14
-#: Edges of a chunk whose copies are sorted in one task.
+#: Edges of a chunk whose copies are sorted on their own.
 CHUNK_EDGES = 1024
+#: Edges that are one key of a sort, and edges times copies that a task sorts side by side.
+KEY_EDGES, SORTED_BITS = 62, 1 << 23
 #: The recursion first sees blocks of so many classes at most; if the result needs more, of more.
 HEIGHT = 64
 
@@ -38,6 +42,17 @@ def cut_candidates(marked: DataFrame, counts: DataFrame) -> DataFrame:
     return first.select("chrom", "n.node", "first_edge", "n.aln_pos")
 
 
+def bubble_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cut_candidates`` from whole bubbles: the first node, and the bridges that end bubbles with edges.
+
+    Edges are numbered along a chromosome, so those that leave nodes before such a bridge are the edges up to the last one of its bubble.
+    """
+    ends = nodes.where("is_bridge").select("chrom", "bubble", "node", "aln_pos")
+    first = ends.where("node = 0").select("chrom", "node", F.lit(0).cast("long").alias("first_edge"), "aln_pos")
+    last = edges.groupBy("chrom", "bubble").agg((F.max("edge") + 1).cast("long").alias("first_edge"))
+    return first.unionByName(ends.join(large(last), ["chrom", "bubble"]).select("chrom", "node", "first_edge", "aln_pos"))
+
+
 def _after_cuts(rows: DataFrame, cuts: DataFrame, specs: list) -> DataFrame:
     """``rows`` (with chrom and src) and the cuts in one order, where a cut comes before the rows that start there: running values of the cuts' columns."""
     marks = cuts.withColumnRenamed("node", "src").withColumn("_cut", F.lit(1).cast("long"))
@@ -135,149 +150,298 @@ def class_sizes(classes: DataFrame, copies: DataFrame, spans: DataFrame) -> Data
 # ---------------------------------------------------------------- cut positions
 
 
-def stretch(bits: np.ndarray, places: np.ndarray) -> Order:
-    """What edges do to the order of the copies: ``bits`` has a row for each edge, ``places`` where copies match again behind each.
+def sort_steps(order: np.ndarray, since: np.ndarray, ends: np.ndarray, keys: np.ndarray, places: np.ndarray, height: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, since, most) of the copies of several chunks, which are sorted side by side, a step of each at a time.
 
-    Copies are compared by their carried edges, latest first, as rows of bytes; neighbouring classes match behind the latest edge in which they differ.
+    ``order`` and ``since`` have a row for each chunk: the copies in order, and for each since where it matches the one before it (-1: throughout). Step s of chunk p
+    is row ``ends[p] + s`` of ``keys``, a key for each copy, and of ``places``, from where on copies match again that it tells apart. ``most`` has the ``height``
+    largest values of since behind each step.
     """
+    order, since, copies = order.copy(), since.copy(), order.shape[1]
+    most = np.zeros((len(keys), min(height, copies)), np.int64)
+    steps = np.diff(ends)
+    rank = np.argsort(-steps, kind="stable")
+    order, since = order[rank], since[rank]
+    for t in range(int(steps.max(initial=0))):
+        n = int(np.count_nonzero(steps > t))
+        now = ends[rank[:n]] + t
+        own = np.take_along_axis(keys[now], order[:n], 1)
+        by = np.argsort(own, axis=1, kind="stable")
+        order[:n] = np.take_along_axis(order[:n], by, 1)
+        own = np.take_along_axis(own, by, 1)
+        fresh = np.repeat(places[now, None], copies, 1)
+        row, at = np.nonzero(own[:, 1:] == own[:, :-1])
+        if len(row):  # copies with one key match since the latest place between where they stood
+            pairs = np.stack([row * copies + by[row, at] + 1, row * copies + by[row, at + 1] + 1], 1).ravel()
+            fresh[row, at + 1] = np.maximum.reduceat(np.append(since[:n], -1), pairs)[::2]
+        fresh[:, 0] = -1
+        since[:n] = fresh
+        if height:
+            most[now] = -np.sort(-fresh, axis=1)[:, : most.shape[1]]
+    back = np.argsort(rank)
+    return order[back], since[back], most
+
+
+def _order(order: np.ndarray, since: np.ndarray) -> Order:
+    """One chunk's result as classes."""
+    first = since >= 0
+    cls = np.zeros(len(order), np.int64)
+    cls[order] = np.cumsum(first)
+    return Order(cls, np.append(0, since[first]))
+
+
+def stretch(bits: np.ndarray, places: np.ndarray) -> Order:
+    """What edges do to the order of the copies: ``bits`` has a row for each edge, ``places`` where copies match again behind each."""
     if not len(bits):
         return NONE
-    rows = np.ascontiguousarray(np.packbits(bits[::-1].T, axis=1))
-    kept, cls = np.unique(rows.view(np.dtype((np.void, rows.shape[1])))[:, 0], return_inverse=True)
-    kept = kept.view(np.uint8).reshape(len(kept), -1)
-    start = np.zeros(len(kept), np.int64)
-    if len(kept) > 1:
-        apart = np.unpackbits(kept[1:] ^ kept[:-1], axis=1).argmax(axis=1)
-        start[1:] = places[len(bits) - 1 - apart]
-    return Order(cls, start)
+    order, since, _ = sort_steps(np.arange(bits.shape[1])[None], np.full((1, bits.shape[1]), -1), np.array([0, len(bits)]), bits.astype(np.int64), np.asarray(places))
+    return _order(order[0], since[0])
 
 
-def options(order: Order, j: int, height: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leftmost candidates i before j at which a block with each number of classes may begin, these numbers), up to ``height`` classes.
+class Recursion:
+    """The segmentation of a chromosome whose largest number of classes is least, from the options of its candidates in order.
 
-    Places are numbers of candidates: a number of classes holds back to the start where it changes.
+    Of equal heights the block with fewest classes is taken. Each candidate keeps its score and where the block before it begins.
     """
-    starts = np.sort(order.start[1:])
-    i = np.unique(np.append(starts, 0))[::-1]
-    i = i[i < j]
-    classes = 1 + len(starts) - np.searchsorted(starts, i, side="right")
-    return i[classes <= height], classes[classes <= height]
+
+    def __init__(self, copies: int, distance: int):
+        self.copies, self.distance = copies, distance
+        self.nodes, self.aln, self.prev, self.score = array("q"), array("q"), array("q"), []
+
+    def add(self, nodes: list[int], aln: list[int], ends: list[int], places: list[int], classes: list[int]) -> None:
+        """The next candidates; those of ``ends[r]`` to ``ends[r + 1] - 1`` are the options of the r-th, by ascending classes."""
+        known, score, distance = self.aln, self.score, self.distance
+        self.nodes.extend(nodes)
+        known.extend(aln)
+        for at, lo, hi in zip(aln, ends, ends[1:], strict=False):
+            best, prev = self.copies if score else 0, -1
+            for q in range(lo, hi):
+                c = classes[q]
+                if c >= best:
+                    break
+                i = places[q]
+                if at - known[i] >= distance:
+                    c = max(c, score[i])
+                    if c < best:
+                        best, prev = c, i
+            score.append(best)
+            self.prev.append(prev)
+
+    def traced(self, sink: int) -> tuple[list[int], int]:
+        """(cut nodes, score). The last cut is the sink."""
+        out, at = [], len(self.nodes) - 1
+        while at >= 0:
+            out.append(self.nodes[at])
+            at = self.prev[at]
+        if out[-1] != 0:
+            out.append(0)
+        out.reverse()
+        out[-1] = sink
+        return out, self.score[-1]
 
 
 def traced(nodes: list[int], aln: list[int], options: list, sink: int, copies: int, distance: int) -> tuple[list[int], int]:
-    """(cut nodes, score) of the segmentation whose largest number of classes is least, from the options of all candidates but the first.
+    """(cut nodes, score) from the options of all candidates but the first: pairs of arrays, where a block may begin and its number of classes."""
+    run, ends = Recursion(copies, distance), np.cumsum([0, 0, *(len(i) for i, _ in options)])
+    flat = [np.concatenate([np.zeros(0, np.int64), *(o[x] for o in options)]).astype(np.int64).tolist() for x in (0, 1)]
+    run.add(list(nodes), list(aln), ends.tolist(), *flat)
+    return run.traced(sink)
+
+
+def _chunks(candidates: DataFrame, words: DataFrame, copies: DataFrame) -> DataFrame:
+    """(chrom, part, marks, edges, copies): candidates (at, node, aln_pos) and edges (at, words) of each chunk in one row, in any order.
 
-    Of equal heights the block with fewest classes is taken. The last cut is the sink.
+    A candidate stands in the chunk of the last edge before it; ``at`` counts from the chunk's first edge.
     """
-    places = np.array(aln)
-    score, prev = np.full(len(nodes), copies), np.full(len(nodes), -1)
-    score[0] = 0
-    for j, (i, classes) in enumerate(options, 1):
-        far = places[j] - places[i] >= distance
-        if far.any():
-            best = np.maximum(classes[far], score[i[far]])
-            k = int(best.argmin())
-            if best[k] < score[j]:
-                score[j], prev[j] = best[k], i[far][k]
-    out, at = [], len(nodes) - 1
-    while at >= 0:
-        out.append(nodes[at])
-        at = int(prev[at])
-    if out[-1] != 0:
-        out.append(0)
-    out.reverse()
-    out[-1] = sink
-    return out, int(score[-1])
-
-
-def _events(candidates: DataFrame, words: DataFrame, copies: DataFrame) -> DataFrame:
-    """Edges and candidates in one table: (chrom, part, late, at, k, node, aln_pos, words, copies).
-
-    k of a candidate is its number; k of an edge is the number of the first candidate behind it, the place from which on copies match again
-    that the edge tells apart. A candidate stands in the part of the last edge before it.
+    part = lambda at: F.call_function("div", at, F.lit(CHUNK_EDGES).cast("long"))
+    own = lambda at, part: (at - part * CHUNK_EDGES).alias("at")
+    at = F.col("first_edge").cast("long")
+    before = part(F.greatest(at - 1, F.lit(0)))
+    marks = candidates.select("chrom", before.alias("part"), F.struct(own(at, before), F.col("node").cast("long").alias("node"), F.col("aln_pos").cast("long").alias("aln_pos")).alias("mark"))
+    edge = F.col("edge").cast("long")
+    rows = words.select("chrom", part(edge).alias("part"), F.struct(own(edge, part(edge)), "words").alias("edge"))
+    rows = dealt(rows.unionByName(marks, allowMissingColumns=True), "chrom", "part", of=words)
+    return rows.groupBy("chrom", "part").agg(F.collect_list("mark").alias("marks"), F.collect_list("edge").alias("edges")).join(F.broadcast(_sizes(copies)), "chrom")
+
+
+class Chunks:
+    """Some chunks of chromosomes with the same number of copies, side by side: candidates and steps in order.
+
+    Edges between two candidates tell copies apart up to the same place, the number of the candidate behind them, so they are one step (or several, of ``KEY_EDGES`` edges).
+    Numbers of candidates count from the first of the chunk.
     """
-    none = F.lit(None).cast("long")
-    marks = candidates.select("chrom", F.lit(0).alias("late"), F.col("first_edge").cast("long").alias("at"), F.lit(1).cast("long").alias("mark"), F.col("node").cast("long"), F.col("aln_pos").cast("long"), F.lit(None).cast("array<bigint>").alias("words"))
-    edges = words.select("chrom", F.lit(1).alias("late"), F.col("edge").cast("long").alias("at"), F.lit(0).cast("long").alias("mark"), none.alias("node"), none.alias("aln_pos"), "words")
-    rows = marks.unionByName(edges).withColumn("_part", F.expr("at div 65536"))
-    rows = prefix_scan(rows, ["chrom"], ["at", "late"], "_part", [("k", "sum", F.col("mark"))])
-    rows = prefix_scan(rows, ["chrom"], ["at", "late"], "_part", [("seen", "max", F.col("node"))], inclusive=False)
-    last = F.when(F.col("late") == 1, F.col("at")).otherwise(F.greatest(F.col("at") - 1, F.lit(0)))
-    # nodes behind the candidate before, up to this one
-    rows = rows.withColumn("behind", F.when(F.col("late") == 0, F.col("node") - F.coalesce("seen", F.lit(-1))))
-    rows = rows.withColumns({"part": F.call_function("div", last, F.lit(CHUNK_EDGES).cast("long")), "k": F.col("k") - F.col("mark")})
-    return rows.drop("mark", "seen", "_part").join(_sizes(copies), "chrom")
-
-
-def _bits(words: pd.Series, copies: int) -> np.ndarray:
-    packed = np.array(words.tolist(), np.int64).view(np.uint8)
-    return np.unpackbits(packed, axis=1, bitorder="little")[:, :copies].astype(bool)
-
-
-def _sort_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the edges of one part do to the order of the copies."""
-    edges = pdf[pdf["late"] == 1].sort_values("at")
-    own = stretch(_bits(edges["words"], int(pdf["copies"].iloc[0])), edges["k"].to_numpy()) if len(edges) else NONE
-    return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "part": [pdf["part"].iloc[0]], "cls": [own.cls.astype(np.int32)], "start": [own.start]})
-
-
-def _options_up_to(height: int, count: Counter | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def listed(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _list_options(pdf, height)
-        if count and len(out):  # nodes from the candidate before the part's first to its last
-            count.add(int(out["behind"].sum()))
-        return out.drop(columns="behind")
+
+    def __init__(self, batch: pa.RecordBatch, copies: int):
+        self.copies, size = copies, batch.num_rows
+        of_mark, marks = _entries(batch.column("marks"))
+        of_edge, edges = _entries(batch.column("edges"))
+        at_mark, at_edge = marks.field("at").to_numpy(), edges.field("at").to_numpy()
+        width = max(at_mark.max(initial=0), at_edge.max(initial=0)) + 1
+        key = of_mark * width + at_mark
+        by = np.argsort(key)
+        self.of_mark, key = of_mark[by], key[by]
+        self.node, self.aln = (marks.field(x).to_numpy()[by] for x in ("node", "aln_pos"))
+        self.first_mark = np.searchsorted(self.of_mark, np.arange(size + 1))
+        edge_key = of_edge * width + at_edge
+        order = np.argsort(edge_key)
+        of_edge, edge_key = of_edge[order], edge_key[order]
+        gap = np.searchsorted(key, edge_key, side="right")  # number of the candidate behind, among all of the batch
+        new = np.append(True, (gap[1:] != gap[:-1]) | (of_edge[1:] != of_edge[:-1]))[: len(gap)]
+        begins = np.flatnonzero(new)
+        place = np.arange(len(gap)) - np.repeat(begins, np.diff(np.append(begins, len(gap))))
+        starts = np.flatnonzero(place % KEY_EDGES == 0)
+        bits = _bits(edges.field("words"), copies)[order].astype(np.int64) << (place % KEY_EDGES)[:, None]
+        self.keys = np.add.reduceat(bits, starts, axis=0) if len(starts) else np.zeros((0, copies), np.int64)
+        self.of_step, self.gap = of_edge[starts], gap[starts]
+        self.first_step = np.searchsorted(self.of_step, np.arange(size + 1))
+        self.places = self.gap - self.first_mark[self.of_step]
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        size = len(self.first_step) - 1
+        return np.tile(np.arange(self.copies), (size, 1)), np.full((size, self.copies), -1)
+
+    def seen(self) -> np.ndarray:
+        """For each candidate, the number of the last step before it among all of the batch; less than its chunk's first if there is none."""
+        step = self.of_step * (len(self.node) + 1) + self.gap
+        return np.searchsorted(step, self.of_mark * (len(self.node) + 1) + np.arange(len(self.node)), side="right") - 1
+
+
+def _entries(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """(row of each entry, all entries) of a column of lists."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _bits(words: pa.ListArray, copies: int) -> np.ndarray:
+    packed = words.flatten().to_numpy().reshape(len(words), -1) if len(words) else np.zeros((0, 1), np.int64)
+    return np.unpackbits(np.ascontiguousarray(packed).view(np.uint8), axis=1, bitorder="little")[:, :copies]
+
+
+def _side_by_side(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(rows, their number of copies): rows of one number of copies and a bounded number of bits."""
+    sizes = batch.column("copies").to_numpy()
+    for copies in np.unique(sizes):
+        rows = np.flatnonzero(sizes == copies)
+        longest = np.diff(batch.column("edges").offsets.to_numpy())[rows].max()
+        at_a_time = max(1, SORTED_BITS // max(1, int(longest * copies)))
+        for i in range(0, len(rows), at_a_time):
+            yield batch.take(pa.array(rows[i : i + at_a_time])), int(copies)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
+
+
+def _sort_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the edges of each chunk do to the order of the copies; places count from the chunk's first candidate."""
+    for whole in batches:
+        for batch, copies in _side_by_side(whole):
+            chunks = Chunks(batch, copies)
+            order, since, _ = sort_steps(*chunks.start(), chunks.first_step, chunks.keys, chunks.places)
+            found = [_order(o, s) if n else NONE for o, s, n in zip(order, since, np.diff(chunks.first_step), strict=True)]
+            lists = [_lists(np.concatenate(v), np.array([len(x) for x in v]), k) for v, k in (([f.cls for f in found], pa.int32()), ([f.start for f in found], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("chrom"), batch.column("part"), *lists], names=["chrom", "part", "cls", "start"])
+
+
+def _known(batch: pa.RecordBatch, copies: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and since of what lies before each chunk."""
+    cls, size = np.zeros((batch.num_rows, copies), np.int64), np.diff(batch.column("cls").offsets.to_numpy())
+    cls[size > 0] = batch.column("cls").flatten().to_numpy().reshape(-1, copies)
+    order = np.argsort(cls, axis=1, kind="stable")
+    own, since = np.take_along_axis(cls, order, 1), np.full(cls.shape, -1)
+    row, at = np.nonzero(own[:, 1:] != own[:, :-1])
+    since[row, at + 1] = batch.column("start").flatten().to_numpy()[batch.column("start").offsets.to_numpy()[row] + own[row, at + 1]]
+    return order, since
+
+
+def _options_up_to(height: int, count: Counter | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each candidate, the leftmost candidates at which a block with each number of classes may begin, up to ``height`` classes.
+
+    Places are numbers of candidates: a number of classes holds back to the start where it changes. Chunks are sorted on from what lies before them.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, copies in _side_by_side(whole):
+                chunks = Chunks(batch, copies)
+                order, since = _known(batch, copies)
+                k0 = batch.column("k0").to_numpy()
+                _, _, most = sort_steps(order, since, chunks.first_step, chunks.keys, chunks.places + k0[chunks.of_step], height)
+                step, of = chunks.seen(), chunks.of_mark
+                none = step < chunks.first_step[of]
+                starts = np.zeros((len(of), most.shape[1]), np.int64)
+                starts[~none] = most[step[~none]]
+                starts[none] = -np.sort(-since, axis=1)[:, : most.shape[1]][of[none]]
+                starts = np.maximum(starts, 0)
+                k = k0[of] + np.arange(len(of)) - chunks.first_mark[of]
+                kept = starts < k[:, None]
+                kept[:, 1:] &= starts[:, 1:] != starts[:, :-1]
+                if count:  # nodes from the candidate before each to itself
+                    before = np.append(-1, chunks.node[:-1])[: len(of)]
+                    opens = chunks.first_mark[of] == np.arange(len(of))
+                    before[opens] = batch.column("seen").to_numpy()[of[opens]]
+                    count.add(int((chunks.node - before).sum()))
+                size = kept.sum(axis=1)
+                i, classes = _lists(starts[kept], size, pa.int32()), _lists(np.nonzero(kept)[1] + 1, size, pa.int32())
+                own = pa.array(of)
+                columns = [batch.column("chrom").take(own), pa.array(k), pa.array(chunks.node), pa.array(chunks.aln), batch.column("copies").take(own), i, classes]
+                yield pa.RecordBatch.from_arrays(columns, names=["chrom", "k", "node", "aln_pos", "copies", "i", "classes"])
 
     return listed
 
 
-def _list_options(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
-    """Options of the candidates of one part, whose edges are sorted on from what lies before the part (the row with late 2)."""
-    order = order_of(pdf[pdf["late"] == 2].iloc[0])
-    rows = pdf[pdf["late"] < 2].sort_values(["at", "late"])
-    copies, k = int(rows["copies"].iloc[0]), rows["k"].to_numpy(np.int64)
-    edges = np.flatnonzero((rows["late"] == 1).to_numpy())
-    bits = _bits(rows["words"].iloc[edges], copies) if len(edges) else np.zeros((0, copies), bool)
-    marks = np.flatnonzero((rows["late"] == 0).to_numpy())
-    found, done = [], 0
-    for at in marks:
-        upto = int(np.searchsorted(edges, at))
-        order = order.then(stretch(bits[done:upto], k[edges[done:upto]]))
-        done = upto
-        found.append(options(order, int(k[at]), height) if k[at] else (np.zeros(0, np.int64),) * 2)
-    out = rows.iloc[marks][["chrom", "k", "node", "aln_pos", "copies", "behind"]].copy()
-    for name, values in zip(("i", "classes"), zip(*found, strict=True) if found else ((), ()), strict=True):
-        out[name] = pd.Series(list(values), index=out.index, dtype=object)
-    return out[["chrom", "k", "node", "aln_pos", "copies", "i", "classes", "behind"]]
+def _cuts_along(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The recursion over candidates sorted by chromosome and number; it keeps four numbers of each and sees the options batch by batch."""
+
+    def ended(chrom: pa.Array, sink: int, run: Recursion) -> pa.RecordBatch:
+        cuts, score = run.traced(sink) if len(run.nodes) > 1 else ([], 0)
+        n = len(cuts)
+        columns = [chrom.take(pa.array([0] * n, pa.int32())), pa.array(range(n), pa.int32()), pa.array(cuts, pa.int64()), pa.array([score] * n, pa.int64()), pa.array([distance] * n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["chrom", "cut_idx", "node", "score", "min_distance"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for whole in batches:
+            k = whole.column("k").to_numpy()
+            begins = [0, *np.flatnonzero(k[1:] == 0) + 1, len(k)]  # candidate 0 begins a chromosome
+            for lo, hi in zip(begins, begins[1:], strict=False):
+                batch = whole.slice(lo, hi - lo)
+                if batch.num_rows and k[lo] == 0:
+                    if now:
+                        yield ended(*now)
+                    now = batch.column("chrom").slice(0, 1), batch.column("sink")[0].as_py(), Recursion(batch.column("copies")[0].as_py(), distance)
+                if batch.num_rows:
+                    i, classes = batch.column("i"), batch.column("classes")
+                    ends = np.append(0, np.cumsum(i.value_lengths().to_numpy()))
+                    now[2].add(batch.column("node").to_pylist(), batch.column("aln_pos").to_pylist(), ends.tolist(), i.flatten().to_pylist(), classes.flatten().to_pylist())
+        if now:
+            yield ended(*now)
+
+    return solve
 
 
 def cut_positions(candidates: DataFrame, words: DataFrame, copies: DataFrame, nodes: DataFrame, min_distance: int = 0, height: int = HEIGHT, count: Counter | None = None) -> DataFrame:
     """(chrom, cut_idx, node, score, min_distance) of each chromosome with copies and more than one candidate.
 
-    ``words`` has the packed carriers of each edge. A chunk's task holds ``CHUNK_EDGES`` edges and one order; the last step
-    holds the candidates of a chromosome with at most ``height`` options each. Options of more classes can't be part of a result
+    ``words`` has the packed carriers of each edge. A row has a chunk of ``CHUNK_EDGES`` edges and one order; the last step reads
+    the candidates of a chromosome with at most ``height`` options each. Options of more classes can't be part of a result
     whose score is ``height`` or less; where the score is higher, the options are listed again up to a larger height. ``count`` hears of the
     nodes that are done while the job runs.
     """
-    kind = nodes.schema["chrom"].dataType.simpleString()
-    events = materialise(_events(candidates, words, copies), "events")
-    parts = events.groupBy("chrom", "part").applyInPandas(_sort_chunk, f"chrom {kind}, part long, cls array<int>, start array<long>")
-    state = prefixes(parts).withColumn("late", F.lit(2))
-    rows = events.unionByName(state, allowMissingColumns=True)
-    sink = nodes.groupBy("chrom").agg(F.max("node").alias("sink"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        first = pdf.iloc[0]
-        cuts, score = [], 0
-        if len(pdf) > 1:
-            cuts, score = traced(pdf["node"].tolist(), pdf["aln_pos"].tolist(), list(zip(pdf["i"], pdf["classes"], strict=True))[1:], int(first["sink"]), int(first["copies"]), min_distance)
-        return pd.DataFrame([(first["chrom"], i, node, score, min_distance) for i, node in enumerate(cuts)], columns=["chrom", "cut_idx", "node", "score", "min_distance"])
+    kind, key = nodes.schema["chrom"].dataType.simpleString(), ["chrom", "part"]
+    chunks = materialise(_chunks(candidates, words, copies), "chunks")
+    numbers = chunks.select(*key, F.size("marks").cast("long").alias("n"), F.array_max("marks.node").alias("last"))
+    numbers = prefix_scan(numbers, ["chrom"], ["part"], F.expr("part div 4096"), [("k0", "sum", F.col("n")), ("seen", "max", F.col("last"))], inclusive=False)
+    numbers = materialise(numbers.select(*key, "k0", F.coalesce("seen", F.lit(-1).cast("long")).alias("seen")), "numbers")
+    sorted_ = chunks.mapInArrow(_sort_chunks, f"chrom {kind}, part long, cls array<int>, start array<long>").join(large(numbers), key)
+    state = prefixes(sorted_.withColumn("start", F.transform("start", lambda x, i: F.when(i == 0, x).otherwise(x + F.col("k0")))))
+    rows = chunks.join(large(state.join(large(numbers), key)), key)
+    sink = F.broadcast(nodes.groupBy("chrom").agg(F.max("node").cast("long").alias("sink")))
 
     most = copies.groupBy("chrom").count().agg(F.max("count")).first()[0] or 0
     while True:
-        listed = rows.groupBy("chrom", "part").applyInPandas(_options_up_to(height, count), f"chrom {kind}, k long, node long, aln_pos long, copies long, i array<long>, classes array<long>")
-        cuts = materialise(listed.join(sink, "chrom").groupBy("chrom").applyInPandas(solve, f"chrom {kind}, cut_idx int, node long, score long, min_distance long"), "cuts")
+        listed = rows.mapInArrow(_options_up_to(height, count), f"chrom {kind}, k long, node long, aln_pos long, copies long, i array<int>, classes array<int>")
+        along = listed.join(sink, "chrom").repartition(listed.sparkSession.sparkContext.defaultParallelism, "chrom").sortWithinPartitions("chrom", "k")
+        cuts = materialise(along.mapInArrow(_cuts_along(min_distance), f"chrom {kind}, cut_idx int, node long, score long, min_distance long"), "cuts")
         count = None  # a second search is not told again
         if height >= most or (cuts.agg(F.max("score")).first()[0] or 0) <= height:
             return cuts

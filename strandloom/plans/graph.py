@@ -200,7 +200,7 @@ class Graph:
 
     def cut_positions(self, min_distance: int = 0, listener: Listener | None = None) -> DataFrame:
         """Cut positions of least height; ``listener`` hears of the nodes while they are handled."""
-        candidates = segments.cut_candidates(self.nodes, g.edge_counts(self.nodes, self.edges))
+        candidates = segments.bubble_candidates(self.nodes, self.edges)
         if listener is None:
             return segments.cut_positions(candidates, self.carried, self.copies, self.nodes, min_distance)
         count = Counter(self.nodes.sparkSession)

@@ -138,6 +138,42 @@ def test_orders_compose_and_scan(spark, fan):
         assert (order.tolist(), since[1:].tolist()) == plain_sort(parts[r.chrom][: r.part], copies[r.chrom])
 
 
+def test_chunks_are_sorted_side_by_side_and_candidates_seen_in_batches(spark, monkeypatch):
+    """More copies than a word has bits, steps of more edges than a key, several chunks in a row of a table, each in one row."""
+    monkeypatch.setattr(segments, "CHUNK_EDGES", 150)
+    rng = random.Random(8)
+    copies, edges = {"a": 70, "b": 6}, {"a": 700, "b": 500}
+    own = {k: random_carriers(rng, copies[k], n, 0.01 if k == "a" else 0.3) for k, n in edges.items()}
+    first = {k: sorted({0, n, *rng.sample(range(n + 1), 12), *range(n // 2, n // 2 + 9)}) for k, n in edges.items()}
+    nodes = {k: [i * 2 for i in range(len(x))] for k, x in first.items()}
+    rows = [(k, n, e, 5 * n) for k in edges for n, e in zip(nodes[k], first[k], strict=True)]
+    candidates = spark.createDataFrame(rows, "chrom string, node long, first_edge long, aln_pos long")
+    paths, who = tables(spark, own, copies)
+    words, sinks = incidence.edge_words(paths, who), spark.createDataFrame([(k, x[-1]) for k, x in nodes.items()], "chrom string, node long")
+    chunks = segments._chunks(candidates, words, who).collect()
+    assert len(chunks) == len({(r.chrom, r.part) for r in chunks}) == sum(-(-n // 150) for n in edges.values()) and sum(len(r.marks) for r in chunks) == len(rows)
+    got = defaultdict(list)
+    for r in segments.cut_positions(candidates, words, who, sinks, 0, 8).orderBy("cut_idx").collect():
+        got[r.chrom].append((r.node, r.score))
+    for k in edges:
+        cuts, score = best_cuts(nodes[k], first[k], [5 * n for n in nodes[k]], nodes[k][-1], own[k], copies[k], 0)
+        assert got[k] == [(n, score) for n in cuts]
+    run = segments.Recursion(3, 2)
+    for batch in (([0, 4], [0, 1], [0, 0, 1], [0], [1]), ([6, 9], [2, 4], [0, 2, 4], [1, 0, 2, 0], [1, 2, 1, 2])):
+        run.add(*batch)
+    assert run.traced(9) == ([0, 6, 9], 2)
+
+
+def test_candidates_of_bubbles_are_those_of_edge_counts(spark):
+    from strandloom.operators import graph as g
+    from strandloom.plans import derived
+
+    graph = derived.graph(spark, "/root/testdata/sf0.001")
+    want = segments.cut_candidates(graph.nodes, g.edge_counts(graph.nodes, graph.edges))
+    got = segments.bubble_candidates(graph.nodes, graph.edges).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize(("seed", "height", "distance"), [(1, 64, 0), (2, 2, 0), (3, 1, 6), (4, 64, 10**6)])
 def test_cuts_in_parts_equal_one_sort(spark, monkeypatch, seed, height, distance):
     """Parts of three edges, and heights that are too low at first."""

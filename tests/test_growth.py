@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.functions import storage
@@ -102,6 +104,10 @@ def test_regions_of_a_chunk_meet_its_text_in_lists_of_bounded_size(spark, monkey
     want = {(n, s): "".join(own)[at[lo] :].replace("-", "")[: max(hi - lo, 0)] for _, n, lo, hi in bed if lo < len(at) for s, own in (("a", chunks), ("b", other))}
     got = [(r.name, r.seq_id, r.text) for r in regions._extracted(starts, msa, 16).collect()]
     assert len(got) == len(want) and {(n, s): t for n, s, t in got} == want
+    text = regions.Filled(pa.array(["", "A-éC", "--", "GT-A"]))
+    lo, hi = [0, 2, 2, 3, 6, 0], [3, 6, 2, 4, 6, 6]
+    parts = [(i, j, t.to_pylist()) for i, j, t in text.cut(np.array(lo), np.array(hi))]
+    assert [t for *_, own in parts for t in own] == ["AéCGTA"[a:b] for a, b in zip(lo, hi, strict=True)] and [p[:2] for p in parts] == [(0, 5), (5, 6)]
     listed = regions._listed(starts, "aln_start", F.struct("name"))
     assert listed.agg(F.max(F.size("asked"))).first()[0] == 7 and listed.count() < starts.count() / 2
 
