@@ -138,6 +138,41 @@ def test_a_walk_is_told_from_carried_edges_in_one_fold(spark):
         assert plan.count("RepartitionByExpression") == 1 and "exists(" not in plan
 
 
+def test_walks_of_many_chunks_and_some_copies_equal_those_of_each(spark):
+    from strandloom.operators import walk
+
+    rng, chunks, steps, want = random.Random(4), [], [], {}
+    for c in range(6):
+        alns = sorted(rng.sample(range(100 * c, 100 * c + 60), 9))
+        text = "".join(rng.choice("ACGé") for _ in range(alns[-1] - alns[0]))
+        chunks.append(("1", c, 10 * c, alns[0], 0, text, text, alns))
+        own = []
+        for e in range(0 if c == 3 else 12):
+            src = rng.randrange(8)
+            dst = rng.randrange(src + 1, 9)
+            label = "".join(rng.choice("TÜ") for _ in range(rng.randrange(alns[dst] - alns[src] + 1)))
+            own.append((10 * c + src, e, 10 * c + dst, label, rng.getrandbits(63), rng.getrandbits(7)))
+        steps += [("1", 64 * c + 1, e, s, d, 0, 0, t, [low, high]) for s, e, d, t, low, high in own]
+        for copy in range(71):
+            out, end, at = "", 0, 0
+            for s, _, d, t, low, high in sorted(own):
+                if (low | high << 64) >> copy & 1 and s >= end:
+                    lo, hi = alns[s - 10 * c] - alns[0], alns[d - 10 * c] - alns[0]
+                    out, end, at = out + text[at:lo] + t.ljust(hi - lo, "-"), d, hi
+            want[c, copy] = out + text[at:]
+    table = spark.createDataFrame(chunks, "chrom string, chunk_no long, base long, aln long, lo long, text string, plain string, alns array<long>")
+    held = spark.createDataFrame(steps, "chrom string, bubble long, edge long, src long, dst long, src_pos long, tgt_pos long, label string, words array<long>")
+    copies = spark.createDataFrame([("1", c) for c in range(71)], "chrom string, copy int")
+    rows = walk.copy_chunks(copies, table, held, "words", incidence.carries)
+    assert {(r.chunk_no, r.copy): r.text for r in rows.collect()} == want and "MapInArrow" in rows._jdf.queryExecution().optimizedPlan().toString()
+    at = [(c[2], [x for x in steps if x[1] == 64 * c[1] + 1]) for c in chunks]
+    fields = ("src", "edge", "dst", "src_pos", "tgt_pos", "label", "held")
+    lists = [[dict(zip(fields, (x[3], x[2], x[4], x[5], x[6], x[7], x[8]), strict=True)) for x in own] or None for _, own in at]
+    whole = pa.RecordBatch.from_pydict({"chrom": ["1"] * 6, "chunk_no": range(6), "base": [c[2] for c in chunks], "origin": [c[3] for c in chunks], "whole": [c[5] for c in chunks], "alns": [c[7] for c in chunks], "steps": lists, "size": [71] * 6})
+    got = walk._walk(whole.slice(2, 3), 60, 80, walk._PAIRS[incidence.carries], True).to_pylist()
+    assert {(r["chunk_no"], r["copy"]): r["text"] for r in got} == {k: t for k, t in want.items() if 2 <= k[0] < 5 and k[1] >= 60}
+
+
 def test_carried_edges_meet_chunks_and_founders_once(spark):
     from strandloom.plans import queries
 
