@@ -31,6 +31,8 @@ PART_NODES = 1 << 14
 CHUNK_EDGES = 1024
 #: Edges that are one key of a sort, and edges times copies that a task sorts side by side.
 KEY_EDGES, SORTED_BITS = 62, 1 << 23
+#: Candidates of a chunk.
+MARKS = "array<struct<at:bigint,node:bigint,aln_pos:bigint>>"
 #: The recursion first sees blocks of so many classes at most; if the result needs more, of more.
 HEIGHT = 64
 
@@ -127,15 +129,29 @@ def carrier_classes(words: DataFrame, blocks: DataFrame, copies: DataFrame) -> D
 
 
 def ranked_carriers(held: DataFrame, copies: DataFrame) -> DataFrame:
-    """``carrier_classes`` of edges that have their block and words."""
-    rows = unpacked(held).withColumn("stretch", F.expr(f"edge div {RANKED}"))
-    rows = rows.groupBy("chrom", "block", "stretch", "copy").agg(F.sort_array(F.collect_list("edge"), asc=False).alias("sig"))
-    rank = F.dense_rank().over(Window.partitionBy("chrom", "block", "stretch").orderBy("sig"))
-    rows = rows.select("chrom", "block", "copy", "stretch", rank.alias("rank"))
+    """``carrier_classes`` of edges that have their block and words. The edges of a stretch meet in one row, packed, and no row is made for each carrier."""
+    kind, block = held.schema["chrom"].dataType.simpleString(), held.schema["block"].dataType.simpleString()
+    edge = F.struct((F.col("edge") % RANKED).cast("long").alias("at"), "words")
+    rows = held.groupBy("chrom", "block", F.expr(f"cast(edge as bigint) div {RANKED}").alias("stretch")).agg(F.collect_list(edge).alias("edges"))
+    rows = rows.withColumn("marks", F.array().cast(MARKS)).join(F.broadcast(_sizes(copies)), "chrom")
+    rows = rows.mapInArrow(_rank_stretches, f"chrom {kind}, block {block}, stretch long, copy int, rank long")
     sig = F.sort_array(F.collect_list(F.struct("stretch", "rank")), asc=False)
     return colex_ranks(rows.groupBy("chrom", "block", "copy").agg(sig.alias("sig")), copies).drop("sig")
 
 
+def _rank_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of the copies that carry an edge of a stretch, by what they carry, latest first."""
+    for whole in batches:
+        for batch, copies in _side_by_side(whole):
+            chunks = Chunks(batch, copies)
+            order, since, _ = sort_steps(*chunks.start(), chunks.first_step, chunks.keys, chunks.places)
+            rank = np.zeros(order.shape, np.int64)
+            np.put_along_axis(rank, order, np.cumsum(since >= 0, axis=1), 1)
+            row, copy = np.nonzero(np.logical_or.reduceat(chunks.keys != 0, chunks.first_step[:-1], axis=0))
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(own) for x in ("chrom", "block", "stretch")), pa.array(copy, pa.int32()), pa.array(rank[row, copy])], names=["chrom", "block", "stretch", "copy", "rank"])
+
+
 def class_sizes(classes: DataFrame, copies: DataFrame, spans: DataFrame) -> DataFrame:
     """(chrom, block, cls, first_copy, size) of every class of every block of ``spans``."""
     own = classes.groupBy("chrom", "block", F.col("cls").cast("long").alias("cls")).agg(F.min("copy").cast("int").alias("first_copy"), F.count("*").alias("size"))

@@ -76,6 +76,19 @@ def test_classes_in_two_levels_equal_one(spark, monkeypatch):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_classes_are_ranked_without_a_row_for_each_carrier(spark):
+    rng = random.Random(6)
+    sets = [{e for e in range(300) if rng.random() < 0.05} for _ in range(30)] + [set()]
+    carried = {c: rng.choice(sets) for c in range(70)}
+    copies = spark.createDataFrame([("1", c) for c in carried], "chrom string, copy int")
+    words = incidence.edge_words(spark.createDataFrame([("1", c, e) for c, own in carried.items() for e in own], "chrom string, copy int, edge long"), copies)
+    blocks = spark.range(300).select(F.lit("1").alias("chrom"), F.col("id").alias("edge"), F.expr("cast(if(id < 9, 0, 1) as int)").alias("block"))
+    want = segments.colex_ranks(segments.block_signatures(words, blocks), copies).select("chrom", "block", "copy", "cls")
+    got = segments.carrier_classes(words, blocks, copies)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_region_over_a_chunk_border_that_is_asked_for_twice_has_its_text_once(spark):
     from strandloom.operators import regions
 
