@@ -17,7 +17,15 @@ from .graph import Graph, build_tables
 
 CHUNK = 1 << 12
 SAMPLES, COPIES = 10, 2
-ACGT = "substr('ACGT', cast(1 + (7 * p + 3 * chrom + p div 5) % 4 as int), 1)"
+#: The base at position p is that of number (7 * p + 3 * chrom + p div 5) % 4, which comes again every ``PERIOD`` positions and every four chromosomes.
+PERIOD = 20
+_PATTERNS = ["".join("ACGT"[(7 * p + 3 * c + p // 5) % 4] for p in range(PERIOD)) for c in range(4)]
+
+
+def _bases(lo: str, n: str, most: int) -> str:
+    """SQL of the ``n`` bases from position ``lo``, ``most`` or fewer."""
+    texts = ", ".join(f"'{t * (most // PERIOD + 2)}'" for t in _PATTERNS)
+    return f"substring(element_at(array({texts}), cast(1 + chrom % 4 as int)), cast(1 + ({lo}) % {PERIOD} as int), cast({n} as int))"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +41,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     alt = "named_struct('idx', i, 'text', if(prio = '5-LOW' and i = n_alt, '<DEL>', repeat(substr('ACGT', cast(1 + (vid + i) % 4 as int), 1), cast(1 + (vid + 3 * i) % 5 as int))), 'kind', if(prio = '5-LOW' and i = n_alt, 'DEL', 'NONE'))"
     return _places(spark, sf_dir).select(
         "chrom", F.col("vid").alias("variant_idx"), (F.col("vid") + 1).alias("lineno"), "pos", F.array(F.concat(F.lit("v"), F.col("vid").cast("string"))).alias("ids"),
-        F.expr(f"array_join(transform(sequence(pos, pos + ref_len - 1), p -> {ACGT}), '')").alias("ref"), F.expr(f"transform(sequence(1, n_alt), i -> {alt})").alias("alts"),
+        F.expr(_bases("pos", "ref_len", 8)).alias("ref"), F.expr(f"transform(sequence(1, n_alt), i -> {alt})").alias("alts"),
     )
 
 
@@ -41,7 +49,7 @@ def reference(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame
     ends = _places(spark, sf_dir).groupBy("chrom").agg((F.max(F.col("pos") + F.col("ref_len")) + 8).alias("n"))
     rows = ends.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}")))).withColumn("start", F.col("chunk_no") * chunk)
     rows = rows.repartition(spark.sparkContext.defaultParallelism, "chrom", "chunk_no")  # the lengths are one task's rows, the bases are not
-    return rows.select("chrom", F.col("chunk_no").cast("int"), "start", F.expr(f"array_join(transform(sequence(start, least(n, start + {chunk}) - 1), p -> {ACGT}), '')").alias("bases"))
+    return rows.select("chrom", F.col("chunk_no").cast("int"), "start", F.expr(_bases("start", f"least(n - start, {chunk})", chunk)).alias("bases"))
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:

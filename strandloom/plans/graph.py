@@ -23,7 +23,8 @@ log = logging.getLogger("strandloom")
 
 def build_tables(variants: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with bridges, bubbles and aligned positions, records with their ALT edges); both are read from one table of bubbles, which is written once."""
-    folded = g.fold_bubbles(g.marked_sites(g.sites(variants), lengths, variants), variants)
+    sites = materialise(g.sites(variants), "sites")  # the running values read its numbers several times, its alternatives once
+    folded = g.fold_bubbles(g.marked_sites(sites, lengths, variants), variants)
     return g.nodes_of(folded, materialise(g.bubble_offsets(folded), "offsets")), g.sites_of(folded)
 
 

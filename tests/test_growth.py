@@ -89,6 +89,15 @@ def test_classes_are_ranked_without_a_row_for_each_carrier(spark):
     assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_bases_of_the_derived_reference_follow_their_formula(spark):
+    base = lambda c, p: "ACGT"[(7 * p + 3 * c + p // 5) % 4]
+    rows = derived.reference(spark, "/root/testdata/sf0.001", 64).collect()
+    assert all(r.bases == "".join(base(r.chrom, r.start + i) for i in range(len(r.bases))) for r in rows) and {len(r.bases) for r in rows if r.start == 0} == {64}
+    records = derived.variants(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.ref == "".join(base(r.chrom, r.pos + i) for i in range(len(r.ref))) for r in records) and {len(r.ref) for r in records} == set(range(1, 9))
+    assert "transform(sequence(" not in derived.reference(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_region_over_a_chunk_border_that_is_asked_for_twice_has_its_text_once(spark):
     from strandloom.operators import regions
 
