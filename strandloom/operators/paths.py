@@ -49,13 +49,14 @@ def carried_edges(genotypes: DataFrame, copies: DataFrame, edges: DataFrame) ->
 def packed_edges(genotypes: DataFrame, copies: DataFrame, sites: DataFrame) -> DataFrame:
     """(chrom, edge, src, dst, src_pos, tgt_pos, variant_idx, allele, label, bubble, words): a row for each carried edge, its carriers packed.
 
-    Genotypes meet the records, not their alternatives, and are packed where they meet, so no row for each carrier is written or dealt out again.
+    Genotypes are packed by record and allele where they lie, so what meets the records is a row for each carried alternative and none for each carrier.
     """
-    calls = genotypes.where("allele > 0").join(F.broadcast(copies.select("chrom", "sample_idx", "copy_idx", "copy")), ["chrom", "sample_idx", "copy_idx"]).select("chrom", "variant_idx", "allele", "copy")
-    rows = calls.join(large(sites), ["chrom", "variant_idx"])
+    calls = genotypes.where("allele > 0").join(F.broadcast(copies.select("chrom", "sample_idx", "copy_idx", "copy")), ["chrom", "sample_idx", "copy_idx"])
+    packed = edge_words(calls.select("chrom", F.col("variant_idx").alias("edge"), "allele", "copy"), copies, "allele").withColumnRenamed("edge", "variant_idx")
+    rows = packed.join(large(sites), ["chrom", "variant_idx"])
     rows = rows.withColumn("i", F.array_position(F.col("alts.alt_idx"), F.col("allele").cast(sites.schema["alts"].dataType.elementType["alt_idx"].dataType))).where("i > 0")
-    rows = rows.select("chrom", (F.col("first_edge") + F.col("i") - 1).alias("edge"), "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele", F.get("alts", (F.col("i") - 1).cast("int"))["label"].alias("label"), "bubble", "copy")
-    return edge_words(rows, copies, *(c for c in rows.columns if c not in ("chrom", "edge", "copy")))
+    label = F.get("alts", (F.col("i") - 1).cast("int"))["label"].alias("label")
+    return rows.select("chrom", (F.col("first_edge") + F.col("i") - 1).alias("edge"), "src", "dst", "src_pos", "tgt_pos", "variant_idx", "allele", label, "bubble", "words")
 
 
 def unpacked_paths(packed: DataFrame) -> DataFrame:
