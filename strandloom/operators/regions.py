@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.prefix import prefix_scan
-from ..functions.storage import large, materialise
+from ..functions.storage import dealt, large, materialise
 
 GAP = ord("-")
 #: Regions of a row; a chunk in which more begin has several rows.
@@ -163,4 +163,5 @@ def _extracted(starts: DataFrame, msa: DataFrame, bucket: int) -> DataFrame:
     need = asked.groupBy("chrom", "chunk_no").agg(F.max(F.array_max("asked.size")).alias("need"))
     whole = texts.join(large(_texts_behind(texts, need, bucket)), key, "left").select(*key, "aln", F.concat("text", F.coalesce("behind", F.lit(""))).alias("text"))
     schema = StructType([starts.schema["chrom"], starts.schema["name"], msa.schema["seq_id"], StructField("text", StringType())])
+    whole = dealt(whole, "chrom", "chunk_no", of=texts)  # what comes out is many times as large as what is dealt out, so small parts are not put together
     return whole.join(large(asked), ["chrom", "chunk_no"]).mapInArrow(_cut_out, schema)
